@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, resample, rules
+from . import exact_dedup, near_dedup, packing, resample, rules, subwords
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.assign(materialize(pieces, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = subwords.encode_decode(_table(spark, sf_dir, "documents"))
+    decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agreed")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return got.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -41,7 +47,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_near_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
