@@ -1,14 +1,18 @@
-"""Connected components of a graph of links by alternating large and small stars.
+"""Groups of similar things: connected components of their links, and links from shared buckets.
 
-After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014),
-in DataFrame operations alone. A star step needs the least neighbour of each
+Components come from alternating large and small stars
+(Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), in
+DataFrame operations alone. A star step needs the least neighbour of each
 node, which is an aggregate and a join back, so no list of neighbours is ever
 gathered. The links of each round are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -41,3 +45,63 @@ def components(links: DataFrame) -> DataFrame:
         edges, before = materialize(_round(edges), "links"), now
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def buckets(dealt: DataFrame) -> DataFrame:
+    """``dealt`` (node, key) -> the rows of keys with several nodes, with the least of them as ``leader``."""
+    shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
+    return dealt.join(shared, "key")
+
+
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``members`` (node, key, leader) -> (id, component), over links between nodes that share a key.
+
+    ``verify`` keeps those of the pairs (a, b) that are links. A bucket is never expanded to its pairs. In turn
+    these are verified, each only if its ends are still apart: a node with the least of all its leaders, a node with
+    each of its leaders, and the first and last node of the parts into which a bucket still falls with those of the
+    next part, until a round finds no link.
+    """
+
+    def parts(links: DataFrame) -> DataFrame:
+        found = components(links).withColumnRenamed("id", "node")
+        return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+
+    pairs = members.groupBy("node").agg(F.min("leader").alias("a")).filter("a <> node").select("a", F.col("node").alias("b"))
+    tested = materialize(pairs, "pairs")
+    links = linked(tested)
+
+    now = materialize(parts(links), "parts")
+    leads = now.filter("node = leader").select("key", F.col("component").alias("lead"))
+    pairs = now.join(leads, "key").filter("component <> lead").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    for turn in itertools.count():
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        more = linked(pairs)
+        tested = tested.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+        elif turn:
+            break
+        apart = parts(links).groupBy("key", "component").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        by = Window.partitionBy("key").orderBy("component")  # one row for each part of a bucket
+        beside = apart.withColumns({"low0": F.lag("low").over(by), "high0": F.lag("high").over(by)}).filter("low0 is not null")
+        crossed = F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x in ("low0", "high0") for y in ("low", "high")]))
+        pairs = beside.select(crossed.alias("p")).select("p.a", "p.b").distinct()
+    return components(links)
+
+
+def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFrame:
+    """``pairs`` (a, b) with the value of each end: a, b, va, vb; ``values`` is (node, value).
+
+    A node in many pairs is copied once for each ``most`` of them, and its pairs are dealt to the copies.
+    """
+    hubs = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {most}) as int)").alias("parts"))
+    left = hubs.join(values.select(F.col("node").alias("a"), F.col("value").alias("va")), "a")
+    left = left.select("a", "va", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = pairs.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    right = right.join(values.select(F.col("node").alias("b"), F.col("value").alias("vb")), "b")
+    return right.join(left, ["a", "part"])

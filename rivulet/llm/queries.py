@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, resample, rules, subwords
+from . import exact_dedup, layout, licenses, line_dedup, near_dedup, packing, quotes, resample, rules, subwords
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,41 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_near_dedup)}
+def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_sentencepiece,
+        op3_exact_dedup,
+        op4_quality_classifier,
+        op5_quality_rules,
+        op6_line_dedup,
+        op7_near_dedup,
+        op8_chat_quotes,
+        op9_license_scan,
+        op10_html_layout,
+    )
+}
 
 ORACLES = {
     "op3_exact_dedup": r"""
