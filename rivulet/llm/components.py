@@ -9,10 +9,9 @@ gathered. The links of each round are written to the shared folder.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -48,50 +47,62 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(dealt: DataFrame) -> DataFrame:
-    """``dealt`` (node, key) -> the rows of keys with several nodes, with the least of them as ``leader``."""
-    shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    return dealt.join(shared, "key")
+    """``dealt`` (node, key) -> node, key, and the ``size`` of the bucket, for keys of several nodes."""
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
+    return dealt.join(sizes.filter("first < last").select("key", "size"), "key")
 
 
 def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``members`` (node, key, leader) -> (id, component), over links between nodes that share a key.
-
-    ``verify`` keeps those of the pairs (a, b) that are links. A bucket is never expanded to its pairs. In turn
-    these are verified, each only if its ends are still apart: a node with the least of all its leaders, a node with
-    each of its leaders, and the first and last node of the parts into which a bucket still falls with those of the
-    next part, until a round finds no link.
+    """``members`` (node, key, size) -> (id, component), over all links between nodes that share a key.
+
+    ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
+    node leads it (the one whose buckets are largest in sum, which in a group of variants is the one nearest to all),
+    and each node is verified with the best of its leaders, then with its leaders in groups that are still others.
+    That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
+    with leaders from the other parts, four times as many in each round, until the parts are one or every two nodes
+    of a bucket are in one part or have been verified. So no link is lost, and pairs are only spent on what is apart.
     """
+    scores = members.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = materialize(members.join(scores, "node"), "scored")
+    top = F.max(F.struct("score", (-F.col("node")).alias("order"))).alias("top")
+    leaders = scored.groupBy("key").agg(top).select("key", (-F.col("top.order")).alias("leader"), F.col("top.score").alias("leader_score"))
+    led = materialize(scored.join(leaders, "key"), "led")
 
-    def parts(links: DataFrame) -> DataFrame:
+    def parts(links: DataFrame, of: DataFrame) -> DataFrame:
         found = components(links).withColumnRenamed("id", "node")
-        return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def pair(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def linked(pairs: DataFrame) -> DataFrame:
         return materialize(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
 
-    pairs = members.groupBy("node").agg(F.min("leader").alias("a")).filter("a <> node").select("a", F.col("node").alias("b"))
-    tested = materialize(pairs, "pairs")
+    best = led.filter("leader <> node").groupBy("node").agg(F.max_by("leader", F.struct("leader_score", (-F.col("leader")).alias("order"))).alias("leader"))
+    tested = materialize(best.select(*pair("node", "leader")).distinct(), "pairs")
     links = linked(tested)
 
-    now = materialize(parts(links), "parts")
+    now = materialize(parts(links, led), "parts")
     leads = now.filter("node = leader").select("key", F.col("component").alias("lead"))
-    pairs = now.join(leads, "key").filter("component <> lead").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    for turn in itertools.count():
+    pairs = now.join(leads, "key").filter("component <> lead").select(*pair("leader", "node")).distinct()
+    chance = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    many = 1
+    while True:
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        more = linked(pairs)
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-        elif turn:
-            break
-        apart = parts(links).groupBy("key", "component").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        by = Window.partitionBy("key").orderBy("component")  # one row for each part of a bucket
-        beside = apart.withColumns({"low0": F.lag("low").over(by), "high0": F.lag("high").over(by)}).filter("low0 is not null")
-        crossed = F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x in ("low0", "high0") for y in ("low", "high")]))
-        pairs = beside.select(crossed.alias("p")).select("p.a", "p.b").distinct()
-    return components(links)
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            links = links.unionByName(linked(pairs))
+            now = materialize(parts(links, led), "parts")
+        shares = now.groupBy("key", "component").agg(F.count("*").alias("n"))
+        apart = shares.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+        split = materialize(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart")
+        largest = split.agg(F.max("size")).first()[0]
+        if largest is None or many >= 4 * largest:
+            return components(links)
+        others = split.filter(chance * F.col("size") <= many).select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
+        rest = split.filter("component <> largest").select("key", "node", "component")
+        pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct()
+        many *= 4
 
 
 def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFrame:
