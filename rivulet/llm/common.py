@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -30,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
+    return measured(df, name)[0]
+
+
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with aggregates of the rows that are taken in the same pass."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
+    seen = Observation(f"rivulet-{uuid.uuid4().hex}") if measures else None
+    if seen:
+        df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), seen.get if seen else {}
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -14,12 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, measured
 
-
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-    return r["n"], r["s"]
+STEP = 16
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -37,11 +34,10 @@ def components(links: DataFrame) -> DataFrame:
     Links with a null end and links of a node to itself join nothing. Repeated links count once.
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = materialize(edges, "links"), None
-    while (now := _state(edges)) != before:
-        if not now[0]:
-            break
-        edges, before = materialize(_round(edges), "links"), now
+    state = {"n": F.count("*"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}  # equal for equal sets of links
+    (edges, now), before = measured(edges, "links", **state), None
+    while now["n"] and now != before:
+        (edges, now), before = measured(_round(edges), "links", **state), now
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 
@@ -59,7 +55,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     node leads it (the one whose buckets are largest in sum, which in a group of variants is the one nearest to all),
     and each node is verified with the best of its leaders, then with its leaders in groups that are still others.
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
-    with leaders from the other parts, four times as many in each round, until the parts are one or every two nodes
+    with about ``STEP`` leaders from the other parts, then with ``STEP`` times as many and so on, until the parts are one or every two nodes
     of a bucket are in one part or have been verified. So no link is lost, and pairs are only spent on what is apart.
     """
     scores = members.groupBy("node").agg(F.sum("size").alias("score"))
@@ -68,41 +64,54 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     leaders = scored.groupBy("key").agg(top).select("key", (-F.col("top.order")).alias("leader"), F.col("top.score").alias("leader_score"))
     led = materialize(scored.join(leaders, "key"), "led")
 
-    def parts(links: DataFrame, of: DataFrame) -> DataFrame:
-        found = components(links).withColumnRenamed("id", "node")
-        return of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return materialize(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+    groups = tested = None  # the components so far, and all pairs verified
+
+    def grouped() -> DataFrame:
+        found = groups.withColumnRenamed("id", "node")
+        return materialize(led.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+
+    def spend(pairs: DataFrame) -> bool:
+        """Verify those of the pairs that are new; whether that changed the groups."""
+        nonlocal groups, tested
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs, found = measured(pairs, "pairs", n=F.count("*"))
+        if not found["n"] and groups is not None:
+            return False
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links, found = measured(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified", n=F.count("*"))
+        if groups is None:
+            groups = components(links)
+        elif not found["n"]:
+            return False
+        else:
+            groups = components(links.unionByName(groups.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        return True
 
     best = led.filter("leader <> node").groupBy("node").agg(F.max_by("leader", F.struct("leader_score", (-F.col("leader")).alias("order"))).alias("leader"))
-    tested = materialize(best.select(*pair("node", "leader")).distinct(), "pairs")
-    links = linked(tested)
-
-    now = materialize(parts(links, led), "parts")
+    spend(best.select(*pair("node", "leader")).distinct())
+    now = grouped()
     leads = now.filter("node = leader").select("key", F.col("component").alias("lead"))
-    pairs = now.join(leads, "key").filter("component <> lead").select(*pair("leader", "node")).distinct()
+    if spend(now.join(leads, "key").filter("component <> lead").select(*pair("leader", "node")).distinct()):
+        now = grouped()
     chance = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) + 1) / float(1 << 30)
-    many = 1
+    many = STEP
     while True:
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(linked(pairs))
-            now = materialize(parts(links, led), "parts")
         shares = now.groupBy("key", "component").agg(F.count("*").alias("n"))
         apart = shares.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-        split = materialize(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart")
-        largest = split.agg(F.max("size")).first()[0]
-        if largest is None or many >= 4 * largest:
-            return components(links)
+        split, found = measured(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart", size=F.max("size"))
+        if found["size"] is None:
+            return groups
         others = split.filter(chance * F.col("size") <= many).select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
         rest = split.filter("component <> largest").select("key", "node", "component")
-        pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct()
-        many *= 4
+        if spend(rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct()):
+            now = grouped()
+        if many >= found["size"]:
+            return groups
+        many *= STEP
 
 
 def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, measured, only
 
 QUOTE = r"^(?:[ \t]{0,3}>)+[ \t]?"
 #: Shown before and after each message; {role} is the message's role.
@@ -72,9 +72,9 @@ def threads(parents: DataFrame) -> DataFrame:
     while True:
         up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("higher"), F.col("depth").alias("more"))
         after = now.join(up, ["conv_id", "thread"], "left")
-        moved = materialize(after.select("conv_id", "turn", F.coalesce("higher", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "threads")
+        moved, found = measured(after.select("conv_id", "turn", F.coalesce("higher", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "threads", n=F.count_if("moved"))
         now = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
+        if not found["n"]:
             return now
 
 
