@@ -31,11 +31,27 @@ from pyspark.sql import DataFrame
 
 from .common import only, steps
 
-SPACE, LONG, KEPT = "▁", 48, 250_000
+SPACE, LONG, KEPT = "▁", 48, 1_000_000
 _NONE = np.iinfo(np.int32).max
 _MADE: dict = {}
 
 
+_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+
+class Numbers(dict):
+    """Numbers segments in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class MergeEncoder:
     """Encoder for the BPE model in ``file``; only ``library`` reads the file."""
 
@@ -77,16 +93,23 @@ class MergeEncoder:
             while self.keys[at] >= 0:
                 at = (at + 1) & self.mask
             self.keys[at], (self.rank[at], self.made[at]) = key, pairs[key]
-        cut = not any(b == SPACE and a != SPACE for p in self.piece for a, b in zip(p, p[1:]))
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else r"(?s).+").findall
+        self.cuts = not any(b == SPACE and a != SPACE for p in self.piece for a, b in zip(p, p[1:]))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.differ: set[str] = set()
         self.unsure: set[str] = set()
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def segments(self, text: str) -> list[str]:
+        """Segments of a normalised text, each without the space sign that it begins with."""
+        if not self.cuts:
+            return [text[1:]]
+        if SPACE * 2 not in text:
+            return text[1:].split(SPACE)
+        return [s[1:] for s in _SEGMENT.findall(text)]
+
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -182,9 +205,8 @@ class MergeEncoder:
 
     def checked(self, new: list[str], ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` of the segments, ``many`` of each, held against the library's."""
-        texts = [s[1:] if s[0] == SPACE else s for s in new]
-        self.unsure.update(s for s, n in zip(new, self.library.normalize(texts), strict=True) if s != n)
-        theirs = self.library.encode(texts, num_threads=1)
+        self.unsure.update(s for s, n in zip(new, self.library.normalize(new), strict=True) if n != SPACE + s)
+        theirs = self.library.encode(new, num_threads=1)
         count = np.fromiter(map(len, theirs), np.int64, len(theirs))
         flat = np.fromiter(itertools.chain.from_iterable(theirs), np.int32, int(count.sum()))
         if np.array_equal(count, many) and np.array_equal(flat, ids):
@@ -196,34 +218,40 @@ class MergeEncoder:
                 own[k] = np.array(theirs[k], np.int32)
         return np.concatenate(own), np.array([len(x) for x in own], np.int64)
 
+    def learn(self) -> None:
+        """Encode the segments that have got numbers but no ids."""
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        short = [k for k, s in enumerate(new) if len(s) < LONG]
+        ids, many = self.by_rounds([SPACE + new[k] for k in short]) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if len(short) < len(new):
+            parts = dict(zip(short, np.split(ids, np.cumsum(many)[:-1]) if short else [], strict=True))
+            parts |= {k: np.array(self.by_heap(SPACE + s), np.int32) for k, s in enumerate(new) if k not in parts}
+            ids, many = np.concatenate([parts[k] for k in range(len(new))]), np.array([len(parts[k]) for k in range(len(new))], np.int64)
+        ids, many = self.checked(new, ids.astype(np.int32), many)
+        self.ids = np.concatenate((self.ids, ids)).astype(np.int32)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(many)))
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, without an end id, and whether the library gave the same ones."""
         if not self.has_bytes:
             raise ValueError("the vocabulary has no piece for each byte")
-        cuts = [self.segments(x) for x in self.library.normalize(texts)]
         if len(self.known) > KEPT:
             self.forget()
-        known = self.known
-        new = {s for c in cuts for s in c if s not in known}
-        if new:
-            long = [s for s in new if len(s) > LONG]
-            short = [s for s in new if len(s) <= LONG]
-            ids, many = self.by_rounds(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            slow = [np.array(self.by_heap(s), np.int32) for s in long]
-            new = [*short, *long]
-            ids, many = self.checked(new, np.concatenate((ids, *slow)).astype(np.int32), np.array([*many.tolist(), *map(len, slow)], np.int64))
-            for s in new:
-                known[s] = len(known)
-            self.ids = np.concatenate((self.ids, ids)).astype(np.int32)
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(many)))
+        normal = self.library.normalize(texts)
+        cuts = [self.segments(x) if x else [] for x in normal]
+        number = self.known.__getitem__
+        found = [np.fromiter(map(number, c), np.int64, len(c)) for c in cuts]
+        self.learn()
         out, agreed = [], []
-        for text, c in zip(texts, cuts, strict=True):
-            which = np.fromiter(map(known.__getitem__, c), np.int64, len(c))
-            start, many = self.ends[which], self.ends[which + 1] - self.ends[which]
+        for text, n, c, which in zip(texts, normal, cuts, found, strict=True):
+            start = self.ends[which]
+            many = self.ends[which + 1] - start
             place = np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
             out.append(self.ids[place])
             agreed.append(not self.differ or self.differ.isdisjoint(c))
-            if self.unsure and not self.unsure.isdisjoint(c):
+            if n and n[0] != SPACE or self.unsure and not self.unsure.isdisjoint(c):
                 theirs = np.array(self.library.encode(text), np.int32)
                 agreed[-1] = agreed[-1] and np.array_equal(theirs, out[-1])
                 out[-1] = theirs
