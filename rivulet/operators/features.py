@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, lookup, rescale, sigmoid
@@ -12,8 +12,14 @@ from .rolling import roll
 from .sequence import gap_runs, ordered, rising, run_id
 
 SCORES = {"none": 0.0, "spotting": 0.25, "light": 0.5, "medium": 0.75, "heavy": 1.0}
-W = ordered("seq_id")
-WHOLE = Window.partitionBy("seq_id")
+
+
+def _w() -> WindowSpec:
+    return ordered("seq_id")
+
+
+def _whole() -> WindowSpec:
+    return Window.partitionBy("seq_id")
 
 
 def bleeding_score(df: DataFrame) -> DataFrame:
@@ -22,34 +28,34 @@ def bleeding_score(df: DataFrame) -> DataFrame:
 
 def dtemp(df: DataFrame) -> DataFrame:
     """Whether the weekly mean temperature differs by half a degree from that of 13 days before."""
-    mean = roll("temp", F.avg, 7, W)
-    d = F.col("__m") - F.lag("__m", 13).over(W)
+    mean = roll("temp", F.avg, 7, _w())
+    d = F.col("__m") - F.lag("__m", 13).over(_w())
     label = F.when(d.isNull(), "missing").when(d >= 0.5, "increase").when(d <= -0.5, "decrease").otherwise("no_change")
     return df.withColumn("__m", mean).withColumn("dtemp", label).drop("__m")
 
 
 def dtemp_continuous(df: DataFrame) -> DataFrame:
     """The change of the weekly mean over six days, in units of the earlier week's deviation, on an asinh scale."""
-    df = df.withColumns({"__m": roll("temp", F.avg, 7, W), "__s": roll("temp", F.stddev_samp, 7, W)})
-    before, sd = F.coalesce(F.lag("__m", 6).over(W), F.lit(-0.25)), F.coalesce(F.lag("__s", 6).over(W), F.lit(0.2))
+    df = df.withColumns({"__m": roll("temp", F.avg, 7, _w()), "__s": roll("temp", F.stddev_samp, 7, _w())})
+    before, sd = F.coalesce(F.lag("__m", 6).over(_w()), F.lit(-0.25)), F.coalesce(F.lag("__s", 6).over(_w()), F.lit(0.2))
     value = F.asinh((F.col("__m") - before) / F.greatest(sd, F.lit(0.1)))
     return df.withColumn("dtemp_continuous", F.coalesce(value, F.lit(0.0))).drop("__m", "__s")
 
 
 def bleeding_last_week(df: DataFrame) -> DataFrame:
     bled = (F.col("bleeding_score") > 0).cast("double")
-    return df.withColumn("f.bleeding.last.week", roll(bled, F.avg, 7, W, fill=0.0))
+    return df.withColumn("f.bleeding.last.week", roll(bled, F.avg, 7, _w(), fill=0.0))
 
 
 def bleeding_density_5d(df: DataFrame) -> DataFrame:
-    return df.withColumn("bleeding_density_5d", roll("bleeding_score", F.avg, 5, W, "center", 0.0))
+    return df.withColumn("bleeding_density_5d", roll("bleeding_score", F.avg, 5, _w(), "center", 0.0))
 
 
 def interbleeding_id(df: DataFrame) -> DataFrame:
     """Intervals that begin on the last day before bleeding by the user's own standard."""
-    q = F.percentile(F.when(F.col("bleeding_score") > 0, F.col("bleeding_score")), 0.8).over(WHOLE)
+    q = F.percentile(F.when(F.col("bleeding_score") > 0, F.col("bleeding_score")), 0.8).over(_whole())
     df = df.withColumn("__b", F.col("bleeding_score") >= F.when(q > 0.5, 0.5).otherwise(0.25))
-    start = ~F.col("__b") & F.coalesce(F.lead("__b").over(W), F.lit(False))
+    start = ~F.col("__b") & F.coalesce(F.lead("__b").over(_w()), F.lit(False))
     return df.withColumn("interbleeding_id", run_id(start, "seq_id")).drop("__b")
 
 
@@ -69,11 +75,11 @@ def susp_ano(df: DataFrame) -> DataFrame:
 
 def long_high_temp(df: DataFrame, n: int = 22) -> DataFrame:
     """1 where temperatures have stayed in the upper part of the user's range for ``n`` days."""
-    frame = W.rowsBetween(1 - n, 0)
-    p = {k: F.percentile("temp", k / 100).over(WHOLE) for k in (20, 80)}
+    frame = _w().rowsBetween(1 - n, 0)
+    p = {k: F.percentile("temp", k / 100).over(_whole()) for k in (20, 80)}
     within = {k: F.percentile("temp", k / 100).over(frame) for k in (15, 25, 85)}
     known = F.when(F.col("temp").isNotNull(), F.col("t"))
-    df = df.withColumn("__gap", known - F.last(known, True).over(W.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("__gap", known - F.last(known, True).over(_w().rowsBetween(Window.unboundedPreceding, -1)))
     full = F.count(F.lit(1)).over(frame) == n
     range_ = p[80] - p[20]
     ok = full & (F.coalesce(F.max("__gap").over(frame), F.lit(99)) <= 3) & (F.size(F.collect_set("temp").over(frame)) >= 4)
@@ -84,7 +90,7 @@ def long_high_temp(df: DataFrame, n: int = 22) -> DataFrame:
 def m_return(df: DataFrame) -> DataFrame:
     """1 where cycles are back to the user's usual length: this interval and the next are near the median."""
     lengths = df.groupBy("seq_id", "interbleeding_id").agg(F.count(F.lit(1)).alias("__n"))
-    usual = F.percentile(F.when(F.col("__n").between(15, 100), F.col("__n")), 0.5).over(WHOLE)
+    usual = F.percentile(F.when(F.col("__n").between(15, 100), F.col("__n")), 0.5).over(_whole())
     away = F.abs(F.col("__n") - usual) / usual
     after = F.lead("__away").over(Window.partitionBy("seq_id").orderBy("interbleeding_id"))
     lengths = lengths.withColumn("__away", away).withColumn("__sum", F.col("__away") + F.coalesce(after, F.lit(0.0)))
@@ -100,7 +106,7 @@ def preg_hint(df: DataFrame, days: int = 560) -> DataFrame:
     """
     hit = (F.coalesce(F.col("preg") == "pos", F.lit(False)) | (F.col("long_high_temp") == 1)).cast("int")
     df = df.withColumn("__x", hit)
-    df = df.withColumn("__trigger", ((F.col("__x") == 1) & (F.sum("__x").over(W.rowsBetween(-20, 0)) == 1)).cast("int"))
+    df = df.withColumn("__trigger", ((F.col("__x") == 1) & (F.sum("__x").over(_w().rowsBetween(-20, 0)) == 1)).cast("int"))
     df = df.withColumn("__id", run_id(F.col("__trigger") == 1, "seq_id"))
     of = Window.partitionBy("seq_id", "__id").orderBy("t")
     upto = of.rowsBetween(Window.unboundedPreceding, 0)

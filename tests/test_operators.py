@@ -191,7 +191,9 @@ def test_stitch_averages_overlaps():
 def test_panel_and_user_give_the_same(spark, simulated):
     model, days = simulated
     days = days[days["t"] <= 120].drop(columns="state")
-    got = decode.decode_panel(spark.createDataFrame(days), model, bleeding_model(model)).toPandas().sort_values("t")
+    plain = [tuple(None if pd.isna(v) else v for v in r) for r in days.itertuples(index=False)]
+    frame_ = spark.createDataFrame(plain, "seq_id string, t int, bleeding string, mucus string, temp double, LH string, preg string")
+    got = decode.decode_panel(frame_.select(*days.columns), model, bleeding_model(model)).toPandas().sort_values("t")
     want = decode.decode_user(days.drop(columns="seq_id"), model, bleeding_model(model))
     assert got["state"].tolist() == want["state"].tolist()
 
