@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, measured
 
-STEP = 16
-
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -48,15 +46,18 @@ def buckets(dealt: DataFrame) -> DataFrame:
     return dealt.join(sizes.filter("first < last").select("key", "size"), "key")
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``members`` (node, key, size) -> (id, component), over all links between nodes that share a key.
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], whole: int = 32, more: int = 4) -> DataFrame:
+    """``members`` (node, key, size) -> (id, component), over links between nodes that share a key.
 
     ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
     node leads it (the one whose buckets are largest in sum, which in a group of variants is the one nearest to all),
     and each node is verified with the best of its leaders, then with its leaders in groups that are still others.
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
-    with about ``STEP`` leaders from the other parts, then with ``STEP`` times as many and so on, until the parts are one or every two nodes
-    of a bucket are in one part or have been verified. So no link is lost, and pairs are only spent on what is apart.
+    with all others of the bucket if it has at most ``whole`` nodes, else with about ``more`` of them.
+
+    So in a bucket of up to ``whole`` nodes any two end up in one group or have been verified. In a larger one a link is
+    lost only if its ends differ from the bucket's leader and its sample in every bucket that they share, and are
+    joined by no other way. (All pairs of large buckets would grow with the square of what has one passage in common.)
     """
     scores = members.groupBy("node").agg(F.sum("size").alias("score"))
     scored = materialize(members.join(scores, "node"), "scored")
@@ -98,20 +99,16 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     if spend(now.join(leads, "key").filter("component <> lead").select(*pair("leader", "node")).distinct()):
         now = grouped()
     chance = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) + 1) / float(1 << 30)
-    many = STEP
-    while True:
-        shares = now.groupBy("key", "component").agg(F.count("*").alias("n"))
-        apart = shares.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-        split, found = measured(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart", size=F.max("size"))
-        if found["size"] is None:
-            return groups
-        others = split.filter(chance * F.col("size") <= many).select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
-        rest = split.filter("component <> largest").select("key", "node", "component")
-        if spend(rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct()):
-            now = grouped()
-        if many >= found["size"]:
-            return groups
-        many *= STEP
+    shares = now.groupBy("key", "component").agg(F.count("*").alias("n"))
+    apart = shares.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    split, found = measured(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart", size=F.max("size"))
+    if found["size"] is None:
+        return groups
+    lead = F.when(F.col("size") <= whole, True).otherwise(chance * F.col("size") <= more)
+    others = split.filter(lead).select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
+    rest = split.filter("component <> largest").select("key", "node", "component")
+    spend(rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct())
+    return groups
 
 
 def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFrame:
