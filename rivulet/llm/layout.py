@@ -1,8 +1,9 @@
 """Visible text of web pages, laid out as a browser would place it.
 
 A tokenizer and a tree builder read any string as HTML: tags that HTML lets an
-author leave out are implied, stray end tags are ignored, and nesting deeper
-than ``DEEPEST`` goes on at that depth. Visibility follows the ``hidden``
+author leave out are implied, stray end tags are ignored, a quote that is never
+closed ends with its tag, and nesting deeper than ``DEEPEST`` goes on at that
+depth. Visibility follows the ``hidden``
 attribute, inline ``display:none`` and ``visibility``, the same declarations
 for simple selectors (tag, .class, #id) in the page's own style sheets, and
 elements that are never shown (head, script, noscript, closed details, ...).
