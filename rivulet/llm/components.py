@@ -122,3 +122,9 @@ def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFra
     right = pairs.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     right = right.join(values.select(F.col("node").alias("b"), F.col("value").alias("vb")), "b")
     return right.join(left, ["a", "part"])
+
+
+def like_sized(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose sets are near enough in size for this Jaccard similarity; ``sizes`` is (node, n)."""
+    of = lambda end: sizes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
