@@ -9,6 +9,7 @@ import pandas as pd
 
 from . import dist
 from .infer import anchored, forward_backward
+from .joint import JointModel
 from .model import Categorical, Model, Normal
 
 
@@ -73,6 +74,8 @@ def fit(model: Model, days: pd.DataFrame, truth: pd.DataFrame | None = None, tru
 
 
 def _emission(model: Model, start: Model, days: pd.DataFrame, gamma: np.ndarray, weight: float) -> dict:
+    if isinstance(model, JointModel):
+        return model.learned(start, days, gamma, weight)
     known = {k: (days[k].notna() if isinstance(f, Normal) else days[k].isin(f.values)).to_numpy() if k in days else np.zeros(len(days), bool) for k, f in model.emission.items()}
     any_known = np.any(list(known.values()), axis=0) if known else np.zeros(len(days), bool)
     silent = np.prod([model.q[k] for k in model.emission], axis=0) if model.emission else np.ones(model.J)
