@@ -261,3 +261,28 @@ def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: in
 
     channels = ", ".join(f"{k} {'string' if hasattr(f, 'values') else 'double'}" for k, f in model.emission.items())
     return spark.range(n).groupBy("id").applyInPandas(one, f"seq_id string, t int, {channels}, state int")
+
+
+def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly: bool = False, **how) -> DataFrame:
+    """States by Viterbi and by posterior, of the given and of the fitted model, side by side for each day.
+
+    The model is fitted to each sequence, or ``jointly`` to all of them, which brings all to one task: for small panels.
+    """
+    channels = [c for c in model.emission if c in panel.columns]
+    text, kind = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.schema[key].dataType.simpleString()
+    names = ["viterbi_specified", "smoothed_specified", "viterbi_fitted", "smoothed_fitted"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        given, pdf = Model.from_json(text.value), pdf.sort_values([key, "t"]).drop_duplicates([key, "t"])
+        models, out = (given, fit(given, pdf.rename(columns={key: "seq_id"}), **how).model), []
+        for _, days in pdf.groupby(key, sort=True):
+            states = []
+            for m in models:
+                logb = m.emissions(days)
+                states += [viterbi(m, logb)[0], forward_backward(m, logb).gamma.argmax(axis=1) + 1]
+            out.append(pd.DataFrame({"seq_id": days[key].to_numpy(), "t": days["t"].to_numpy(), **dict(zip(names, states))}))
+        return pd.concat(out)
+
+    dealt = panel.select(key, "t", *channels)
+    groups = dealt.groupBy() if jointly else dealt.groupBy(key)
+    return groups.applyInPandas(one, f"seq_id {kind}, t int, " + ", ".join(f"{n} int" for n in names))

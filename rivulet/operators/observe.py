@@ -108,3 +108,12 @@ def state_durations(days: DataFrame) -> DataFrame:
     together = counted.withColumn("hsmm_states", F.coalesce(lookup("states", STATE_GROUPS), F.col("states"))).groupBy("cycle_id", "hsmm_states").agg(F.sum("n").alias("n_days"))
     odd = together.filter("hsmm_states = 'Lut' and n_days = 2").select("cycle_id")
     return together.join(odd, "cycle_id", "left_anti")
+
+
+def temperature_profile(cycles: DataFrame, days: DataFrame, least: int = 210, most: int = 280) -> DataFrame:
+    """Median temperature by cycle-day over cycles with a pregnancy to term, relative to each cycle's days 5 to 13."""
+    term = cycles.filter("pregnancy").withColumn("length", F.datediff("end", "start") + 1).filter(F.col("length").between(least, most))
+    each = term.select("user_id", "start", F.explode(F.sequence(F.lit(1), F.col("length"))).alias("cycle_day"))
+    each = each.withColumn("date", F.expr("date_add(start, cycle_day - 1)")).join(days.select("user_id", "date", "temperature"), ["user_id", "date"])
+    base = F.percentile(F.when(F.col("cycle_day").between(5, 13), F.col("temperature")), 0.5).over(Window.partitionBy("user_id", "start"))
+    return each.withColumn("relative", F.col("temperature") - base).groupBy("cycle_day").agg(F.percentile("relative", 0.5).alias("median"), F.count("relative").alias("n"))

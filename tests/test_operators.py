@@ -272,3 +272,21 @@ def test_streaming(spark, sf, tmp_path):
         q.stop()
     want = panels.daily_counts(events)
     assert sorted(rows(spark.table("days_out"))) == sorted(rows(want))
+
+
+def test_four_decodings(spark):
+    part = dedicated(cycle_model()).subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
+    made = pd.concat([simulate(part, k, ord(k), days=40, first=1) for k in "ab"])
+    plain = [tuple(None if pd.isna(v) else v for v in r) for r in made.drop(columns="state").itertuples(index=False)]
+    panel = spark.createDataFrame(plain, "seq_id string, t int, bleeding string, mucus string, temp double, LH string, preg string").select(*made.columns[:-1])
+    for jointly in (False, True):
+        got = decode.four_decodings(panel, part, jointly=jointly, lock_transition=True, weight_emission=100, most=3)
+        assert got.count() == 80 and got.filter("viterbi_specified between 1 and 7").count() == 80
+
+
+def test_temperature_profile(spark):
+    start = dt.date(2023, 1, 1)
+    cycles_ = spark.createDataFrame([("u", start, start + dt.timedelta(239), True), ("u", start, start + dt.timedelta(20), False)], "user_id string, start date, end date, pregnancy boolean")
+    days = spark.createDataFrame([("u", start + dt.timedelta(k), 97.0 + (k > 20)) for k in range(100)], "user_id string, date date, temperature double")
+    got = {r.cycle_day: (r.median, r.n) for r in observe.temperature_profile(cycles_, days).collect()}
+    assert got[10] == (0.0, 1) and got[50] == (1.0, 1)
