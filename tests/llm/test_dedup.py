@@ -149,5 +149,5 @@ def test_without_lines(spark):
 
 
 def test_line_dedup_runs_no_python(spark):
-    plan = line_dedup.band_keys(line_dedup.lines_of(table(spark, awkward())).selectExpr("doc_id as node", "line"))._jdf.queryExecution().toString()
+    plan = line_dedup.band_keys(line_dedup.lines_of(table(spark, awkward())).selectExpr("doc_id as node", "line"), ["node"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
