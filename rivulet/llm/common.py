@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rivulet-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
