@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_position, clamp, if_else, lookup
+from ..functions.columns import by_position, clamp, if_else, level, lookup
 from .sequence import densify
 from .tables import dominant
 
 BLEEDING = ("none", "spotting", "light", "medium", "heavy")
 MUCUS = ("none", "creamy", "fertile", "very_fertile", "sticky")
-#: Reported kind of fluid -> level of the observation.
-MUCUS_OF_TYPE = {
-    "none": "none", "undefined": None, "creamy, little": "creamy", "creamy, medium": "creamy", "creamy, lots": "creamy",
-    "sticky, little": "sticky", "sticky, medium": "sticky", "sticky, lots": "sticky",
-    "eggwhite, little": "fertile", "eggwhite, medium": "very_fertile", "eggwhite, lots": "very_fertile",
-    "watery, little": "fertile", "watery, medium": "very_fertile", "watery, lots": "very_fertile",
-}
-AMOUNTS, FLUIDS = ("little", "medium", "lots"), ("creamy", "sticky", "eggwhite", "watery")
+# --- fixed values: kinds of fluid with their scores and levels, amounts, and codes of sex --------------
+FLUID_KINDS = [
+    ("none", 0, "none"),
+    ("sticky_little", 0, "sticky"),
+    ("sticky_medium", 0, "sticky"),
+    ("sticky_lots", 0, "sticky"),
+    ("creamy_little", 0.1, "creamy"),
+    ("creamy_medium", 0.2, "creamy"),
+    ("creamy_lots", 0.3, "fertile"),
+    ("eggwhite_little", 0.5, "fertile"),
+    ("eggwhite_medium", 0.9, "very_fertile"),
+    ("eggwhite_lots", 1, "very_fertile"),
+    ("watery_little", 0.5, "very_fertile"),
+    ("watery_medium", 0.9, "very_fertile"),
+    ("watery_lots", 1, "very_fertile"),
+]
+AMOUNTS = ("little", "medium", "lots")
+FLUIDS = ("creamy", "sticky", "eggwhite", "watery")  # of several on one day, the last counts
 SEX = (None, "protected", "unprotected", "withdrawal", "insemination")
+SEX_SHORT = (None, "prot", "unprot", "WD", "insem")
+# --- end of the fixed values ---------------------------------------------------------------------------
+MUCUS_OF_KIND = {name: category for name, _, category in FLUID_KINDS}
 TEMP_LIMIT = 1.5
 
 
@@ -32,15 +45,16 @@ def format_days(days: DataFrame, user: str = "user_id", date: str = "date") -> D
     def test(x: str) -> Column:
         return if_else(F.col(x) == 2, F.lit(-1), F.col(x))
 
-    spot = F.coalesce(F.col("spotting"), F.lit(False)) & (F.col("menstruation") == 0)
+    spot = F.col("spotting") & (F.col("menstruation") == 0)
     kind = F.when(F.coalesce(F.col("no_fluid"), F.lit(False)), F.lit("none"))
     for fluid in FLUIDS:
         code = F.col(f"fluid_{fluid}")
-        kind = F.when(code > 0, F.concat_ws(", ", F.lit(fluid), by_position(code, AMOUNTS))).otherwise(kind)
+        kind = F.when(code > 0, F.concat_ws("_", F.lit(fluid), by_position(code, AMOUNTS))).otherwise(kind)
     out = days.withColumns({"LH": test("opk"), "preg_test": test("preg_test")})
-    out = out.withColumn("bleeding", F.col("menstruation") + F.when(spot, 0.5).otherwise(0.0)).withColumn("mucus_type", kind)
-    out = out.withColumn("mucus_category", F.split("mucus_type", ", ")[0]).withColumn("mucus_amount", F.coalesce(F.array_position(F.array(*map(F.lit, AMOUNTS)), F.get(F.split("mucus_type", ", "), F.lit(1))), F.lit(0)).cast("int"))
-    out = out.withColumn("sex_short", by_position("sex", SEX, first=0))
+    out = out.withColumn("bleeding", F.col("menstruation") + if_else(spot, F.lit(0.5), F.lit(0.0))).withColumn("mucus_type", kind)
+    out = out.withColumn("mucus_category", F.split_part("mucus_type", F.lit("_"), F.lit(1)))
+    out = out.withColumn("mucus_amount", level(F.split_part("mucus_type", F.lit("_"), F.lit(-1)), ("none", *AMOUNTS)).cast("int") - 1)
+    out = out.withColumns({"sex": by_position("sex", SEX, first=0), "sex_short": by_position("sex", SEX_SHORT, first=0)})
     return out.withColumn("rel_date", F.datediff(date, F.min(date).over(Window.partitionBy(user))) + 1)
 
 
@@ -69,7 +83,7 @@ def prepare_obs(days: DataFrame, user: str = "user_id", t: str = "rel_date", lim
     out = present.join(odd, "seq_id", "left").withColumn("__kept", kept)
     middle = F.percentile("__kept", 0.5).over(Window.partitionBy("seq_id"))
     out = out.withColumn("temp", clamp(F.col("__kept") - middle, -limit, limit))
-    found = {"bleeding": bleeding_label(score), "mucus": lookup("mucus_type", MUCUS_OF_TYPE), "LH": test_label(F.col("LH")), "preg": test_label(F.col("preg_test"))}
+    found = {"bleeding": bleeding_label(score), "mucus": lookup("mucus_type", MUCUS_OF_KIND), "LH": test_label(F.col("LH")), "preg": test_label(F.col("preg_test"))}
     if missing_level:
         found = {k: F.coalesce(v, F.lit("none" if k == "bleeding" else "missing")) for k, v in found.items()}
     return out.select("seq_id", "t", *[v.alias(k) for k, v in found.items()], "temp").select("seq_id", "t", "bleeding", "mucus", "temp", "LH", "preg")

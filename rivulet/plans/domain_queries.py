@@ -96,7 +96,7 @@ def raw_days(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("bleeding_total")
     score = F.when(b >= 100, 3.0).when(b >= 80, 2.0).when(b >= 40, 1.0).when(b >= 20, 0.5).when(b.isNotNull(), 0.0)
     sign = lambda x: F.when(F.col(x) == "pos", 1).when(F.col(x) == "neg", -1)
-    kind = F.when(F.col("mucus") == "creamy", "creamy, medium").when(F.col("mucus") == "sticky", "sticky, little").when(F.col("mucus") == "fertile", "watery, little").when(F.col("mucus") == "very_fertile", "eggwhite, lots").when(F.col("mucus") == "none", "none")
+    kind = F.when(F.col("mucus") == "creamy", "creamy_medium").when(F.col("mucus") == "sticky", "sticky_little").when(F.col("mucus") == "fertile", "eggwhite_little").when(F.col("mucus") == "very_fertile", "eggwhite_lots").when(F.col("mucus") == "none", "none")
     return observed(spark, sf).filter("n_events is not null").select(
         F.col("seq_id").alias("user_id"), F.col("t").alias("rel_date"), score.alias("bleeding"), F.col("day1").alias("first_day"), kind.alias("mucus_type"), F.col("temp").alias("temperature"),
         (F.col("n_events") > 6).alias("questionable_temp"), sign("LH").alias("LH"), sign("preg").alias("preg_test"),

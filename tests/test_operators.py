@@ -88,8 +88,8 @@ def days_table(spark):
 def test_format_and_prepare(spark):
     got = observe.format_days(days_table(spark))
     assert rows(got.select("rel_date", "bleeding", "mucus_type", "mucus_category", "mucus_amount", "LH", "preg_test", "sex_short"), "rel_date") == [
-        (1, 2.0, "watery, medium", "watery", 2, 1, -1, None), (2, 0.5, "none", "none", 0, -1, None, "unprotected"), (3, None, None, None, 0, None, None, None),
-        (6, None, "eggwhite, lots", "eggwhite", 3, None, 1, None), (7, 3.0, None, None, 0, None, None, None),
+        (1, 2.0, "watery_medium", "watery", 2, 1, -1, None), (2, 0.5, "none", "none", 0, -1, None, "unprot"), (3, None, None, None, None, None, None, None),
+        (6, None, "eggwhite_lots", "eggwhite", 3, None, 1, None), (7, 3.0, None, None, None, None, None, None),
     ]
     obs = observe.prepare_obs(got)
     assert rows(obs, "t") == [
