@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -149,3 +150,9 @@ def specify(names, init, transition, sojourn, emission, p=None, q=None, sojourn_
     p = np.zeros(J) if p is None else np.asarray(p, float)
     q = {k: np.asarray((q or {}).get(k, np.zeros(J)), float) for k in checked}
     return Model(list(names), init, step / step.sum(axis=1, keepdims=True), d / d.sum(axis=0), checked, p, q, list(sojourn_type or ["nonparametric"] * J))
+
+
+@lru_cache(8)
+def stored(text: str) -> Model:
+    """The model of this JSON, read once by each process."""
+    return Model.from_json(text)

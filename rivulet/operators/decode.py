@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from ..hsmm.fit import fit
 from ..hsmm.infer import anchored, decode, forward_backward, posteriors, viterbi
-from ..hsmm.model import Model
+from ..hsmm.model import Model, stored
 
 CHANNELS = ["bleeding", "mucus", "temp", "LH", "preg"]
 SURE = 0.75
@@ -215,7 +215,7 @@ def decode_panel(panel: DataFrame, model: Model, bleeding: Model, key: str = "se
     a, b = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.sparkSession.sparkContext.broadcast(bleeding.to_json())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = decode_user(pdf, Model.from_json(a.value), Model.from_json(b.value), **how)
+        got = decode_user(pdf, stored(a.value), stored(b.value), **how)
         got.insert(0, "seq_id", pdf[key].iloc[0])
         return got[["seq_id", "t", "state", "prob", "stretch_number", "tracking_behavior"]]
 
@@ -229,7 +229,7 @@ def posterior_panel(panel: DataFrame, model: Model, key: str = "seq_id") -> Data
     kind = panel.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = posteriors(Model.from_json(text.value), pdf.sort_values("t").drop_duplicates("t"))
+        got = posteriors(stored(text.value), pdf.sort_values("t").drop_duplicates("t"))
         got.insert(0, "seq_id", pdf[key].iloc[0])
         return got
 
@@ -243,7 +243,7 @@ def fit_panel(panel: DataFrame, model: Model, key: str = "seq_id", **how) -> Dat
     kind = panel.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit(Model.from_json(text.value), pdf.rename(columns={key: "seq_id"}), **how)
+        got = fit(stored(text.value), pdf.rename(columns={key: "seq_id"}), **how)
         return pd.DataFrame({"seq_id": [pdf[key].iloc[0]], "model": [got.model.to_json()], "loglik": [got.loglik], "message": [got.message]})
 
     return panel.select(key, "t", *channels).groupBy(key).applyInPandas(one, f"seq_id {kind}, model string, loglik array<double>, message string")
@@ -257,7 +257,7 @@ def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: in
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["id"].iloc[0])
-        return simulate(Model.from_json(text.value), f"S{k}", seed * 1_000_003 + k, transitions)
+        return simulate(stored(text.value), f"S{k}", seed * 1_000_003 + k, transitions)
 
     channels = ", ".join(f"{k} {'string' if hasattr(f, 'values') else 'double'}" for k, f in model.emission.items())
     return spark.range(n).groupBy("id").applyInPandas(one, f"seq_id string, t int, {channels}, state int")
@@ -273,7 +273,7 @@ def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly:
     names = ["viterbi_specified", "smoothed_specified", "viterbi_fitted", "smoothed_fitted"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        given, pdf = Model.from_json(text.value), pdf.sort_values([key, "t"]).drop_duplicates([key, "t"])
+        given, pdf = stored(text.value), pdf.sort_values([key, "t"]).drop_duplicates([key, "t"])
         models, out = (given, fit(given, pdf.rename(columns={key: "seq_id"}), **how).model), []
         for _, days in pdf.groupby(key, sort=True):
             states = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..hsmm.infer import decode, viterbi
-from ..hsmm.model import Model
+from ..hsmm.model import Model, stored
 from .cycles import LUTEAL, MENSES, OVULATION
 from .sequence import ordered, places, run_id, rising
 
@@ -88,18 +88,21 @@ def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = 100, seed: i
     begin = len(path) - 1
     while begin and path[begin - 1] == path[-1]:
         begin -= 1
-    support, out = np.arange(1, len(model.sojourn) + 1), np.empty(n)
-    for k in range(n):
-        state, day, lasted = int(path[-1]), begin, len(path) - begin
-        d = np.where(support >= lasted, model.sojourn[:, state - 1], 0)
-        while True:
-            day += int(rng.choice(support, p=d / d.sum())) if d.sum() else lasted
-            state = int(rng.choice(model.J, p=model.transition[state - 1])) + 1
-            if state == MENSES or day > 1000:
-                break
-            d, lasted = model.sojourn[:, state - 1], 1
-        out[k] = day
-    return out
+    # all samples at once: draws by inversion, of those that have not yet come to menses
+    lasted = len(path) - begin
+    ends, steps = np.cumsum(model.sojourn, axis=0), np.cumsum(model.transition, axis=1)
+    state, day = np.full(n, int(path[-1]) - 1), np.full(n, begin)
+    gone = ends[lasted - 2, state[0]] if 2 <= lasted <= len(ends) else float(lasted > len(ends))
+    low = np.full(n, gone)
+    live, first = np.arange(n), True
+    while len(live):
+        u = low[live] + rng.random(len(live)) * (1 - low[live])
+        more = (u[:, None] > ends[:, state[live]].T).sum(axis=1) + 1
+        day[live] += np.maximum(more, lasted if first else 1)
+        first, low[live] = False, 0.0
+        state[live] = np.minimum((rng.random(len(live))[:, None] > steps[state[live]]).sum(axis=1), model.J - 1)
+        live = live[(state[live] != MENSES - 1) & (day[live] <= 1000)]
+    return day.astype(float)
 
 
 def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int], key: str = "seq_id", n: int = 100) -> DataFrame:
@@ -108,7 +111,7 @@ def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int], key: st
     text, kind = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, pdf, rows = Model.from_json(text.value), pdf.sort_values("t"), []
+        m, pdf, rows = stored(text.value), pdf.sort_values("t"), []
         for p in prefixes:
             if p <= len(pdf):
                 x = cycle_length_samples(m, pdf.iloc[:p], n, p)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..hsmm.cycle_model import cycle_model, dedicated, with_effort
 from ..hsmm.dist import gamma, normalised
-from ..hsmm.model import Model, Normal
+from ..hsmm.model import Model, Normal, stored
 from ..hsmm.simulate import simulate
 
 LEVELS = {"rare": 0.2, "occasional": 0.4, "expected": 0.6, "diligent": 0.8, "persistent": 1.0}
@@ -65,7 +65,7 @@ def simulate_users(spark: SparkSession, n: int = 50, transitions: int = 100, see
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         user = pdf.iloc[0]
         key = seed * 1_000_003 + int(user.number)
-        days = simulate(model_of(user, Model.from_json(base.value)), user.seq_id, key, transitions)
+        days = simulate(model_of(user, stored(base.value)), user.seq_id, key, transitions)
         days["bleeding"] = days["bleeding"].where(days["bleeding"].notna(), "none")
         days = masked(days, user.tracking_category, np.random.default_rng(key + 1))
         for c in ("tracking_category", "alpha", "alpha_level", "temp_sd", "mean_lE_sojourn", "sd_lE_sojourn", "mean_Lut_sojourn", "sd_Lut_sojourn"):
