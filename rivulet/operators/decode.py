@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from ..hsmm.fit import fit
 from ..hsmm.infer import anchored, decode, forward_backward, posteriors, viterbi
 from ..hsmm.model import Model, stored
+from .sequence import dealt
 
 CHANNELS = ["bleeding", "mucus", "temp", "LH", "preg"]
 SURE = 0.75
@@ -219,7 +220,7 @@ def decode_panel(panel: DataFrame, model: Model, bleeding: Model, key: str = "se
         got.insert(0, "seq_id", pdf[key].iloc[0])
         return got[["seq_id", "t", "state", "prob", "stretch_number", "tracking_behavior"]]
 
-    return panel.select(key, "t", *channels).groupBy(key).applyInPandas(one, DECODED.format(key=kind))
+    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, DECODED.format(key=kind))
 
 
 def posterior_panel(panel: DataFrame, model: Model, key: str = "seq_id") -> DataFrame:
@@ -233,7 +234,7 @@ def posterior_panel(panel: DataFrame, model: Model, key: str = "seq_id") -> Data
         got.insert(0, "seq_id", pdf[key].iloc[0])
         return got
 
-    return panel.select(key, "t", *channels).groupBy(key).applyInPandas(one, f"seq_id {kind}, t int, state int, prob double")
+    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"seq_id {kind}, t int, state int, prob double")
 
 
 def fit_panel(panel: DataFrame, model: Model, key: str = "seq_id", **how) -> DataFrame:
@@ -246,7 +247,7 @@ def fit_panel(panel: DataFrame, model: Model, key: str = "seq_id", **how) -> Dat
         got = fit(stored(text.value), pdf.rename(columns={key: "seq_id"}), **how)
         return pd.DataFrame({"seq_id": [pdf[key].iloc[0]], "model": [got.model.to_json()], "loglik": [got.loglik], "message": [got.message]})
 
-    return panel.select(key, "t", *channels).groupBy(key).applyInPandas(one, f"seq_id {kind}, model string, loglik array<double>, message string")
+    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"seq_id {kind}, model string, loglik array<double>, message string")
 
 
 def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: int = 0) -> DataFrame:
@@ -260,7 +261,7 @@ def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: in
         return simulate(stored(text.value), f"S{k}", seed * 1_000_003 + k, transitions)
 
     channels = ", ".join(f"{k} {'string' if hasattr(f, 'values') else 'double'}" for k, f in model.emission.items())
-    return spark.range(n).groupBy("id").applyInPandas(one, f"seq_id string, t int, {channels}, state int")
+    return dealt(spark.range(n).toDF("id"), "id").groupBy("id").applyInPandas(one, f"seq_id string, t int, {channels}, state int")
 
 
 def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly: bool = False, **how) -> DataFrame:
@@ -283,6 +284,6 @@ def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly:
             out.append(pd.DataFrame({"seq_id": days[key].to_numpy(), "t": days["t"].to_numpy(), **dict(zip(names, states))}))
         return pd.concat(out)
 
-    dealt = panel.select(key, "t", *channels)
-    groups = dealt.groupBy() if jointly else dealt.groupBy(key)
+    days = panel.select(key, "t", *channels)
+    groups = days.groupBy() if jointly else dealt(days, key).groupBy(key)
     return groups.applyInPandas(one, f"seq_id {kind}, t int, " + ", ".join(f"{n} int" for n in names))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..hsmm.infer import decode, viterbi
 from ..hsmm.model import Model, stored
 from .cycles import LUTEAL, MENSES, OVULATION
-from .sequence import ordered, places, run_id, rising
+from .sequence import dealt, ordered, places, run_id, rising
 
 
 def baseline_length(cycles: DataFrame, seq: str = "seq_id") -> DataFrame:
@@ -118,7 +118,7 @@ def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int], key: st
                 rows.append((pdf[key].iloc[0], p, float(x.mean()), float(x.std(ddof=1))))
         return pd.DataFrame(rows, columns=[key, "prefix", "predicted", "predicted_sd"])
 
-    return panel.select(key, "t", *channels).groupBy(key).applyInPandas(one, f"{key} {kind}, prefix int, predicted double, predicted_sd double")
+    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"{key} {kind}, prefix int, predicted double, predicted_sd double")
 
 
 def predict_next_day(model: Model, days: pd.DataFrame, lengths: dict[str, int]) -> pd.DataFrame:

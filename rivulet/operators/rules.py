@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .sequence import dealt
+
 DAYS = ("menstruation", "first_day", "preg_test")
 LUTEAL, OVULATION_WINDOW = 12, 5
 
@@ -171,4 +173,4 @@ def rule_based_labels(days: DataFrame, key: str = "seq_id") -> DataFrame:
         got.insert(0, key, pdf[key].iloc[0])
         return got
 
-    return days.select(key, "t", *DAYS).groupBy(key).applyInPandas(one, f"{key} {kind}, t int, label string")
+    return dealt(days.select(key, "t", *DAYS), key).groupBy(key).applyInPandas(one, f"{key} {kind}, t int, label string")

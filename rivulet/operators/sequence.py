@@ -136,3 +136,12 @@ def neighbours(df: DataFrame, marks: DataFrame, seq: str = "seq_id", t: str = "t
     both = both.withColumn("previous_mark", F.last("__mark", True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("next_mark", F.first("__mark", True).over(by.rowsBetween(1, Window.unboundedFollowing)))
     return both.filter("__row = 1").select(seq, t, *[F.col("__kept")[c].alias(c) for c in kept], "previous_mark", "next_mark")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by sequence for work that is heavy for its bytes: Spark would merge such small partitions to one task.
+
+    A number of partitions other than the usual one keeps Spark from taking an earlier exchange instead.
+    """
+    spark = df.sparkSession
+    return df.repartition(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1, key)

@@ -13,6 +13,7 @@ from ..hsmm.cycle_model import cycle_model, dedicated, with_effort
 from ..hsmm.dist import gamma, normalised
 from ..hsmm.model import Model, Normal, stored
 from ..hsmm.simulate import simulate
+from .sequence import dealt
 
 LEVELS = {"rare": 0.2, "occasional": 0.4, "expected": 0.6, "diligent": 0.8, "persistent": 1.0}
 HABITS = {"b": ["bleeding"], "bp": ["bleeding", "preg"], "btm": ["bleeding", "temp", "mucus"], "full": ["bleeding", "mucus", "temp", "LH", "preg"]}
@@ -72,7 +73,7 @@ def simulate_users(spark: SparkSession, n: int = 50, transitions: int = 100, see
             days[c] = user[c]
         return days[[x.split()[0] for x in kinds.split(", ")]]
 
-    return spark.createDataFrame(users).groupBy("seq_id").applyInPandas(one, kinds)
+    return dealt(spark.createDataFrame(users), "seq_id").groupBy("seq_id").applyInPandas(one, kinds)
 
 
 def add_missing(df: DataFrame, channels: list[str], share: float, seed: int = 0, seq: str = "seq_id") -> DataFrame:
