@@ -46,18 +46,47 @@ def buckets(dealt: DataFrame) -> DataFrame:
     return dealt.join(sizes.filter("first < last").select("key", "size"), "key")
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], whole: int = 32, more: int = 4) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
+
+    ``sets`` is (node, value), an array of distinct elements. Elements are put in one order, rare ones first. If x and y
+    have at least the similarity s, let i and j be the places (from 0) of their first common element. What stands before
+    is not common, so the overlap, which is at least s / (1 + s) * (nx + ny), is at most nx - i and at most ny - j.
+    Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the first (1 - s) / (1 + s) of one of the two sets,
+    and before n - ceil(s n) + 1 in both. Joining on those places leaves out what has only a common passage.
+    """
+    each = materialize(sets.select("node", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node"), "apart-sets")
+    elements = each.select("node", F.explode("elements").alias("element"))
+    shared = elements.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
+    ordered = F.sort_array(F.collect_list(F.struct("times", "element"))).alias("shared")  # no more than the set itself
+    placed = elements.join(shared, "element").groupBy("node").agg(ordered).join(each.drop("elements"), "node")
+    # elements that occur once stand first; they match nothing
+    places = placed.select("node", "component", "rest", "n", (F.col("n") - F.size("shared")).alias("single"), F.posexplode("shared").alias("k", "x"))
+    places = places.withColumn("place", F.col("single") + F.col("k")).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
+    places = materialize(places.select("node", "component", "rest", "n", "place", F.col("x.element").alias("element")), "prefixes")
+    early = places.filter(F.col("place") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9)
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        near = F.expr("x.element = y.element and x.component <> y.component") & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+        room = F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= similarity / (1 + similarity) * F.expr("x.n + y.n") - 1e-9
+        return x.join(y, near & room).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    return joined(early.filter("rest"), places).unionByName(joined(early, places.filter("rest"))).distinct()
+
+
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, similarity: float, whole: int = 32) -> DataFrame:
     """``members`` (node, key, size) -> (id, component), over links between nodes that share a key.
 
     ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
     node leads it (the one whose buckets are largest in sum, which in a group of variants is the one nearest to all),
     and each node is verified with the best of its leaders, then with its leaders in groups that are still others.
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
-    with all others of the bucket if it has at most ``whole`` nodes, else with about ``more`` of them.
+    with all others of the bucket if it has at most ``whole`` nodes. In larger ones, where all pairs would grow with the
+    square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
+    out only pairs that are no links. ``sets`` is (node, value) and ``similarity`` the Jaccard similarity of a link.
 
-    So in a bucket of up to ``whole`` nodes any two end up in one group or have been verified. In a larger one a link is
-    lost only if its ends differ from the bucket's leader and its sample in every bucket that they share, and are
-    joined by no other way. (All pairs of large buckets would grow with the square of what has one passage in common.)
+    So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
     scores = members.groupBy("node").agg(F.sum("size").alias("score"))
     scored = materialize(members.join(scores, "node"), "scored")
@@ -98,16 +127,19 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     leads = now.filter("node = leader").select("key", F.col("component").alias("lead"))
     if spend(now.join(leads, "key").filter("component <> lead").select(*pair("leader", "node")).distinct()):
         now = grouped()
-    chance = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) + 1) / float(1 << 30)
     shares = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     apart = shares.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
     split, found = measured(now.join(apart, "key").select("key", "size", "node", "component", "largest"), "apart", size=F.max("size"))
     if found["size"] is None:
         return groups
-    lead = F.when(F.col("size") <= whole, True).otherwise(chance * F.col("size") <= more)
-    others = split.filter(lead).select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
-    rest = split.filter("component <> largest").select("key", "node", "component")
-    spend(rest.join(others, "key").filter("component <> lead").select(*pair("node", "other")).distinct())
+    small, large = split.filter(F.col("size") <= whole), split.filter(F.col("size") > whole)
+    others = small.select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
+    rest = small.filter("component <> largest").select("key", "node", "component")
+    pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other"))
+    if found["size"] > whole:
+        nodes = large.groupBy("node", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("rest"))
+        pairs = pairs.unionByName(prefix_pairs(nodes, sets, similarity))
+    spend(pairs.distinct())
     return groups
 
 

@@ -87,7 +87,8 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, shingle: int = SHINGL
     placed = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line")
     chosen = placed.join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("node", F.encode("line", "UTF-16BE").alias("units"))
     chosen = materialize(chosen.withColumn("n", F.size(distinct_runs("units", shingle))).dropDuplicates(["node"]), "chosen-lines")
-    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, shingle, similarity)).withColumnRenamed("id", "node")
+    sets = chosen.select("node", distinct_runs("units", shingle).alias("value"))
+    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, shingle, similarity), sets, similarity).withColumnRenamed("id", "node")
     placed = lines.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n").join(groups, "node", "left")
     kept = placed.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     joined = placed.filter("component is not null or n > 1").join(kept, "component", "left").withColumn("keep", F.coalesce("keep", "first"))

@@ -95,6 +95,18 @@ def test_near_hot_group(spark):
     assert got == near_truth(rows)
 
 
+def test_near_small_groups_in_large_buckets(spark):
+    rng, passage = random.Random(11), prose(310, 100)
+    rows = []
+    for g in range(60):  # nearly all share one passage, which is not enough for a link; each group has an own part
+        own = prose(2000 + g, 30)
+        rows += [(10 * g + k, f"{passage} {own if not k else edited(rng, own, 1)}") for k in range(3)]
+    want = near_truth(rows)
+    assert len(set(want.values())) == 60
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, rows, 4), bands=8, rows=1).collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)] + [(500, 500), (None, 3), (5, None)]
