@@ -105,14 +105,14 @@ def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = 100, seed: i
     return day.astype(float)
 
 
-def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int], key: str = "seq_id", n: int = 100) -> DataFrame:
-    """For a panel of single cycles (key, t from 1, channels): predicted length after each prefix, mean and deviation."""
+def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int] | None = None, key: str = "seq_id", n: int = 100) -> DataFrame:
+    """For a panel of single cycles (key, t from 1, channels): predicted length after each prefix (else after every day), mean and deviation."""
     channels = [c for c in model.emission if c in panel.columns]
     text, kind = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         m, pdf, rows = stored(text.value), pdf.sort_values("t"), []
-        for p in prefixes:
+        for p in range(1, len(pdf) + 1) if prefixes is None else prefixes:
             if p <= len(pdf):
                 x = cycle_length_samples(m, pdf.iloc[:p], n, p)
                 rows.append((pdf[key].iloc[0], p, float(x.mean()), float(x.std(ddof=1))))

@@ -73,7 +73,7 @@ def hsmm_simulate(spark: SparkSession, sf: str) -> DataFrame:
 @add()
 def hsmm_fit_loglik(spark: SparkSession, sf: str) -> DataFrame:
     part = model().subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
-    return decode.fit_panel(prepare_obs(spark, sf), part, lock_transition=True, weight_emission=100, most=4).select("seq_id", "loglik", "message")
+    return decode.fit_panel(prepare_obs(spark, sf), part, lock_transition=True, weight_emission=100).select("seq_id", "loglik", "message")
 
 
 @add()
@@ -85,7 +85,7 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
 @add()
 def predict_cycle_length(spark: SparkSession, sf: str) -> DataFrame:
     part = model().subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
-    return predict.predict_lengths(prepare_obs(spark, sf), part, [5, 10, 15, 20], n=50)
+    return predict.predict_lengths(prepare_obs(spark, sf), part)
 
 
 @add()

@@ -233,3 +233,16 @@ def test_only_a_fit_finds_dependence_within_states():
     fitted = fit(start, days, truth, trust=0.9, lock_transition=True, lock_sojourn=True, weight_emission=10, most=30)
     path, _ = viterbi(fitted.model, fitted.model.emissions(days))
     assert (path[40:] == state[40:]).mean() > 0.9 > (plain[40:] == state[40:]).mean()
+
+
+def test_registered_queries_do_the_whole_job(spark, sf):
+    from pyspark.sql import functions as F
+
+    from rivulet.plans import model_queries
+    from rivulet.plans.domain_queries import prepare_obs
+
+    days = {r.seq_id: r["n"] for r in prepare_obs(spark, sf).groupBy("seq_id").agg(F.count("*").alias("n")).collect()}
+    got = model_queries.predict_cycle_length(spark, sf).select("seq_id", "prefix").collect()
+    assert sorted((r.seq_id, r.prefix) for r in got) == sorted((s, p) for s, n in days.items() for p in range(1, n + 1))
+    fits = model_queries.hsmm_fit_loglik(spark, sf).collect()
+    assert all(r.message.startswith("Converged") or len(r.loglik) == 100 for r in fits)
