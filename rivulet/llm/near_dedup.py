@@ -1,4 +1,4 @@
-"""Near duplicates by ProbMinHash on weighted word shingles.
+"""Near duplicates by ProbMinHash on word shingles, weighted and plain.
 
 A text is the set of its runs of ``WORDS`` words, each with the weight
 1 + ln(times it occurs). After Ertl, "ProbMinHash" (2020): an element of
@@ -10,7 +10,10 @@ so most elements send one arrival. Two texts agree in a register with the
 probability of their probability Jaccard similarity.
 
 Registers are cut to ``BANDS`` bands of ``ROWS``. At a similarity of 0.8 some
-band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.9999. Copies
+band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.9999. Links are
+defined by the plain sets, and repeated shingles can make the probability
+Jaccard similarity much less than theirs; so there are as many bands again of
+registers with all weights 1, for which the two are the same. Copies
 (texts with the same shingles) are one node. A bucket of a band is never
 expanded to its pairs: its members are compared with leaders, and only what is
 then apart is compared further (see ``components``). A pair is a link if the exact Jaccard similarity
@@ -91,8 +94,10 @@ def signatures(docs: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int
                 total = np.concatenate((np.zeros(1, U), np.cumsum(mix(value ^ U(salt)), dtype=U)))
                 ends = np.cumsum(many)
                 digest.append(pa.array((total[ends] - total[ends - many]).view(np.int64)))
-            keys = band_keys(prob_min_hash(doc, value, 1 + np.log(count), n, bands * rows), bands, rows).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()), mask=pa.array(many == 0))
+            weights = 1 + np.log(count), np.ones(len(value))
+            both = np.hstack([prob_min_hash(doc, value, w, n, bands * rows) for w in weights])
+            keys = band_keys(both, 2 * bands, rows).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 2 * bands), pa.array(keys.ravel()), mask=pa.array(many == 0))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *digest, pa.array(many.astype(np.int64)), lists], ["doc_id", "d1", "d2", "n", "keys"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, keys array<long>")

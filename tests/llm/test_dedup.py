@@ -107,6 +107,16 @@ def test_near_small_groups_in_large_buckets(spark):
     assert got == want
 
 
+def test_near_with_repeated_lines(spark):
+    rows = []
+    for g in range(60):  # the second has a menu of 24 shingles that occurs ten times
+        base, menu = prose(5000 + g, 112), prose(6000 + g, 21)
+        rows += [(2 * g, base), (2 * g + 1, " ".join([base, *[menu] * 10]))]
+    want = near_truth(rows)
+    assert len(set(want.values())) < 120
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, rows)).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)] + [(500, 500), (None, 3), (5, None)]
