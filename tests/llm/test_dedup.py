@@ -162,6 +162,18 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.line_dedup(table(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_small_groups_in_large_buckets(spark):
+    rng, passage = random.Random(12), prose(320, 60)
+    rows = []
+    for g in range(60):
+        own = prose(7000 + g, 18)
+        rows += [(10 * g + k, f"{passage} {own if not k else edited(rng, own, 1)}") for k in range(3)]
+    want = line_truth(rows)
+    assert len(want) == 120
+    got = line_dedup.line_dedup(table(spark, rows, 4), bands=8, rows=1).collect()
+    assert {(r.doc_id, k): d for r in got for k, d in zip(r.removed_lines, r.keep_doc_ids, strict=True)} == {at: kept[0] for at, kept in want.items()}
+
+
 def test_without_lines(spark):
     rows = [(1, "a shared line that is long enough\nown"), (2, "x\na shared line that is long enough\ny"), (3, None), (None, "a shared line that is long enough")]
     docs = table(spark, rows)
