@@ -1,10 +1,12 @@
 """Fuzzy duplicate lines across documents, in DataFrame operations alone.
 
-Every line of at least ``LEAST_CHARS`` characters (without spaces at its ends)
-is judged; shorter ones say too little and stay. Equal lines are folded first.
-A distinct line is the set of its runs of ``SHINGLE`` characters (UTF-16
-units). Each run is hashed once; register i keeps the least of the hashes
-xor-ed with a constant of its own, which for a good hash is a min-hash. The
+Every line of at least ``least`` characters (without spaces at its ends) is
+judged. Equal lines are folded first. A distinct line is the set of
+its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
+line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
+if no run occurs twice. The ranges overlap, so that lines of a similarity of
+0.8 have a range in common. Each run is hashed once; a register keeps the
+least of the hashes xor-ed with a constant of its own. The
 registers are cut to ``BANDS`` bands of ``ROWS``: at a similarity of 0.8 some
 band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99. Lines that
 share a band are compared by the exact Jaccard similarity of their sets (see
@@ -26,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only
-from .components import buckets, dealt_pairs, group_buckets, like_sized
+from .components import buckets, components, dealt_pairs, group_buckets, like_sized
 
 LEAST_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 10, 8, 3, 0.8
+#: Characters in a run, and the UTF-16 units of the shortest and the longest line (none: any) that has such runs.
+LENGTHS = ((2, 0, 40), (3, 29, 127), (10, 99, None))
 
 
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -42,57 +46,69 @@ def _same() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def runs(units: Column | str, shingle: int = SHINGLE) -> Column:
+def runs(units: Column | str, shingle: int | Column = SHINGLE) -> Column:
     """Begin of each run of characters in ``units`` (UTF-16, big-endian): 0-based."""
     return F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - shingle)
 
 
-def _run_hash(units: str, at: Column, shingle: int) -> Column:
-    return F.xxhash64(F.substring(F.col(units), 2 * at + 1, F.lit(2 * shingle)))
+def _run_hash(units: Column, at: Column, shingle: int | Column) -> Column:
+    return F.xxhash64(F.substring(units, 2 * at + 1, F.lit(2) * shingle))
 
 
-def band_keys(lines: DataFrame, ids: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def band_keys(lines: DataFrame, ids: list[str], shingle: int | Column = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``lines`` (ids, line) -> (ids, keys): one hash for each band. Lines that are already dealt by ids stay where they are."""
     random_bits = random.Random(20)
     masks = [random_bits.getrandbits(63) - (1 << 62) for _ in range(bands * rows)]
     units = lines.select(*ids, F.encode("line", "UTF-16BE").alias("units"))
-    hashed = units.select(*ids, "units", F.explode(runs("units", shingle)).alias("at")).select(*ids, _run_hash("units", F.col("at"), shingle).alias("h"))
+    hashed = units.select(*ids, "units", F.explode(runs("units", shingle)).alias("at")).select(*ids, _run_hash(F.col("units"), F.col("at"), shingle).alias("h"))
     signed = hashed.groupBy(*ids).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
     return signed.select(*ids, F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
-def distinct_runs(units: str, shingle: int = SHINGLE) -> Column:
+def distinct_runs(units: Column | str, shingle: int | Column = SHINGLE) -> Column:
     """The hashes of the distinct runs of characters."""
+    units = F.col(units) if isinstance(units, str) else units
     return F.array_distinct(F.transform(runs(units, shingle), lambda i: _run_hash(units, i, shingle)))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ``lines`` (node, units, n distinct runs) whose sets of runs have at least this Jaccard similarity."""
-    found = dealt_pairs(like_sized(pairs, lines.select("node", "n"), similarity), lines.select("node", F.col("units").alias("value")))
+def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ``lines`` (node, units, k characters in a run, n distinct runs) whose sets of runs have at least this Jaccard similarity."""
+    found = dealt_pairs(like_sized(pairs, lines.select("node", "n"), similarity), lines.select("node", F.struct("units", "k").alias("value")))
     common = F.size(F.array_intersect("sa", "sb"))
-    sets = found.select("a", "b", distinct_runs("va", shingle).alias("sa"), distinct_runs("vb", shingle).alias("sb"))
+    sets = found.select("a", "b", *[distinct_runs(F.col(f"v{x}.units"), F.col(f"v{x}.k")).alias(f"s{x}") for x in "ab"])
     return sets.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def line_groups(docs: DataFrame, least: int = LEAST_CHARS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENGTHS, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """For each distinct line with another occurrence or a similar line: h1, h2, and keep_doc, keep_line of the one that stays."""
-    if shingle > least:
-        raise ValueError("a judged line has one run of characters at least")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n")).select("h1", "h2", "first.*", "n", "line")
-    lines = band_keys(folded, ["h1", "h2", "doc_id", "line_no", "n"], shingle, bands, rows).withColumn("node", F.monotonically_increasing_id())
-    lines = materialize(lines, "lines")
+    if least < 2:
+        raise ValueError("a judged line has one run of characters at least")
+    units = F.length(F.encode("line", "UTF-16BE")) / 2
+    ranges = [F.when((units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi in lengths]
+    kinds = F.array_compact(F.array(*ranges))
+    sized = folded.withColumn("ranges", F.size(kinds)).withColumn("k", F.explode(kinds))
+    lines = band_keys(sized, ["h1", "h2", "doc_id", "line_no", "n", "ranges", "k"], F.col("k"), bands, rows)
+    keys = F.transform("keys", lambda x: F.xxhash64(x, "k"))
+    lines = materialize(lines.withColumn("keys", keys).withColumn("node", F.monotonically_increasing_id()), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
-    wanted = lines.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2")
+    wanted = lines.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "k")
     placed = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line")
-    chosen = placed.join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("node", F.encode("line", "UTF-16BE").alias("units"))
-    chosen = materialize(chosen.withColumn("n", F.size(distinct_runs("units", shingle))).dropDuplicates(["node"]), "chosen-lines")
-    sets = chosen.select("node", distinct_runs("units", shingle).alias("value"))
-    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, shingle, similarity), sets, similarity).withColumnRenamed("id", "node")
+    chosen = placed.join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("node", F.encode("line", "UTF-16BE").alias("units"), "k")
+    chosen = materialize(chosen.withColumn("n", F.size(distinct_runs("units", F.col("k")))).dropDuplicates(["node"]), "chosen-lines")
+    sets = chosen.select("node", distinct_runs("units", F.col("k")).alias("value"))
+    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity)
+    # the rows of one line in several ranges belong together
+    rows_of = lines.filter("ranges > 1").groupBy("doc_id", "line_no", "h1", "h2").agg(F.min("node").alias("u"), F.array_agg("node").alias("v"))
+    twice = rows_of.select("u", F.explode("v").alias("v"))
+    hit = twice.join(groups.select(F.col("id").alias("v")), "v", "left_semi").select("u").distinct()
+    met = twice.join(hit, "u", "left_semi")
+    groups = components(met.unionByName(groups.select(F.col("id").alias("u"), F.col("component").alias("v")))).withColumnRenamed("id", "node")
     placed = lines.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n").join(groups, "node", "left")
     kept = placed.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     joined = placed.filter("component is not null or n > 1").join(kept, "component", "left").withColumn("keep", F.coalesce("keep", "first"))
-    return joined.select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    return joined.select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).distinct()
 
 
 def removals(docs: DataFrame, **how) -> DataFrame:

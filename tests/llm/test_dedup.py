@@ -174,6 +174,24 @@ def test_lines_small_groups_in_large_buckets(spark):
     assert {(r.doc_id, k): d for r in got for k, d in zip(r.removed_lines, r.keep_doc_ids, strict=True)} == {at: kept[0] for at, kept in want.items()}
 
 
+def test_lines_with_one_changed_character(spark):
+    rng, rows = random.Random(13), []
+    for n in range(20, 101):  # without repeated characters nearby, so that no run occurs twice
+        line = "".join(chr(0x4E00 + 200 * n + k) for k in range(n))
+        at = rng.randrange(n)
+        rows += [(10 * n, line), (10 * n + 1, line[:at] + "#" + line[at + 1 :])]
+    got = {r.doc_id: r.keep_doc_ids for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert {i for i, k in got.items() if k} == {i for i, _ in rows if i % 2}
+    assert all(got[i] == [i - 1] for i in got if i % 2)
+
+
+def test_lines_linked_in_one_of_their_ranges(spark):
+    line = "".join(chr(0x4E00 + k) for k in range(40))  # two changes: 35 of 43 runs of two, 32 of 44 of three
+    rows = [(1, "own line of the first text"), (2, line), (3, line), (4, line[:10] + "#" + line[11:30] + "#" + line[31:]), (5, line)]
+    got = {r.doc_id: (r.removed_lines, r.keep_doc_ids) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: ([0], [2]), 4: ([0], [2]), 5: ([0], [2])}
+
+
 def test_without_lines(spark):
     rows = [(1, "a shared line that is long enough\nown"), (2, "x\na shared line that is long enough\ny"), (3, None), (None, "a shared line that is long enough")]
     docs = table(spark, rows)
