@@ -1,7 +1,8 @@
 """Fuzzy duplicate lines across documents, in DataFrame operations alone.
 
 Every line of at least ``least`` characters (without spaces at its ends) is
-judged. Equal lines are folded first. A distinct line is the set of
+judged, blank ones never. Equal lines are folded first. Lines of under
+``FUZZY_CHARS`` characters go no further. A longer distinct line is the set of
 its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
 line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
 if no run occurs twice. The ranges overlap, so that lines of a similarity of
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, only
 from .components import buckets, components, dealt_pairs, group_buckets, like_sized
 
-LEAST_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 10, 8, 3, 0.8
+LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 8, 3, 0.8
 #: Characters in a run, and the UTF-16 units of the shortest and the longest line (none: any) that has such runs.
 LENGTHS = ((2, 0, 40), (3, 29, 127), (10, 99, None))
 
@@ -38,7 +39,7 @@ LENGTHS = ((2, 0, 40), (3, 29, 127), (10, 99, None))
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The lines that are judged: doc_id, line_no (from 0), line."""
     every = only(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return every.select("doc_id", "line_no", F.trim("raw").alias("line")).filter(F.char_length("line") >= least)
+    return every.select("doc_id", "line_no", F.trim("raw").alias("line")).filter((F.char_length("line") >= least) & ((F.char_length("line") >= FUZZY_CHARS) | F.col("line").rlike(r"\S")))
 
 
 def _same() -> list[Column]:
@@ -83,14 +84,13 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     """For each distinct line with another occurrence or a similar line: h1, h2, and keep_doc, keep_line of the one that stays."""
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n")).select("h1", "h2", "first.*", "n", "line")
-    if least < 2:
-        raise ValueError("a judged line has one run of characters at least")
-    units = F.length(F.encode("line", "UTF-16BE")) / 2
-    ranges = [F.when((units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi in lengths]
-    kinds = F.array_compact(F.array(*ranges))
+    units, fuzzy = F.length(F.encode("line", "UTF-16BE")) / 2, F.char_length("line") >= FUZZY_CHARS
+    ranges = [F.when(fuzzy & (units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi in lengths]
+    # a line that is not compared has one row too, of no runs
+    kinds = F.when(fuzzy, F.array_compact(F.array(*ranges))).otherwise(F.array(F.lit(0)))
     sized = folded.withColumn("ranges", F.size(kinds)).withColumn("k", F.explode(kinds))
     lines = band_keys(sized, ["h1", "h2", "doc_id", "line_no", "n", "ranges", "k"], F.col("k"), bands, rows)
-    keys = F.transform("keys", lambda x: F.xxhash64(x, "k"))
+    keys = F.when(F.col("k") > 0, F.transform("keys", lambda x: F.xxhash64(x, "k"))).otherwise(F.array().cast("array<bigint>"))
     lines = materialize(lines.withColumn("keys", keys).withColumn("node", F.monotonically_increasing_id()), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
     wanted = lines.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "k")

@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

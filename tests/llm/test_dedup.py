@@ -192,6 +192,13 @@ def test_lines_linked_in_one_of_their_ranges(spark):
     assert got == {1: ([], []), 2: ([], []), 3: ([0], [2]), 4: ([0], [2]), 5: ([0], [2])}
 
 
+def test_short_lines_fold_when_equal(spark):
+    rows = [(1, "Read more\n\nown text"), (2, "\n Read more\nread more"), (3, "\t\nRead more"), (4, "\t\nx"), (5, "x")]
+    got = {r.doc_id: (r.removed_lines, r.keep_doc_ids) for r in line_dedup.line_dedup(table(spark, rows), least=1).collect()}
+    assert got == {1: ([], []), 2: ([1], [1]), 3: ([1], [1]), 4: ([], []), 5: ([0], [4])}
+    assert all(not r.removed_lines for r in line_dedup.line_dedup(table(spark, rows)).collect())
+
+
 def test_without_lines(spark):
     rows = [(1, "a shared line that is long enough\nown"), (2, "x\na shared line that is long enough\ny"), (3, None), (None, "a shared line that is long enough")]
     docs = table(spark, rows)
