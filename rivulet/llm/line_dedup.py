@@ -6,10 +6,10 @@ judged, blank ones never. Equal lines are folded first. Lines of under
 its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
 line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
 if no run occurs twice. The ranges overlap, so that lines of a similarity of
-0.8 have a range in common. Each run is hashed once; a register keeps the
-least of the hashes xor-ed with a constant of its own. The
+0.8 have a range in common. Each run is hashed once, and again for each
+register, which keeps the least. The
 registers are cut to ``BANDS`` bands of ``ROWS``: at a similarity of 0.8 some
-band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.99. Lines that
+band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.999. Lines that
 share a band are compared by the exact Jaccard similarity of their sets (see
 ``components``), links of at least ``SIMILARITY`` are joined to components by
 distributed union-find, and each component keeps its first line, by doc_id and
@@ -23,15 +23,13 @@ result. Lines of any length are taken whole. Further columns are ignored.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only
 from .components import buckets, components, dealt_pairs, group_buckets, like_sized
 
-LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 8, 3, 0.8
+LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 10, 3, 0.8
 #: Characters in a run, and the UTF-16 units of the shortest and the longest line (none: any) that has such runs.
 LENGTHS = ((2, 0, 40), (3, 29, 127), (10, 99, None))
 
@@ -58,11 +56,9 @@ def _run_hash(units: Column, at: Column, shingle: int | Column) -> Column:
 
 def band_keys(lines: DataFrame, ids: list[str], shingle: int | Column = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``lines`` (ids, line) -> (ids, keys): one hash for each band. Lines that are already dealt by ids stay where they are."""
-    random_bits = random.Random(20)
-    masks = [random_bits.getrandbits(63) - (1 << 62) for _ in range(bands * rows)]
     units = lines.select(*ids, F.encode("line", "UTF-16BE").alias("units"))
     hashed = units.select(*ids, "units", F.explode(runs("units", shingle)).alias("at")).select(*ids, _run_hash(F.col("units"), F.col("at"), shingle).alias("h"))
-    signed = hashed.groupBy(*ids).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+    signed = hashed.groupBy(*ids).agg(*[F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(bands * rows)])
     return signed.select(*ids, F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
