@@ -46,6 +46,10 @@ def buckets(dealt: DataFrame) -> DataFrame:
     return dealt.join(sizes.filter("first < last").select("key", "size"), "key")
 
 
+#: Elements are counted by so many slots of their hashes, for an order with common ones last; any order is right.
+SLOTS = 1 << 18
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
 
@@ -55,14 +59,14 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the first (1 - s) / (1 + s) of one of the two sets,
     and before n - ceil(s n) + 1 in both. Joining on those places leaves out what has only a common passage.
     """
-    each = materialize(sets.select("node", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node"), "apart-sets")
-    elements = each.select("node", F.explode("elements").alias("element"))
-    shared = elements.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
-    ordered = F.sort_array(F.collect_list(F.struct("times", "element"))).alias("shared")  # no more than the set itself
-    placed = elements.join(shared, "element").groupBy("node").agg(ordered).join(each.drop("elements"), "node")
-    # elements that occur once stand first; they match nothing
-    places = placed.select("node", "component", "rest", "n", (F.col("n") - F.size("shared")).alias("single"), F.posexplode("shared").alias("k", "x"))
-    places = places.withColumn("place", F.col("single") + F.col("k")).filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9))
+    each = sets.select("node", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node")
+    elements = each.select("node", "component", "rest", "n", F.explode("elements").alias("element"))
+    elements = elements.withColumn("slot", F.pmod("element", F.lit(SLOTS)).cast("int"))
+    times = materialize(elements.groupBy("slot").agg(F.count("*").alias("times")), "times")
+    ordered = F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered")  # no more than the set itself
+    ordered = elements.join(F.broadcast(times), "slot").groupBy("node", "component", "rest", "n").agg(ordered)
+    until = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    places = ordered.select("node", "component", "rest", "n", F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
     places = materialize(places.select("node", "component", "rest", "n", "place", F.col("x.element").alias("element")), "prefixes")
     early = places.filter(F.col("place") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9)
 
