@@ -41,38 +41,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(dealt: DataFrame) -> DataFrame:
-    """``dealt`` (node, key) -> node, key, and the ``size`` of the bucket, for keys of several nodes."""
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
-    return dealt.join(sizes.filter("first < last").select("key", "size"), "key")
+    """``dealt`` (node, key), each pair once -> node, key, and the ``size`` of the bucket, for keys of several nodes."""
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"))
+    return dealt.join(sizes.filter("size > 1"), "key")
 
 
-#: Elements are counted by so many slots of their hashes, for an order with common ones last; any order is right.
-SLOTS = 1 << 18
+#: An element of more sets than this counts as common and comes late in the order of ``prefix_pairs``; any order is right.
+COMMON = 16
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
 
-    ``sets`` is (node, value), an array of distinct elements. Elements are put in one order, rare ones first. If x and y
-    have at least the similarity s, let i and j be the places (from 0) of their first common element. What stands before
-    is not common, so the overlap, which is at least s / (1 + s) * (nx + ny), is at most nx - i and at most ny - j.
-    Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the first (1 - s) / (1 + s) of one of the two sets,
-    and before n - ceil(s n) + 1 in both. Joining on those places leaves out what has only a common passage.
+    ``sets`` is (node, kind, value), an array of distinct elements; only sets of one kind are compared. Elements are put
+    in one order, common ones last. If x and y have at least the similarity s, let i and j be the places (from 0) of
+    their first common element. What stands before is not common, so the overlap, which is at least s / (1 + s) *
+    (nx + ny), is at most nx - i and at most ny - j. Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the
+    first (1 - s) / (1 + s) of one of the two sets, and before n - ceil(s n) + 1 in both. Joining on those places leaves
+    out what has only a common passage.
     """
-    each = sets.select("node", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node")
-    elements = each.select("node", "component", "rest", "n", F.explode("elements").alias("element"))
-    elements = elements.withColumn("slot", F.pmod("element", F.lit(SLOTS)).cast("int"))
-    times = materialize(elements.groupBy("slot").agg(F.count("*").alias("times")), "times")
-    ordered = F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered")  # no more than the set itself
-    ordered = elements.join(F.broadcast(times), "slot").groupBy("node", "component", "rest", "n").agg(ordered)
+    own = ["node", "kind", "component", "rest", "n"]
+    each = sets.select("node", "kind", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node")
+    elements = each.select(*own, F.explode("elements").alias("element"))
+    common = materialize(elements.groupBy("element").agg(F.count("*").alias("times")).filter(F.col("times") > COMMON), "common")
+    placed = elements.join(common, "element", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    ordered = placed.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered"))  # no more than the set itself
     until = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    places = ordered.select("node", "component", "rest", "n", F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
-    places = materialize(places.select("node", "component", "rest", "n", "place", F.col("x.element").alias("element")), "prefixes")
+    places = ordered.select(*own, F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
+    places = materialize(places.select(*own, "place", F.col("x.element").alias("element")), "prefixes")
     early = places.filter(F.col("place") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9)
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
-        near = F.expr("x.element = y.element and x.component <> y.component") & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+        near = F.expr("x.element = y.element and x.kind = y.kind and x.component <> y.component") & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
         room = F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= similarity / (1 + similarity) * F.expr("x.n + y.n") - 1e-9
         return x.join(y, near & room).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -88,7 +89,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
     with all others of the bucket if it has at most ``whole`` nodes. In larger ones, where all pairs would grow with the
     square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
-    out only pairs that are no links. ``sets`` is (node, value) and ``similarity`` the Jaccard similarity of a link.
+    out only pairs that are no links. ``sets`` is (node, kind, value) and ``similarity`` the Jaccard similarity of a link.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
@@ -148,11 +149,12 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
 
 def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFrame:
-    """``pairs`` (a, b) with the value of each end: a, b, va, vb; ``values`` is (node, value).
+    """``pairs`` (a, b, ...) with the value of each end: a, b, va, vb, ...; ``values`` is (node, value).
 
-    A node in many pairs is copied once for each ``most`` of them, and its pairs are dealt to the copies.
+    A node in many pairs is copied once for each ``most`` of them, and its pairs are dealt to the copies. The numbers of
+    copies are written first, so that the joins with them are stages of their own, whose skewed tasks Spark can split.
     """
-    hubs = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {most}) as int)").alias("parts"))
+    hubs = materialize(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {most}) as int)").alias("parts")), "hubs")
     left = hubs.join(values.select(F.col("node").alias("a"), F.col("value").alias("va")), "a")
     left = left.select("a", "va", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = pairs.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
@@ -160,7 +162,10 @@ def dealt_pairs(pairs: DataFrame, values: DataFrame, most: int = 256) -> DataFra
     return right.join(left, ["a", "part"])
 
 
-def like_sized(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs whose sets are near enough in size for this Jaccard similarity; ``sizes`` is (node, n)."""
-    of = lambda end: sizes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+def alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, va, vb) whose arrays ``va`` and ``vb``, taken as sets, have at least this Jaccard similarity.
+
+    The arrays go through a generator, which Spark does not merge with the filter: each is computed once for a pair.
+    """
+    once = pairs.select("a", "b", F.explode(F.array(F.struct("va", "vb"))).alias("v"))
+    return once.filter(F.size(F.array_intersect("v.va", "v.vb")) >= similarity * F.size(F.array_union("v.va", "v.vb"))).select("a", "b")

@@ -6,11 +6,12 @@ judged, blank ones never. Equal lines are folded first. Lines of under
 its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
 line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
 if no run occurs twice. The ranges overlap, so that lines of a similarity of
-0.8 have a range in common. Each run is hashed once, and again for each
-register, which keeps the least. The
-registers are cut to ``BANDS`` bands of ``ROWS``: at a similarity of 0.8 some
-band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.999. Lines that
-share a band are compared by the exact Jaccard similarity of their sets (see
+0.8 have a range in common. Each run is hashed once and mixed anew for every
+three registers, which keep the least of disjoint bits. The registers are cut
+to bands: at a similarity of 0.8 some band agrees with probability
+1 - (1 - 0.8**rows)**bands, over 0.999 for each of ``LENGTHS``. Short runs are
+common to unlike lines, so they take more rows in a band. Lines that share a
+band are compared by the exact Jaccard similarity of their sets (see
 ``components``), links of at least ``SIMILARITY`` are joined to components by
 distributed union-find, and each component keeps its first line, by doc_id and
 place in the text. All other occurrences are to be removed.
@@ -27,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only
-from .components import buckets, components, dealt_pairs, group_buckets, like_sized
+from .components import alike, buckets, dealt_pairs, group_buckets
 
 LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 10, 3, 0.8
-#: Characters in a run, and the UTF-16 units of the shortest and the longest line (none: any) that has such runs.
-LENGTHS = ((2, 0, 40), (3, 29, 127), (10, 99, None))
+#: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) that has such runs, bands, and rows of a band.
+LENGTHS = ((2, 0, 40, 30, 6), (3, 29, 127, 30, 6), (10, 99, None, BANDS, ROWS))
+#: Registers that are filled in one pass over the runs, and bits of a register.
+CHUNK, BITS = 30, 21
 
 
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -45,66 +48,94 @@ def _same() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def runs(units: Column | str, shingle: int | Column = SHINGLE) -> Column:
-    """Begin of each run of characters in ``units`` (UTF-16, big-endian): 0-based."""
-    return F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - shingle)
+def _kinds(lengths: tuple) -> Column:
+    """The lengths of runs that ``line`` is compared by: none, one or two of ``lengths``."""
+    units, fuzzy = F.length(F.encode("line", "UTF-16BE")) / 2, F.char_length("line") >= FUZZY_CHARS
+    return F.array_compact(F.array(*[F.when(fuzzy & (units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi, _, _ in lengths]))
 
 
 def _run_hash(units: Column, at: Column, shingle: int | Column) -> Column:
     return F.xxhash64(F.substring(units, 2 * at + 1, F.lit(2) * shingle))
 
 
-def band_keys(lines: DataFrame, ids: list[str], shingle: int | Column = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``lines`` (ids, line) -> (ids, keys): one hash for each band. Lines that are already dealt by ids stay where they are."""
-    units = lines.select(*ids, F.encode("line", "UTF-16BE").alias("units"))
-    hashed = units.select(*ids, "units", F.explode(runs("units", shingle)).alias("at")).select(*ids, _run_hash(F.col("units"), F.col("at"), shingle).alias("h"))
-    signed = hashed.groupBy(*ids).agg(*[F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(bands * rows)])
-    return signed.select(*ids, F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
+def run_hashes(units: Column, shingle: int | Column = SHINGLE) -> Column:
+    """The hash of each run of characters in ``units`` (UTF-16, big-endian)."""
+    return F.transform(F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - shingle), lambda i: _run_hash(units, i, shingle))
+
+
+def _registers() -> list[Column]:
+    """The least value that each of ``CHUNK`` hash functions takes on the runs ``h``; disjoint bits of one hash are functions of their own."""
+    hashes = [F.xxhash64(F.lit(j), "h") for j in range(-(-CHUNK * BITS // 63))]
+    cut = [F.shiftrightunsigned(x, part * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") for x in hashes for part in range(63 // BITS)]
+    return [F.min(x).alias(f"m{k}") for k, x in enumerate(cut[:CHUNK])]
+
+
+def signed_keys(lines: DataFrame, ids: list[str], kinds: tuple[tuple[int, int, int], ...]) -> DataFrame:
+    """``lines`` (ids, k, line) -> (ids, k, turn, keys): one hash for each band, for ``kinds`` of (k, bands, rows).
+
+    A turn fills ``CHUNK`` registers of a line; only lines of a kind with more registers take several. A line of another
+    kind has one turn without keys. Lines that are already dealt by ids stay where they are.
+    """
+    turns = F.coalesce(*[F.when(F.col("k") == k, -(-bands // (CHUNK // rows))) for k, bands, rows in kinds], F.lit(1))
+    known = F.col("k").isin([k for k, _, _ in kinds])
+    units = lines.select(*ids, "k", F.encode("line", "UTF-16BE").alias("units"), turns.alias("turns"))
+    many = F.when(known, (F.length("units") / 2).cast("int") - F.col("k") + 1).otherwise(1)
+    each = units.select(*ids, "k", "units", "turns", F.explode(F.sequence(F.lit(0), many * F.col("turns") - 1)).alias("i"))
+    at, turn = F.floor(F.col("i") / F.col("turns")).cast("int"), F.pmod("i", "turns").alias("turn")
+    hashed = each.select(*ids, "k", turn, _run_hash(F.col("units"), at, F.col("k")).alias("h"))
+    signed = hashed.withColumn("h", F.when(F.col("turn") > 0, F.xxhash64("turn", "h")).otherwise(F.col("h"))).groupBy(*ids, "k", "turn").agg(*_registers())
 
+    def keys(k: int, bands: int, rows: int) -> Column:
+        fit = CHUNK // rows
+        cut = [(F.col("turn") * fit + b, F.xxhash64(F.lit(k), F.col("turn") * fit + b, *[f"m{b * rows + r}" for r in range(rows)])) for b in range(fit)]
+        return F.array_compact(F.array(*[F.when(number < bands, key) for number, key in cut]))
 
-def distinct_runs(units: Column | str, shingle: int | Column = SHINGLE) -> Column:
-    """The hashes of the distinct runs of characters."""
-    units = F.col(units) if isinstance(units, str) else units
-    return F.array_distinct(F.transform(runs(units, shingle), lambda i: _run_hash(units, i, shingle)))
+    none = F.array().cast("array<bigint>")
+    return signed.select(*ids, "k", "turn", F.coalesce(*[F.when(F.col("k") == kind[0], keys(*kind)) for kind in kinds], none).alias("keys"))
+
+
+def band_keys(lines: DataFrame, ids: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``lines`` (ids, line), all compared by runs of one length -> (ids, keys); several rows of a line if it takes several turns."""
+    return signed_keys(lines.withColumn("k", F.lit(shingle)), ids, ((shingle, bands, rows),)).select(*ids, "keys")
 
 
 def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ``lines`` (node, units, k characters in a run, n distinct runs) whose sets of runs have at least this Jaccard similarity."""
-    found = dealt_pairs(like_sized(pairs, lines.select("node", "n"), similarity), lines.select("node", F.struct("units", "k").alias("value")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    sets = found.select("a", "b", *[distinct_runs(F.col(f"v{x}.units"), F.col(f"v{x}.k")).alias(f"s{x}") for x in "ab"])
-    return sets.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    """The pairs (a, b) whose lines have at least this Jaccard similarity by runs of one length.
+
+    ``lines`` is (node, k, n, units): a row for each length k of runs that a line is compared by, with its number of distinct runs.
+    """
+    of = lambda end: lines.select(F.col("node").alias(end), "k", F.col("n").alias(f"n{end}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "k")
+    found = dealt_pairs(sized, lines.select("node", F.col("units").alias("value")).dropDuplicates(["node"]))
+    return alike(found.select("a", "b", *[run_hashes(F.col(v), F.col("k")).alias(v) for v in ("va", "vb")]), similarity)
 
 
-def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENGTHS, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
-    """For each distinct line with another occurrence or a similar line: h1, h2, and keep_doc, keep_line of the one that stays."""
+def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENGTHS, bands: int | None = None, rows: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """For each distinct line with another occurrence or a similar line: h1, h2, and keep_doc, keep_line of the one that stays.
+
+    ``bands`` and ``rows``, where given, stand for those of all ``lengths``.
+    """
+    kinds = tuple((k, bands or b, rows or r) for k, _, _, b, r in lengths)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n")).select("h1", "h2", "first.*", "n", "line")
-    units, fuzzy = F.length(F.encode("line", "UTF-16BE")) / 2, F.char_length("line") >= FUZZY_CHARS
-    ranges = [F.when(fuzzy & (units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi in lengths]
-    # a line that is not compared has one row too, of no runs
-    kinds = F.when(fuzzy, F.array_compact(F.array(*ranges))).otherwise(F.array(F.lit(0)))
-    sized = folded.withColumn("ranges", F.size(kinds)).withColumn("k", F.explode(kinds))
-    lines = band_keys(sized, ["h1", "h2", "doc_id", "line_no", "n", "ranges", "k"], F.col("k"), bands, rows)
-    keys = F.when(F.col("k") > 0, F.transform("keys", lambda x: F.xxhash64(x, "k"))).otherwise(F.array().cast("array<bigint>"))
-    lines = materialize(lines.withColumn("keys", keys).withColumn("node", F.monotonically_increasing_id()), "lines")
+    folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n"))
+    folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", _kinds(lengths).alias("kinds"))
+    # a line that is not compared has a row too if it is repeated
+    own = F.when((F.size("kinds") > 0) | (F.col("n") == 1), F.col("kinds")).otherwise(F.array(F.lit(0)))
+    ids = ["h1", "h2", "node", "doc_id", "line_no", "n", "place"]
+    lines = materialize(signed_keys(folded.select(*ids[:-1], "line", F.posexplode(own).alias("place", "k")), ids, kinds), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
-    wanted = lines.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "k")
-    placed = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line")
-    chosen = placed.join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("node", F.encode("line", "UTF-16BE").alias("units"), "k")
-    chosen = materialize(chosen.withColumn("n", F.size(distinct_runs("units", F.col("k")))).dropDuplicates(["node"]), "chosen-lines")
-    sets = chosen.select("node", distinct_runs("units", F.col("k")).alias("value"))
-    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity)
-    # the rows of one line in several ranges belong together
-    rows_of = lines.filter("ranges > 1").groupBy("doc_id", "line_no", "h1", "h2").agg(F.min("node").alias("u"), F.array_agg("node").alias("v"))
-    twice = rows_of.select("u", F.explode("v").alias("v"))
-    hit = twice.join(groups.select(F.col("id").alias("v")), "v", "left_semi").select("u").distinct()
-    met = twice.join(hit, "u", "left_semi")
-    groups = components(met.unionByName(groups.select(F.col("id").alias("u"), F.col("component").alias("v")))).withColumnRenamed("id", "node")
-    placed = lines.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n").join(groups, "node", "left")
-    kept = placed.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    joined = placed.filter("component is not null or n > 1").join(kept, "component", "left").withColumn("keep", F.coalesce("keep", "first"))
-    return joined.select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).distinct()
+    single = lines.filter("place = 0 and turn = 0")
+    wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2")
+    found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
+    chosen = found.select("node", F.encode("line", "UTF-16BE").alias("units"), F.explode(_kinds(lengths)).alias("k"))
+    chosen = materialize(chosen.withColumn("n", F.size(F.array_distinct(run_hashes(F.col("units"), F.col("k"))))), "chosen-lines")
+    sets = chosen.select("node", F.col("k").alias("kind"), F.array_distinct(run_hashes(F.col("units"), F.col("k"))).alias("value"))
+    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity).withColumnRenamed("id", "node")
+    placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
+    grouped = materialize(placed.join(groups, "node").select("h1", "h2", "first", "component"), "grouped-lines")
+    kept = materialize(grouped.groupBy("component").agg(F.min("first").alias("keep")), "kept-lines")
+    repeated = placed.filter("n > 1").join(groups.select("node"), "node", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
+    return grouped.join(kept, "component").select("h1", "h2", "keep").unionByName(repeated).select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
 
 
 def removals(docs: DataFrame, **how) -> DataFrame:

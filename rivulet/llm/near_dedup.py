@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only, steps, text_bytes
-from .components import buckets, dealt_pairs, group_buckets
+from .components import alike, buckets, dealt_pairs, group_buckets
 from .textvec import U, distinct, mix, shingles, words
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
@@ -118,8 +118,7 @@ def shingle_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets of shingles (node, value) have at least this Jaccard similarity."""
-    common = F.size(F.array_intersect("va", "vb"))
-    return dealt_pairs(pairs, sets).filter(common >= similarity * (F.size("va") + F.size("vb") - common)).select("a", "b")
+    return alike(dealt_pairs(pairs, sets), similarity)
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -132,7 +131,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORD
     chosen = members.select(F.col("node").alias("doc_id")).distinct()
     texts = only(docs, "doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(shingle_sets(texts, size).toDF("node", "value"), "sets")
-    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), sets, similarity).withColumnRenamed("id", "node")
+    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), sets.withColumn("kind", F.lit(0)), similarity).withColumnRenamed("id", "node")
     labels = classes.join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("class_id"))
     joined = signed.join(labels, ["d1", "d2", "n"])
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
