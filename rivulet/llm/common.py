@@ -2,7 +2,9 @@
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir``, which all
 executors and the driver share, so a job whose executors are lost reads them
-again instead of recomputing or failing.
+again instead of recomputing or failing. An operator drops those that nothing
+reads any more as it goes on; ``cleanup`` drops the rest of a session's when the
+caller has written what it wants from the results, which are lazy and read them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _root(spark: SparkSession) -> str:
+    """The scratch folder of this application."""
+    return f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
     return measured(df, name)[0]
@@ -38,12 +45,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """As ``materialize``, with aggregates of the rows that are taken in the same pass."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation(f"rivulet-{uuid.uuid4().hex}") if measures else None
     if seen:
         df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path), seen.get if seen else {}
+    # shuffle files are deleted when the driver forgets the plan that wrote them; without this it does so at some later time
+    spark._jvm.System.gc()
+    table = spark.read.schema(schema).parquet(path)
+    table.scratch_path = path
+    return table, seen.get if seen else {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            _delete(table.sparkSession, table.scratch_path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once nothing lazy that reads them is needed."""
+    _delete(spark, _root(spark))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

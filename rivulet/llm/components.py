@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, measured
+from .common import drop, materialize, measured
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def components(links: DataFrame) -> DataFrame:
     state = {"n": F.count("*"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}  # equal for equal sets of links
     (edges, now), before = measured(edges, "links", **state), None
     while now["n"] and now != before:
-        (edges, now), before = measured(_round(edges), "links", **state), now
+        last = edges
+        (edges, now), before = measured(_round(last), "links", **state), now
+        drop(last)
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 
@@ -50,25 +52,27 @@ def buckets(dealt: DataFrame) -> DataFrame:
 COMMON = 16
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
 
-    ``sets`` is (node, kind, value), an array of distinct elements; only sets of one kind are compared. Elements are put
-    in one order, common ones last. If x and y have at least the similarity s, let i and j be the places (from 0) of
+    ``sets`` gives (node, kind, value), an array of distinct elements, for a table with the column node; only sets of one
+    kind are compared. Elements are put in one order, common ones last. If x and y have at least the similarity s, let i and j be the places (from 0) of
     their first common element. What stands before is not common, so the overlap, which is at least s / (1 + s) *
     (nx + ny), is at most nx - i and at most ny - j. Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the
     first (1 - s) / (1 + s) of one of the two sets, and before n - ceil(s n) + 1 in both. Joining on those places leaves
     out what has only a common passage.
     """
     own = ["node", "kind", "component", "rest", "n"]
-    each = sets.select("node", "kind", F.col("value").alias("elements"), F.size("value").alias("n")).join(nodes, "node")
-    elements = each.select(*own, F.explode("elements").alias("element"))
+    each = sets(nodes).join(nodes, "node").select("node", "kind", "component", "rest", F.size("value").alias("n"), "value")
+    each = materialize(each, "bucket-sets")
+    elements = each.select(*own, F.explode("value").alias("element"))
     common = materialize(elements.groupBy("element").agg(F.count("*").alias("times")).filter(F.col("times") > COMMON), "common")
     placed = elements.join(common, "element", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     ordered = placed.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered"))  # no more than the set itself
     until = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
     places = ordered.select(*own, F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
     places = materialize(places.select(*own, "place", F.col("x.element").alias("element")), "prefixes")
+    drop(each, common)
     early = places.filter(F.col("place") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9)
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return joined(early.filter("rest"), places).unionByName(joined(early, places.filter("rest"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, similarity: float, whole: int = 32) -> DataFrame:
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 32) -> DataFrame:
     """``members`` (node, key, size) -> (id, component), over links between nodes that share a key.
 
     ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
@@ -89,7 +93,8 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
     with all others of the bucket if it has at most ``whole`` nodes. In larger ones, where all pairs would grow with the
     square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
-    out only pairs that are no links. ``sets`` is (node, kind, value) and ``similarity`` the Jaccard similarity of a link.
+    out only pairs that are no links. ``sets`` gives (node, kind, value) for a table of nodes, and ``similarity`` is
+    the Jaccard similarity of a link.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
@@ -98,6 +103,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     top = F.max(F.struct("score", (-F.col("node")).alias("order"))).alias("top")
     leaders = scored.groupBy("key").agg(top).select("key", (-F.col("top.order")).alias("leader"), F.col("top.score").alias("leader_score"))
     led = materialize(scored.join(leaders, "key"), "led")
+    drop(scored)
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -120,11 +126,10 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         links, found = measured(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified", n=F.count("*"))
         if groups is None:
             groups = components(links)
-        elif not found["n"]:
-            return False
-        else:
+        elif found["n"]:
             groups = components(links.unionByName(groups.select(F.col("id").alias("u"), F.col("component").alias("v"))))
-        return True
+        drop(links)
+        return bool(found["n"])
 
     best = led.filter("leader <> node").groupBy("node").agg(F.max_by("leader", F.struct("leader_score", (-F.col("leader")).alias("order"))).alias("leader"))
     spend(best.select(*pair("node", "leader")).distinct())

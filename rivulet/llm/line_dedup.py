@@ -32,7 +32,7 @@ from .components import alike, buckets, dealt_pairs, group_buckets
 
 LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 10, 3, 0.8
 #: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) that has such runs, bands, and rows of a band.
-LENGTHS = ((2, 0, 40, 30, 6), (3, 29, 127, 30, 6), (10, 99, None, BANDS, ROWS))
+LENGTHS = ((2, 0, 40, 26, 6), (3, 29, 127, 26, 6), (10, 99, None, BANDS, ROWS))
 #: Registers that are filled in one pass over the runs, and bits of a register.
 CHUNK, BITS = 30, 21
 
@@ -129,7 +129,11 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
     chosen = found.select("node", F.encode("line", "UTF-16BE").alias("units"), F.explode(_kinds(lengths)).alias("k"))
     chosen = materialize(chosen.withColumn("n", F.size(F.array_distinct(run_hashes(F.col("units"), F.col("k"))))), "chosen-lines")
-    sets = chosen.select("node", F.col("k").alias("kind"), F.array_distinct(run_hashes(F.col("units"), F.col("k"))).alias("value"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = chosen.join(nodes.select("node"), "node", "left_semi")
+        return wanted.select("node", F.col("k").alias("kind"), F.array_distinct(run_hashes(F.col("units"), F.col("k"))).alias("value"))
+
     groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity).withColumnRenamed("id", "node")
     placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     grouped = materialize(placed.join(groups, "node").select("h1", "h2", "first", "component"), "grouped-lines")

@@ -131,7 +131,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORD
     chosen = members.select(F.col("node").alias("doc_id")).distinct()
     texts = only(docs, "doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(shingle_sets(texts, size).toDF("node", "value"), "sets")
-    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), sets.withColumn("kind", F.lit(0)), similarity).withColumnRenamed("id", "node")
+    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity).withColumnRenamed("id", "node")
     labels = classes.join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("class_id"))
     joined = signed.join(labels, ["d1", "d2", "n"])
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
