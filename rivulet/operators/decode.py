@@ -93,9 +93,10 @@ def adjust(model: Model, kind: str, days: pd.DataFrame, fixed_sojourns: bool = T
         hE, lE = at["hE"], at["lE"]
         if frequency.get("mucus", 0) > 0:
             step[hE, lE] *= frequency["mucus"]
-        elif kind == "BP":
+        # a few reports of mucus do not make a class: without one, going back is set whatever they are
+        if kind == "BP":
             step[hE, lE] = 0.001
-        elif kind == "B":
+        if kind == "B":
             step[hE, lE] = 0
     if "Ano" in at and kind not in ("BTM", "BT"):
         step[:, at["Ano"]] = 0

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..hsmm.infer import decode, viterbi
+from ..hsmm.fit import fit
+from ..hsmm.infer import anchored, viterbi
 from ..hsmm.model import Model, stored
-from .cycles import LUTEAL, MENSES, OVULATION
+from .cycles import MENSES, OVULATION
 from .sequence import dealt, ordered, places, run_id, rising
 
 
@@ -77,57 +78,123 @@ def observation_table(phases: DataFrame, observed: DataFrame, channels: list[str
     return df.groupBy(*keys).agg(*[F.mode(c, True).alias(c) for c in channels], *[F.avg(F.col(c).isNull().cast("double")).alias(f"p_missing_{c}") for c in channels])
 
 
-def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = 100, seed: int = 0) -> np.ndarray:
+TRAINING, SAMPLES, PERIOD_DAYS = 4, 100, 5
+
+
+def training_stretches(panel: DataFrame, training: int = TRAINING, key: str = "seq_id", cycle: str = "cycle") -> DataFrame:
+    """Days of stretches of ``training`` cycles and the one after them, all complete: adds first_cycle, nth (1 to training + 1).
+
+    ``panel`` has a row a day with the number of its cycle, from 1. Stretches do not overlap. Cycle 0 and the last, which
+    the end of the records cuts off, are in none.
+    """
+    last = F.max(cycle).over(Window.partitionBy(key))
+    size = training + 1
+    first = F.col(cycle) - F.pmod(F.col(cycle) - 1, F.lit(size))
+    inside = panel.withColumn("__last", last).withColumns({"first_cycle": first, "nth": (F.pmod(F.col(cycle) - 1, F.lit(size)) + 1).cast("int")})
+    return inside.filter((F.col(cycle) > 0) & (F.col("first_cycle") + training < F.col("__last"))).drop("__last")
+
+
+def _taught(model: Model, days: pd.DataFrame, training: int) -> tuple[Model, pd.DataFrame, pd.DataFrame]:
+    """The model fitted to a stretch's training days (which reach into the next period), these days, and those of the cycle to forecast."""
+    days = days.sort_values("t").drop_duplicates("t").reset_index(drop=True)
+    target = days[days["nth"] == training + 1].reset_index(drop=True)
+    known = days[(days["nth"] <= training) | (days["t"] < target["t"].min() + PERIOD_DAYS)].reset_index(drop=True)
+    return fit(model, known.assign(seq_id=0), weight_emission=10).model, known, target
+
+
+def _anchored_path(model: Model, days: pd.DataFrame) -> np.ndarray:
+    """Most likely states of a cycle's days so far; its first day is menses for sure."""
+    sure = pd.DataFrame({"t": [days["t"].iloc[0]], "state": [MENSES]})
+    return viterbi(model, anchored(model.emissions(days), days["t"].to_numpy(), sure, 1.0))[0]
+
+
+def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = SAMPLES, seed: int = 0) -> np.ndarray:
     """Lengths of the current cycle, sampled from its records so far.
 
-    After the last ovulation the luteal sojourn is drawn, given that it has not yet ended; before it, the path to menses
-    is drawn state by state.
+    From the day on which the state that was entered last begins, the sojourns of it and of all states after it in the
+    order of the model are drawn, whatever part of the first has passed.
+    """
+    rng, path = np.random.default_rng(seed), _anchored_path(model, days)
+    states, entered = np.unique(path, return_index=True)
+    at = int(entered.argmax())
+    length = np.full(n, float(entered[at]))
+    for s in range(int(states[at]) - 1, model.J):
+        length += rng.choice(np.arange(1, len(model.sojourn) + 1), n, p=model.sojourn[:, s] / model.sojourn[:, s].sum())
+    return length
+
+
+def _by_stretch(stretches: DataFrame, model: Model, key: str, one, columns: str) -> DataFrame:
+    """``one`` (stretch's days, model) -> rows, for each stretch; a stretch's key and first cycle stand before them."""
+    channels = [c for c in model.emission if c in stretches.columns]
+    text, kind = stretches.sparkSession.sparkContext.broadcast(model.to_json()), stretches.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = one(pdf, stored(text.value))
+        got.insert(0, key, pdf[key].iloc[0])
+        got.insert(1, "first_cycle", pdf["first_cycle"].iloc[0])
+        return got
+
+    days = stretches.select(key, F.col("first_cycle").cast("long").alias("first_cycle"), "nth", F.col("t").cast("int").alias("t"), *channels)
+    return dealt(days, key).groupBy(key, "first_cycle").applyInPandas(run, f"{key} {kind}, first_cycle long, {columns}")
+
+
+def predict_lengths(stretches: DataFrame, model: Model, training: int = TRAINING, key: str = "seq_id", n: int = SAMPLES) -> DataFrame:
+    """For each stretch and each day of its last cycle: the predicted length, its deviation, the true length and the difference.
+
+    ``stretches`` comes from ``training_stretches``. The model is fitted to the training cycles of each stretch, and the
+    last cycle is decoded anew up to each day.
+    """
+
+    def one(pdf: pd.DataFrame, given: Model) -> pd.DataFrame:
+        own, _, target = _taught(given, pdf, training)
+        rows = []
+        for day in range(1, len(target) + 1):
+            x = cycle_length_samples(own, target.iloc[:day], n, day)
+            rows.append((day, float(x.mean()), float(x.std(ddof=1)), len(target), float(x.mean()) - len(target)))
+        return pd.DataFrame(rows, columns=["cycleday", "predicted", "predicted_sd", "cycle_length", "difference"])
+
+    return _by_stretch(stretches, model, key, one, "cycleday int, predicted double, predicted_sd double, cycle_length int, difference double")
+
+
+def phase_days(path: np.ndarray, training: int = TRAINING) -> pd.DataFrame:
+    """``place`` in the path, phase, phase_day of the days of the first cycles, on the axis of the mean phase (see ``aligned``)."""
+    first = (path == MENSES) & (np.append(0, path[:-1]) != MENSES)
+    df = pd.DataFrame({"place": np.arange(len(path)), "cycle": first.cumsum(), "ovulations": (path == OVULATION).cumsum(), "ovulation": path == OVULATION})
+    at = lambda by: (df.groupby(by).cumcount(), df.groupby(by)["place"].transform("size"))
+    (day, length), (since, span) = at("cycle"), at("ovulations")
+    luteal = (df["cycle"] == df["ovulations"]) & (since > 0)
+    df["phase"] = np.where(luteal, "luteal", "follicular")
+    by_start = np.where(luteal, day - length, day + 1)
+    by_ovulation = np.where(luteal | df["ovulation"], since, since - span)
+    df = df.assign(by_start=by_start, by_ovulation=by_ovulation)[df["cycle"].between(1, training).to_numpy()]
+    mean = df.groupby(["cycle", "phase"]).size().groupby("phase").mean().round()
+    n = df["phase"].map(mean)
+    follicular = np.where(df["by_ovulation"] >= -3, n + df["by_ovulation"], np.where(df["by_start"] <= n - 4, df["by_start"], np.nan))
+    luteal = np.where(df["by_ovulation"] <= 5, df["by_ovulation"], np.where(df["by_start"] >= 5 - n, n + df["by_start"] + 1, np.nan))
+    df["phase_day"] = np.where(df["phase"] == "luteal", luteal, follicular)
+    return df.loc[df["phase_day"].notna(), ["place", "phase", "phase_day"]]
+
+
+def predict_observations(stretches: DataFrame, model: Model, training: int = TRAINING, key: str = "seq_id") -> DataFrame:
+    """For each day of a stretch's last cycle, what was reported on the aligned days of the training cycles: a row for each of these.
+
+    The day before is decoded first: after an ovulation the coming day is as many luteal days on as states after it, else
+    its day of the cycle; a day beyond the table's last is taken as that one.
     """
-    rng = np.random.default_rng(seed)
-    path, _ = viterbi(model, model.emissions(days))
-    begin = len(path) - 1
-    while begin and path[begin - 1] == path[-1]:
-        begin -= 1
-    # all samples at once: draws by inversion, of those that have not yet come to menses
-    lasted = len(path) - begin
-    ends, steps = np.cumsum(model.sojourn, axis=0), np.cumsum(model.transition, axis=1)
-    state, day = np.full(n, int(path[-1]) - 1), np.full(n, begin)
-    gone = ends[lasted - 2, state[0]] if 2 <= lasted <= len(ends) else float(lasted > len(ends))
-    low = np.full(n, gone)
-    live, first = np.arange(n), True
-    while len(live):
-        u = low[live] + rng.random(len(live)) * (1 - low[live])
-        more = (u[:, None] > ends[:, state[live]].T).sum(axis=1) + 1
-        day[live] += np.maximum(more, lasted if first else 1)
-        first, low[live] = False, 0.0
-        state[live] = np.minimum((rng.random(len(live))[:, None] > steps[state[live]]).sum(axis=1), model.J - 1)
-        live = live[(state[live] != MENSES - 1) & (day[live] <= 1000)]
-    return day.astype(float)
-
-
-def predict_lengths(panel: DataFrame, model: Model, prefixes: list[int] | None = None, key: str = "seq_id", n: int = 100) -> DataFrame:
-    """For a panel of single cycles (key, t from 1, channels): predicted length after each prefix (else after every day), mean and deviation."""
-    channels = [c for c in model.emission if c in panel.columns]
-    text, kind = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.schema[key].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, pdf, rows = stored(text.value), pdf.sort_values("t"), []
-        for p in range(1, len(pdf) + 1) if prefixes is None else prefixes:
-            if p <= len(pdf):
-                x = cycle_length_samples(m, pdf.iloc[:p], n, p)
-                rows.append((pdf[key].iloc[0], p, float(x.mean()), float(x.std(ddof=1))))
-        return pd.DataFrame(rows, columns=[key, "prefix", "predicted", "predicted_sd"])
-
-    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"{key} {kind}, prefix int, predicted double, predicted_sd double")
-
-
-def predict_next_day(model: Model, days: pd.DataFrame, lengths: dict[str, int]) -> pd.DataFrame:
-    """For each prefix of a cycle: the phase and aligned day of its next day, for a look-up in ``observation_table``."""
-    rows = []
-    for p in range(1, len(days)):
-        path = decode(model, days.iloc[:p])
-        ovulated = path.loc[path["state"] == OVULATION, "t"]
-        phase = "luteal" if len(ovulated) or (path["state"] == LUTEAL).iloc[-1] else "follicular"
-        day = int(days["t"].iloc[p]) - (int(ovulated.iloc[-1]) if len(ovulated) else 0)
-        rows.append((int(days["t"].iloc[p]), phase, min(day, lengths.get(phase, day))))
-    return pd.DataFrame(rows, columns=["t", "phase", "phase_day"])
+    channels = [c for c in model.emission if c in stretches.columns]
+
+    def one(pdf: pd.DataFrame, given: Model) -> pd.DataFrame:
+        own, known, target = _taught(given, pdf, training)
+        table = phase_days(viterbi(own, own.emissions(known))[0], training).merge(known[channels].rename_axis("place").reset_index(), on="place")
+        out = []
+        for day in range(1, len(target) + 1):
+            path = _anchored_path(own, target.iloc[: day - 1]) if day > 1 else np.zeros(0, int)
+            phase, goal = ("luteal", int((path > OVULATION).sum()) + 1) if (path == OVULATION).any() else ("follicular", day)
+            of = table[table["phase"] == phase]
+            of = of[of["phase_day"] == min(goal, of["phase_day"].max())] if len(of) else of
+            out.append(of.drop(columns="place").assign(t=int(target["t"].iloc[day - 1]), cycleday=day))
+        got = pd.concat(out)
+        return got.assign(phase_day=got["phase_day"].astype(int))[["t", "cycleday", "phase", "phase_day", *channels]]
+
+    kinds = ", ".join(f"{c} {stretches.schema[c].dataType.simpleString()}" for c in channels)
+    return _by_stretch(stretches, model, key, one, f"t int, cycleday int, phase string, phase_day int, {kinds}")

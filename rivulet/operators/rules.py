@@ -22,62 +22,88 @@ def calendar_sums(t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return before, two
 
 
-def cycle_starts(days: pd.DataFrame, median: float = 29.0) -> pd.DataFrame:
-    """Day 1 of each cycle (t, pregnant: whether the cycle before it had a positive test), day by day.
+class _Cycles:
+    """What is known of a user's cycles by the evening of a day."""
+
+    def __init__(self, median: float):
+        self.starts: list[int] = []
+        self.pregnant: list[bool] = []  # of all starts ever entered; a start that is taken back leaves its mark here
+        self.last, self.usual = -29, median
+        self.positive: int | None = None  # first positive test of the pregnancy that goes on
+        self.event, self.kind = 0, ""  # what may have ended it
+
+    def enter(self, day: int, pregnant: bool) -> None:
+        self.starts.append(day)
+        self.pregnant.append(pregnant)
+
+    def conceive(self, day: int, length: int) -> None:
+        self.positive = day
+        if length < min(23, self.usual - 6) and self.starts:  # conceived in the cycle before
+            self.starts.pop()
+            self.last = self.starts[-1] if self.starts else -29
+
+    def first_event(self, day: int, kind: str, length: int) -> None:
+        """Something that may end the pregnancy: it does if it comes late, else it waits for a second one."""
+        self.event, self.kind = day, kind
+        if day - self.positive >= 2 * self.usual or length >= 3 * self.usual:
+            self.enter(day, True)
+            self.last, self.positive, self.kind = day, None, ""
+
+    def second_event(self, day: int, period: bool, other: bool, positive: bool) -> None:
+        """A period ends the pregnancy now, and at the first event too if that lies a cycle back; another sign ends it at a first period."""
+        if period:
+            low, high = sorted((21, round(1.75 * self.usual)))
+            apart = low <= day - self.event <= high
+            if apart:
+                self.enter(self.event, True)
+            self.enter(day, not apart)
+            self.last, self.positive = day, None
+        if self.kind == "period" and other:
+            self.enter(self.event, True)
+            self.last, self.positive, self.kind = self.event, None, ""
+        if positive:
+            self.kind = ""
+
+    def learn(self) -> None:
+        """With five starts that end no pregnancy, the median of the last three gaps of them is usual."""
+        places = [k for k, p in enumerate(self.pregnant) if not p]
+        if len(places) > 4:
+            days = [self.starts[k] if k < len(self.starts) else None for k in places[-4:]]
+            gaps = [b - a for a, b in zip(days, days[1:]) if a is not None and b is not None]
+            self.usual = float(statistics.median(gaps)) if gaps else self.usual
+
 
-    A period starts a cycle if it is new and the cycle is long enough for this user; so does a declared first day
-    after a quiet week. From a positive test on, what would end a cycle only ends the pregnancy if it is late enough or
-    is confirmed by a later period; a later positive test takes it back.
+def cycle_starts(days: pd.DataFrame, median: float = 29.0) -> pd.DataFrame:
+    """Day 1 of each cycle (t, in order), judged day by day.
+
+    A period starts a cycle if it is new and the cycle is long enough for this user; so does a declared first day after
+    a quiet week. From a positive test on, a first sign of an end (period, negative test, declared first day) ends the
+    pregnancy if it comes two usual cycles after the test or three after the cycle's start; else it waits. The next
+    period then ends it that day, and at the first sign too if that is 21 days to 1.75 usual cycles back; another sign
+    ends it at the first one if that was a period; a positive test takes the first sign back. A period that ends a
+    pregnancy as a second sign leaves the first one standing, so it is the first sign of the next pregnancy.
     """
     t, m = days["t"].to_numpy(int), days["menstruation"].fillna(0).to_numpy(float)
     first, test = days["first_day"].fillna(False).to_numpy(bool), days["preg_test"].fillna(0).to_numpy(int)
     before, two = calendar_sums(t, m)
-    starts: list[list] = []
-    pregnant_since, pending, usual = None, None, median
-
-    def normal_gaps() -> list[int]:
-        return [b[0] - a[0] for a, b in zip(starts, starts[1:]) if not b[1]]
-
-    def add(day: int, pregnant: bool) -> None:
-        nonlocal usual
-        starts.append([day, pregnant])
-        gaps = normal_gaps()
-        if len(gaps) >= 4:
-            usual = float(statistics.median(gaps[-4:]))
-
+    known = _Cycles(median)
     for k, day in enumerate(t.tolist()):
-        length = day - starts[-1][0] if starts else 10**6
-        period = m[k] > 0 and two[k] > 1 and before[k] <= 1 and length >= min(0.6 * usual, 12)
+        length = day - known.last
+        period = m[k] > 0 and two[k] > 1 and before[k] <= 1 and length >= min(0.6 * known.usual, 12)
         declared = first[k] and length >= 21 and before[k] <= 2
-        if test[k] > 0:
-            if pregnant_since is None and starts and length < min(23, usual - 6):
-                starts.pop()
-            if pregnant_since is None:
-                pregnant_since = day
-            pending = None
-            continue
-        if pregnant_since is None:
-            if period or declared:
-                add(day, False)
-            continue
-        ends = bool(first[k]) or test[k] < 0 or period
-        if not ends:
-            continue
-        if day - pregnant_since >= 2 * usual or length >= 3 * usual:
-            if pending is not None and 21 <= day - pending <= 1.75 * usual:
-                add(pending, True)
-                add(day, False)
-            else:
-                add(day, True)
-            pregnant_since = pending = None
-        elif pending is None:
-            pending = day
-        elif period and day - pending >= 21:
-            add(pending, True)
-            if day - pending <= 1.75 * usual:
-                add(day, False)
-            pregnant_since = pending = None
-    return pd.DataFrame(starts, columns=["t", "pregnant"])
+        if known.positive is None and test[k] == 1:
+            known.conceive(day, length)
+        elif known.positive is None and (period or declared):
+            known.enter(day, False)
+            known.last = day
+        if known.positive is not None and not known.kind:
+            kind = "first day" if first[k] else "negative test" if test[k] == -1 else "period" if period else ""
+            if kind:
+                known.first_event(day, kind, length)
+        elif known.positive is not None and known.event != day:
+            known.second_event(day, period, first[k] or test[k] == -1, test[k] == 1)
+        known.learn()
+    return pd.DataFrame({"t": sorted(set(known.starts))})
 
 
 def period_end(days: pd.DataFrame, start: int) -> int:

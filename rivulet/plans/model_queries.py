@@ -21,6 +21,7 @@ def model():
     return dedicated(cycle_model())
 
 
+OVULATORY = ["M", "lE", "hE", "preO", "O", "postO", "Lut"]
 #: Integer costs of the two-state path: staying, changing, and a menses day in the other state.
 STAY, CHANGE, WRONG = 1, 4, 3
 
@@ -72,7 +73,7 @@ def hsmm_simulate(spark: SparkSession, sf: str) -> DataFrame:
 
 @add()
 def hsmm_fit_loglik(spark: SparkSession, sf: str) -> DataFrame:
-    part = model().subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
+    part = model().subset(OVULATORY)
     return decode.fit_panel(prepare_obs(spark, sf), part, lock_transition=True, weight_emission=100).select("seq_id", "loglik", "message")
 
 
@@ -82,10 +83,24 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rule_based_labels(days)
 
 
+#: Cycles to learn from before the one that is forecast: the operator's own number is 4, but ``events`` covers 30 days.
+TRAINING = 2
+
+
+def _stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of complete cycles in a row, by the panel's own cycle numbers."""
+    numbered = prepare_obs(spark, sf).join(cycled(spark, sf).select("seq_id", F.col("t").cast("int").alias("t"), "cycle"), ["seq_id", "t"])
+    return predict.training_stretches(numbered, TRAINING)
+
+
 @add()
 def predict_cycle_length(spark: SparkSession, sf: str) -> DataFrame:
-    part = model().subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
-    return predict.predict_lengths(prepare_obs(spark, sf), part)
+    return predict.predict_lengths(_stretches(spark, sf), model().subset(OVULATORY), TRAINING)
+
+
+@add()
+def predict_next_day(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.predict_observations(_stretches(spark, sf), model().subset(OVULATORY), TRAINING)
 
 
 @add()

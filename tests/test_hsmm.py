@@ -239,10 +239,15 @@ def test_registered_queries_do_the_whole_job(spark, sf):
     from pyspark.sql import functions as F
 
     from rivulet.plans import model_queries
-    from rivulet.plans.domain_queries import prepare_obs
-
-    days = {r.seq_id: r["n"] for r in prepare_obs(spark, sf).groupBy("seq_id").agg(F.count("*").alias("n")).collect()}
-    got = model_queries.predict_cycle_length(spark, sf).select("seq_id", "prefix").collect()
-    assert sorted((r.seq_id, r.prefix) for r in got) == sorted((s, p) for s, n in days.items() for p in range(1, n + 1))
+    from rivulet.plans.panel import cycled
+
+    lengths = cycled(spark, sf).filter("cycle > 0").groupBy("seq_id", "cycle").agg(F.count("*").alias("n")).collect()
+    last, of = {}, {(r.seq_id, r.cycle): r["n"] for r in lengths}
+    for s, c in of:
+        last[s] = max(last.get(s, 0), c)
+    want = [(s, c - 2, d) for (s, c), n in of.items() if c % 3 == 0 and c < last[s] for d in range(1, n + 1)]
+    got = model_queries.predict_cycle_length(spark, sf).collect()
+    assert want and sorted((r.seq_id, r.first_cycle, r.cycleday) for r in got) == sorted(want)
+    assert all(r.cycle_length == of[r.seq_id, r.first_cycle + 2] for r in got)
     fits = model_queries.hsmm_fit_loglik(spark, sf).collect()
     assert all(r.message.startswith("Converged") or len(r.loglik) == 100 for r in fits)

@@ -238,7 +238,84 @@ def test_phase_tables(spark):
     seen = df.withColumn("mucus", F.when(F.col("state") == 5, "fertile"))
     got = predict.observation_table(phases, seen, ["mucus"])
     assert {r.phase_day for r in got.filter("mucus = 'fertile'").collect()} == {13}
-    assert predict.predict_next_day(dedicated(cycle_model()), simulate(dedicated(cycle_model()), "a", 1, days=6, first=1), {"follicular": 3})["phase_day"].max() <= 3
+
+
+def test_phase_days_by_hand():
+    path = np.array([1, 1, 2, 3, 4, 5, 7, 7, 7, 1, 1, 2, 2, 3, 4, 5, 7, 7, 1])  # follicular phases of 6 and 7 days with the ovulation, luteal of 3 and 2
+    got = predict.phase_days(path, 2)
+    assert got.loc[got["phase"] == "luteal", "phase_day"].tolist() == [1, 2, 3, 1, 2]
+    follicular = got.loc[got["phase"] == "follicular"]
+    # mean of 6.5 is taken as 6: the three days before an ovulation stand at 3 to 5, days 1 and 2 at their own place
+    assert follicular["phase_day"].tolist() == [1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6]
+    assert follicular["place"].tolist() == [0, 1, 2, 3, 4, 5, 9, 10, 12, 13, 14, 15]
+
+
+def test_forecasts_of_a_fifth_cycle(spark, simulated):
+    model, _ = simulated
+    part = model.subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
+    days = simulate(part, "a", 4, transitions=50, first=1)
+    days["cycle"] = ((days["state"] == 1) & (days["state"].shift() != 1)).cumsum()
+    channels = [c for c in part.emission]
+    panel = spark.createDataFrame(days[["t", "cycle", *channels]].astype(object).where(days[["t", "cycle", *channels]].notna(), None).assign(seq_id="a"), "t int, cycle long, " + ", ".join(f"{c} {'double' if c == 'temp' else 'string'}" for c in channels) + ", seq_id string")
+    spans = predict.training_stretches(panel)
+    want = days[days["cycle"] == 5]
+    assert days["cycle"].max() > 5 and {r.first_cycle for r in spans.collect()} == {1}
+    got = predict.predict_lengths(spans, part).orderBy("cycleday").collect()
+    assert [r.cycleday for r in got] == list(range(1, len(want) + 1)) and {r.cycle_length for r in got} == {len(want)}
+    assert abs(got[-1].difference) < 12
+    seen = predict.predict_observations(spans, part).collect()
+    assert {r.t for r in seen} <= set(want["t"]) and {r.phase for r in seen} == {"follicular", "luteal"}
+    assert all(r.phase == "follicular" and r.phase_day == 1 for r in seen if r.cycleday == 1)
+
+
+def test_samples_start_where_the_last_state_began():
+    model = dedicated(cycle_model()).subset(["M", "lE", "hE", "preO", "O", "postO", "Lut"])
+    sojourn = np.zeros_like(model.sojourn)
+    sojourn[4, :] = 1  # every state lasts five days
+    from dataclasses import replace
+
+    days = pd.DataFrame({"t": [11, 12], "bleeding": ["medium", "medium"]})
+    x = predict.cycle_length_samples(replace(model, sojourn=sojourn).without([k for k in model.emission if k != "bleeding"]), days, 7)
+    assert x.tolist() == [35.0] * 7
+
+
+def test_going_back_in_untracked_stretches():
+    model = dedicated(cycle_model())
+    days = pd.DataFrame({"t": range(1, 41), "bleeding": ["none"] * 40, "mucus": ["creamy"] * 8 + [None] * 32, "preg": ["neg"] + [None] * 39})
+    at = model.names.index
+    for kind, want in (("BP", 0.001), ("B", 0.0)):
+        own = decode.adjust(model, kind, days)
+        row = model.transition[at("hE")].copy()
+        row[at("lE")], row[at("Ano")] = want, 0
+        assert np.allclose(own.transition[at("hE")], row / row.sum())
+
+
+def starts_of(periods, tests, until=400, first=()):
+    days = pd.DataFrame({"t": range(1, until + 1)})
+    days["menstruation"] = [2 if any(p <= t < p + 3 for p in periods) else 0 for t in days["t"]]
+    days["first_day"] = [t in first for t in days["t"]]
+    days["preg_test"] = [tests.get(t, 0) for t in days["t"]]
+    return rules.cycle_starts(days)["t"].tolist()
+
+
+def test_pregnancy_ends_by_hand():
+    # a period soon after the first sign ends the pregnancy that day
+    assert starts_of([1, 55], {30: 1, 45: -1}) == [1, 55]
+    # a period long after the first sign ends it that day only
+    assert starts_of([1, 85], {30: 1, 33: -1}) == [1, 85]
+    # a period a usual cycle after the first sign ends it at the sign and starts a cycle
+    assert starts_of([1, 75], {30: 1, 45: -1}) == [1, 45, 75]
+    # a period that is confirmed by a negative test was the end
+    assert starts_of([1, 60], {30: 1, 64: -1}) == [1, 60]
+    # a positive test takes the first sign back
+    assert starts_of([1, 80], {30: 1, 45: -1, 50: 1}) == [1]
+    # an early positive test belongs to the cycle before
+    assert starts_of([1, 29], {35: 1}) == [1]
+    # late enough, the first sign ends it
+    assert starts_of([1], {30: 1, 88: -1}) == [1, 88]
+    # with five starts, the median of the last three gaps decides: 25 days make 50 after the test enough
+    assert starts_of([1, 41, 66, 91, 116], {145: 1, 195: -1}) == [1, 41, 66, 91, 116, 195]
+    assert starts_of([1, 41, 81, 106, 131], {160: 1, 210: -1}) == [1, 41, 81, 106, 131, 210]
 
 
 def test_io(spark, tmp_path):
