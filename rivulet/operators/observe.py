@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_position, clamp, if_else, level, lookup
 from .sequence import densify
-from .tables import dominant
+from .tables import with_dominant
 
 BLEEDING = ("none", "spotting", "light", "medium", "heavy")
 MUCUS = ("none", "creamy", "fertile", "very_fertile", "sticky")
@@ -75,12 +75,11 @@ def prepare_obs(days: DataFrame, user: str = "user_id", t: str = "rel_date", lim
     become the level "missing" and days without a row have no bleeding.
     """
     rows = days.select(F.col(user).alias("seq_id"), F.col(t).cast("int").alias("t"), "bleeding", "first_day", "mucus_type", "temperature", "questionable_temp", "LH", "preg_test")
-    odd = dominant(rows, ["seq_id"], "temperature")
-    present = densify(rows.withColumn("__there", F.lit(True)), "seq_id", "t")
+    present = densify(with_dominant(rows, "seq_id", "temperature").withColumn("__there", F.lit(True)), "seq_id", "t")
     score = F.when(F.col("__there"), F.coalesce("bleeding", F.lit(0.0)))
     score = F.when(F.coalesce("first_day", F.lit(False)) & (F.coalesce(score, F.lit(0.0)) < 1), F.lit(2.0)).otherwise(score)
     kept = F.when(~F.coalesce("questionable_temp", F.lit(False)) & ~F.coalesce(F.col("temperature") == F.col("odd"), F.lit(False)), F.col("temperature"))
-    out = present.join(odd, "seq_id", "left").withColumn("__kept", kept)
+    out = present.withColumn("__kept", kept)
     middle = F.percentile("__kept", 0.5).over(Window.partitionBy("seq_id"))
     out = out.withColumn("temp", clamp(F.col("__kept") - middle, -limit, limit))
     found = {"bleeding": bleeding_label(score), "mucus": lookup("mucus_type", MUCUS_OF_KIND), "LH": test_label(F.col("LH")), "preg": test_label(F.col("preg_test"))}

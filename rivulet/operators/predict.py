@@ -27,19 +27,19 @@ def replay_baseline(days: DataFrame, channels: list[str], back: int = -18, seq:
     to have the mean length of the past ones, halves to even. Days beyond it take the last day's forecast.
     """
     df = places(days, [seq, cycle])
-    by_cycle = df.groupBy(seq, cycle).agg(F.max("day").alias("length"))
-    past = Window.partitionBy(seq).orderBy(cycle).rowsBetween(Window.unboundedPreceding, -1)
-    expected = by_cycle.withColumn("expected", F.bround(F.avg("length").over(past)).cast("int")).drop("length")
-    df = df.join(expected, [seq, cycle])
-    known = df.withColumn("slot", F.when(F.col("day_back") >= back, F.col("day_back")).otherwise(F.col("day")))
+    past = Window.partitionBy(seq).orderBy(cycle).rangeBetween(Window.unboundedPreceding, -1)
+    length = F.when(F.col("day_back") == -1, F.col("day"))  # on a cycle's last day
+    df = df.withColumn("expected", F.bround(F.avg(length).over(past)).cast("int"))
+    slot = F.when(F.col("day_back") >= back, F.col("day_back")).otherwise(F.col("day"))
     day = F.least("day", "expected")
     target = F.when(day - F.col("expected") - 1 >= back, day - F.col("expected") - 1).otherwise(day)
-    wanted = df.filter("expected is not null").withColumn("slot", target)
-    # one pass in order of cycles: values carried forward within (sequence, slot)
-    rows = known.select(seq, cycle, "slot", F.lit(1).alias("__after"), *[F.col(c).alias(f"__{c}") for c in channels], F.lit(None).cast(df.schema["t"].dataType).alias("t"))
-    asks = wanted.select(seq, cycle, "slot", F.lit(0).alias("__after"), *[F.lit(None).cast(df.schema[c].dataType).alias(f"__{c}") for c in channels], "t")
+    # each day says what it knows and asks for its forecast; one pass in order of cycles carries values forward within (sequence, slot)
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(f"__{c}") for c in channels]
+    says = F.struct(slot.alias("slot"), F.lit(1).alias("__after"), *[F.col(c).alias(f"__{c}") for c in channels])
+    asks = F.when(F.col("expected").isNotNull(), F.struct(target.alias("slot"), F.lit(0).alias("__after"), *none))
+    both = df.select(seq, cycle, "t", F.explode(F.array_compact(F.array(says, asks))).alias("x")).select(seq, cycle, "t", "x.*")
     by = Window.partitionBy(seq, "slot").orderBy(cycle, "__after").rowsBetween(Window.unboundedPreceding, -1)
-    both = rows.unionByName(asks).withColumns({f"forecast_{c}": F.last(f"__{c}", True).over(by) for c in channels})
+    both = both.withColumns({f"forecast_{c}": F.last(f"__{c}", True).over(by) for c in channels})
     return both.filter("__after = 0").select(seq, cycle, "t", *[f"forecast_{c}" for c in channels])
 
 

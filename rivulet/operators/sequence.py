@@ -29,17 +29,18 @@ def relative_day(df: DataFrame, seq: str = "seq_id", date: str = "d", name: str
 def densify(df: DataFrame, seq: str = "seq_id", date: str = "d") -> DataFrame:
     """One row for each day from a sequence's first to its last; new rows have missing values.
 
-    Of several rows of one day the one that sorts first by all its columns stays.
+    Of several rows of one day the one that sorts first by all its columns stays; a row without a day is left out. Each
+    row stands for the days until the next one, so all is one pass over the sorted sequence and the days need no join.
     """
     others = [c for c in df.columns if c not in (seq, date)]
-    if others:
-        place = F.row_number().over(Window.partitionBy(seq, date).orderBy(*others))
-        df = df.withColumn("__place", place).filter("__place = 1").drop("__place")
-    else:
-        df = df.distinct()
-    days = df.groupBy(seq).agg(F.min(date).alias("__a"), F.max(date).alias("__b"))
-    days = days.select(seq, F.explode(F.sequence("__a", "__b")).alias(date))
-    return days.join(df, [seq, date], "left")
+    sorted_rows = Window.partitionBy(seq).orderBy(date, *others)
+    first = df.filter(F.col(date).isNotNull()).withColumn("__before", F.lag(date).over(sorted_rows))
+    first = first.filter(F.col("__before").isNull() | (F.col("__before") < F.col(date)))
+    after = F.lead(date).over(Window.partitionBy(seq).orderBy(date))
+    kind = df.schema[date].dataType.typeName()
+    stop = F.date_sub(after, 1) if kind == "date" else after - F.expr("interval 1 day") if kind.startswith("timestamp") else after - F.lit(1).cast(df.schema[date].dataType)
+    days = first.withColumn("__stop", F.coalesce(stop, F.col(date))).withColumn("__day", F.explode(F.sequence(date, "__stop")))
+    return days.select(seq, F.col("__day").alias(date), *[F.when(F.col("__day") == F.col(date), F.col(c)).alias(c) for c in others])
 
 
 def locf(x: Column | str, *keys: str, by: str = "t") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,15 @@ def share_within(df: DataFrame, keys: list[str], within: list[str], weight: str
 
 def all_levels(df: DataFrame, axes: dict[str, list], value: str, zero=0) -> DataFrame:
     """A frequency table with its empty cells; the axes are short fixed lists."""
-    spark = df.sparkSession
-    grid = None
-    for name, levels in axes.items():
-        axis = spark.createDataFrame([(x,) for x in levels], [name])
-        grid = axis if grid is None else grid.crossJoin(axis)
-    return grid.join(df, list(axes), "left").withColumn(value, F.coalesce(value, F.lit(zero)))
+    cells = product(*axes.values())
+    schema = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in axes)
+    grid = df.sparkSession.createDataFrame(list(cells), schema)
+    # the cells are rows of the table that lose to its own: a union and one aggregate, without a join
+    both = df.withColumn("__own", F.lit(1)).unionByName(grid.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    others = [c for c in df.columns if c not in axes]
+    inside = reduce(lambda a, b: a & b, [F.col(name).isin(levels) for name, levels in axes.items()])
+    own = both.filter(inside).groupBy(*axes).agg(F.max_by(F.struct(*others), "__own").alias("__row"))
+    return own.select(*axes, *[F.col("__row")[c].alias(c) for c in others]).withColumn(value, F.coalesce(value, F.lit(zero)))
 
 
 def longer(df: DataFrame, ids: list[str], values: list[str], name: str = "name", value: str = "value", prefix: str = "") -> DataFrame:
@@ -64,3 +68,15 @@ def dominant(df: DataFrame, keys: list[str], value: str, factor: float = 5.0) ->
     by = Window.partitionBy(*keys).orderBy(F.desc("n"), F.col(value))
     ranked = counted.withColumn("place", F.row_number().over(by)).withColumn("next", F.lead("n").over(by)).filter("place = 1")
     return ranked.select(*keys, F.when(F.col("next").isNull() | (F.col("n") > factor * F.col("next")), F.col(value)).alias("odd"))
+
+
+def with_dominant(df: DataFrame, key: str, value: str, factor: float = 5.0) -> DataFrame:
+    """Adds ``odd`` (see ``dominant``) to every row, by windows on one dealing of the rows by key."""
+    n = F.count(value).over(Window.partitionBy(key, value))
+    by = Window.partitionBy(key).orderBy(F.desc("__n"), F.col(value)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = df.withColumn("__n", F.when(F.col(value).isNotNull(), n)).withColumn("__top", F.first(value).over(by))
+    whole = Window.partitionBy(key)
+    most = lambda own: F.max(F.when((F.col(value) == F.col("__top")) == own, F.col("__n"))).over(whole)
+    ranked = counted.withColumns({"__most": most(F.lit(True)), "__next": most(F.lit(False))})
+    odd = F.when(F.col("__next").isNull() | (F.col("__most") > factor * F.col("__next")), F.col("__top"))
+    return ranked.withColumn("odd", odd).drop("__n", "__top", "__most", "__next")
