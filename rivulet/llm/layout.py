@@ -3,15 +3,19 @@
 A tokenizer and a tree builder read any string as HTML: tags that HTML lets an
 author leave out are implied, stray end tags are ignored, a quote that is never
 closed ends with its tag, and nesting deeper than ``DEEPEST`` goes on at that
-depth. Visibility follows the ``hidden``
-attribute, inline ``display:none`` and ``visibility``, the same declarations
-for simple selectors (tag, .class, #id) in the page's own style sheets, and
-elements that are never shown (head, script, noscript, closed details, ...).
+depth. Visibility follows the page's own style sheets and inline styles as they
+hold on a screen (see ``styles``), the ``hidden`` attribute and closed dialogs
+unless a style shows them, closed details, and elements that are never shown
+(head, script, noscript, ...). Of an SVG drawing only its ``text`` and
+``foreignObject`` show; formulas in MathML show without their annotations.
 
 All other text is kept: paragraphs and headings stand between empty lines,
 other blocks on lines of their own, list items behind bullets or numbers and
-indented by depth, and table cells in aligned columns (no cell is padded to
-more than ``WIDEST``). White space is collapsed except in preformatted text.
+indented by depth, and table cells in aligned columns. After a cell that is too
+long for its column (columns are at most ``WIDEST`` wide) the row goes on in
+the next line, so that the next cell stands in its column all the same.
+Buttons and fields show their values. White space is collapsed except in
+preformatted text.
 
 Defined cases: null and empty pages have an empty text; a null page_id is
 carried along; repeated rows are rendered each; pages are rendered whole. An
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import only, steps
+from .styles import Sheets
 
 DEEPEST, WIDEST, GAP = 256, 60, "  "
 
@@ -38,7 +43,10 @@ def _set(names: str) -> frozenset[str]:
 
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW, ESCAPABLE = _set("script style xmp iframe noembed noframes"), _set("textarea title")
-UNSEEN = _set("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math title")
+UNSEEN = _set("head script style template noscript iframe noembed noframes datalist object audio video canvas title annotation annotation-xml")
+#: Inside a drawing only these show.
+DRAWN = _set("text foreignobject")
+VALUED = _set("submit button reset text search url tel email number date time month week datetime-local")
 SPACED = _set("p h1 h2 h3 h4 h5 h6 blockquote pre dl figure ul ol menu dir table xmp")
 BLOCK = SPACED | _set("html body address article aside center details dialog div dd dt fieldset figcaption footer form header hgroup hr legend li main nav optgroup option search section summary tr td th caption thead tbody tfoot")
 ENDS_P = BLOCK - _set("html body dd dt li option optgroup tr td th caption thead tbody tfoot legend") | _set("dd dt li")
@@ -65,23 +73,26 @@ _FENCE = _set("table td th caption")  # an end tag does not reach out of these
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|([!?/]))")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent", "before", "last")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.before = parent.last if parent else None  # the element before it
+        self.last = None  # its last element
+        if parent:
+            parent.children.append(self)
+            parent.last = self
 
 
 class Builder:
-    """Tree of a page; ``hiding`` gets the selectors of its style sheets that hide things."""
+    """Tree of a page, and its style sheets."""
 
     def __init__(self, page: str):
         self.root = Node("html", {})
-        self.open, self.hiding = [self.root], {}
+        self.open, self.sheets = [self.root], Sheets()
         self.read(page)
 
     def read(self, page: str) -> None:
@@ -107,6 +118,9 @@ class Builder:
                 self.end(name)
                 continue
             self.start(name, attrs)
+            if page[at - 2 : at] == "/>" and self.open[-1].tag == name and any(x.tag in ("svg", "math") for x in self.open):
+                self.open.pop()  # in drawings and formulas a slash ends an element
+                continue
             if name in RAW or name in ESCAPABLE:
                 lower = page.lower() if lower is None else lower
                 if len(lower) != n:  # a few characters change their length in lower case
@@ -115,8 +129,8 @@ class Builder:
                 end = n if end < 0 else end
                 if body := page[at:end]:
                     self.open[-1].children.append(html.unescape(body) if name in ESCAPABLE else body)
-                if name == "style":
-                    self.sheet(body)
+                if name == "style" and attrs.get("type", "").lower() in ("", "text/css"):
+                    self.sheets.add(body, attrs.get("media", ""))
                 at = end
                 if end == n:
                     return
@@ -132,13 +146,6 @@ class Builder:
             attrs.setdefault(m[2].lower(), html.unescape(value) if "&" in value else value)
         return attrs, len(page)
 
-    def sheet(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            how = hides(body)
-            for s in (x.strip() for x in selectors.split(",")):
-                if how and _SIMPLE.fullmatch(s):
-                    self.hiding[s.lower() if s[0] not in ".#" else s] = how
-
     def text(self, raw: str) -> None:
         if not raw.strip(" \t\n\r\f"):
             self.open[-1].children.append(raw)
@@ -161,6 +168,8 @@ class Builder:
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html" or tag == "body" and any(x.tag == "body" for x in self.open):
+            own = next(x for x in self.open if x.tag == tag)
+            own.attrs = attrs | own.attrs  # what is said first holds
             return
         if self.open[-1].tag == "head" and tag not in _IN_HEAD:
             self.open.pop()
@@ -168,10 +177,9 @@ class Builder:
             self.close(_set("p"), _FENCE | _set("button"))
         if tag in ENDS:
             self.close(*ENDS[tag])
-        node = Node(tag, attrs)
         if len(self.open) >= DEEPEST:
             self.open.pop()
-        self.open[-1].children.append(node)
+        node = Node(tag, attrs, self.open[-1])
         if tag not in VOID:
             self.open.append(node)
 
@@ -190,19 +198,6 @@ class Builder:
                 return
 
 
-def hides(style: str) -> str:
-    """``gone``, ``hidden``, ``shown`` or nothing, by the declarations in ``style``."""
-    how = ""
-    for part in style.lower().split(";"):
-        name, _, value = part.partition(":")
-        value = value.replace("!important", "").strip()
-        if name.strip() == "display" and value == "none":
-            return "gone"
-        if name.strip() == "visibility":
-            how = "hidden" if value in ("hidden", "collapse") else "shown"
-    return how
-
-
 class Flow:
     """Lines of text that grow by words, breaks and blocks of ready lines."""
 
@@ -276,10 +271,11 @@ class Flow:
 class Renderer:
     def __init__(self, page: str):
         built = Builder(page)
-        self.hiding, self.root = built.hiding, built.root
+        self.sheets, self.root = built.sheets, built.root
 
     def text(self) -> str:
-        return "\n".join(self.lines(self.root, False, True, 0))
+        shown = self.seen(self.root, True)
+        return "" if shown is None else "\n".join(self.lines(self.root, False, shown, 0))
 
     def lines(self, node: Node, pre: bool, seen: bool, depth: int) -> list[str]:
         flow = Flow()
@@ -289,14 +285,14 @@ class Renderer:
     def seen(self, node: Node, seen: bool) -> bool | None:
         """None: neither the element nor anything in it; else whether its own text shows."""
         tag, a = node.tag, node.attrs
-        if tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in a:
+        if tag in UNSEEN:
             return None
-        hows = [hides(a["style"])] if "style" in a else []
-        if self.hiding:
-            hows += [self.hiding.get(k, "") for k in (tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split()))]
-        if "gone" in hows:
+        how = self.sheets.of(node) if self.sheets.rules or "style" in a else {}
+        kept_back = "hidden" in a and a["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in a
+        if how.get("display", "none" if kept_back else "") == "none":
             return None
-        return next((h == "shown" for h in hows if h), seen)
+        visible = how.get("visibility", "inherit")
+        return seen if visible in ("inherit", "unset") else visible not in ("hidden", "collapse")
 
     def inside(self, node: Node, flow: Flow, pre: bool, seen: bool, depth: int) -> None:
         shut = node.tag == "details" and "open" not in node.attrs
@@ -313,7 +309,18 @@ class Renderer:
             flow.turn()
             return
         shown = self.seen(node, seen)
-        if shown is None or tag in VOID and tag != "hr":
+        if shown is None:
+            return
+        if tag == "input":
+            kind = node.attrs.get("type", "text").lower()
+            if shown and kind in VALUED:
+                for part in (" ", node.attrs.get("value") or {"submit": "Submit", "reset": "Reset"}.get(kind, ""), " "):
+                    flow.words(part)
+            return
+        if tag in VOID and tag != "hr":
+            return
+        if tag == "svg":
+            self.drawing(node, flow, pre, shown, depth)
             return
         if tag == "table":
             flow.rest(2)
@@ -336,6 +343,21 @@ class Renderer:
         else:
             self.inside(node, flow, pre or tag in ("textarea", "listing"), shown, depth)
 
+    def drawing(self, node: Node, flow: Flow, pre: bool, seen: bool, depth: int) -> None:
+        """Texts of a drawing, each a word of its own; what is only defined is not drawn."""
+        for child in node.children:
+            if isinstance(child, str) or child.tag in ("defs", "symbol", "clippath", "mask", "marker", "pattern", "metadata", "desc"):
+                continue
+            shown = self.seen(child, seen)
+            if shown is None:
+                continue
+            if child.tag in DRAWN:
+                flow.words(" ")
+                self.inside(child, flow, pre, shown, depth)
+                flow.words(" ")
+            else:
+                self.drawing(child, flow, pre, shown, depth)
+
     def indented(self, node: Node, flow: Flow, mark: str, pre: bool, seen: bool, depth: int) -> None:
         body, blank = self.lines(node, pre, seen, depth), " " * len(mark)
         flow.block([(blank if k else mark) + x if x or not k else "" for k, x in enumerate(body)])
@@ -408,7 +430,10 @@ class Renderer:
                 for at, body in line:
                     if k < len(body) and body[k]:
                         goal = left.get(at, 0)
-                        text = (text + GAP if text and len(text) + len(GAP) > goal else text.ljust(goal)) + body[k]
+                        if text and len(text) + len(GAP) > goal:
+                            out.append(text)
+                            text = ""
+                        text = text.ljust(goal) + body[k]
                 out.append(text)
         head = before.done()
         return head + out
