@@ -9,15 +9,22 @@ templates, which are few whatever the corpus.
 
 Templates fall into scales by their number of shingles n: scale L is the least
 power of two with L >= n. The text is cut to windows of 2L positions, one every
-L, so that any run of n positions lies within a window. The window's set (its
-shingles from templates of that scale) and the templates' sets get min-hashes,
-and each of ``BANDS`` bands of one min-hash retrieves the templates that agree.
-A window that holds a template has a Jaccard similarity J with it, which is
-its share among the template shingles of the scale in the window; the template is missed with
-probability (1 - J)**BANDS: below 0.002 for J of a quarter, below 1e-9 from
-J = 0.5 on. A retrieved template is a match if the window holds at least
-``CONTAINMENT`` of its distinct shingles, counted exactly. Of matches that share a
-place in the text the ones with the highest containment stay.
+L. The window's set (its shingles from templates of that scale) and the
+templates' sets get min-hashes, each of ``BANDS`` by a hash function of its own,
+and each retrieves the templates that agree. In a text that holds a share c of
+a template's shingles, however far apart, the template's least shingle is there
+with probability c. It retrieves the template if it is the least of its window
+too, which it is unless the window holds other templates of that scale. So with
+c of ``CONTAINMENT`` or more the template is missed with probability
+(1 - c)**BANDS, below 1e-22; where a window's other shingles leave it a share J
+of the window's set, (1 - J)**BANDS: below 1e-4 for J of a quarter.
+
+A retrieved template is a match if the whole text holds at least
+``CONTAINMENT`` of its distinct shingles, counted exactly, whatever stands
+between them (page breaks, headings, comments). Its place is that of the part
+which holds most of them, where parts are further than a window apart. Of
+matches whose places overlap the ones with the highest containment stay; all of
+them where that is equal, as for a notice within a whole licence.
 
 Defined cases: null and empty texts, and texts of under five words, match
 nothing, and documents without a match have no row. Rows are told apart even if
@@ -27,9 +34,9 @@ An empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
-import random
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, only
@@ -73,8 +80,7 @@ _ZLIB = """This software is provided 'as-is', without any express or implied war
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
 purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
 restrictions"""
-#: Name -> text; names are SPDX identifiers with the form of the text.
-TEMPLATES = {
+STATEMENTS = {
     "MIT/text": _MIT,
     "MIT/statement": "Released under the MIT License.",
     "MIT/statement-licensed": "Licensed under the MIT License.",
@@ -102,6 +108,15 @@ TEMPLATES = {
 }
 
 
+def texts_in(folder: str | Path) -> dict[str, str]:
+    """Whole licences: each file <name>.txt of a folder as <name>/text."""
+    return {f"{x.stem}/text": x.read_text("utf-8") for x in sorted(Path(folder).glob("*.txt"))}
+
+
+#: Name -> text; names are SPDX identifiers with the form of the text.
+TEMPLATES = STATEMENTS | texts_in(Path(__file__).with_name("license_texts"))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -128,14 +143,12 @@ def template_shingles(spark: SparkSession, templates: dict[str, str], size: int
 
 def sketch(sets: DataFrame, keys: list[str], bands: int = BANDS) -> DataFrame:
     """``sets`` (keys, h) -> keys, band, value: the min-hash of each set in each band."""
-    bits = random.Random(21)
-    masks = [bits.getrandbits(63) - (1 << 62) for _ in range(bands)]
-    least = sets.groupBy(*keys).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+    least = sets.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands)])
     return least.select(*keys, F.posexplode(F.array(*[f"m{k}" for k in range(bands)])).alias("band", "value"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, size: int = WORDS, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each document and matched template: doc_id, template, containment (the best window's), first_word, last_word."""
+    """A row for each document and matched template: doc_id, template, containment, first_word, last_word."""
     spark = docs.sparkSession
     known = materialize(template_shingles(spark, templates or TEMPLATES, size).coalesce(1), "templates")
     wanted = F.broadcast(known.select("h").distinct())  # at most MOST_WORDS rows
@@ -144,20 +157,22 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, size:
 
     scaled = hits.join(F.broadcast(known.select("h", "scale").distinct()), "h")
     own = F.floor(F.col("pos") / F.col("scale"))
-    windows = scaled.select("row", "pos", "h", "scale", F.explode(F.array(own, own - 1)).alias("window"))
-    places = ["row", "scale", "window"]
+    windows = scaled.select("row", "h", "scale", F.explode(F.array(own, own - 1)).alias("window"))
     bands_of = sketch(known.select("template", "scale", "h"), ["template", "scale"], bands)
-    found = sketch(windows, places, bands).join(F.broadcast(bands_of), ["scale", "band", "value"]).select(*places, "template").distinct()
-    # exact: distinct shingles of the template in the window
-    held = windows.join(F.broadcast(known.select("template", "scale", "h", "n")), ["scale", "h"])
-    counted = held.groupBy(*places, "template", "n").agg(F.count_distinct("h").alias("held"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    matched = counted.join(found, [*places, "template"], "left_semi").filter(F.col("held") >= containment * F.col("n"))
-    best = F.max(F.struct((F.col("held") / F.col("n")).alias("containment"), (-F.col("low")).alias("first"), F.col("high").alias("last"))).alias("best")
-    single = matched.groupBy("row", "template").agg(best).select(
-        "row", F.struct("template", "best.containment", (-F.col("best.first")).cast("int").alias("first_word"), (F.col("best.last") + size - 1).cast("int").alias("last_word")).alias("match")
-    )
+    found = sketch(windows, ["row", "scale", "window"], bands).join(F.broadcast(bands_of), ["scale", "band", "value"]).select("row", "template").distinct()
+
+    # exact: distinct shingles of the template in the text, and in its parts
+    of = ["row", "template"]
+    held = hits.join(F.broadcast(known.select("template", "scale", "h", "n")), "h").join(found, of, "left_semi")
+    by = Window.partitionBy(*of).orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(by) > 2 * F.col("scale"), F.lit(True))
+    parts = held.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(by))
+    counted = parts.groupBy(*of, "n", "part").agg(F.collect_set("h").alias("own"), F.min("pos").alias("low"), F.max("pos").alias("high"))  # sets of n at most
+    fullest = F.max(F.struct(F.size("own").alias("size"), (-F.col("low")).alias("first"), F.col("high").alias("last"))).alias("part")
+    matched = counted.groupBy(*of, "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("held"), fullest).filter(F.col("held") >= containment * F.col("n"))
+    match = F.struct("template", (F.col("held") / F.col("n")).alias("containment"), (-F.col("part.first")).cast("int").alias("first_word"), (F.col("part.last") + size - 1).cast("int").alias("last_word"))
     # of templates that share a place, such as versions of one licence, those that fit best; a row has no more matches than there are templates
-    together = single.groupBy("row").agg(F.collect_list("match").alias("all"))
+    together = matched.groupBy("row").agg(F.collect_list(match).alias("all"))
 
     def beaten(m: Column) -> Column:
         return F.exists("all", lambda n: (n["containment"] > m["containment"]) & (n["first_word"] <= m["last_word"]) & (m["first_word"] <= n["last_word"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import rules
+from . import licenses, rules
 
 _RULES = r"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -47,7 +47,29 @@ _RULES = r"""
         FROM judged j LEFT JOIN cuts c ON c.lang IS NOT DISTINCT FROM j.lang AND c.source IS NOT DISTINCT FROM j.source
 """.format(gamma=repr(rules._GAMMA), log_gamma=repr(math.log(rules._GAMMA)), least=rules.LEAST_ROWS, fence=rules.FENCE)
 
+
+def _scan() -> str:
+    quoted = ",\n            ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in licenses.TEMPLATES.items())
+    return rf"""
+        WITH t(template, text) AS (VALUES {quoted}),
+        tw AS (SELECT template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM t),
+        ts AS (SELECT DISTINCT template, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle FROM (SELECT template, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
+        size AS (SELECT template, count(*) AS n, pow(2, ceil(log2(count(*)))) AS scale FROM ts GROUP BY template),
+        dw AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+        ds AS (SELECT row, doc_id, i - 1 AS pos, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle FROM (SELECT row, doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw)),
+        held AS (SELECT row, doc_id, template, shingle, n, pos, coalesce(pos - lag(pos) OVER (PARTITION BY row, template ORDER BY pos) > 2 * scale, true) AS apart FROM ds JOIN ts USING (shingle) JOIN size USING (template)),
+        parts AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY row, template ORDER BY pos) AS part FROM held),
+        counted AS (SELECT row, template, part, count(DISTINCT shingle) AS size, min(pos) AS low, max(pos) AS high FROM parts GROUP BY ALL),
+        fullest AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY row, template ORDER BY size DESC, low, high DESC) = 1),
+        matched AS (SELECT row, doc_id, template, count(DISTINCT shingle) / n AS containment FROM held GROUP BY row, doc_id, template, n HAVING count(DISTINCT shingle) >= {licenses.CONTAINMENT} * n),
+        placed AS (SELECT m.*, CAST(low AS INT) AS first_word, CAST(high + 4 AS INT) AS last_word FROM matched m JOIN fullest USING (row, template))
+        SELECT doc_id, template, containment, first_word, last_word FROM placed m
+        WHERE NOT EXISTS (SELECT 1 FROM placed n WHERE n.row = m.row AND n.containment > m.containment AND n.first_word <= m.last_word AND m.first_word <= n.last_word)
+    """
+
+
 ORACLES = {
+    "op9_license_scan": _scan(),
     "op3_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

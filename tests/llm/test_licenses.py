@@ -46,6 +46,27 @@ def test_the_best_of_overlapping_templates_stays(spark):
     assert got[100 + names.index("GPL-3.0/notice")] == {"GPL-3.0/notice"}
 
 
+def test_stretched_texts_at_all_offsets(spark):
+    text = " ".join(licenses.TEMPLATES["Apache-2.0/notice"].split()[:68])  # 64 shingles
+    half = text.split()
+    rows = [(k, f"{prose(k, k)} {' '.join(half[:34])} {prose(90 + k, 70)} {' '.join(half[34:])} {prose(200 + k, 40)}") for k in range(0, 64, 2)]
+    pages = [(1000 + k, " ".join(f"{x} {prose(300 + j, 60)}" for j, x in enumerate(" ".join(half[i : i + 17]) for i in range(0, 68, 17)))) for k in range(3)]
+    got = licenses.license_scan(table(spark, rows + pages), {"A": text}, containment=0.7).collect()
+    assert {r.doc_id for r in got} == {i for i, t in rows + pages if len(shingles(t) & shingles(text)) >= 0.7 * len(shingles(text))}
+    assert {r.doc_id for r in got} >= {i for i, _ in rows}
+
+
+def test_whole_licenses(spark):
+    names = [n for n in licenses.TEMPLATES if n.endswith("/text") and len(licenses.TEMPLATES[n]) > 5000]
+    assert len(names) >= 9
+    rows = [(k, f"{prose(k, 50)}\n{licenses.TEMPLATES[n]}") for k, n in enumerate(names)]
+    got = {}
+    for r in licenses.license_scan(table(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.template)
+    assert all(n in got[k] for k, n in enumerate(names))
+    assert not any(other in got[k] for k, n in enumerate(names) for other in names if other != n)
+
+
 def test_place(spark):
     (r,) = licenses.license_scan(table(spark, [(1, f"one two three. {licenses.TEMPLATES['MIT/statement']} end")])).collect()
     assert (r.template, r.first_word, r.last_word, r.containment) == ("MIT/statement", 3, 7, 1.0)
