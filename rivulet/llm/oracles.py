@@ -70,6 +70,34 @@ def _scan() -> str:
 
 ORACLES = {
     "op9_license_scan": _scan(),
+    "op8_chat_quotes": r"""
+        WITH RECURSIVE source AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text, row_number() OVER () AS row FROM conversations),
+        cut AS (SELECT row, conv_id, turn, unnest(range(0, len(ls))) AS number, unnest(ls) AS raw FROM (SELECT *, string_split(text, chr(10)) AS ls FROM source)),
+        marked AS (SELECT *, regexp_extract(raw, '^(?:[ \t]{0,3}>)+[ \t]?') AS mark FROM cut),
+        lines AS (SELECT row, conv_id, turn, number, raw, mark, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(substr(raw, length(mark) + 1)), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM marked),
+        texts AS (SELECT row, regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (mark = ''), ''), '^\s+|\s+$', '', 'g') AS own FROM lines GROUP BY row),
+        filled AS (SELECT *, coalesce(lag(level) OVER w <> level OR lag(number) OVER w + 1 <> number, true) AS new FROM lines WHERE line <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL WINDOW w AS (PARTITION BY row ORDER BY number)),
+        runs AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY row ORDER BY number) AS run FROM filled),
+        passages AS (SELECT row, conv_id, turn, run, level, list(line ORDER BY number) AS ls FROM runs GROUP BY ALL),
+        quoted AS (SELECT conv_id, turn, level, len(ls) AS m, array_to_string(ls, ' ') AS said FROM passages WHERE level > 0),
+        said AS (
+            SELECT conv_id, turn, array_to_string(ls, ' ') AS said FROM passages WHERE level = 0
+            UNION ALL SELECT conv_id, turn, array_to_string(list_slice(ls, i, i + m - 1), ' ') FROM (SELECT p.*, m, unnest(range(1, len(ls) - m + 2)) AS i FROM passages p JOIN (SELECT DISTINCT conv_id, m FROM quoted) USING (conv_id) WHERE level = 0 AND m < len(ls))),
+        firsts AS (SELECT conv_id, said, min(turn) AS original FROM said GROUP BY ALL),
+        links AS (SELECT conv_id, turn, level, original FROM quoted JOIN firsts USING (conv_id, said) WHERE original < turn),
+        parents AS (SELECT conv_id, turn, max(original) AS parent FROM links l WHERE level = (SELECT min(level) FROM links k WHERE k.conv_id = l.conv_id AND k.turn = l.turn) GROUP BY ALL),
+        up AS (
+            SELECT conv_id, turn, parent AS thread, 1 AS depth FROM parents
+            UNION ALL SELECT u.conv_id, u.turn, p.parent, u.depth + 1 FROM up u JOIN parents p ON p.conv_id = u.conv_id AND p.turn = u.thread),
+        traced AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
+        messages AS (SELECT s.conv_id, s.turn, coalesce(t.thread, s.turn) AS thread, coalesce(t.depth, 0) AS depth FROM (SELECT DISTINCT conv_id, turn FROM source WHERE conv_id IS NOT NULL AND turn IS NOT NULL) s LEFT JOIN traced t USING (conv_id, turn)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS place FROM messages),
+        n_quotes AS (SELECT conv_id, turn, count(*) AS n_quotes FROM quoted GROUP BY ALL),
+        n_linked AS (SELECT conv_id, turn, count(*) AS n_linked FROM links GROUP BY ALL)
+        SELECT s.conv_id, place, s.turn, role, own AS text, parent, coalesce(thread, s.turn) AS thread, coalesce(depth, 0) AS depth, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+            '<|' || coalesce(role, 'user') || '|>' || chr(10) || own || chr(10) || '<|end|>' || chr(10) AS formatted
+        FROM source s JOIN texts USING (row) LEFT JOIN placed USING (conv_id, turn) LEFT JOIN parents USING (conv_id, turn) LEFT JOIN n_quotes USING (conv_id, turn) LEFT JOIN n_linked USING (conv_id, turn)
+    """,
     "op3_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

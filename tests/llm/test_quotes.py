@@ -39,7 +39,7 @@ def truth(rows):
         parsed[c, t] = parse(text)
         for level, lines in parsed[c, t][0]:
             if level == 0:
-                for unit in {" ".join(lines), *lines}:
+                for unit in {" ".join(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)}:
                     says[c][unit].append(t)
     parent = {}
     for (c, t), (found, _) in parsed.items():
@@ -68,7 +68,8 @@ def conversations():
             text = []
             if said and r.random() < 0.7:
                 _, lines = r.choice(said)
-                part = lines if r.random() < 0.5 else [r.choice(lines)]
+                low = r.randrange(len(lines))
+                part = lines if r.random() < 0.5 else lines[low : r.randint(low + 1, len(lines))]
                 if r.random() < 0.3:
                     earlier = r.choice(said)[1]
                     text += [f"> > {x}" for x in earlier]
@@ -84,8 +85,45 @@ def test_against_brute_force(spark):
     assert got == truth(rows)
 
 
+def test_runs_of_lines_link(spark):
+    own = [f"line {k} of five" for k in range(5)]
+    rows = [(c, 0, "user", "hello\n\n" + "\n".join(own)) for c in range(15)]
+    spans = [(i, j) for i in range(5) for j in range(i + 1, 6)]
+    rows += [(c, 1, "user", "\n".join(f"> {x}" for x in own[i:j]) + "\nyes") for c, (i, j) in enumerate(spans)]
+    got = [r for r in quotes.format_chats(frame(spark, rows)).collect() if r.turn == 1]
+    assert len(got) == 15 and all((r.parent, r.n_quotes, r.n_linked) == (0, 1, 1) for r in got)
+
+
+def test_conversation_rows(spark):
+    rows = conversations()
+    messages = quotes.format_chats(frame(spark, rows + rows[:3]))
+    got = quotes.conversations(messages, 4).collect()
+    want = {}
+    for (c, t), (own, parent, thread, depth) in truth(rows).items():
+        want.setdefault(c, []).append((thread, t, own))
+    for c, all_ in want.items():
+        parts = sorted((r.part, r.messages) for r in got if r.conv_id == c)
+        assert [p for p, _ in parts] == list(range(len(parts))) and all(len(m) <= 4 for _, m in parts)
+        assert [(m.thread, m.turn, m.text) for _, ms in parts for m in ms] == sorted(all_)
+    first = next(r for r in got if r.conv_id == 1 and r.part == 0)
+    assert first.text == "".join(m.formatted for m in first.messages)
+    places = {(r.conv_id, r.place) for r in messages.collect()}
+    assert places == {(c, k) for c, all_ in want.items() for k in range(len(all_))}
+
+
+def test_against_sql(spark, tmp_path):
+    from ..oracle import differences
+
+    (tmp_path / "x").mkdir()
+    full = conversations() + [(90, 0, None, None), (90, 1, "user", "> a\r\n>> b\rc"), (None, 1, "user", "> x"), (91, None, "user", "y"), (92, 0, "user", "p"), (92, 0, "user", "p"), (92, 1, "user", "> p\nq")]
+    frame(spark, full).select("conv_id", "turn", "role", "text").coalesce(1).write.parquet(str(tmp_path / "x/conversations.parquet"))
+    from rivulet.llm.queries import ORACLES, QUERIES
+
+    assert differences(spark, str(tmp_path / "x"), QUERIES["op8_chat_quotes"], ORACLES["op8_chat_quotes"]) is None
+
+
 def test_reply_order_puts_answers_after_what_they_answer(spark):
-    got = quotes.format_chats(frame(spark, conversations())).orderBy("conv_id", "thread", "turn").collect()
+    got = quotes.format_chats(frame(spark, conversations())).orderBy("conv_id", "place").collect()
     seen = set()
     for r in got:
         assert r.parent is None or (r.conv_id, r.parent) in seen
