@@ -5,18 +5,21 @@ Resampling" (2023): texts are bags of hashed word n-grams (single tokens and
 pairs, in ``BUCKETS`` buckets), and two multinomial models are fitted, one to
 target text (labelled good and not toxic) and one to all raw text. A text's
 log importance weight is the sum of log p_target - log p_raw over its n-grams.
-Documents are drawn without replacement with these weights by Gumbel top-k:
-the k largest of weight plus Gumbel noise stay.
+Documents are drawn without replacement by Gumbel top-k: the k largest of
+log weight / ``TEMPERATURE`` plus Gumbel noise stay, which at a temperature of 1
+is a draw in proportion to the weights, and nearer to an even one above it.
 
 The raw model counts every document. The target model counts at most
 ``TARGET_ROWS`` labelled documents (the first by a hash of the id), which
 bounds what is broadcast; the models' size is ``BUCKETS`` numbers.
 
-The weight is taken against a price per n-gram, so that long texts are not
-favoured: key = weight - price * n-grams + noise. The price and k come from
-the labelled documents: the price is the mean weight per n-gram that all but
-``LOST`` of the good ones reach (but not more than the best divide between
-good and bad), and k is the number of documents that reach it.
+Weights are products over a text's n-grams, so long texts have extreme ones.
+Each is taken against a price per n-gram: log weight = sum - price * n-grams.
+The labels are halved by a hash of the id: one half makes the target model, and
+the price comes from the other, which the model has not seen. It is the mean
+per n-gram that all but ``LOST`` of that half's good documents reach (but not
+more than the best divide between its good and bad). ``k`` is a parameter; if
+none is given it is the number of documents whose log weight is not negative.
 
 Defined cases: a null or empty text has no n-grams and weight 0, and counts as
 reaching the price. Rows with a null doc_id are scored without noise. A label
@@ -36,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only, steps, text_bytes
-from .textvec import U, Hasher, cut, mix
+from .textvec import U, cut, hash_ranges, mix
 
-BUCKETS, TARGET_ROWS, LOST, SEED, BINS = 1 << 18, 50_000, 0.002, 7, 4096
+BUCKETS, TARGET_ROWS, LOST, TEMPERATURE, SEED, BINS = 1 << 18, 50_000, 0.002, 1.0, 7, 4096
 #: Kinds of bytes: 0 spaces and control characters, 1 parts of words, 2 other signs.
 _KIND = np.full(256, 2, np.uint8)
 _KIND[:0x21] = 0
@@ -53,7 +56,7 @@ def features(text: pa.StringArray, buckets: int = BUCKETS) -> tuple[np.ndarray,
     data, offs = text_bytes(text)
     data = _LOWER[data]
     doc, start, end = cut(_KIND[data], offs)
-    one = Hasher(data).ranges(start, end)
+    one = hash_ranges(data, start, end)
     pair = doc[1:] == doc[:-1]
     two = mix(one[:-1][pair] * U(0xC2B2AE3D27D4EB4F) + one[1:][pair] * U(0x165667B19E3779F9) + U(1))
     return np.concatenate((doc, doc[1:][pair])), (np.concatenate((one, two)) % U(buckets)).astype(np.int64)
@@ -71,6 +74,16 @@ def labelled(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.min("quality") > 0).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
 
 
+def halves(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels for the target model and those for the price."""
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    kinds = labelled(labels).groupBy(half.alias("half")).agg(F.count_if(F.expr("good and toxic = 0")).alias("target"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    found = {r["half"]: r for r in kinds.collect()}
+    if len(found) < 2 or not (found[0]["target"] and found[1]["good"] and found[1]["bad"]):
+        return labels, labels
+    return labels.filter(half == 0), labels.filter(half == 1)
+
+
 def count_features(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` (text, target) -> bucket, raw and target counts over all documents."""
 
@@ -134,9 +147,9 @@ def price_of(scored: DataFrame, labels: DataFrame, lost: float = LOST) -> float
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
-    """The k-th largest ``key``, by counting in ever finer bins; no more than a bin's counts come to the driver."""
-    ends = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    lo, hi = ends["lo"], ends["hi"]
+    """The k-th largest ``key`` (the least if there are fewer), by counting in ever finer bins; no more than a bin's counts come to the driver."""
+    ends = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).first()
+    lo, hi, k = ends["lo"], ends["hi"], min(k, ends["n"])
     while lo < hi:
         step = (hi - lo) / BINS
         if not step or lo + step == lo:
@@ -152,18 +165,19 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, lost: float = LOST, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, lost: float = LOST, target_rows: int = TARGET_ROWS, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
     """Verdicts on all documents: doc_id, n_grams, weight, key, kept."""
-    spark = docs.sparkSession
-    wanted = F.broadcast(target_ids(labels, target_rows).withColumn("target", F.lit(True)))  # target_rows ids at most
+    model, held_out = halves(only(labels, "doc_id", "quality", "toxic"))
+    wanted = F.broadcast(target_ids(model, target_rows).withColumn("target", F.lit(True)))  # target_rows ids at most
     marked = only(docs, "doc_id", "text").join(wanted, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     scored = materialize(score(docs, log_ratios(count_features(marked))), "scores")
-    price = price_of(scored, labels, lost)
+    price = price_of(scored, held_out, lost)
     if price is None:
         return scored.select("*", F.col("weight").alias("key"), F.lit(True).alias("kept"))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noise = F.when(F.col("doc_id").isNull(), 0.0).otherwise(-F.log(-F.log(uniform)))
-    keyed = scored.withColumn("key", F.col("weight") - price * F.col("n_grams") + noise)
-    k = scored.filter(f"n_grams = 0 or weight >= {price!r} * n_grams").count()
+    keyed = scored.withColumn("key", (F.col("weight") - price * F.col("n_grams")) / temperature + noise)
+    if k is None:
+        k = scored.filter(f"n_grams = 0 or weight >= {price!r} * n_grams").count()
     least = kth_largest(keyed.select("key"), k) if k else math.inf
     return keyed.withColumn("kept", F.col("key") >= F.lit(least))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, only, steps, text_bytes
-from .textvec import Hasher, shingles, words
+from .textvec import SPACE, Words, hash_ranges, same_bytes, shingles, sum_by_text, words
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -43,20 +43,30 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 _STATS = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
-def _sum_by_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return total[offs[1:]] - total[offs[:-1]]
+def _neighbours(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values that follow an equal one of the same text in sorted order, and of the ones before them."""
+    by = np.lexsort((value, doc))
+    equal = (value[by][1:] == value[by][:-1]) & (doc[by][1:] == doc[by][:-1])
+    return by[1:][equal], by[:-1][equal]
+
+
+def _named(pieces: list, doc: np.ndarray) -> np.ndarray:
+    """A number for each distinct piece, where its hash does not tell it from another."""
+    known: dict = {}
+    return np.array([known.setdefault((d, x), len(known)) for d, x in zip(doc.tolist(), pieces, strict=True)], np.uint64)
 
 
 def measure_texts(text: pa.StringArray) -> dict[str, np.ndarray]:
-    """The counts of the base rules for each text."""
+    """The counts of the base rules for each text.
+
+    Lines and windows are found equal by hashes, and the bytes of all that are found so are compared. Should any differ,
+    the batch is counted again by the bytes themselves.
+    """
     data, offs = text_bytes(text)
     n = len(text)
-    hasher = Hasher(data)
-    w = words(data, offs, hasher)
+    w = words(data, offs)
     head = (data & 0xC0) != 0x80  # first bytes of characters
-    chars = np.concatenate(([0], np.cumsum(head, dtype=np.int64)))
-    word_chars = np.bincount(w.doc, chars[w.end] - chars[w.start], n).astype(np.int64)
+    word_chars = sum_by_text(head & ~SPACE[data], offs)
 
     # Lines: the pieces between line feeds that hold the start of a word.
     at = np.flatnonzero(data == 0x0A)
@@ -67,33 +77,44 @@ def measure_texts(text: pa.StringArray) -> dict[str, np.ndarray]:
     holds = np.searchsorted(w.start, stop) > np.searchsorted(w.start, begin)
     begin, stop = begin[holds], stop[holds]
     line_doc = np.searchsorted(offs, begin, "right") - 1
-    line = hasher.ranges(begin, stop)
-    order = np.lexsort((line, line_doc))
-    same = np.zeros(len(order), bool)
-    same[1:] = (line[order][1:] == line[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
+    again, before = _neighbours(line_doc, hash_ranges(data, begin, stop))
+    size = stop - begin
+    if (size[again] != size[before]).any() or not same_bytes(data, begin[again], begin[before], size[again]):
+        again, before = _neighbours(line_doc, _named([data[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], line_doc))
 
     doc, value, first = shingles(w, WINDOW)
     full = w.count[doc] >= WINDOW
     doc, value, first = doc[full], value[full], first[full]
+    later, earlier = _neighbours(doc, value)
+    if not _same_windows(data, w, first[later], first[earlier]):
+        pieces = [tuple(data[w.start[k] : w.end[k]].tobytes() for k in range(f, f + WINDOW)) for f in first.tolist()]
+        later, earlier = _neighbours(doc, _named(pieces, doc))
     twice = np.zeros(len(value), bool)
-    by = np.lexsort((value, doc))
-    equal = (value[by][1:] == value[by][:-1]) & (doc[by][1:] == doc[by][:-1])
-    twice[by[1:][equal]] = True
-    twice[by[:-1][equal]] = True
-    cover = np.zeros(len(w.doc) + 1, np.int64)
+    twice[later] = True
+    twice[earlier] = True
+    cover = np.zeros(len(w.doc) + 1, np.int32)
     np.add.at(cover, first[twice], 1)
     np.add.at(cover, first[twice] + WINDOW, -1)
     repeated = np.cumsum(cover[:-1]) > 0
     return {
         "n_words": w.count.astype(np.int64),
         "word_chars": word_chars,
-        "n_symbols": _sum_by_text(_SYMBOL[data], offs),
+        "n_symbols": sum_by_text(_SYMBOL[data], offs),
         "n_lines": np.bincount(line_doc, minlength=n),
-        "n_dup_lines": np.bincount(line_doc[order][same], minlength=n),
+        "n_dup_lines": np.bincount(line_doc[again], minlength=n),
         "n_repeat_words": np.bincount(w.doc[repeated], minlength=n),
     }
 
 
+def _same_windows(data: np.ndarray, w: Words, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the windows from words ``a`` and from words ``b`` on have equal words, pair by pair."""
+    for k in range(WINDOW):
+        size = w.end[a + k] - w.start[a + k]
+        if (size != w.end[b + k] - w.start[b + k]).any() or not same_bytes(data, w.start[a + k], w.start[b + k], size):
+            return False
+    return True
+
+
 def _measure(batches):
     for b in steps(batches):
         got = measure_texts(b.column("text"))

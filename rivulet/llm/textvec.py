@@ -2,8 +2,9 @@
 
 A word is a maximal run of characters outside ``[\\x20\\x09-\\x0D]``. These
 characters are single bytes in UTF-8 and are part of no longer sequence, so
-words can be cut on bytes. A word's hash is a polynomial in an odd base modulo
-2**64, taken from differences of prefix sums and then mixed.
+words can be cut on bytes. A hash takes eight bytes at a time and mixes after
+each, so it has no arithmetic structure that texts could follow; where equality
+must be exact, ``same_bytes`` compares the bytes behind equal hashes.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-_BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+#: Ranges of more bytes are hashed one by one.
+LONG = 256
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,30 +29,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(size, base, U)
-            row[0] = 1
-            _POWERS[i] = np.multiply.accumulate(row)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-@dataclass
-class Hasher:
-    """Hashes of any byte ranges of one buffer."""
-
-    data: np.ndarray
-
-    def __post_init__(self):
-        up, self.down = powers(len(self.data) + 1)
-        self.prefix = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[:-1], out=self.prefix[1:])
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of one buffer."""
+    size = end - start
+    out = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0xD6E8FEB86659FD93))
+    if not len(start):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    live = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(live := live[size[live] > at]):
+        block = eights[start[live] + at].view(U).ravel()
+        left = np.minimum(size[live] - at, 8).astype(U)
+        block &= U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * left)
+        out[live] = mix((out[live] ^ block) * U(0xC2B2AE3D27D4EB4F) + U(at + 1))
+        at += 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].data)
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the ranges of ``size`` bytes from ``a`` and from ``b`` on are equal, pair by pair."""
+    for lo in range(0, len(a), 1 << 14):
+        n = size[lo : lo + (1 << 14)]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a[lo : lo + (1 << 14)], n) + inside] != data[np.repeat(b[lo : lo + (1 << 14)], n) + inside]).any():
+            return False
+    return True
+
+
+def sum_by_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Number of true bytes in each text."""
+    out, full = np.zeros(len(offs) - 1, np.int64), np.flatnonzero(offs[1:] > offs[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(flags.view(np.uint8), offs[full], dtype=np.int64)
+    return out
 
 
 @dataclass
@@ -85,9 +99,9 @@ def cut(kind: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.searchsorted(offs, start, "right") - 1, start, end
 
 
-def words(data: np.ndarray, offs: np.ndarray, hasher: Hasher | None = None) -> Words:
+def words(data: np.ndarray, offs: np.ndarray) -> Words:
     doc, start, end = cut((~SPACE[data]).view(np.uint8), offs)
-    return Words(doc, start, end, (hasher or Hasher(data)).ranges(start, end), np.bincount(doc, minlength=len(offs) - 1))
+    return Words(doc, start, end, hash_ranges(data, start, end), np.bincount(doc, minlength=len(offs) - 1))
 
 
 _STEP = [U(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(16)]

@@ -29,8 +29,10 @@ def test_features_are_tokens_and_pairs():
 def test_weights_against_plain_counts(spark):
     rows, labels = corpus(60)
     docs, table_ = table(spark, rows), spark.createDataFrame(labels, LABELS)
-    good = {r.doc_id for r in resample.target_ids(table_).collect()}
-    assert good == {i for i, q, *_ in labels if q}
+    assert {r.doc_id for r in resample.target_ids(table_).collect()} == {i for i, q, *_ in labels if q}
+    model, held_out = ({r.doc_id for r in x.collect()} for x in resample.halves(table_))
+    assert not model & held_out and model | held_out == {i for i, *_ in labels} and min(len(model), len(held_out)) > 8
+    good = {i for i, q, *_ in labels if q and i in model}
     raw, target = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
     each = {}
     for i, t in rows:
@@ -44,6 +46,28 @@ def test_weights_against_plain_counts(spark):
         assert abs(r.weight - ratio[each[r.doc_id]].sum()) < 1e-3
 
 
+def test_draw_against_plain_python(spark):
+    rows, labels = corpus(300)
+    label_table = spark.createDataFrame(labels, LABELS)
+    held_out = {r.doc_id for r in resample.halves(label_table)[1].collect()}
+    for temperature, k in ((1.0, None), (50.0, 40), (1.0, 0), (1.0, 10**6)):
+        got = {r.doc_id: r for r in resample.resample(table(spark, rows), label_table, temperature=temperature, k=k).collect()}
+        mean = {i: r.weight / r.n_grams for i, r in got.items()}
+        sides = [sorted(mean[i] for i, q, *_ in labels if i in held_out and bool(q) == side) for side in (False, True)]
+        lo, hi = min(map(min, sides)), max(map(max, sides))
+        step = (hi - lo) / resample.BINS
+        edges = [lo + step * b for b in range(resample.BINS)]
+        below = [[np.searchsorted(s, e) / len(s) for e in edges] for s in sides]  # shares of bad and of good below an edge
+        divide = int(np.argmax(np.subtract(*below)))
+        price = edges[min(divide, max(b for b in range(resample.BINS) if below[1][b] <= resample.LOST))]
+        hashed = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in got], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id, {resample.SEED}), {1 << 52}) as h").collect()}
+        key = {i: (r.weight - price * r.n_grams) / temperature - np.log(-np.log((hashed[i] + 0.5) / (1 << 52))) for i, r in got.items()}
+        many = sum(r.weight >= price * r.n_grams for r in got.values()) if k is None else k
+        least = sorted(key.values(), reverse=True)[many - 1] if 0 < many <= len(key) else -np.inf if many else np.inf
+        assert all(abs(key[i] - r.key) < 1e-6 for i, r in got.items())
+        assert {i for i, r in got.items() if r.kept} == {i for i in key if key[i] >= least}
+
+
 def test_held_out_accuracy(spark):
     rows, labels = corpus()
     got = {r.doc_id: r.kept for r in resample.resample(table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}

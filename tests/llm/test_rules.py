@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rivulet.llm import rules
+from rivulet.llm import rules, textvec
 
 from .cases import awkward, prose, table, words
 
@@ -32,6 +32,40 @@ def test_counts_against_plain_python():
         assert tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")) == counts(t), t
 
 
+def morse(n):
+    """Two words whose difference is a product of (1 - x**2**k): equal under any polynomial hash modulo 2**64."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_texts_are_never_equal(monkeypatch):
+    for n in (1024, 2048, 4096):
+        a, b = morse(n)
+        text = f"{a}\n{b}\n" + " ".join([a, "1", "2", "3", "4", b, "1", "2", "3", "4"])
+        got = rules.measure_texts(pa.array([text]))
+        assert (got["n_dup_lines"][0], got["n_repeat_words"][0]) == (0, 0)
+    texts = ["a b c d e f\nb a c d e f\na b c d e f", "x y\nx y\nz y", "", "aé b c d e aé b c d e"]
+    want = [counts(t) for t in texts]
+    monkeypatch.setattr(rules, "hash_ranges", lambda data, start, end: (end - start).astype("uint64") % 2)
+    monkeypatch.setattr(textvec, "hash_ranges", rules.hash_ranges)  # a hash that tells next to nothing
+    got = rules.measure_texts(pa.array(texts))
+    assert [tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")) for k in range(len(texts))] == want
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = pa.array([" ".join(f"word{k % 99991}" for k in range(800_000))])
+    size = len(text[0].as_py())
+    tracemalloc.start()
+    got = rules.measure_texts(text)
+    assert tracemalloc.get_traced_memory()[1] < 45 * size
+    tracemalloc.stop()
+    assert got["n_words"][0] == 800_000
+
+
 def test_sketch_quantiles_are_within_their_accuracy_and_merge(spark):
     r = random.Random(2)
     rows = [(k, "en" if k % 3 else None, f"s{k % 4}", n := r.randint(50, 400), int(n * r.lognormvariate(1.5, 0.3)), int(n * r.random() ** 4), 10, k % 3, 0) for k in range(3000)]
