@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -74,6 +75,23 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, _root(spark))
 
 
+#: A key with more than this part of all rows is heavy; there are fewer such keys than that.
+HEAVY = 1024
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table``, a written table with each of their keys once and the number of its rows as ``count``.
+
+    Rows of heavy keys meet their entry by a broadcast, of fewer than ``HEAVY`` entries whatever the input; all others
+    by a shuffle, where no key has more than that part of the rows. The columns of ``keys`` must not be null.
+    """
+    total = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    heavy = F.col(count) * HEAVY > total
+    often = F.broadcast(table.filter(heavy))
+    seldom = rows.join(often.select(*keys), keys, "left_anti").join(table.filter(~heavy), keys)
+    return rows.join(often, keys).unionByName(seldom)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

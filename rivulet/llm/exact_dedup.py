@@ -7,9 +7,12 @@ folds equal texts to one entry: their number and the row that stays. The
 partitions then exchange runs in rounds, as in a binomial tree of radix
 ``RADIX``: the nodes of a round form groups of RADIX that differ in one digit,
 and each entry moves to the node whose digit is that of its digest. A node
-merges the sorted runs it receives and folds equal texts again. After the last
-round each digest has one entry, and no node ever received more than one entry
-of a text from each of the others, however many copies there are.
+merges the sorted runs it receives, for which Spark's external sort stands: it
+spills, so no run need fit in memory. It then folds equal texts again, a batch
+at a time with the last entry carried over. After the last round each digest
+has one entry, and no node ever received more than one entry of a text from
+each of the others, however many copies there are. Rows find their text's entry
+by ``heavy_join``, so the copies of one text do not meet in one task.
 
 The row that stays has the most code points in its original text, then the
 smallest doc_id (null ids last), then the first place among repeated rows.
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only, shuffle_partitions, steps, text_bytes
+from .common import heavy_join, materialize, only, shuffle_partitions, steps, text_bytes
 
 RADIX = 4
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -62,49 +65,47 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(_digests, _ROWS)
 
 
+_NAMES = ["node", "digest", "verify", "n_bytes", "n_chars", "doc_id", "row", "n"]
+
+
 def _fold(nodes: int, spread: int | None):
     """Fold neighbours with the same text in a sorted stream, and say where each entry goes next.
 
     ``spread`` is the digit of the node that the next round replaces, None after the last.
     """
 
-    def better(x, y):
-        """The entry of the two whose row stays."""
-        key = lambda e: (-e[3], e[4] is None, e[4] or 0, e[5])
-        return x if key(x) <= key(y) else y
-
-    def to(node: int, digest: bytes) -> int:
-        if spread is None:
-            return node
-        step = RADIX**spread
-        goal = int.from_bytes(digest[:4], "big") % nodes
-        return node + (goal // step % RADIX - node // step % RADIX) * step
+    def folded(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The entry of each text of a sorted batch whose row stays, with the number of all."""
+        digest = np.frombuffer(b"".join(b.column("digest").to_pylist()), np.uint8).reshape(len(b), 32)
+        verify, n_bytes, n_chars, row, n = (b.column(c).to_numpy() for c in ("verify", "n_bytes", "n_chars", "row", "n"))
+        other = np.ones(len(b), bool)
+        other[1:] = (digest[1:] != digest[:-1]).any(axis=1) | (verify[1:] != verify[:-1]) | (n_bytes[1:] != n_bytes[:-1])
+        first = np.flatnonzero(other)
+        none = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        order = np.lexsort((row, pc.fill_null(b.column("doc_id"), 0).to_numpy(), none, -n_chars, np.cumsum(other)))
+        stays = b.take(pa.array(order[first]))
+        return stays.set_column(stays.schema.get_field_index("n"), "n", pa.array(np.add.reduceat(n, first)))
+
+    def placed(b: pa.RecordBatch, node: int) -> pa.RecordBatch:
+        to = np.full(len(b), node, np.int32)
+        if spread is not None and len(b):
+            goal = np.array([int.from_bytes(x[:4], "big") for x in b.column("digest").to_pylist()], np.int64) % nodes
+            step = RADIX**spread
+            to += ((goal // step % RADIX - node // step % RADIX) * step).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(to), *[b.column(c) for c in _NAMES[1:]]], _NAMES)
 
     def run(batches):
-        node, last, out = TaskContext.get().partitionId() % nodes, None, []
-
-        def flush():
-            cols = list(zip(*out, strict=True))
-            types = [pa.int32(), pa.binary()] + [pa.int64()] * 6
-            names = ["node", "digest", "verify", "n_bytes", "n_chars", "doc_id", "row", "n"]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-            out.clear()
-            return batch
-
+        node, last = TaskContext.get().partitionId() % nodes, None
         for b in batches:
-            for e in zip(*[b.column(c).to_pylist() for c in ("digest", "verify", "n_bytes", "n_chars", "doc_id", "row", "n")], strict=True):
-                if last is not None and last[:3] == e[:3]:
-                    last = (*better(last, e)[:6], last[6] + e[6])
-                    continue
-                if last is not None:
-                    out.append((to(node, last[0]), *last))
-                    if len(out) >= 8192:
-                        yield flush()
-                last = e
+            b = b.select(_NAMES[1:])
+            if last is not None:
+                b = pa.concat_batches([last, b])
+            if len(b):
+                b = folded(b)
+                last = b.slice(len(b) - 1)
+                yield placed(b.slice(0, len(b) - 1), node)
         if last is not None:
-            out.append((to(node, last[0]), *last))
-        if out:
-            yield flush()
+            yield placed(last, node)
 
     return run
 
@@ -126,5 +127,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, digest (of the normalised text)."""
     rows = materialize(digest_rows(docs), "digests")
     kept = merge_runs(rows).select("digest", "verify", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
-    joined = rows.join(kept, ["digest", "verify", "n_bytes"])
+    joined = heavy_join(rows, materialize(kept, "kept-texts"), ["digest", "verify", "n_bytes"], "group_size")
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")

@@ -13,8 +13,8 @@ Registers are cut to ``BANDS`` bands of ``ROWS``. At a similarity of 0.8 some
 band agrees with probability 1 - (1 - 0.8**ROWS)**BANDS, over 0.9999. Links are
 defined by the plain sets, and repeated shingles can make the probability
 Jaccard similarity much less than theirs; so there are as many bands again of
-registers with all weights 1, for which the two are the same. Copies
-(texts with the same shingles) are one node. A bucket of a band is never
+registers with all weights 1, for which the two are the same. Texts with the
+same shingles are one node. A bucket of a band is never
 expanded to its pairs: its members are compared with leaders, and only what is
 then apart is compared further (see ``components``). A pair is a link if the exact Jaccard similarity
 of the two sets of shingles is at least ``SIMILARITY``. Groups are the
@@ -23,8 +23,9 @@ connected components of the links; the least doc_id of each stays.
 Defined cases: null texts are empty; texts without words are copies of one
 another; a text of under five words has one shingle of all its words. Rows
 with a null doc_id cannot be linked: class_id is null unless a copy has an id,
-and they stay. Repeated rows with one doc_id are one node. An empty table
-gives an empty result. Further columns are ignored.
+and they stay. Rows with one doc_id are one document: if their texts differ,
+each is compared, and all belong to one group. An empty table gives an empty
+result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only, steps, text_bytes
-from .components import alike, buckets, dealt_pairs, group_buckets
+from .common import heavy_join, materialize, measured, only, steps, text_bytes
+from .components import alike, buckets, components, dealt_pairs, group_buckets
 from .textvec import U, distinct, mix, shingles, words
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
@@ -75,6 +76,15 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total
 
 
+def _digests(value: np.ndarray, many: np.ndarray) -> list[pa.Array]:
+    """Two sums over each set of shingles that stand for it; ``many`` is the size of each."""
+    out, ends = [], np.cumsum(many)
+    for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+        total = np.concatenate((np.zeros(1, U), np.cumsum(mix(value ^ U(salt)), dtype=U)))
+        out.append(pa.array((total[ends] - total[ends - many]).view(np.int64)))
+    return out
+
+
 def _shingle_sets(text: pa.StringArray, size: int):
     data, offs = text_bytes(text)
     doc, value, _ = shingles(words(data, offs), size)
@@ -89,31 +99,26 @@ def signatures(docs: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int
             n = len(b)
             doc, value, count = _shingle_sets(b.column("text"), size)
             many = np.bincount(doc, minlength=n)
-            digest = []
-            for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                total = np.concatenate((np.zeros(1, U), np.cumsum(mix(value ^ U(salt)), dtype=U)))
-                ends = np.cumsum(many)
-                digest.append(pa.array((total[ends] - total[ends - many]).view(np.int64)))
             weights = 1 + np.log(count), np.ones(len(value))
             both = np.hstack([prob_min_hash(doc, value, w, n, bands * rows) for w in weights])
             keys = band_keys(both, 2 * bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 2 * bands), pa.array(keys.ravel()), mask=pa.array(many == 0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *digest, pa.array(many.astype(np.int64)), lists], ["doc_id", "d1", "d2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_digests(value, many), pa.array(many.astype(np.int64)), lists], ["doc_id", "d1", "d2", "n", "keys"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """The distinct shingles of each document: doc_id, shingles."""
+    """The distinct shingles of each document: doc_id, d1, d2, n (as in ``signatures``), shingles."""
 
     def run(batches):
         for b in steps(batches):
             doc, value, _ = _shingle_sets(b.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(b)))))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "shingles"])
+            many = np.bincount(doc, minlength=len(b))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_digests(value, many), pa.array(many.astype(np.int64)), lists], ["doc_id", "d1", "d2", "n", "shingles"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, shingles array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -123,16 +128,34 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each document: doc_id, class_id (the least doc_id of its group), kept, n_shingles."""
+    text = ["d1", "d2", "n"]
     signed = materialize(signatures(docs, size, bands, rows), "signed")
-    classes = materialize(signed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = signed.join(classes.filter("n > 0").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    dealt = nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    members = materialize(buckets(dealt), "members")
-    chosen = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = only(docs, "doc_id", "text").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(shingle_sets(texts, size).toDF("node", "value"), "sets")
-    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity).withColumnRenamed("id", "node")
-    labels = classes.join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("class_id"))
-    joined = signed.join(labels, ["d1", "d2", "n"])
+    classes = signed.groupBy(*text).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # one row of each text with words, by the least id; a text that no id names is in no link
+    named = classes.filter("n > 0 and doc_id is not null").select(*text, "doc_id", "node")
+    nodes = signed.join(named, [*text, "doc_id"]).dropDuplicates(["node"])
+    members = materialize(buckets(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))), "members")
+    chosen = named.join(members.select("node").distinct(), "node", "left_semi")
+    found = shingle_sets(only(docs, "doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    sets = found.join(chosen, [*text, "doc_id"]).dropDuplicates(["node"]).select("node", F.col("shingles").alias("value"))
+    sets = materialize(sets, "sets")
+    groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity)
+    groups = _with_several_texts(signed, classes, groups, text)
+    labels = classes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = materialize(labels.select(*text, "doc_id", "copies", "component"), "labels")
+    least = materialize(labels.groupBy("component").agg(F.min("doc_id").alias("class_id")), "least-ids")
+    labels = materialize(labels.join(least, "component").select(*text, "copies", "class_id"), "class-ids")
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
-    return joined.select("doc_id", "class_id", kept.alias("kept"), F.col("n").alias("n_shingles"))
+    return heavy_join(signed.select("doc_id", *text), labels, text, "copies").select("doc_id", "class_id", kept.alias("kept"), F.col("n").alias("n_shingles"))
+
+
+def _with_several_texts(signed: DataFrame, classes: DataFrame, groups: DataFrame, text: list[str]) -> DataFrame:
+    """``groups`` (id, component) with the different texts of one doc_id joined."""
+    ends = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*text)).alias("low"), F.max(F.struct(*text)).alias("high"))
+    several, found = measured(ends.filter("low <> high").select("doc_id"), "several-texts", n=F.count("*"))
+    if not found["n"]:
+        return groups
+    theirs = signed.join(several, "doc_id").select("doc_id", *text).distinct().join(classes.select(*text, "node"), text)
+    links = theirs.join(theirs.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").select(F.col("node").alias("u"), "v")
+    return components(links.unionByName(groups.select(F.col("id").alias("u"), F.col("component").alias("v"))))

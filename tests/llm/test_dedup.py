@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rivulet.llm import exact_dedup, line_dedup, near_dedup
 from rivulet.llm.components import components
@@ -107,6 +108,35 @@ def test_near_small_groups_in_large_buckets(spark):
     assert got == want
 
 
+def test_near_documents_with_several_texts(spark):
+    a, b, c = prose(21, 60), prose(22, 60), prose(23, 60)
+    near = b.split()
+    near[30] = "changed"
+    rows = [(1, a), (1, b), (3, " ".join(near)), (4, a), (5, c), (6, c), (6, None), (7, "")]
+    for n in (1, 4):
+        got = near_dedup.near_dedup(table(spark, rows, n)).collect()
+        assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == sorted([(1, 1, True), (1, 1, True), (3, 1, False), (4, 1, False), (5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False)])
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    from .test_rules import morse
+
+    x, y = morse(1024)
+    rows = [(1, f"{x} a b c d e f g"), (2, f"{y} a b c d e f g"), (3, x), (4, y), (5, x)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, rows)).collect()}
+    assert got == near_truth(rows) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_heavy_join_is_a_join(spark):
+    from rivulet.llm.common import heavy_join
+
+    rows = spark.createDataFrame([(k % 3 if k < 4000 else k, k) for k in range(8000)], "key long, x long")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    got = heavy_join(rows, sizes, ["key"], "n")
+    assert got.count() == 8000 and got.filter("n > 1").count() == 4000 and got.select("x").distinct().count() == 8000
+    assert heavy_join(rows.limit(0), sizes.limit(0), ["key"], "n").count() == 0
+
+
 def test_near_with_repeated_lines(spark):
     rows = []
     for g in range(60):  # the second has a menu of 24 shingles that occurs ten times
