@@ -26,6 +26,19 @@ def test_exact(spark):
     assert exact_dedup.exact_dedup(table(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_in_many_small_batches(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        docs = table(spark, [(k, f"t{k % 40}" + " " * (k % 7)) for k in range(400)], 4)
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    finally:
+        spark.conf.set(size, before)
+    keep = {c: min((k for k in range(400) if k % 40 == c), key=lambda k: (-(k % 7), k)) for c in range(40)}
+    assert {k: (r.keep_id, r.group_size, r.kept) for k, r in got.items()} == {k: (keep[k % 40], 10, k == keep[k % 40]) for k in range(400)}
+
+
 def test_exact_hot_group_meets_in_few_rows(spark):
     docs = table(spark, [(k, "same text") for k in range(3000)] + [(5000 + k, f"t{k}") for k in range(50)], 16)
     rows = exact_dedup.digest_rows(docs)
