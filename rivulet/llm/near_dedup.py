@@ -134,11 +134,11 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORD
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     # one row of each text with words, by the least id; a text that no id names is in no link
     named = classes.filter("n > 0 and doc_id is not null").select(*text, "doc_id", "node")
-    nodes = signed.join(named, [*text, "doc_id"]).dropDuplicates(["node"])
-    members = materialize(buckets(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))), "members")
+    nodes = signed.join(named, [*text, "doc_id"]).dropDuplicates([*text, "doc_id"])  # dealt by these already
+    members = materialize(buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
     chosen = named.join(members.select("node").distinct(), "node", "left_semi")
     found = shingle_sets(only(docs, "doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = found.join(chosen, [*text, "doc_id"]).dropDuplicates(["node"]).select("node", F.col("shingles").alias("value"))
+    sets = found.join(chosen, [*text, "doc_id"]).dropDuplicates([*text, "doc_id"]).select("node", F.col("shingles").alias("value"))
     sets = materialize(sets, "sets")
     groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity)
     groups = _with_several_texts(signed, classes, groups, text)

@@ -40,7 +40,7 @@ class Encoder:
 
     The rank file of the same vocabulary is several times faster and gives the
     same ids wherever no special token's string stands in the text (the tests
-    compare the two on every character); other texts, and any on which the
+    compare the two on every seventh code point below 0x30000); other texts, and any on which the
     fast path fails, go to the tokenizers library itself.
     """
 

@@ -10,9 +10,11 @@ Where no piece has the space sign after another character, pairs never cross
 the start of a run of space signs, so a text falls into segments with agendas
 of their own. Short segments are encoded together: one round takes the best
 pair of every segment at once, in NumPy, and the results of recurring segments
-are kept. A long segment gets a heap. Each Arrow batch is then encoded by the
-sentencepiece library as well; a text on which the two differ takes the
-library's ids and is marked in ``agreed``.
+are kept. A long segment gets a heap. The segments of an Arrow batch that are
+not among the kept results are encoded by the sentencepiece library as well; a
+text with a segment on which the two differ takes the library's ids and is
+marked in ``agreed``. So each segment is checked when it is first met, and no
+text as a whole.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id is
 carried along; repeated rows are encoded each; texts are encoded whole. An

@@ -67,6 +67,15 @@ def test_stages_take_nulls_and_empty_tables(spark, tmp_path):
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
 
 
+def test_repeated_rows_stay_once(spark, tmp_path):
+    text = prose(1, 60)
+    docs = table(spark, [(1, text), (1, text), (1, text), (2, prose(2, 60)), (3, f"{text} "), (None, text), (None, text)])
+    for stage, stays in ((corpus_pipeline.exact_stage, 3), (corpus_pipeline.near_stage, 1)):
+        got = [r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()]
+        assert sorted(i for i in got if i is not None) == [2, 3] if stays == 3 else sorted(i for i in got if i is not None) == [1, 2]
+        assert got.count(None) == 2
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11))
