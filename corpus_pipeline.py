@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor
 kept and returns a DataFrame: all but the last return the columns of
 ``documents``. A row with a null doc_id cannot be named in a verdict and
-passes the filtering stages; it is packed like any other.
+passes the filtering stages; it is packed like any other. Null texts count as
+empty. Of rows with one doc_id a filtering stage keeps all if it keeps any; the
+two stages of duplicates also keep one of equal rows. Ties are decided as each
+operator says. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -34,22 +37,27 @@ def _kept(docs: DataFrame, verdicts: DataFrame, once: bool = False) -> DataFrame
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule; texts without words fail."""
     return _kept(docs, quality_rules(docs))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are drawn; all where no labels of both kinds name any of them."""
     return _kept(docs, resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text without spaces: the longest, then the least doc_id."""
     return _kept(docs, exact_dedup(docs), once=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group of near duplicates."""
     return _kept(docs, near_dedup(docs), once=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
     return packed(docs)
 
 
