@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, lookup, rescale, sigmoid
 from .rolling import roll
-from .sequence import gap_runs, ordered, rising, run_id
+from .sequence import dealt, gap_runs, ordered, rising, run_id
 
 SCORES = {"none": 0.0, "spotting": 0.25, "light": 0.5, "medium": 0.75, "heavy": 1.0}
 
@@ -130,25 +130,33 @@ def gap_days(df: DataFrame, least: int = 70) -> DataFrame:
 
 
 def best_autocorrelation(df: DataFrame, x: str = "bleeding_score", low: int = 23, high: int = 45, span: int = 100) -> DataFrame:
-    """Highest autocorrelation over lags low..high in a centred window of ``span`` rows, and its lag."""
+    """Highest autocorrelation over lags low..high in a centred window of ``span`` rows, and its lag; missing where the window has missing or only equal values."""
     import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         v, best, lag = pdf[x].to_numpy(float), np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-        for k in range(len(v)):
-            a, b = k - span // 2, k - span // 2 + span
-            if a < 0 or b > len(v):
-                continue
-            w = v[a:b] - v[a:b].mean()
-            if power := (w * w).sum():
-                scores = [(w[n:] * w[:-n]).sum() / power for n in range(low, high + 1)]
-                best[k], lag[k] = max(scores), low + int(np.argmax(scores))
+        if len(v) >= span:
+            total = lambda y: np.concatenate(([0.0], np.cumsum(y)))
+            unknown, v = total(np.isnan(v)), np.nan_to_num(v)
+            ones, squares = total(v), total(v * v)
+            begin = np.arange(len(v) - span + 1)
+            mean = (ones[begin + span] - ones[begin]) / span
+            power = squares[begin + span] - squares[begin] - span * mean**2
+            scores = np.empty((high - low + 1, len(begin)))
+            for n in range(low, high + 1):  # sums of products n apart within each window, from sums over the whole sequence
+                both = total(v[n:] * v[:-n])
+                late, early = ones[begin + span] - ones[begin + n], ones[begin + span - n] - ones[begin]
+                scores[n - low] = both[begin + span - n] - both[begin] - mean * (late + early) + (span - n) * mean**2
+            some = (unknown[begin + span] == unknown[begin]) & (power > 1e-9 * np.maximum(squares[begin + span] - squares[begin], 1e-300))
+            at = begin[some] + span // 2
+            scores = scores[:, some] / power[some]
+            best[at], lag[at] = scores.max(axis=0), low + np.round(scores, 9).argmax(axis=0)
         return pd.DataFrame({"seq_id": pdf["seq_id"], "t": pdf["t"], "acf": best, "acf_lag": lag})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in ("seq_id", "t")}
-    return df.select("seq_id", "t", x).groupBy("seq_id").applyInPandas(one, f"seq_id {kinds['seq_id']}, t {kinds['t']}, acf double, acf_lag double")
+    return dealt(df.select("seq_id", "t", x), "seq_id").groupBy("seq_id").applyInPandas(one, f"seq_id {kinds['seq_id']}, t {kinds['t']}, acf double, acf_lag double")
 
 
 #: Feature -> (builder, features that it needs), in an order that satisfies the needs.

@@ -80,3 +80,24 @@ def with_dominant(df: DataFrame, key: str, value: str, factor: float = 5.0) -> D
     ranked = counted.withColumns({"__most": most(F.lit(True)), "__next": most(F.lit(False))})
     odd = F.when(F.col("__next").isNull() | (F.col("__most") > factor * F.col("__next")), F.col("__top"))
     return ranked.withColumn("odd", odd).drop("__n", "__top", "__most", "__next")
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank", cells: int = 64) -> DataFrame:
+    """Adds the number of each row (from 1) in an order that begins with a number column.
+
+    Rows are dealt to cells of about equal size by quantiles of that column and numbered in each; only the sizes of the
+    cells are added up in one place. Missing values come first.
+    """
+    bounds = sorted(set(df.approxQuantile(order[0], [k / cells for k in range(1, cells)], 0.001)))
+    below = F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col(order[0])) if bounds else F.array()
+    dealt = df.withColumn("__cell", F.when(F.col(order[0]).isNull(), -1).otherwise(F.size(below)))
+    sizes = dealt.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
+    offsets = F.broadcast(sizes.select("__cell", before.alias("__before")))  # a row for each cell
+    return dealt.withColumn("__inside", inside).join(offsets, "__cell").withColumn(name, F.col("__before") + F.col("__inside")).drop("__cell", "__before", "__inside")
+
+
+def bind_columns(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Columns of both side by side, row by row in their orders; the longer one's last rows have missing values beside them."""
+    return ranked(a, order_a).join(ranked(b, order_b), "rank", "full")

@@ -9,7 +9,7 @@ from ..operators import cycles as C
 from ..operators import evaluate as E
 from ..operators import observe, predict, tracking
 from ..operators.sequence import ordered, rising
-from .panel import FOLD, MUCUS_DAYS, OBSERVED, TEMP_DAYS, Registry, cycled, observed, table
+from .panel import CYCLED, FOLD, MUCUS_DAYS, OBSERVED, TEMP_DAYS, Registry, cycled, observed, table
 
 DOMAIN = Registry()
 add = DOMAIN.add
@@ -171,3 +171,54 @@ def exponential_decay(spark: SparkSession, sf: str) -> DataFrame:
 def running_count(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.sum((F.col("o_orderstatus") == "F").cast("int")).over(w).alias("closed_so_far"))
+
+
+@add(f"""WITH {_DECODED},
+    m AS (SELECT d.seq_id, d.t, state, mucus, state = 1 AND NOT coalesce(lag(state) OVER w = 1, false) AS up, state = 5 AND NOT coalesce(lag(state) OVER w = 5, false) AS o FROM decoded d JOIN observed b ON b.seq_id = d.seq_id AND b.t = d.t WINDOW w AS (PARTITION BY d.seq_id ORDER BY d.t)),
+    c AS (SELECT *, sum(CAST(up AS INT)) OVER w AS cycle, t - max(CASE WHEN state = 5 THEN t END) OVER w AS since, max(CASE WHEN up THEN t END) OVER w AS start FROM m WINDOW w AS (PARTITION BY seq_id ORDER BY t)),
+    p AS (SELECT *, CASE WHEN since > 0 AND t - since >= start THEN 'luteal' ELSE 'follicular' END AS phase FROM c),
+    d AS (SELECT *, row_number() OVER w AS day, row_number() OVER w - count(*) OVER (PARTITION BY seq_id, cycle, phase) - 1 AS back FROM p WINDOW w AS (PARTITION BY seq_id, cycle, phase ORDER BY t)),
+    n AS (SELECT seq_id, phase, CAST(round_even(avg(n), 0) AS BIGINT) AS length FROM (SELECT seq_id, cycle, phase, count(*) AS n FROM d WHERE cycle > 0 GROUP BY ALL) GROUP BY ALL),
+    a AS (SELECT d.seq_id, d.phase, mucus, CASE WHEN d.phase = 'luteal' THEN CASE WHEN day <= 5 THEN day WHEN length + back + 1 > 5 THEN length + back + 1 END ELSE CASE WHEN back >= -3 THEN length + back + 1 WHEN day <= length - 4 THEN day END END AS phase_day
+        FROM d JOIN n ON n.seq_id = d.seq_id AND n.phase = d.phase WHERE cycle > 0)
+    SELECT seq_id, phase, CAST(phase_day AS BIGINT) AS phase_day, count(*) AS n_days, round(avg(CAST(mucus IS NULL AS DOUBLE)), 9) AS p_missing_mucus FROM a WHERE phase_day IS NOT NULL GROUP BY ALL""")
+def phase_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """How often what is reported on each day of the mean phases."""
+    phases = predict.phase_table(_decoded(spark, sf))
+    days = predict.aligned(phases).join(observed(spark, sf).select("seq_id", "t", "mucus"), ["seq_id", "t"])
+    got = days.groupBy("seq_id", "phase", F.col("phase_day").cast("long").alias("phase_day"))
+    return got.agg(F.count(F.lit(1)).alias("n_days"), F.round(F.avg(F.col("mucus").isNull().cast("double")), 9).alias("p_missing_mucus"))
+
+
+@add(f"""WITH {_CYCLES}, b AS (SELECT seq_id, cycle_length, avg(cycle_length) OVER (PARTITION BY seq_id ORDER BY cycle_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - cycle_length AS d FROM cycles)
+    SELECT round(avg(d * d), 6) AS mse, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, round(avg(CAST(d <> 0 AS DOUBLE)), 9) AS missed FROM b""")
+def forecast_error(spark: SparkSession, sf: str) -> DataFrame:
+    got = E.forecast_errors(predict.baseline_length(C.identify_cycles(_decoded(spark, sf))), "predicted", "cycle_length")
+    return got.select(*[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae")], F.round("missed", 9).alias("missed"))
+
+
+@add(f"""WITH {CYCLED}, n AS (SELECT seq_id, count(*) AS n FROM cycled GROUP BY seq_id) SELECT seq_id, n AS n_days, n - CAST(round_even(0.3 * n, 0) AS BIGINT) AS n_left FROM n""")
+def added_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of each sequence, and those that still have a value after three tenths are blanked."""
+    from ..operators.users import add_missing
+
+    got = add_missing(cycled(spark, sf).select("seq_id", "t", F.lit(1).alias("x")), ["x"], 0.3)
+    return got.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_days"), F.count("x").alias("n_left"))
+
+
+@add(f"""WITH {_DECODED}, s AS (SELECT *, state = 1 AND coalesce(lag(state) OVER (PARTITION BY seq_id ORDER BY t) <> 1, true) AS start FROM decoded), c AS (SELECT *, CAST(sum(CAST(start AS INT)) OVER (PARTITION BY seq_id ORDER BY t) AS BIGINT) AS n FROM s),
+    g AS (SELECT seq_id || '-' || n AS cycle_id, CASE state WHEN 1 THEN 'M' WHEN 7 THEN 'Lut' ELSE 'lE' END AS hsmm_states, count(*) AS n_days FROM c GROUP BY ALL)
+    SELECT * FROM g WHERE cycle_id NOT IN (SELECT cycle_id FROM g WHERE hsmm_states = 'Lut' AND n_days = 2)""")
+def state_duration_days(spark: SparkSession, sf: str) -> DataFrame:
+    w = ordered("seq_id")
+    df = _decoded(spark, sf).withColumn("start", rising(F.col("state") == 1, w))
+    df = df.withColumn("n", F.sum(F.col("start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.when(F.col("state") == 1, F.when(F.col("t") % 2 == 0, "hM").otherwise("lM")).when(F.col("state") == 7, F.when(F.col("t") % 2 == 0, "Ep").otherwise("Rise")).otherwise("lE")
+    return observe.state_durations(df.select(F.concat_ws("-", "seq_id", "n").alias("cycle_id"), named.alias("states")))
+
+
+@add(f"""WITH {OBSERVED}, d AS (SELECT *, {_LEVELS} AS level FROM observed)
+    SELECT seq_id, CAST(t AS INT) AS t, CASE WHEN n_events IS NULL THEN 'none' WHEN day1 AND coalesce(level, 'none') IN ('none', 'spotting') THEN 'medium' ELSE coalesce(level, 'none') END AS bleeding,
+        coalesce(mucus, 'missing') AS mucus, coalesce(LH, 'missing') AS LH, coalesce(preg, 'missing') AS preg FROM d""")
+def observations_with_missing_level(spark: SparkSession, sf: str) -> DataFrame:
+    return observe.prepare_obs(raw_days(spark, sf), missing_level=True).drop("temp")

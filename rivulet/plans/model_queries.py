@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..hsmm.cycle_model import bleeding_model, cycle_model, dedicated
 from ..operators import decode, features, predict, rules
+from ..operators.sequence import dealt
 from .domain_queries import prepare_obs, raw_days
 from .panel import CYCLED, Registry, cycled
 
@@ -35,20 +36,23 @@ STAY, CHANGE, WRONG = 1, 4, 3
         FROM v JOIN x ON x.seq_id = v.seq_id AND x.t = v.t + 1)
     SELECT seq_id, t, CAST(c0 AS BIGINT) AS cost0, CAST(c1 AS BIGINT) AS cost1 FROM v""")
 def hmm_viterbi_int(spark: SparkSession, sf: str) -> DataFrame:
-    """Costs of the best path to each day and state; one pass over each sequence in a fold of the sorted days."""
-    days = cycled(spark, sf).select("seq_id", F.struct("t", F.col("menses").cast("int").alias("m")).alias("x"))
-    seqs = days.groupBy("seq_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    kind = "array<struct<t:bigint,c0:bigint,c1:bigint>>"
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        zero, m = F.lit(0).cast("long"), x["m"].cast("long")
-        c0 = F.when(last.isNull(), zero).otherwise(F.least(last["c0"] + STAY, last["c1"] + CHANGE)) + m * WRONG
-        c1 = F.when(last.isNull(), zero).otherwise(F.least(last["c1"] + STAY, last["c0"] + CHANGE)) + (1 - m) * WRONG
-        return F.concat(acc, F.array(F.struct(x["t"].cast("long").alias("t"), c0.alias("c0"), c1.alias("c1"))))
-
-    got = seqs.select("seq_id", F.explode(F.aggregate("x", F.array().cast(kind), step)).alias("r"))
-    return got.select("seq_id", "r.t", F.col("r.c0").alias("cost0"), F.col("r.c1").alias("cost1"))
+    """Costs of the best path to each day and state: one pass over the days of each sequence."""
+    days = cycled(spark, sf).select("seq_id", "t", F.col("menses").cast("int").alias("m"))
+    kind = days.schema["seq_id"].dataType.simpleString()
+
+    def one(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("t")
+        m, out = pdf["m"].tolist(), np.zeros((2, len(pdf)), np.int64)
+        c0 = c1 = None
+        for k, x in enumerate(m):
+            a, b = (0, 0) if c0 is None else (min(c0 + STAY, c1 + CHANGE), min(c1 + STAY, c0 + CHANGE))
+            c0, c1 = a + x * WRONG, b + (1 - x) * WRONG
+            out[:, k] = c0, c1
+        return pdf[["seq_id", "t"]].assign(cost0=out[0], cost1=out[1])
+
+    return dealt(days, "seq_id").groupBy("seq_id").applyInPandas(one, f"seq_id {kind}, t long, cost0 long, cost1 long")
 
 
 @add()

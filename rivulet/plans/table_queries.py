@@ -263,3 +263,29 @@ def histogram_relative(spark: SparkSession, sf: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum(exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(exact("l_extendedprice")).cast("double").alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@add("""SELECT rank, a.s_suppkey, b.s_suppkey AS by_balance, b.s_acctbal FROM (SELECT row_number() OVER (ORDER BY s_suppkey) AS rank, s_suppkey FROM supplier) a
+    FULL JOIN (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank, s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0) b USING (rank)""")
+def bind_by_rank(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.tables import bind_columns
+
+    s = table(spark, sf, "supplier")
+    other = s.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("by_balance"), "s_acctbal")
+    return bind_columns(s.select("s_suppkey"), other, ["s_suppkey"], ["s_acctbal", "by_balance"])
+
+
+@add(f"WITH {_PAIRS} SELECT round(avg(accuracy), 9) AS mean_accuracy FROM (SELECT avg(CAST(state = truth AS DOUBLE)) AS accuracy FROM pairs WHERE truth IS NOT NULL GROUP BY truth)")
+def mean_of_state_accuracies(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.evaluate import mean_of_states
+
+    return mean_of_states(_pairs(spark, sf)).select(F.round("mean_accuracy", 9).alias("mean_accuracy"))
+
+
+@add(f"""WITH {_PAIRS}, p AS (SELECT pairs.*, lang, source FROM pairs JOIN documents USING (doc_id)), l AS (SELECT 'lang' AS "group", lang AS value, state = truth AS hit, prob FROM p UNION ALL SELECT 'source', source, state = truth, prob FROM p)
+    SELECT "group", value, avg(CAST(hit AS DOUBLE)) AS accuracy, round(sum(CASE WHEN hit THEN prob ELSE 0 END) / nullif(sum(prob), 0), 9) AS weighted_accuracy, count(*) AS n FROM l GROUP BY ALL""")
+def accuracy_by_columns(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.evaluate import accuracy_by_groups
+
+    known = _pairs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return accuracy_by_groups(known, ["lang", "source"]).withColumn("weighted_accuracy", F.round("weighted_accuracy", 9))
