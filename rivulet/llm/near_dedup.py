@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_join, materialize, measured, only, steps, text_bytes
+from .common import drop, heavy_join, materialize, measured, only, steps, text_bytes
 from .components import alike, buckets, components, dealt_pairs, group_buckets
 from .textvec import U, distinct, mix, shingles, words
 
@@ -109,16 +109,19 @@ def signatures(docs: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int
 
 
 def shingle_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """The distinct shingles of each document: doc_id, d1, d2, n (as in ``signatures``), shingles."""
+    """``docs`` (node, d1, d2, n, text): the distinct shingles of those texts that have these digests and size: node, value."""
 
     def run(batches):
         for b in steps(batches):
             doc, value, _ = _shingle_sets(b.column("text"), size)
             many = np.bincount(doc, minlength=len(b))
+            same = np.ones(len(b), bool)
+            for name, got in zip(("d1", "d2", "n"), (*_digests(value, many), pa.array(many.astype(np.int64))), strict=True):
+                same &= b.column(name).to_numpy() == got.to_numpy()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_digests(value, many), pa.array(many.astype(np.int64)), lists], ["doc_id", "d1", "d2", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "value"]).filter(pa.array(same))
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, shingles array<long>")
+    return only(docs, "node", "d1", "d2", "n", "text").mapInArrow(run, "node long, value array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -136,10 +139,12 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORD
     named = classes.filter("n > 0 and doc_id is not null").select(*text, "doc_id", "node")
     nodes = signed.join(named, [*text, "doc_id"]).dropDuplicates([*text, "doc_id"])  # dealt by these already
     members = materialize(buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
-    chosen = named.join(members.select("node").distinct(), "node", "left_semi")
-    found = shingle_sets(only(docs, "doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = found.join(chosen, [*text, "doc_id"]).dropDuplicates([*text, "doc_id"]).select("node", F.col("shingles").alias("value"))
-    sets = materialize(sets, "sets")
+    wide, signed = signed, materialize(signed.select("doc_id", *text), "texts")
+    drop(wide)
+    chosen, wanted = measured(named.join(members.select("node").distinct(), "node", "left_semi"), "chosen", n=F.count("*"))
+    sets, found = measured(shingle_sets(only(docs, "doc_id", "text").join(chosen, "doc_id"), size), "sets", n=F.count("*"))
+    if found["n"] > wanted["n"]:  # repeated rows
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
     groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity)
     groups = _with_several_texts(signed, classes, groups, text)
     labels = classes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
