@@ -142,7 +142,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORD
     wide, signed = signed, materialize(signed.select("doc_id", *text), "texts")
     drop(wide)
     chosen, wanted = measured(named.join(members.select("node").distinct(), "node", "left_semi"), "chosen", n=F.count("*"))
-    sets, found = measured(shingle_sets(only(docs, "doc_id", "text").join(chosen, "doc_id"), size), "sets", n=F.count("*"))
+    # the list of candidates grows with the input: it is never broadcast, at any size
+    sets, found = measured(shingle_sets(only(docs, "doc_id", "text").join(chosen.hint("merge"), "doc_id"), size), "sets", n=F.count("*"))
     if found["n"] > wanted["n"]:  # repeated rows
         sets = materialize(sets.dropDuplicates(["node"]), "sets")
     groups = group_buckets(members, lambda pairs: verify(pairs, sets, similarity), lambda nodes: sets.join(nodes.select("node"), "node", "left_semi").withColumn("kind", F.lit(0)), similarity)
