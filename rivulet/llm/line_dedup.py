@@ -1,4 +1,4 @@
-"""Fuzzy duplicate lines across documents, in DataFrame operations alone.
+"""Fuzzy duplicate lines across documents: DataFrame operations, with signatures and comparisons in Arrow batches.
 
 Every line of at least ``least`` characters (without spaces at its ends) is
 judged, blank ones never. Equal lines are folded first. Lines of under
@@ -7,7 +7,7 @@ its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
 line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
 if no run occurs twice. The ranges overlap, so that lines of a similarity of
 0.8 have a range in common. Each run is hashed once and mixed anew for every
-three registers, which keep the least of disjoint bits. The registers are cut
+three registers (see ``char_runs``), which keep the least of disjoint bits. The registers are cut
 to bands: at a similarity of 0.8 some band agrees with probability
 1 - (1 - 0.8**rows)**bands, over 0.999 for each of ``LENGTHS``. Short runs are
 common to unlike lines, so they take more rows in a band. Lines that share a
@@ -27,14 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import char_runs
 from .common import materialize, only
-from .components import alike, buckets, dealt_pairs, group_buckets
+from .components import buckets, dealt_pairs, group_buckets
 
-LEAST_CHARS, FUZZY_CHARS, SHINGLE, BANDS, ROWS, SIMILARITY = 20, 20, 10, 10, 3, 0.8
+LEAST_CHARS, FUZZY_CHARS, SIMILARITY = 20, 20, 0.8
 #: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) that has such runs, bands, and rows of a band.
-LENGTHS = ((2, 0, 40, 26, 6), (3, 29, 127, 26, 6), (10, 99, None, BANDS, ROWS))
-#: Registers that are filled in one pass over the runs, and bits of a register.
-CHUNK, BITS = 30, 21
+LENGTHS = ((2, 0, 40, 26, 6), (3, 29, 127, 26, 6), (10, 99, None, 10, 3))
 
 
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -54,60 +53,14 @@ def _kinds(lengths: tuple) -> Column:
     return F.array_compact(F.array(*[F.when(fuzzy & (units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi, _, _ in lengths]))
 
 
-def _run_hash(units: Column, at: Column, shingle: int | Column) -> Column:
-    return F.xxhash64(F.substring(units, 2 * at + 1, F.lit(2) * shingle))
-
-
-def run_hashes(units: Column, shingle: int | Column = SHINGLE) -> Column:
-    """The hash of each run of characters in ``units`` (UTF-16, big-endian)."""
-    return F.transform(F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - shingle), lambda i: _run_hash(units, i, shingle))
-
-
-def _registers() -> list[Column]:
-    """The least value that each of ``CHUNK`` hash functions takes on the runs ``h``; disjoint bits of one hash are functions of their own."""
-    hashes = [F.xxhash64(F.lit(j), "h") for j in range(-(-CHUNK * BITS // 63))]
-    cut = [F.shiftrightunsigned(x, part * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") for x in hashes for part in range(63 // BITS)]
-    return [F.min(x).alias(f"m{k}") for k, x in enumerate(cut[:CHUNK])]
-
-
-def signed_keys(lines: DataFrame, ids: list[str], kinds: tuple[tuple[int, int, int], ...]) -> DataFrame:
-    """``lines`` (ids, k, line) -> (ids, k, turn, keys): one hash for each band, for ``kinds`` of (k, bands, rows).
-
-    A turn fills ``CHUNK`` registers of a line; only lines of a kind with more registers take several. A line of another
-    kind has one turn without keys. Lines that are already dealt by ids stay where they are.
-    """
-    turns = F.coalesce(*[F.when(F.col("k") == k, -(-bands // (CHUNK // rows))) for k, bands, rows in kinds], F.lit(1))
-    known = F.col("k").isin([k for k, _, _ in kinds])
-    units = lines.select(*ids, "k", F.encode("line", "UTF-16BE").alias("units"), turns.alias("turns"))
-    many = F.when(known, (F.length("units") / 2).cast("int") - F.col("k") + 1).otherwise(1)
-    each = units.select(*ids, "k", "units", "turns", F.explode(F.sequence(F.lit(0), many * F.col("turns") - 1)).alias("i"))
-    at, turn = F.floor(F.col("i") / F.col("turns")).cast("int"), F.pmod("i", "turns").alias("turn")
-    hashed = each.select(*ids, "k", turn, _run_hash(F.col("units"), at, F.col("k")).alias("h"))
-    signed = hashed.withColumn("h", F.when(F.col("turn") > 0, F.xxhash64("turn", "h")).otherwise(F.col("h"))).groupBy(*ids, "k", "turn").agg(*_registers())
-
-    def keys(k: int, bands: int, rows: int) -> Column:
-        fit = CHUNK // rows
-        cut = [(F.col("turn") * fit + b, F.xxhash64(F.lit(k), F.col("turn") * fit + b, *[f"m{b * rows + r}" for r in range(rows)])) for b in range(fit)]
-        return F.array_compact(F.array(*[F.when(number < bands, key) for number, key in cut]))
-
-    none = F.array().cast("array<bigint>")
-    return signed.select(*ids, "k", "turn", F.coalesce(*[F.when(F.col("k") == kind[0], keys(*kind)) for kind in kinds], none).alias("keys"))
-
-
-def band_keys(lines: DataFrame, ids: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``lines`` (ids, line), all compared by runs of one length -> (ids, keys); several rows of a line if it takes several turns."""
-    return signed_keys(lines.withColumn("k", F.lit(shingle)), ids, ((shingle, bands, rows),)).select(*ids, "keys")
-
-
 def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this Jaccard similarity by runs of one length.
 
     ``lines`` is (node, k, n, units): a row for each length k of runs that a line is compared by, with its number of distinct runs.
     """
     of = lambda end: lines.select(F.col("node").alias(end), "k", F.col("n").alias(f"n{end}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "k")
-    found = dealt_pairs(sized, lines.select("node", F.col("units").alias("value")).dropDuplicates(["node"]))
-    return alike(found.select("a", "b", *[run_hashes(F.col(v), F.col("k")).alias(v) for v in ("va", "vb")]), similarity)
+    near = pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "k")
+    return char_runs.alike(dealt_pairs(near, lines.select("node", F.col("units").alias("value")).dropDuplicates(["node"])), similarity)
 
 
 def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENGTHS, bands: int | None = None, rows: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
@@ -120,19 +73,17 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n"))
     folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", _kinds(lengths).alias("kinds"))
     # a line that is not compared has a row too if it is repeated
-    own = F.when((F.size("kinds") > 0) | (F.col("n") == 1), F.col("kinds")).otherwise(F.array(F.lit(0)))
-    ids = ["h1", "h2", "node", "doc_id", "line_no", "n", "place"]
-    lines = materialize(signed_keys(folded.select(*ids[:-1], "line", F.posexplode(own).alias("place", "k")), ids, kinds), "lines")
+    judged = folded.filter((F.size("kinds") > 0) | (F.col("n") > 1)).withColumn("units", F.encode("line", "UTF-16BE")).drop("line")
+    lines = materialize(char_runs.band_keys(judged, kinds), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
-    single = lines.filter("place = 0 and turn = 0")
+    single = lines.drop("keys")
     wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2")
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
     chosen = found.select("node", F.encode("line", "UTF-16BE").alias("units"), F.explode(_kinds(lengths)).alias("k"))
-    chosen = materialize(chosen.withColumn("n", F.size(F.array_distinct(run_hashes(F.col("units"), F.col("k"))))), "chosen-lines")
+    chosen = materialize(char_runs.sized(chosen), "chosen-lines")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        wanted = chosen.join(nodes.select("node"), "node", "left_semi")
-        return wanted.select("node", F.col("k").alias("kind"), F.array_distinct(run_hashes(F.col("units"), F.col("k"))).alias("value"))
+        return char_runs.sets(chosen.join(nodes.select("node"), "node", "left_semi"))
 
     groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity).withColumnRenamed("id", "node")
     placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")

@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rivulet.llm import exact_dedup, line_dedup, near_dedup
+from rivulet.llm import char_runs, exact_dedup, line_dedup, near_dedup
 from rivulet.llm.components import components
 
 from .cases import awkward, prose, table, union_find, words
@@ -248,9 +249,26 @@ def test_line_bands_recall_of_short_lines(spark):
         line = [chr(0x4E00 + rng.randrange(20000)) for _ in range(21)]
         other = line[:10] + [chr(0x4E00 + rng.randrange(20000))] + line[11:]
         rows += [(2 * g, "".join(line)), (2 * g + 1, "".join(other))]
-    keyed = line_dedup.band_keys(table(spark, rows).selectExpr("doc_id as node", "text as line"), ["node"], 2).collect()
-    keys = {r.node: set(r["keys"]) for r in keyed}
-    assert sum(not keys[2 * g] & keys[2 * g + 1] for g in range(4000)) <= 8
+    units = [pa.array([t.encode("utf-16-be") for i, t in rows if i % 2 == end]) for end in (0, 1)]
+    _, _, _, bands, in_band = line_dedup.LENGTHS[0]
+    same = char_runs.keys(units[0], 2, bands, in_band) == char_runs.keys(units[1], 2, bands, in_band)
+    assert (~same.any(axis=1)).sum() <= 8
+    agree = char_runs.registers(units[0], 2, 30) == char_runs.registers(units[1], 2, 30)
+    runs = [[{t[k : k + 2] for k in range(20)} for i, t in rows if i % 2 == end] for end in (0, 1)]
+    assert abs(agree.mean() - sum(len(x & y) / len(x | y) for x, y in zip(*runs, strict=True)) / 4000) < 0.01
+
+
+def test_runs_of_long_and_many_lines():
+    rng = random.Random(15)
+    lines = ["".join(rng.choice("abcd \u00e9\U0001f600") for _ in range(rng.choice((20, 60, 300, 40000)))) for _ in range(60)]
+    units = pa.array([t.encode("utf-16-be") for t in lines])
+    for k in (2, 3, 10):
+        together = char_runs.registers(units, k, 7)
+        for n, u in enumerate(units.to_pylist()):
+            assert (together[n] == char_runs.registers(pa.array([u]), k, 7)[0]).all()
+            assert len(char_runs.distinct(u, k)) == len({u[i : i + 2 * k] for i in range(0, len(u) - 2 * k + 1, 2)})
+    sliced = char_runs.registers(units.slice(5, 9), 3, 7)
+    assert (sliced == char_runs.registers(units, 3, 7)[5:14]).all()
 
 
 def test_without_lines(spark):
@@ -259,8 +277,3 @@ def test_without_lines(spark):
     got = line_dedup.without_lines(docs, line_dedup.line_dedup(docs))
     assert got.columns == docs.columns
     assert {(r.doc_id, r.text) for r in got.collect()} == {(1, rows[0][1]), (2, "x\ny"), (3, None), (None, rows[3][1])}
-
-
-def test_line_dedup_runs_no_python(spark):
-    plan = line_dedup.band_keys(line_dedup.lines_of(table(spark, awkward())).selectExpr("doc_id as node", "line"), ["node"])._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
