@@ -53,8 +53,7 @@ def registers(units: pa.BinaryArray, k: int, m: int) -> np.ndarray:
             y = np.bitwise_xor(h, _SALT[2 * r], out=x[:-1])
             y *= _SALT[2 * r + 1]
             y ^= np.right_shift(y, np.uint32(15), out=shifted)
-            y *= np.uint32(0x846CA68B)
-            y ^= np.right_shift(y, np.uint32(16), out=shifted)
+            y *= np.uint32(0x846CA68B)  # the order of products is that of their high bits, which all bits reach
             out[r, row] = np.minimum(out[r, row], np.minimum.reduceat(x, at)[::2])
     return out.T.astype(U)
 
@@ -84,6 +83,19 @@ def distinct(units: bytes, k: int) -> np.ndarray:
     return _once(out)
 
 
+#: Names of the 64-bit words of a sketch.
+WORDS = ("w0", "w1", "w2", "w3")
+
+
+def parities(values: np.ndarray) -> np.ndarray:
+    """A sketch of a set: for each of 256 slots whether an odd number of its elements falls there, as four words.
+
+    Elements of both of two sets cancel out, so the sketches of two sets differ in no more bits than the sets in elements.
+    """
+    odd = np.bincount((values & U(64 * len(WORDS) - 1)).astype(np.intp), minlength=64 * len(WORDS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(lines: DataFrame, kinds: tuple[tuple[int, int, int], ...]) -> DataFrame:
     """``lines`` (..., units, kinds) -> (..., keys): the bands of a line for each of its kinds, of (k, bands, rows)."""
     names = [c for c in lines.columns if c not in ("units", "kinds")]
@@ -106,27 +118,32 @@ def band_keys(lines: DataFrame, kinds: tuple[tuple[int, int, int], ...]) -> Data
 
 
 def sized(lines: DataFrame) -> DataFrame:
-    """``lines`` (node, units, k) -> (node, k, n, units), with the number of distinct runs."""
+    """``lines`` (node, units, k) -> (node, k, n, units, ``WORDS``), with the number of distinct runs and their sketch."""
 
     def run(batches):
         for batch in batches:
-            n = [len(distinct(u, k)) for u, k in zip(batch.column("units").to_pylist(), batch.column("k").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("k"), pa.array(n, pa.int64()), batch.column("units")], ["node", "k", "n", "units"])
+            n, sketch = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(WORDS)), np.int64)
+            for i, (u, k) in enumerate(zip(batch.column("units").to_pylist(), batch.column("k").to_pylist(), strict=True)):
+                runs = distinct(u, k)
+                n[i], sketch[i] = len(runs), parities(runs)
+            words = [pa.array(np.ascontiguousarray(w)) for w in sketch.T]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("k"), pa.array(n), batch.column("units"), *words], ["node", "k", "n", "units", *WORDS])
 
-    return lines.select("node", "units", "k").mapInArrow(run, "node bigint, k int, n bigint, units binary")
+    return lines.select("node", "units", "k").mapInArrow(run, "node bigint, k int, n bigint, units binary, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
 def sets(lines: DataFrame) -> DataFrame:
-    """``lines`` (node, k, units) -> (node, kind, value): the distinct runs."""
+    """``lines`` (node, k, units, ``WORDS``) -> (node, kind, value, ``WORDS``): the distinct runs."""
 
     def run(batches):
         for batch in batches:
-            for node, k, units in zip(*[batch.column(c).to_pylist() for c in ("node", "k", "units")], strict=True):
+            for i, (node, k, units) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "k", "units")], strict=True)):
                 value = pa.array(distinct(units, k).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
-                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([k], pa.int32()), lists], ["node", "kind", "value"])
+                words = [batch.column(w).slice(i, 1) for w in WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([k], pa.int32()), lists, *words], ["node", "kind", "value", *WORDS])
 
-    return lines.select("node", "k", "units").mapInArrow(run, "node bigint, kind int, value array<bigint>")
+    return lines.select("node", "k", "units", *WORDS).mapInArrow(run, "node bigint, kind int, value array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:

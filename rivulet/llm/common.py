@@ -38,6 +38,10 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}"
 
 
+#: With this setting Spark deletes a query's shuffle files when it ends; else when the driver's memory is next cleared.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
     return measured(df, name)[0]
@@ -50,9 +54,12 @@ def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     seen = Observation(f"rivulet-{uuid.uuid4().hex}") if measures else None
     if seen:
         df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files are deleted when the driver forgets the plan that wrote them; without this it does so at some later time
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(schema).parquet(path)
     table.scratch_path = path
     return table, seen.get if seen else {}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, measured
@@ -52,32 +52,44 @@ def buckets(dealt: DataFrame) -> DataFrame:
 COMMON = 16
 
 
+def close_enough(x: list[Column], y: list[Column], nx: Column, ny: Column, similarity: float) -> Column:
+    """Whether sets of ``nx`` and ``ny`` elements with the sketches ``x`` and ``y`` can have this Jaccard similarity.
+
+    Sets of the similarity s differ in at most (1 - s) / (1 + s) * (nx + ny) elements, and sketches in no more bits.
+    """
+    differing = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)), F.lit(0))
+    return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9) & (differing * (1 + similarity) <= (1 - similarity) * (nx + ny) + 1e-9)
+
+
 def prefix_pairs(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
 
     ``sets`` gives (node, kind, value), an array of distinct elements, for a table with the column node; only sets of one
-    kind are compared. Elements are put in one order, common ones last. If x and y have at least the similarity s, let i and j be the places (from 0) of
+    kind are compared. Further columns are the words of a sketch for ``close_enough``; where elements are few, as runs of
+    two characters are, prefixes alone would leave pairs in number with the square of the nodes. Elements are put in one order, common ones last. If x and y have at least the similarity s, let i and j be the places (from 0) of
     their first common element. What stands before is not common, so the overlap, which is at least s / (1 + s) *
     (nx + ny), is at most nx - i and at most ny - j. Hence i + j <= (1 - s) / (1 + s) * (nx + ny): the place is in the
     first (1 - s) / (1 + s) of one of the two sets, and before n - ceil(s n) + 1 in both. Joining on those places leaves
     out what has only a common passage.
     """
-    own = ["node", "kind", "component", "rest", "n"]
-    each = sets(nodes).join(nodes, "node").select("node", "kind", "component", "rest", F.size("value").alias("n"), "value")
-    each = materialize(each, "bucket-sets")
-    elements = each.select(*own, F.explode("value").alias("element"))
+    each = sets(nodes)
+    sketch = [c for c in each.columns if c not in ("node", "kind", "value")]
+    each = materialize(each.join(nodes, "node").withColumn("n", F.size("value")), "bucket-sets")
+    elements = each.select("node", "kind", F.explode("value").alias("element"))
     common = materialize(elements.groupBy("element").agg(F.count("*").alias("times")).filter(F.col("times") > COMMON), "common")
     placed = elements.join(common, "element", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    ordered = placed.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered"))  # no more than the set itself
+    ordered = placed.groupBy("node", "kind").agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered"))  # no more than the set itself
     until = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    places = ordered.select(*own, F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
+    own = ["node", "kind", "component", "rest", "n", *sketch]
+    places = ordered.join(each.select(*own), ["node", "kind"]).select(*own, F.posexplode(F.slice("ordered", F.lit(1), until)).alias("place", "x"))
     places = materialize(places.select(*own, "place", F.col("x.element").alias("element")), "prefixes")
     drop(each, common)
     early = places.filter(F.col("place") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9)
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
-        near = F.expr("x.element = y.element and x.kind = y.kind and x.component <> y.component") & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+        near = F.expr("x.element = y.element and x.kind = y.kind and x.component <> y.component")
+        near &= close_enough([F.col(f"x.{w}") for w in sketch], [F.col(f"y.{w}") for w in sketch], F.col("x.n"), F.col("y.n"), similarity)
         room = F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= similarity / (1 + similarity) * F.expr("x.n + y.n") - 1e-9
         return x.join(y, near & room).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -93,7 +105,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     That joins what belongs together in all but a few buckets. There the nodes outside the largest part are verified
     with all others of the bucket if it has at most ``whole`` nodes. In larger ones, where all pairs would grow with the
     square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
-    out only pairs that are no links. ``sets`` gives (node, kind, value) for a table of nodes, and ``similarity`` is
+    out only pairs that are no links. ``sets`` gives (node, kind, value) and sketches for a table of nodes, and ``similarity`` is
     the Jaccard similarity of a link.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.

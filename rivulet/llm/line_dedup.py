@@ -7,7 +7,7 @@ its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
 line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
 if no run occurs twice. The ranges overlap, so that lines of a similarity of
 0.8 have a range in common. Each run is hashed once and mixed anew for every
-three registers (see ``char_runs``), which keep the least of disjoint bits. The registers are cut
+register (see ``char_runs``), which keeps the least value. The registers are cut
 to bands: at a similarity of 0.8 some band agrees with probability
 1 - (1 - 0.8**rows)**bands, over 0.999 for each of ``LENGTHS``. Short runs are
 common to unlike lines, so they take more rows in a band. Lines that share a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import char_runs
 from .common import materialize, only
-from .components import buckets, dealt_pairs, group_buckets
+from .components import buckets, close_enough, dealt_pairs, group_buckets
 
 LEAST_CHARS, FUZZY_CHARS, SIMILARITY = 20, 20, 0.8
 #: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) that has such runs, bands, and rows of a band.
@@ -48,18 +48,21 @@ def _same() -> list[Column]:
 
 
 def _kinds(lengths: tuple) -> Column:
-    """The lengths of runs that ``line`` is compared by: none, one or two of ``lengths``."""
-    units, fuzzy = F.length(F.encode("line", "UTF-16BE")) / 2, F.char_length("line") >= FUZZY_CHARS
-    return F.array_compact(F.array(*[F.when(fuzzy & (units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi, _, _ in lengths]))
+    """The lengths of runs that ``line``, of the UTF-16 ``units``, is compared by: none, one or two of ``lengths``."""
+    units = F.length("units") / 2
+    fits = F.array_compact(F.array(*[F.when((units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi, _, _ in lengths]))
+    return F.when(F.char_length("line") >= FUZZY_CHARS, fits).otherwise(F.array().cast("array<int>"))
 
 
 def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this Jaccard similarity by runs of one length.
 
-    ``lines`` is (node, k, n, units): a row for each length k of runs that a line is compared by, with its number of distinct runs.
+    ``lines`` is (node, k, n, units, ``char_runs.WORDS``): a row for each length k of runs that a line is compared by, with its
+    number of distinct runs and their sketch. Only pairs that their sketches do not tell apart have their lines fetched.
     """
-    of = lambda end: lines.select(F.col("node").alias(end), "k", F.col("n").alias(f"n{end}"))
-    near = pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "k")
+    of = lambda end: lines.select(F.col("node").alias(end), "k", F.col("n").alias(f"n{end}"), *[F.col(w).alias(f"{end}{w}") for w in char_runs.WORDS])
+    may = close_enough([F.col(f"a{w}") for w in char_runs.WORDS], [F.col(f"b{w}") for w in char_runs.WORDS], F.col("na"), F.col("nb"), similarity)
+    near = materialize(pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(may).select("a", "b", "k"), "near-lines")
     return char_runs.alike(dealt_pairs(near, lines.select("node", F.col("units").alias("value")).dropDuplicates(["node"])), similarity)
 
 
@@ -71,15 +74,16 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     kinds = tuple((k, bands or b, rows or r) for k, _, _, b, r in lengths)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n"))
-    folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", _kinds(lengths).alias("kinds"))
+    units = F.encode("line", "UTF-16BE").alias("units")
+    folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", units)
     # a line that is not compared has a row too if it is repeated
-    judged = folded.filter((F.size("kinds") > 0) | (F.col("n") > 1)).withColumn("units", F.encode("line", "UTF-16BE")).drop("line")
+    judged = folded.withColumn("kinds", _kinds(lengths)).filter((F.size("kinds") > 0) | (F.col("n") > 1)).drop("line")
     lines = materialize(char_runs.band_keys(judged, kinds), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
     single = lines.drop("keys")
     wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2")
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
-    chosen = found.select("node", F.encode("line", "UTF-16BE").alias("units"), F.explode(_kinds(lengths)).alias("k"))
+    chosen = found.select("node", "line", units).select("node", "units", F.explode(_kinds(lengths)).alias("k"))
     chosen = materialize(char_runs.sized(chosen), "chosen-lines")
 
     def sets(nodes: DataFrame) -> DataFrame:
