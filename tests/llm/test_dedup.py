@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rivulet.llm import char_runs, exact_dedup, line_dedup, near_dedup
-from rivulet.llm.components import components
+from rivulet.llm.components import close_enough, components
 
 from .cases import awkward, prose, table, union_find, words
 
@@ -277,3 +277,23 @@ def test_without_lines(spark):
     got = line_dedup.without_lines(docs, line_dedup.line_dedup(docs))
     assert got.columns == docs.columns
     assert {(r.doc_id, r.text) for r in got.collect()} == {(1, rows[0][1]), (2, "x\ny"), (3, None), (None, rows[3][1])}
+
+
+def test_sketches_rule_out_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)))
+        both = len(np.intersect1d(a, b))
+        links = both >= 0.8 * (len(np.unique(a)) + len(np.unique(b)) - both)
+        words = [[int(w) for w in char_runs.parities(np.unique(x))] for x in (a, b)]
+        rows.append((len(np.unique(a)), len(np.unique(b)), bool(links), *words[0], *words[1]))
+    names = [f"{end}{w}" for end in "ab" for w in char_runs.WORDS]
+    table = spark.createDataFrame(rows, "na long, nb long, links boolean, " + ", ".join(f"{c} long" for c in names))
+    may = close_enough([F.col(c) for c in names[:4]], [F.col(c) for c in names[4:]], F.col("na"), F.col("nb"), 0.8)
+    got = table.select("links", may.alias("may")).collect()
+    assert all(r["may"] for r in got if r["links"])
+    assert 0 < sum(r["links"] for r in got) < len(got) and any(not r["may"] for r in got)
+    assert char_runs.parities(np.zeros(0, np.uint64)).tolist() == [0, 0, 0, 0]
