@@ -68,7 +68,25 @@ def _scan() -> str:
     """
 
 
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLES = {
+    "op13_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_CAPITALS}) AS text FROM documents),
+        words AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+        counts AS (SELECT w.lang, source, term, count(*) AS c FROM words w JOIN kept USING (lang, term) GROUP BY ALL),
+        sums AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+        groups AS (SELECT g.*, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sums USING (lang, source)),
+        shares AS (SELECT lang, source, term, coalesce(x.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(x.c, 0) + 5)) // (g.n + 5 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.c + 5)) // (v.n + 5 * v)::HUGEINT AS q
+            FROM groups g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN counts x USING (lang, source, term)),
+        sides AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sides s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found
+        QUALIFY part = 'pair' OR rank <= 50
+    """,
     "op9_license_scan": _scan(),
     "op8_chat_quotes": r"""
         WITH RECURSIVE source AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text, row_number() OVER () AS row FROM conversations),

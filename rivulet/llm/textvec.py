@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U = np.uint64
@@ -138,3 +139,34 @@ def distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
     return doc[at], value[at], np.diff(np.append(at, len(doc)))
+
+
+#: ASCII capitals to small letters; all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
+    """The byte ranges of a buffer as strings; they must begin and end between characters."""
+    size = (end - start).astype(np.int64)
+    offs = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    inside = np.arange(offs[-1])
+    inside += np.repeat(start - offs[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offs), pa.py_buffer(data[inside]))
+
+
+def blocks(data: np.ndarray, ends: np.ndarray, limit: int):
+    """Ranges of some ``limit`` bytes that cover a long text and end before a byte of the table ``ends`` or with the text."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + limit
+        while hi < n:
+            found = np.flatnonzero(ends[data[hi : hi + 4096]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi += 4096
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
