@@ -71,6 +71,23 @@ def _scan() -> str:
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES = {
+    "op12_phrases": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_CAPITALS}) AS text FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        grams AS (SELECT lang, len(ws) AS size, k, unnest([array_to_string(list_slice(ws, i, i + k - 1), ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM ws, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(ws) >= k),
+        f AS (SELECT lang, k AS m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+        cuts AS (SELECT *, array_to_string(list_slice(ws, 1, k), ' ') AS first, array_to_string(list_slice(ws, k + 1, m), ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+        priced AS (SELECT c.lang, c.phrase, a, c.m, k, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score FROM cuts c JOIN total USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.phrase = rest),
+        best AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        starts AS (SELECT *, unnest(range(1, m)) AS i FROM candidates),
+        spans AS (SELECT lang, a, unnest([array_to_string(list_slice(ws, i, j), ' ') FOR j IN range(i + 1, m + 1) IF j - i + 1 < m]) AS phrase FROM starts),
+        covered AS (SELECT DISTINCT s.lang, s.phrase FROM spans s JOIN candidates c USING (lang, phrase) WHERE 100 * s.a >= 100 * c.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM best ANTI JOIN covered USING (lang, phrase) QUALIFY rank <= 2000
+    """,
     "op13_source_divergence": rf"""
         WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_CAPITALS}) AS text FROM documents),
         words AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),

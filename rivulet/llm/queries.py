@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, layout, licenses, line_dedup, near_dedup, packing, quotes, resample, rules, subwords
+from . import divergence, exact_dedup, layout, licenses, line_dedup, near_dedup, packing, phrases, quotes, resample, rules, subwords
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -65,6 +65,10 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(_table(spark, sf_dir, "pages"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
         op8_chat_quotes,
         op9_license_scan,
         op10_html_layout,
+        op12_phrases,
         op13_source_divergence,
     )
 }
