@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, layout, licenses, line_dedup, near_dedup, packing, phrases, quotes, resample, rules, subwords
+from . import credentials, divergence, exact_dedup, layout, licenses, line_dedup, near_dedup, packing, phrases, quotes, resample, rules, subwords
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -65,6 +65,14 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = credentials.secret_spans(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return got.select("doc_id", *[of(k) for k in credentials.KINDS], F.sha2(digest(base), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +94,7 @@ QUERIES = {
         op8_chat_quotes,
         op9_license_scan,
         op10_html_layout,
+        op11_secret_scan,
         op12_phrases,
         op13_source_divergence,
     )
