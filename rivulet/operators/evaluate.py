@@ -52,6 +52,23 @@ def forecast_errors(pairs: DataFrame, predicted: str, actual: str, by: tuple = (
     return pairs.groupBy(*by).agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg((d != 0).cast("double")).alias("missed"))
 
 
+def ratio_forecast_errors(pairs: DataFrame, total: str, count: str, actual: str, by: tuple = ()) -> DataFrame:
+    """As ``forecast_errors`` for forecasts total / count of whole numbers, the same whatever the order of the rows.
+
+    The errors of one ``count`` have it as their common denominator, so their numerators add up exactly; what is left, one
+    term for each count, is added in its order. Rows without a forecast (count 0 or missing) are left out.
+    """
+    exact = lambda x: F.col(x).cast("decimal(18,0)")
+    off = exact(total) - exact(actual) * exact(count)
+    terms = pairs.filter(F.col(count) > 0).groupBy(*by, count).agg(
+        F.sum(off * off).cast("double").alias("squares"), F.sum(F.abs(off)).cast("double").alias("sizes"), F.count(off).alias("n"), F.sum((off != 0).cast("long")).alias("wrong")
+    )
+    terms = terms.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(count).alias("k"), "squares", "sizes"))).alias("terms"), F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
+    add = lambda x, power: F.aggregate("terms", F.lit(0.0), lambda acc, e: acc + e[x] / F.pow(e["k"].cast("double"), F.lit(power)))
+    mse = add("squares", 2.0) / F.col("n")
+    return terms.select(*by, mse.alias("mse"), F.sqrt(mse).alias("rmse"), (add("sizes", 1.0) / F.col("n")).alias("mae"), (F.col("wrong") / F.col("n")).alias("missed"))
+
+
 def missingness_error(p_missing: Column, missing: Column) -> Column:
     """How wrong a forecast probability of a missing value was."""
     return F.when(missing, 1 - p_missing).otherwise(p_missing)

@@ -15,9 +15,10 @@ from .sequence import dealt, ordered, places, run_id, rising
 
 
 def baseline_length(cycles: DataFrame, seq: str = "seq_id") -> DataFrame:
-    """For each cycle: mean and deviation of the lengths of those before it."""
+    """For each cycle: mean and deviation of the lengths of those before it, and their sum and number."""
     before = Window.partitionBy(seq).orderBy("cycle_number").rowsBetween(Window.unboundedPreceding, -1)
-    return cycles.withColumns({"predicted": F.avg("cycle_length").over(before), "predicted_sd": F.stddev_samp("cycle_length").over(before)})
+    added = {"predicted": F.avg("cycle_length"), "predicted_sd": F.stddev_samp("cycle_length"), "days_before": F.sum("cycle_length"), "cycles_before": F.count("cycle_length")}
+    return cycles.withColumns({k: c.over(before) for k, c in added.items()})
 
 
 def replay_baseline(days: DataFrame, channels: list[str], back: int = -18, seq: str = "seq_id", cycle: str = "cycle") -> DataFrame:

@@ -135,7 +135,7 @@ def tracking_frequency(spark: SparkSession, sf: str) -> DataFrame:
     FROM cycles WINDOW w AS (PARTITION BY seq_id ORDER BY cycle_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def baseline_cycle_length(spark: SparkSession, sf: str) -> DataFrame:
     got = predict.baseline_length(C.identify_cycles(_decoded(spark, sf)).select("seq_id", "cycle_number", "cycle_length"))
-    return got.withColumns({"predicted": F.round("predicted", 9), "predicted_sd": F.round("predicted_sd", 6)})
+    return got.withColumns({"predicted": F.round("predicted", 9), "predicted_sd": F.round("predicted_sd", 6)}).drop("days_before", "cycles_before")
 
 
 @add(f"""WITH {OBSERVED}, p AS (SELECT seq_id, cycle, t, mucus, LH, row_number() OVER w AS day, row_number() OVER w - count(*) OVER (PARTITION BY seq_id, cycle) - 1 AS back FROM observed WINDOW w AS (PARTITION BY seq_id, cycle ORDER BY t)),
@@ -190,10 +190,12 @@ def phase_observations(spark: SparkSession, sf: str) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("n_days"), F.round(F.avg(F.col("mucus").isNull().cast("double")), 9).alias("p_missing_mucus"))
 
 
-@add(f"""WITH {_CYCLES}, b AS (SELECT seq_id, cycle_length, avg(cycle_length) OVER (PARTITION BY seq_id ORDER BY cycle_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - cycle_length AS d FROM cycles)
-    SELECT round(avg(d * d), 6) AS mse, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, round(avg(CAST(d <> 0 AS DOUBLE)), 9) AS missed FROM b""")
+@add(f"""WITH {_CYCLES}, b AS (SELECT cycle_length, sum(cycle_length) OVER w AS total, count(*) OVER w AS k FROM cycles WINDOW w AS (PARTITION BY seq_id ORDER BY cycle_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    terms AS (SELECT k, CAST(sum((total - cycle_length * k) ** 2) AS DOUBLE) / (k * k) AS squares, CAST(sum(abs(total - cycle_length * k)) AS DOUBLE) / k AS sizes, count(*) AS n, sum(CAST(total <> cycle_length * k AS INT)) AS wrong FROM b WHERE k > 0 GROUP BY k),
+    added AS (SELECT list_reduce(list(squares ORDER BY k), lambda a, e: a + e) / sum(n) AS mse, list_reduce(list(sizes ORDER BY k), lambda a, e: a + e) / sum(n) AS mae, sum(wrong) / sum(n) AS missed FROM terms)
+    SELECT round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(missed, 9) AS missed FROM added""")
 def forecast_error(spark: SparkSession, sf: str) -> DataFrame:
-    got = E.forecast_errors(predict.baseline_length(C.identify_cycles(_decoded(spark, sf))), "predicted", "cycle_length")
+    got = E.ratio_forecast_errors(predict.baseline_length(C.identify_cycles(_decoded(spark, sf))), "days_before", "cycles_before", "cycle_length")
     return got.select(*[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae")], F.round("missed", 9).alias("missed"))
 
 

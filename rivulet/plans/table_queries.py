@@ -259,10 +259,10 @@ def histogram_relative(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @add("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
-    round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+    round(CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum(exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(exact("l_extendedprice")).cast("double").alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum(exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(exact("l_extendedprice")).cast("double").alias("sum_price"), F.round(F.sum(exact("l_discount")).cast("double") / F.count("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
 @add("""SELECT rank, a.s_suppkey, b.s_suppkey AS by_balance, b.s_acctbal FROM (SELECT row_number() OVER (ORDER BY s_suppkey) AS rank, s_suppkey FROM supplier) a
