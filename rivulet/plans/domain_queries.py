@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..hsmm.cycle_model import cycle_model, dedicated
+from ..hsmm.model import FLOOR
 from ..operators import cycles as C
 from ..operators import evaluate as E
-from ..operators import observe, predict, tracking
+from ..operators import likelihood, observe, predict, tracking
 from ..operators.sequence import ordered, rising
 from .panel import CYCLED, FOLD, MUCUS_DAYS, OBSERVED, TEMP_DAYS, Registry, cycled, observed, table
 
@@ -103,12 +107,15 @@ def raw_days(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@add(f"""WITH {OBSERVED}, d AS (SELECT *, {_LEVELS} AS level, CASE WHEN n_events > 6 THEN NULL ELSE temp END AS plain FROM observed),
+_PREPARED = f"""{OBSERVED}, d AS (SELECT *, {_LEVELS} AS level, CASE WHEN n_events > 6 THEN NULL ELSE temp END AS plain FROM observed),
     c AS (SELECT seq_id, temp, count(*) AS n FROM observed WHERE temp IS NOT NULL GROUP BY ALL),
     o AS (SELECT seq_id, temp AS odd FROM (SELECT *, row_number() OVER w AS p, lead(n) OVER w AS next FROM c WINDOW w AS (PARTITION BY seq_id ORDER BY n DESC, temp)) WHERE p = 1 AND (next IS NULL OR n > 5 * next)),
-    k AS (SELECT d.*, CASE WHEN plain = odd THEN NULL ELSE plain END AS kept FROM d LEFT JOIN o USING (seq_id))
-    SELECT seq_id, CAST(t AS INT) AS t, CASE WHEN n_events IS NULL THEN NULL WHEN day1 AND coalesce(level, 'none') IN ('none', 'spotting') THEN 'medium' ELSE coalesce(level, 'none') END AS bleeding, mucus,
-        CASE WHEN kept IS NULL THEN NULL ELSE round(greatest(-1.5, least(1.5, kept - quantile_cont(kept, 0.5) OVER (PARTITION BY seq_id))), 6) END AS temp, LH, preg FROM k""")
+    k AS (SELECT d.*, CASE WHEN plain = odd THEN NULL ELSE plain END AS kept FROM d LEFT JOIN o USING (seq_id)),
+    prepared AS (SELECT seq_id, CAST(t AS INT) AS t, CASE WHEN n_events IS NULL THEN NULL WHEN day1 AND coalesce(level, 'none') IN ('none', 'spotting') THEN 'medium' ELSE coalesce(level, 'none') END AS bleeding, mucus,
+        CASE WHEN kept IS NULL THEN NULL ELSE round(greatest(-1.5, least(1.5, kept - quantile_cont(kept, 0.5) OVER (PARTITION BY seq_id))), 6) END AS temp, LH, preg FROM k)"""
+
+
+@add(f"WITH {_PREPARED} SELECT * FROM prepared")
 def prepare_obs(spark: SparkSession, sf: str) -> DataFrame:
     return observe.prepare_obs(raw_days(spark, sf)).withColumn("temp", F.round("temp", 6))
 
@@ -224,3 +231,56 @@ def state_duration_days(spark: SparkSession, sf: str) -> DataFrame:
         coalesce(mucus, 'missing') AS mucus, coalesce(LH, 'missing') AS LH, coalesce(preg, 'missing') AS preg FROM d""")
 def observations_with_missing_level(spark: SparkSession, sf: str) -> DataFrame:
     return observe.prepare_obs(raw_days(spark, sf), missing_level=True).drop("temp")
+
+
+@lru_cache(1)
+def _model():
+    return dedicated(cycle_model())
+
+
+def _values(name: str, rows) -> str:
+    """A relation of a model as SQL, of the sojourns no more than any sequence of the tables can have."""
+    shown = lambda x: "'" + x + "'" if isinstance(x, str) else repr(float(x)) if isinstance(x, float) else str(int(x))
+    rows = rows[rows["days"] <= 60] if "days" in rows else rows
+    columns = ", ".join('"' + c + '"' for c in rows.columns)
+    return f"m_{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(shown(x) for x in r) + ")" for r in rows.itertuples(index=False)) + ")"
+
+
+def _path_sql(spread: bool) -> str:
+    tables = likelihood.model_tables(_model())
+    channels = [k for k in _model().emission if k != "temp"]
+    said = {k: f"v_{k}.f IS NOT NULL" for k in channels} | {"temp": "temp IS NOT NULL"}
+    total = "spoken" + "".join(f" + CASE WHEN {said[k]} THEN known_{k} + " + (f"v_{k}.f" if k != "temp" else f"greatest(peak_temp - 0.5 * (((temp - mean_temp) / sd_temp) * ((temp - mean_temp) / sd_temp)), {FLOOR})") + f" ELSE unknown_{k} END" for k in _model().emission)
+    if spread:
+        init, move, stay, share = "first_run", "NOT first_run", "NOT first_run AND NOT last_run", "length"
+    else:
+        init, move, stay, share = "p = 1", "place = 1 AND p > 1", "place = length AND p > 1 AND p < size", "1"
+    return f"""WITH {_DECODED}, {_PREPARED.removeprefix(OBSERVED + ", ")}, {", ".join(_values(k, t) for k, t in tables.items())},
+    path AS (SELECT seq_id, CAST(d.t AS INT) AS t, state, bleeding, mucus, temp, LH, preg FROM decoded d JOIN prepared x USING (seq_id, t)),
+    path_edges AS (SELECT *, coalesce(lag(state) OVER w <> state, true) AS new, lag(state) OVER w AS previous, row_number() OVER w AS p, count(*) OVER (PARTITION BY seq_id) AS size FROM path WINDOW w AS (PARTITION BY seq_id ORDER BY t)),
+    path_runs AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY seq_id ORDER BY t) AS run FROM path_edges),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY seq_id, run ORDER BY t) AS place, count(*) OVER (PARTITION BY seq_id, run) AS length, first_value(previous) OVER (PARTITION BY seq_id, run ORDER BY t) AS came,
+        run = 1 AS first_run, run = max(run) OVER (PARTITION BY seq_id) AS last_run FROM path_runs),
+    terms AS (SELECT p.seq_id, p.t, p.state, coalesce(CASE WHEN {init} THEN i.init END / {share}, 0) AS init, coalesce(CASE WHEN {move} THEN s.transition END / {share}, 0) AS transition, coalesce(CASE WHEN {stay} THEN o.sojourn END / {share}, 0) AS sojourn,
+            CASE WHEN {" OR ".join(said.values())} THEN greatest({total}, {FLOOR}) ELSE silent END AS emission
+        FROM placed p JOIN m_initial i ON i.state = p.state LEFT JOIN m_transition s ON s.state = p.state AND s."before" = p.came LEFT JOIN m_sojourn o ON o.state = p.state AND o.days = p.length JOIN m_report r ON r.state = p.state
+            {" ".join(f"LEFT JOIN m_value v_{k} ON v_{k}.channel = '{k}' AND v_{k}.state = p.state AND v_{k}.value = p.{k}" for k in channels)})
+    SELECT seq_id, t, state, round(init, 6) AS init, round(transition, 6) AS transition, round(sojourn, 6) AS sojourn, round(emission, 6) AS emission, round(init + transition + sojourn + emission, 6) AS loglik FROM terms"""
+
+
+def _path(spark: SparkSession, sf: str, spread: bool) -> DataFrame:
+    days = _decoded(spark, sf).select("seq_id", F.col("t").cast("int").alias("t"), "state").join(prepare_obs(spark, sf), ["seq_id", "t"])
+    got = likelihood.path_likelihood(days, _model(), spread)
+    return got.withColumns({c: F.round(c, 6) for c in (*likelihood.TERMS, "loglik")})
+
+
+@add(_path_sql(False))
+def path_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the log likelihood of the decoded days, each where it happens."""
+    return _path(spark, sf, False)
+
+
+@add(_path_sql(True))
+def path_likelihood_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, spread over the days of each run."""
+    return _path(spark, sf, True)
