@@ -7,10 +7,11 @@ are open then counts all of them in one pass. A phrase's parts are joined to it
 
 Three things keep the exchange small and even, and none changes a count:
 
-* Words are counted first. A phrase of ``least`` occurrences has no word with fewer, so suffixes end before such a word.
-  Map tasks know frequent words by a filter of ``FILTER_BITS`` bits, which is of one size whatever the input and may let
-  through a rare word, but never stops a frequent one.
-* Equal suffixes of a step are sent once, with their number.
+* Words are counted first, then the pairs of them that stand together, by slots of 32 bits. A phrase of ``least``
+  occurrences has no word or pair with fewer, so suffixes end before such a one. Map tasks know the frequent ones by
+  filters of ``FILTER_BITS`` bits, which are of one size whatever the input and may let through a rare one, but never stop
+  a frequent one.
+* Equal suffixes of a task are sent once, with their number, as far as some ``HELD`` of them are held.
 * Suffixes of a word that makes up more than one in ``HOT`` of all words are dealt over ``SALTS`` tasks by their whole text;
   their prefixes are counted in parts, which are then added up.
 
@@ -21,6 +22,8 @@ cut after fewer words, and to the phrase that is first in UTF-8. Further columns
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,8 +35,8 @@ from .textvec import LOWER, U, blocks, cut, hash_ranges, mix, strings
 
 LEAST, LONGEST, TOP, INSIDE = 100, 5, 2000, 100
 FILTER_BITS, HOT, SALTS = 1 << 26, 512, 64
-#: Bytes of text that one step handles.
-STEP = 2 << 20
+#: Bytes of text that one step handles, and rows of counts that a task holds before it sends them.
+STEP, HELD = 4 << 20, 1 << 20
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -81,8 +84,29 @@ def _ahead(data: np.ndarray, at: int) -> int:
         width *= 4
 
 
+def _summed(batches, keys: list[str]):
+    """Counts ``n`` of equal keys added up over batches, held until there are too many."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += len(b)
+        if rows >= HELD:
+            total = _added(held, keys)
+            if len(total) > HELD // 2:
+                yield from total.to_batches()
+                held, rows = [], 0
+            else:
+                held, rows = total.to_batches(), len(total)
+    if held:
+        yield from _added(held, keys).to_batches()
+
+
+def _added(batches: list[pa.RecordBatch], keys: list[str]) -> pa.Table:
+    return pa.Table.from_batches(batches).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+
 def _count_words(batches):
-    for b in steps(batches, limit=4 * STEP):
+    for b in steps(batches, limit=STEP):
         langs = _langs(b)
         of = langs.indices.to_numpy().astype(np.int64)
         for data, offs, upto in _parts(b):
@@ -103,7 +127,7 @@ def _count_words(batches):
 
 def word_counts(docs: DataFrame, least: int) -> DataFrame:
     """Frequent words and, under the name ``ALL``, the number of all words: lang, word, n."""
-    counts = only(docs, "lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
+    counts = only(docs, "lang", "text").mapInArrow(lambda bs: _summed(_count_words(bs), ["lang", "word"]), "lang string, word string, n long")
     return counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("word") == ALL))
 
 
@@ -120,20 +144,31 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _filter_cells(batches):
     for b in batches:
-        at = np.unique(np.concatenate(_bits(_hashes(b.column("lang"), b.column("word")))))
+        hashes = _hashes(b.column("lang"), b.column("word")) if "word" in b.schema.names else mix(b.column("slot").to_numpy().view(U))
+        at = np.unique(np.concatenate(_bits(hashes)))
         cell, first = np.unique(at // 64, return_index=True)
         mask = np.bitwise_or.reduceat(U(1) << (at % 64).astype(U), first) if len(at) else np.zeros(0, U)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
 
 
-def frequent_filter(words: DataFrame) -> np.ndarray:
-    """The filter of frequent words: FILTER_BITS / 64 cells of 64 bits at most come to the driver."""
-    cells = words.filter(F.col("word") != ALL).select("lang", "word").mapInArrow(_filter_cells, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+def _filter(rows: DataFrame) -> np.ndarray:
+    """The filter of these words or slots: FILTER_BITS / 64 cells of 64 bits at most come to the driver."""
+    cells = rows.mapInArrow(_filter_cells, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     found = np.zeros(FILTER_BITS // 64, np.int64)
     found[cells["cell"].to_numpy()] = cells["mask"].to_numpy()
     return found
 
 
+def frequent_words(words: DataFrame) -> np.ndarray:
+    return _filter(words.filter(F.col("word") != ALL).select("lang", "word"))
+
+
+def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int) -> np.ndarray:
+    """The filter of the slots of pairs with ``least`` occurrences of words that stand together in a piece."""
+    counts = only(docs, "lang", "text").mapInArrow(lambda bs: _summed(_count_pairs(bs, words), ["slot"]), "slot long, n long")
+    return _filter(counts.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("slot"))
+
+
 def hot_words(words: DataFrame) -> np.ndarray:
     """Hashes of the words, fewer than HOT, that each make up more than one in HOT of all."""
     total = words.filter(F.col("word") == ALL).agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -141,53 +176,82 @@ def hot_words(words: DataFrame) -> np.ndarray:
     return np.sort(_hashes(rows["lang"].combine_chunks(), rows["word"].combine_chunks()))
 
 
-def _suffixes(frequent: np.ndarray, hot: np.ndarray):
-    cells = frequent.view(U)
+def _known(cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for at in _bits(hashes):
+        out &= (cells.view(U)[at // 64] >> (at % 64).astype(U)) & U(1) != 0
+    return out
 
-    def known(hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at in _bits(hashes):
-            out &= (cells[at // 64] >> (at % 64).astype(U)) & U(1) != 0
-        return out
 
-    def run(batches):
-        for b in steps(batches, limit=STEP):
-            langs = _langs(b)
-            of = langs.indices.to_numpy().astype(np.int64)
-            for data, offs, upto in _parts(b):
-                doc, start, end, letters, words = _words(data, offs)
-                if not len(start):
-                    continue
-                width = len(words.dictionary)
-                pair, back = np.unique(of[doc] * width + words.indices.to_numpy(), return_inverse=True)
-                hashes = _hashes(langs.dictionary.take(pa.array(pair // width)), words.dictionary.take(pa.array(pair % width)))
-                fine, piece = known(hashes)[back], np.cumsum(_BREAK[data])[start]
-                link = np.zeros(len(start), bool)
-                link[:-1] = fine[:-1] & fine[1:] & (doc[:-1] == doc[1:]) & (piece[:-1] == piece[1:])
-                size, going = np.ones(len(start), np.int64), link.copy()
-                for _ in range(LONGEST - 1):
-                    size += going
-                    going = np.append(going[1:], False) & link
-                # words with one space after each
-                at = np.zeros(len(start) + 1, np.int64)
-                np.cumsum(end - start + 1, out=at[1:])
-                spaced = np.full(at[-1], 0x20, np.uint8)
-                inside = np.ones(at[-1], bool)
-                inside[at[1:] - 1] = False
-                spaced[inside] = letters
-                begins = np.flatnonzero((size > 1) & (start < upto))
-                kind = of[doc[begins]] * 2 + np.isin(hashes, hot)[back[begins]]
-                for k in np.unique(kind).tolist():
-                    mine = begins[kind == k]
-                    found = pc.value_counts(strings(spaced, at[mine], at[mine + size[mine]]))
-                    suffix, n = found.field(0).cast(pa.string()), found.field(1)
-                    salt = np.full(len(n), -1, np.int32)
-                    if k % 2:
-                        raw, ends = text_bytes(suffix)
-                        salt = (hash_ranges(raw, ends[:-1], ends[1:]) % U(SALTS)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([langs.dictionary[k // 2].as_py()] * len(n), pa.string()), pa.array(salt), suffix, n], ["lang", "salt", "suffix", "n"])
+@dataclass
+class _Chain:
+    """Words of a part of the texts, in order; ``link`` tells that a word and the next are frequent and stand in one piece."""
 
-    return run
+    langs: pa.Array
+    lang: np.ndarray  # by word
+    start: np.ndarray
+    size: np.ndarray
+    letters: np.ndarray
+    hash: np.ndarray  # of language and word
+    link: np.ndarray
+    upto: int
+
+
+def _chains(batches, frequent: np.ndarray):
+    for b in steps(batches, limit=STEP):
+        langs = _langs(b)
+        of = langs.indices.to_numpy().astype(np.int64)
+        for data, offs, upto in _parts(b):
+            doc, start, end, letters, words = _words(data, offs)
+            if not len(start):
+                continue
+            width = len(words.dictionary)
+            pair, back = np.unique(of[doc] * width + words.indices.to_numpy(), return_inverse=True)
+            hashes = _hashes(langs.dictionary.take(pa.array(pair // width)), words.dictionary.take(pa.array(pair % width)))
+            fine, piece = _known(frequent, hashes)[back], np.cumsum(_BREAK[data], dtype=np.int32)[start]
+            link = np.zeros(len(start), bool)
+            link[:-1] = fine[:-1] & fine[1:] & (doc[:-1] == doc[1:]) & (piece[:-1] == piece[1:])
+            yield _Chain(langs.dictionary, of[doc], start, end - start, letters, hashes[back], link, upto)
+
+
+def _slots(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Slots of the pairs that the words ``at`` make with the next."""
+    return (mix(hashes[at] * U(0x9E3779B97F4A7C15) + hashes[at + 1]) >> U(32)).astype(np.int64)
+
+
+def _count_pairs(batches, frequent: np.ndarray):
+    for c in _chains(batches, frequent):
+        slot, n = np.unique(_slots(c.hash, np.flatnonzero(c.link & (c.start < c.upto))), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+
+def _suffixes(batches, frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray):
+    for c in _chains(batches, frequent):
+        linked = np.flatnonzero(c.link)
+        link = c.link.copy()
+        link[linked] = _known(pairs, mix(_slots(c.hash, linked).view(U)))
+        size, going = np.ones(len(link), np.int64), link.copy()
+        for _ in range(LONGEST - 1):
+            size += going
+            going = np.append(going[1:], False) & link
+        # words with one space after each
+        at = np.zeros(len(link) + 1, np.int64)
+        np.cumsum(c.size + 1, out=at[1:])
+        spaced = np.full(at[-1], 0x20, np.uint8)
+        inside = np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
+        spaced[inside] = c.letters
+        begins = np.flatnonzero((size > 1) & (c.start < c.upto))
+        kind = c.lang[begins] * 2 + np.isin(c.hash[begins], hot)
+        for k in np.unique(kind).tolist():
+            mine = begins[kind == k]
+            found = pc.value_counts(strings(spaced, at[mine], at[mine + size[mine]]))
+            suffix, n = found.field(0).cast(pa.string()), found.field(1)
+            salt = np.full(len(n), -1, np.int32)
+            if k % 2:
+                raw, ends = text_bytes(suffix)
+                salt = (hash_ranges(raw, ends[:-1], ends[1:]) % U(SALTS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([c.langs[k // 2].as_py()] * len(n), pa.string()), pa.array(salt), suffix, n], ["lang", "salt", "suffix", "n"])
 
 
 def common_bytes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -268,7 +332,9 @@ def _count_prefixes(least: int):
 
 def phrase_counts(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """Phrases of two words and more that occur ``least`` times: lang, phrase, n."""
-    found = only(docs, "lang", "text").mapInArrow(_suffixes(frequent_filter(words), hot_words(words)), "lang string, salt int, suffix string, n long")
+    frequent, hot = frequent_words(words), hot_words(words)
+    pairs = frequent_pairs(docs, frequent, least)
+    found = only(docs, "lang", "text").mapInArrow(lambda bs: _summed(_suffixes(bs, frequent, pairs, hot), ["lang", "salt", "suffix"]), "lang string, salt int, suffix string, n long")
     dealt = found.repartition("lang", F.substring_index("suffix", " ", 1), "salt").sortWithinPartitions("lang", "salt", F.desc("suffix"))
     return dealt.mapInArrow(_count_prefixes(least), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 

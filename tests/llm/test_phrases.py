@@ -41,6 +41,20 @@ def rows_of(docs):
     return [("und" if r["lang"] is None else r["lang"], r["text"] or "") for r in docs.collect()]
 
 
+def test_counts_are_added_up_as_they_are_held(monkeypatch):
+    monkeypatch.setattr(P, "HELD", 8)
+    r = random.Random(2)
+    batches = [pa.RecordBatch.from_pydict({"k": [r.choice("abcdefghij"[:m]) for _ in range(5)], "n": [r.randint(1, 4) for _ in range(5)]}) for m in (2, 2, 10, 10, 10, 1)]
+    want, got = Counter(), Counter()
+    for b in batches:
+        for x in b.to_pylist():
+            want[x["k"]] += x["n"]
+    for b in P._summed(batches, ["k"]):
+        for x in b.to_pylist():
+            got[x["k"]] += x["n"]
+    assert got == want and list(P._summed([], ["k"])) == []
+
+
 @pytest.mark.parametrize("least, top, inside", [(2, 2000, 100), (5, 7, 60), (10**6, 2000, 100)])
 def test_awkward_rows(spark, least, top, inside):
     docs = table(spark, awkward())
@@ -74,7 +88,7 @@ def test_long_text_in_blocks(monkeypatch):
         for b in P._count_words([batch]):
             for x in b.to_pylist():
                 words[x["word"]] += x["n"]
-        for b in P._suffixes(every, np.zeros(0, np.uint64))([batch]):
+        for b in P._suffixes([batch], every, every, np.zeros(0, np.uint64)):
             for x in b.to_pylist():
                 suffixes[x["suffix"]] += x["n"]
         return words, suffixes
