@@ -54,10 +54,15 @@ class JointModel(Model):
     def emissions(self, days: pd.DataFrame) -> np.ndarray:
         return np.maximum(log(self.table[self.cells(days)]), FLOOR)
 
-    def learned(self, start: JointModel, days: pd.DataFrame, gamma: np.ndarray, weight: float) -> dict:
-        """The part of the model that an iteration changes."""
-        counts = weight * start.table
+    def counted(self, days: pd.DataFrame, gamma: np.ndarray) -> dict[str, np.ndarray]:
+        """How often each combination is reported in each state."""
+        counts = np.zeros_like(self.table)
         np.add.at(counts, self.cells(days), gamma)
+        return {"cells": counts}
+
+    def learned(self, start: JointModel, counts: np.ndarray, weight: float) -> dict:
+        """The part of the model that an iteration changes."""
+        counts = counts + weight * start.table
         total = counts.sum(axis=0)
         return {"table": np.where(total > 1e-12, counts / np.maximum(total, 1e-300), self.table)}
 

@@ -14,8 +14,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..hsmm.fit import fit
+from ..hsmm.fit import Counts, Fit, expected, fit, iterate, merged
 from ..hsmm.infer import anchored, decode, forward_backward, posteriors, viterbi
 from ..hsmm.model import Model, stored
 from .sequence import dealt
@@ -265,26 +266,83 @@ def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: in
     return dealt(spark.range(n).toDF("id"), "id").groupBy("id").applyInPandas(one, f"seq_id string, t int, {channels}, state int")
 
 
+def fit_jointly(panel: DataFrame, model: Model, truth: DataFrame | None = None, trust: float = 1.0, key: str = "seq_id", **how) -> Fit:
+    """One model for all sequences, by rounds in which each task adds up the expected counts of its sequences.
+
+    The panel is dealt and sorted by sequence once and held for the rounds; a lost part is made again from its source. A
+    round sends the model to the tasks, and each sends back its counts that are not zero, which Spark adds up; so what
+    comes to the driver has the size of the model, and a task holds one sequence at a time. ``truth`` (key, t, state)
+    has labels of days. Rows without a sequence are left out; of rows of one day any one is taken.
+    """
+    spark = panel.sparkSession
+    channels = [c for c in model.emission if c in panel.columns]
+    days = panel.filter(F.col(key).isNotNull()).select(F.col(key).alias("seq_id"), "t", *channels)
+    if truth is not None:
+        days = days.join(truth.select(F.col(key).alias("seq_id"), "t", F.col("state").alias("__truth")), ["seq_id", "t"], "left")
+    days = dealt(days, "seq_id").sortWithinPartitions("seq_id", "t").persist()
+
+    def count(now: Model) -> Counts:
+        sent = spark.sparkContext.broadcast(now)
+        rows = days.mapInPandas(lambda frames: _counts(frames, sent.value, trust), "name string, place int, value double")
+        sums = rows.groupBy("name", "place").agg(F.sum("value").alias("value")).toArrow().to_pydict()
+        shapes = expected(now, pd.DataFrame({"t": [1], **{c: pd.Series([None], dtype=object) for c in channels}}))
+        total = {k: np.zeros(v.size) for k, v in shapes.items()}
+        for name, place, value in zip(sums["name"], sums["place"], sums["value"], strict=True):
+            total[name][place] = value
+        sent.unpersist()
+        return {k: v.reshape(shapes[k].shape) for k, v in total.items()}
+
+    try:
+        return iterate(model, count, **how)
+    finally:
+        days.unpersist()
+
+
+def _sequences(frames):
+    """The sequences of sorted rows, one at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        ids = pdf["seq_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and held[0]["seq_id"].iloc[0] != ids[lo]:
+                yield pd.concat(held)
+                held = []
+            held.append(pdf.iloc[lo:hi])
+    if held:
+        yield pd.concat(held)
+
+
+def _counts(frames, model: Model, trust: float):
+    total: Counts = {}
+    for days in _sequences(frames):
+        days = days.drop_duplicates("t").reset_index(drop=True)
+        labels = days.loc[days["__truth"].notna(), ["t", "__truth"]].rename(columns={"__truth": "state"}) if "__truth" in days else None
+        total = merged(total, expected(model, days, labels, trust))
+    for name, value in total.items():
+        flat = value.ravel()
+        at = np.flatnonzero(flat)
+        yield pd.DataFrame({"name": name, "place": at.astype(np.int32), "value": flat[at]})
+
+
 def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly: bool = False, **how) -> DataFrame:
     """States by Viterbi and by posterior, of the given and of the fitted model, side by side for each day.
 
-    The model is fitted to each sequence, or ``jointly`` to all of them, which brings all to one task: for small panels.
+    The model is fitted to each sequence, or ``jointly`` to all of them (``fit_jointly``).
     """
     channels = [c for c in model.emission if c in panel.columns]
-    text, kind = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.schema[key].dataType.simpleString()
+    fitted = fit_jointly(panel, model, key=key, **how).model if jointly else None
+    sent, kind = panel.sparkSession.sparkContext.broadcast((model, fitted)), panel.schema[key].dataType.simpleString()
     names = ["viterbi_specified", "smoothed_specified", "viterbi_fitted", "smoothed_fitted"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        given, pdf = stored(text.value), pdf.sort_values([key, "t"]).drop_duplicates([key, "t"])
-        models, out = (given, fit(given, pdf.rename(columns={key: "seq_id"}), **how).model), []
-        for _, days in pdf.groupby(key, sort=True):
-            states = []
-            for m in models:
-                logb = m.emissions(days)
-                states += [viterbi(m, logb)[0], forward_backward(m, logb).gamma.argmax(axis=1) + 1]
-            out.append(pd.DataFrame({"seq_id": days[key].to_numpy(), "t": days["t"].to_numpy(), **dict(zip(names, states))}))
-        return pd.concat(out)
-
-    days = panel.select(key, "t", *channels)
-    groups = days.groupBy() if jointly else dealt(days, key).groupBy(key)
-    return groups.applyInPandas(one, f"seq_id {kind}, t int, " + ", ".join(f"{n} int" for n in names))
+        given, together = sent.value
+        days, states = pdf.sort_values("t").drop_duplicates("t"), []
+        for m in (given, together or fit(given, days.rename(columns={key: "seq_id"}), **how).model):
+            logb = m.emissions(days)
+            states += [viterbi(m, logb)[0], forward_backward(m, logb).gamma.argmax(axis=1) + 1]
+        return pd.DataFrame({"seq_id": days[key].to_numpy(), "t": days["t"].to_numpy(), **dict(zip(names, states))})
+
+    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"seq_id {kind}, t int, " + ", ".join(f"{n} int" for n in names))

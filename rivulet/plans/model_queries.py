@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..hsmm.cycle_model import bleeding_model, cycle_model, dedicated
+from ..hsmm.model import Categorical
 from ..operators import decode, features, predict, rules
 from ..operators.sequence import dealt
 from .domain_queries import prepare_obs, raw_days
@@ -81,6 +82,19 @@ def hsmm_fit_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return decode.fit_panel(prepare_obs(spark, sf), part, lock_transition=True, weight_emission=100).select("seq_id", "loglik", "message")
 
 
+@add()
+def joint_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """What one model learns from all sequences: for each variable and state, how often it is missing and its values or mean and deviation."""
+    got = decode.fit_jointly(prepare_obs(spark, sf), model().subset(OVULATORY), lock_transition=True, weight_emission=100, relative=1e-5)
+    rows = []
+    for j, state in enumerate(got.model.names):
+        rows.append((state, None, "p", float(got.model.p[j])))
+        for k, f in got.model.emission.items():
+            learned = {"q": got.model.q[k][j]} | (dict(zip(f.values, f.probs[:, j])) if isinstance(f, Categorical) else {"mean": f.mean[j], "sd": f.sd[j]})
+            rows += [(state, k, name, float(x)) for name, x in learned.items()]
+    return spark.createDataFrame(rows, "state string, variable string, parameter string, value double").withColumn("value", F.round("value", 6))
+
+
 @add()
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
     days = raw_days(spark, sf).select(F.col("user_id").alias("seq_id"), F.col("rel_date").cast("int").alias("t"), F.ceil("bleeding").cast("int").alias("menstruation"), "first_day", "preg_test")

@@ -356,6 +356,24 @@ def test_four_decodings(spark):
     made = pd.concat([simulate(part, k, ord(k), days=40, first=1) for k in "ab"])
     plain = [tuple(None if pd.isna(v) else v for v in r) for r in made.drop(columns="state").itertuples(index=False)]
     panel = spark.createDataFrame(plain, "seq_id string, t int, bleeding string, mucus string, temp double, LH string, preg string").select(*made.columns[:-1])
+    import numpy as np
+
+    from rivulet.hsmm.fit import fit
+
+    how = {"lock_transition": True, "weight_emission": 10, "most": 6}
+    truth = pd.DataFrame({"seq_id": ["a", "b"], "t": [3, 9], "state": [1, 5]})
+    for labels in (None, truth):
+        one = fit(part, made.drop(columns="state"), labels, 0.9, **how)
+        # rows of a sequence in several batches, repeated days, rows without a sequence
+        messy = panel.unionByName(panel.filter("t = 7")).unionByName(panel.limit(2).withColumn("seq_id", F.lit(None).cast("string"))).repartition(5)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            many = decode.fit_jointly(messy, part, None if labels is None else spark.createDataFrame(labels, "seq_id string, t int, state int"), 0.9, **how)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert np.allclose(many.loglik, one.loglik) and many.message == one.message
+        assert np.allclose(many.model.sojourn, one.model.sojourn) and np.allclose(many.model.emission["temp"].sd, one.model.emission["temp"].sd)
+        assert all(np.allclose(many.model.q[k], one.model.q[k]) for k in one.model.q) and np.allclose(many.model.emission["mucus"].probs, one.model.emission["mucus"].probs)
     for jointly in (False, True):
         got = decode.four_decodings(panel, part, jointly=jointly, lock_transition=True, weight_emission=100, most=3)
         assert got.count() == 80 and got.filter("viterbi_specified between 1 and 7").count() == 80
