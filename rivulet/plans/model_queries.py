@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..hsmm.cycle_model import bleeding_model, cycle_model, dedicated
 from ..hsmm.model import Categorical
-from ..operators import decode, features, predict, rules
-from ..operators.sequence import dealt
+from ..operators import decode, features, predict, rules, scan
 from .domain_queries import prepare_obs, raw_days
 from .panel import CYCLED, Registry, cycled
 
@@ -37,23 +36,10 @@ STAY, CHANGE, WRONG = 1, 4, 3
         FROM v JOIN x ON x.seq_id = v.seq_id AND x.t = v.t + 1)
     SELECT seq_id, t, CAST(c0 AS BIGINT) AS cost0, CAST(c1 AS BIGINT) AS cost1 FROM v""")
 def hmm_viterbi_int(spark: SparkSession, sf: str) -> DataFrame:
-    """Costs of the best path to each day and state: one pass over the days of each sequence."""
+    """Costs of the best path to each day and state, as running products of the days' matrices."""
     days = cycled(spark, sf).select("seq_id", "t", F.col("menses").cast("int").alias("m"))
-    kind = days.schema["seq_id"].dataType.simpleString()
-
-    def one(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("t")
-        m, out = pdf["m"].tolist(), np.zeros((2, len(pdf)), np.int64)
-        c0 = c1 = None
-        for k, x in enumerate(m):
-            a, b = (0, 0) if c0 is None else (min(c0 + STAY, c1 + CHANGE), min(c1 + STAY, c0 + CHANGE))
-            c0, c1 = a + x * WRONG, b + (1 - x) * WRONG
-            out[:, k] = c0, c1
-        return pdf[["seq_id", "t"]].assign(cost0=out[0], cost1=out[1])
-
-    return dealt(days, "seq_id").groupBy("seq_id").applyInPandas(one, f"seq_id {kind}, t long, cost0 long, cost1 long")
+    got = scan.path_costs(days, [[STAY, CHANGE], [CHANGE, STAY]], [F.col("m") * WRONG, (1 - F.col("m")) * WRONG], F.col("t") == 1)
+    return got.select("seq_id", "t", "cost0", "cost1")
 
 
 @add()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rolling import hold, isolated, range_roll, roll
+from ..operators.scan import scanned
 from ..operators.sequence import average_overlaps, ends, folded, gap_runs, locf, longest_runs, ordered, places, runs, top
 from .panel import CYCLED, DAILY, DENSE, FOLD, GAP, Registry, cycled, daily, dense, exact, table
 
@@ -189,3 +190,13 @@ def dup_overlap_mean(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("d"), "event_type", exact("value").alias("value"))
     got = average_overlaps(df.withColumn("value", F.col("value").cast("double")), ["user_id", "d", "event_type"], "value")
     return got.withColumn("value", F.round("value", 6))
+
+
+@add(f"""WITH {DAILY}, k AS (SELECT *, date_diff('day', DATE '2000-01-01', d) AS t FROM daily), b AS (SELECT *, lag(n_events) OVER w AS before, lag(n_events > 1) OVER w AS was FROM k WINDOW w AS (PARTITION BY seq_id ORDER BY t))
+    SELECT seq_id, t, CAST(sum(n_events) OVER w AS BIGINT) AS events_so_far, last_value(lh_value IGNORE NULLS) OVER w AS lh_last, before AS events_before, CAST(sum(CAST(coalesce((n_events > 1) <> was, true) AS INT)) OVER w AS BIGINT) AS run
+    FROM b WINDOW w AS (PARTITION BY seq_id ORDER BY t ROWS UNBOUNDED PRECEDING)""")
+def blocked_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Running sum, last known value, row before and run id of the recorded days, in blocks of a week that carry over."""
+    days = daily(spark, sf).withColumn("t", F.datediff("d", F.lit("2000-01-01")))
+    got = scanned(days, {"events_so_far": "n_events"}, {"lh_last": "lh_value"}, {"events_before": "n_events"}, {"run": F.col("n_events") > 1}, size=7)
+    return got.select("seq_id", F.col("t").cast("long").alias("t"), "events_so_far", "lh_last", "events_before", "run")

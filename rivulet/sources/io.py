@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +77,17 @@ def load_model(spark: SparkSession, path: str, name: str):
     if row is None:
         raise KeyError(name)
     return Model.from_json(row["model"])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that driver and executors share, and its lineage cut.
+
+    The folder is that of ``spark.checkpoint.dir``; where none is set, as in tests, a local master takes a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="rivulet-"))
+    return df.checkpoint()

@@ -26,8 +26,6 @@ def test_entry(spark):
 def test_relational_queries_run_no_python(spark, sf):
     for name in OWN:
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
-        if name == "hmm_viterbi_int":
-            continue  # a recursion over days
         assert "Pandas" not in plan and "ArrowEvalPython" not in plan and "MapInArrow" not in plan, name
 
 
