@@ -1,202 +1,216 @@
-"""Labels of days by rules, without a model: the baseline that decoding is held against."""
+"""Labels of days by rules, without a model: the baseline that decoding is held against.
 
-from __future__ import annotations
+Where cycles start is judged day by day, since each decision changes the next: one fold over a user's days, in order, with a
+struct that holds what is known. All else is relational: periods from runs of bleeding days, pregnancies from the tests
+between two starts, and labels from intervals of days, of which the last one put over a day names it.
+"""
 
-import statistics
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
-from .sequence import dealt
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 DAYS = ("menstruation", "first_day", "preg_test")
 LUTEAL, OVULATION_WINDOW = 12, 5
+USUAL, BEFORE_ALL = 29.0, -29
+
+#: What is known of a user's cycles by the evening of a day: days that start one; for all starts ever entered, whether they
+#: end a pregnancy; the last start; the usual length; the first positive test of a pregnancy that goes on; what may have
+#: ended it, and when.
+_KNOWN = "starts array<int>, marks array<boolean>, last int, usual double, positive int, event int, kind string"
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _set(s: Column, **new: Column) -> Column:
+    for k, v in new.items():
+        s = s.withField(k, v)
+    return s
+
+
+def _enter(s: Column, day: Column, pregnant: Column, if_: Column) -> Column:
+    """``day`` entered as a start ``if_`` so."""
+    return _set(s, starts=F.when(if_, F.concat(s["starts"], F.array(day))).otherwise(s["starts"]), marks=F.when(if_, F.concat(s["marks"], F.array(pregnant))).otherwise(s["marks"]))
+
+
+def _judge(s: Column, d: Column) -> Column:
+    """What the day tells: its length of cycle, and whether it may be a period or a declared first day."""
+    length = d["t"] - s["last"]
+    period = (d["m"] > 0) & (d["two"] > 1) & (d["before"] <= 1) & (length >= F.least(0.6 * s["usual"], F.lit(12.0)))
+    return _set(s, length=length, period=period, declared=d["first"] & (length >= 21) & (d["before"] <= 2))
+
+
+def _begin(s: Column, d: Column) -> Column:
+    """A positive test begins a pregnancy, and takes back a start that came too late for it; else a period starts a cycle."""
+    none = s["positive"].isNull()
+    conceived = none & (d["test"] == 1)
+    back = conceived & (s["length"] < F.least(F.lit(23.0), s["usual"] - 6)) & (F.size(s["starts"]) > 0)
+    left = F.slice(s["starts"], F.lit(1), F.greatest(F.size(s["starts"]) - 1, F.lit(0)))
+    cycle = none & ~conceived & (s["period"] | s["declared"])
+    s = _set(
+        _enter(s, d["t"], F.lit(False), cycle),
+        last=F.when(cycle, d["t"]).when(back, F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit(BEFORE_ALL))).otherwise(s["last"]), positive=F.when(conceived, d["t"]).otherwise(s["positive"]),
+    )
+    return s.withField("starts", F.when(back, F.slice(s["starts"], F.lit(1), F.greatest(F.size(s["starts"]) - 1, F.lit(0)))).otherwise(s["starts"]))
+
+
+def _signs(s: Column, d: Column) -> Column:
+    """Which of the two kinds of signs of an end the day can be."""
+    sign = F.when(d["first"], "first day").when(d["test"] == -1, "negative test").when(s["period"], "period").otherwise("")
+    open_ = s["positive"].isNotNull()
+    return _set(s, sign=F.when(open_ & (s["kind"] == ""), sign).otherwise(""), second=open_ & (s["kind"] != "") & (s["event"] != d["t"]))
+
+
+def _first_event(s: Column, d: Column) -> Column:
+    """A first sign ends the pregnancy if it comes late, else it waits."""
+    seen = s["sign"] != ""
+    late = seen & ((d["t"] - s["positive"] >= 2 * s["usual"]) | (s["length"] >= 3 * s["usual"]))
+    return _set(
+        _enter(s, d["t"], F.lit(True), late), event=F.when(seen, d["t"]).otherwise(s["event"]), kind=F.when(late, "").when(seen, s["sign"]).otherwise(s["kind"]),
+        last=F.when(late, d["t"]).otherwise(s["last"]), positive=F.when(~late, s["positive"]),
+    )
+
+
+def _second_period(s: Column, d: Column) -> Column:
+    """A period ends the pregnancy now, and at the first sign too if that lies a cycle back."""
+    ends, cycle = s["second"] & s["period"], F.bround(1.75 * s["usual"])
+    apart = (d["t"] - s["event"]).between(F.least(F.lit(21.0), cycle), F.greatest(F.lit(21.0), cycle))
+    s = _enter(_enter(s, s["event"], F.lit(True), ends & apart), d["t"], ~apart, ends)
+    return _set(s, last=F.when(ends, d["t"]).otherwise(s["last"]), positive=F.when(~ends, s["positive"]))
+
 
+def _second_sign(s: Column, d: Column) -> Column:
+    """Another sign ends the pregnancy at a first period; a positive test takes the first sign back."""
+    ends = s["second"] & (s["kind"] == "period") & (d["first"] | (d["test"] == -1))
+    back = s["second"] & (d["test"] == 1)
+    return _set(_enter(s, s["event"], F.lit(True), ends), last=F.when(ends, s["event"]).otherwise(s["last"]), positive=F.when(~ends, s["positive"]), kind=F.when(ends | back, "").otherwise(s["kind"]))
 
-def calendar_sums(t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the seven days before each day, and of the day and the next, by calendar."""
-    at = dict(zip(t.tolist(), x.tolist()))
-    before = np.array([sum(at.get(d - k, 0) for k in range(1, 8)) for d in t.tolist()], float)
-    two = np.array([at.get(d, 0) + at.get(d + 1, 0) for d in t.tolist()], float)
-    return before, two
-
-
-class _Cycles:
-    """What is known of a user's cycles by the evening of a day."""
-
-    def __init__(self, median: float):
-        self.starts: list[int] = []
-        self.pregnant: list[bool] = []  # of all starts ever entered; a start that is taken back leaves its mark here
-        self.last, self.usual = -29, median
-        self.positive: int | None = None  # first positive test of the pregnancy that goes on
-        self.event, self.kind = 0, ""  # what may have ended it
-
-    def enter(self, day: int, pregnant: bool) -> None:
-        self.starts.append(day)
-        self.pregnant.append(pregnant)
-
-    def conceive(self, day: int, length: int) -> None:
-        self.positive = day
-        if length < min(23, self.usual - 6) and self.starts:  # conceived in the cycle before
-            self.starts.pop()
-            self.last = self.starts[-1] if self.starts else -29
-
-    def first_event(self, day: int, kind: str, length: int) -> None:
-        """Something that may end the pregnancy: it does if it comes late, else it waits for a second one."""
-        self.event, self.kind = day, kind
-        if day - self.positive >= 2 * self.usual or length >= 3 * self.usual:
-            self.enter(day, True)
-            self.last, self.positive, self.kind = day, None, ""
-
-    def second_event(self, day: int, period: bool, other: bool, positive: bool) -> None:
-        """A period ends the pregnancy now, and at the first event too if that lies a cycle back; another sign ends it at a first period."""
-        if period:
-            low, high = sorted((21, round(1.75 * self.usual)))
-            apart = low <= day - self.event <= high
-            if apart:
-                self.enter(self.event, True)
-            self.enter(day, not apart)
-            self.last, self.positive = day, None
-        if self.kind == "period" and other:
-            self.enter(self.event, True)
-            self.last, self.positive, self.kind = self.event, None, ""
-        if positive:
-            self.kind = ""
-
-    def learn(self) -> None:
-        """With five starts that end no pregnancy, the median of the last three gaps of them is usual."""
-        places = [k for k, p in enumerate(self.pregnant) if not p]
-        if len(places) > 4:
-            days = [self.starts[k] if k < len(self.starts) else None for k in places[-4:]]
-            gaps = [b - a for a, b in zip(days, days[1:]) if a is not None and b is not None]
-            self.usual = float(statistics.median(gaps)) if gaps else self.usual
-
-
-def cycle_starts(days: pd.DataFrame, median: float = 29.0) -> pd.DataFrame:
-    """Day 1 of each cycle (t, in order), judged day by day.
-
-    A period starts a cycle if it is new and the cycle is long enough for this user; so does a declared first day after
-    a quiet week. From a positive test on, a first sign of an end (period, negative test, declared first day) ends the
+
+def _learn(s: Column) -> Column:
+    """With five starts that end no pregnancy, the median of the last three gaps of them is usual."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["marks"]), F.lit(1))), lambda k: ~F.coalesce(F.try_element_at(s["marks"], k), F.lit(True)))
+
+    def median(four: Column) -> Column:
+        gaps = F.filter(F.zip_with(F.slice(four, 2, 3), F.slice(four, 1, 3), lambda b, a: b - a), lambda g: g.isNotNull())
+        ordered = F.array_sort(gaps)
+        at = lambda k: F.try_element_at(ordered, F.greatest(k, F.lit(1)).cast("int"))
+        n = F.size(ordered)
+        return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2.0)
+
+    usual = _let(places, lambda p: F.when(F.size(p) > 4, median(F.transform(F.slice(p, -4, 4), lambda k: F.try_element_at(s["starts"], k)))))
+    return s.withField("usual", F.coalesce(usual, s["usual"]))
+
+
+def recorded(days: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Distinct recorded days with what the rules look at: t, m, first, test, the bleeding of the seven days ``before`` by calendar and of the ``two`` from this day."""
+    of = Window.partitionBy(key).orderBy("t")
+    m, first, test = F.coalesce(F.col("menstruation").cast("double"), F.lit(0.0)), F.coalesce("first_day", F.lit(False)), F.coalesce(F.col("preg_test").cast("int"), F.lit(0))
+    plain = days.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).select(key, F.col("t").cast("int").alias("t"), m.alias("m"), first.alias("first"), test.alias("test"))
+    once = plain.withColumn("__n", F.row_number().over(Window.partitionBy(key, "t").orderBy("m", "first", "test"))).filter("__n = 1").drop("__n")
+    return once.withColumns({"before": F.coalesce(F.sum("m").over(of.rangeBetween(-7, -1)), F.lit(0.0)), "two": F.sum("m").over(of.rangeBetween(0, 1))})
+
+
+def cycle_starts(days: DataFrame, key: str = "seq_id", usual: float = USUAL) -> DataFrame:
+    """Day 1 of each cycle: key, t.
+
+    A period starts a cycle if it is new and the cycle is long enough for this user; so does a declared first day after a
+    quiet week. From a positive test on, a first sign of an end (period, negative test, declared first day) ends the
     pregnancy if it comes two usual cycles after the test or three after the cycle's start; else it waits. The next
     period then ends it that day, and at the first sign too if that is 21 days to 1.75 usual cycles back; another sign
     ends it at the first one if that was a period; a positive test takes the first sign back. A period that ends a
     pregnancy as a second sign leaves the first one standing, so it is the first sign of the next pregnancy.
     """
-    t, m = days["t"].to_numpy(int), days["menstruation"].fillna(0).to_numpy(float)
-    first, test = days["first_day"].fillna(False).to_numpy(bool), days["preg_test"].fillna(0).to_numpy(int)
-    before, two = calendar_sums(t, m)
-    known = _Cycles(median)
-    for k, day in enumerate(t.tolist()):
-        length = day - known.last
-        period = m[k] > 0 and two[k] > 1 and before[k] <= 1 and length >= min(0.6 * known.usual, 12)
-        declared = first[k] and length >= 21 and before[k] <= 2
-        if known.positive is None and test[k] == 1:
-            known.conceive(day, length)
-        elif known.positive is None and (period or declared):
-            known.enter(day, False)
-            known.last = day
-        if known.positive is not None and not known.kind:
-            kind = "first day" if first[k] else "negative test" if test[k] == -1 else "period" if period else ""
-            if kind:
-                known.first_event(day, kind, length)
-        elif known.positive is not None and known.event != day:
-            known.second_event(day, period, first[k] or test[k] == -1, test[k] == 1)
-        known.learn()
-    return pd.DataFrame({"t": sorted(set(known.starts))})
-
-
-def period_end(days: pd.DataFrame, start: int) -> int:
-    """Last day of the period that begins on ``start``: while bleeding goes on with gaps of two days at most; 5 days without records."""
-    m = dict(zip(days["t"].tolist(), days["menstruation"].fillna(0).tolist()))
-    if not any(m.get(start + k, 0) > 0 for k in range(5)):
-        return start + 4
-    last = start
-    day = start
-    while day - last <= 2:
-        if m.get(day, 0) > 0.5:
-            last = day
-        day += 1
-    return last
-
-
-def pregnancies(days: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    """Cycles with a positive test: start, test, end (the next cycle's start, or the last record), and how they ended.
-
-    210 to 273 days make a birth and fewer a loss; after more the end is unknown and a birth is set at day 252.
-    """
-    tests, rows = days.loc[days["preg_test"].fillna(0) > 0, "t"].to_numpy(int), []
-    at, last = starts["t"].to_numpy(int), int(days["t"].max())
-    for k, begin in enumerate(at.tolist()):
-        stop = int(at[k + 1]) if k + 1 < len(at) else last + 1
-        inside = tests[(tests >= begin) & (tests < stop)]
-        if not len(inside):
-            continue
-        length, open_ = stop - begin, k + 1 == len(at)
-        kind = "ongoing" if open_ and length < 210 else "birth" if 210 <= length <= 273 else "loss" if length < 210 else "undefined"
-        rows.append((begin, int(inside[0]), stop, length, kind))
-    return pd.DataFrame(rows, columns=["start", "test", "end", "length", "kind"])
-
-
-def label_user(days: pd.DataFrame) -> pd.DataFrame:
-    """t and label (a state name of the cycle model) of each recorded day."""
-    days = days.sort_values("t").drop_duplicates("t").reset_index(drop=True)
-    starts = cycle_starts(days)
-    known = pregnancies(days, starts).set_index("start") if len(starts) else pd.DataFrame()
-    label = pd.Series("", index=days["t"].to_numpy(int))
-    t = label.index.to_numpy()
-
-    def put(low: int, high: int, name: str) -> None:
-        label[(t >= low) & (t <= high)] = name
-
-    at = starts["t"].to_numpy(int)
-    for k, begin in enumerate(at.tolist()):
-        stop = int(at[k + 1]) if k + 1 < len(at) else None
-        bleeding_ends = period_end(days, begin)
-        if begin in known.index:
-            row = known.loc[begin]
-            conception = begin + 14
-            put(conception, conception + 2, "postO")
-            put(conception - 1, conception - 1, "O")
-            if row["kind"] == "loss":
-                put(conception + 3, row["end"] - 1, "PL")
-                put(row["end"], row["end"] + 4, "L")
-            else:
-                birth = begin + 252 if row["kind"] == "undefined" else row["end"] if row["kind"] == "birth" else None
-                for n, name in enumerate(("PB1", "PB2", "PB3")):
-                    stop_ = (birth or row["end"]) - 1
-                    low = begin + 1 + 84 * n
-                    put(max(low, conception + 3), min(begin + 84 * (n + 1) if n < 2 else stop_, stop_), name)
-                if birth is not None:
-                    put(birth, birth + 3, "B")
-                    if row["kind"] == "undefined":
-                        put(birth + 4, row["end"] - 1, "BF" if row["length"] > 322 else "PP")
-            put(begin, bleeding_ends, "M")
-            continue
-        if k and (at[k - 1] in known.index) and known.loc[at[k - 1], "kind"] == "birth":
-            put(begin + 4, (stop or int(t.max()) + 1) - 1, "BF" if stop is None or stop - begin > 56 else "PP")
-        elif stop is not None:
-            ovulation = stop - LUTEAL - 2
-            put(bleeding_ends + 1, ovulation - OVULATION_WINDOW - 1, "lE")
-            put(max(bleeding_ends + 1, ovulation - OVULATION_WINDOW), ovulation - 2, "hE")
-            if ovulation > bleeding_ends + 1:
-                put(ovulation - 1, ovulation - 1, "preO")
-                put(ovulation, ovulation, "O")
-                put(ovulation + 1, ovulation + 2, "postO")
-                put(ovulation + 3, stop - 1, "Lut")
-            else:
-                put(bleeding_ends + 1, stop - 1, "Ano")
-        put(begin, bleeding_ends, "M")
-    return pd.DataFrame({"t": t, "label": label.to_numpy()})
+    return _starts(recorded(days, key), key, usual)
 
 
-def rule_based_labels(days: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Labels of all users: key, t, label ("" where the rules say nothing)."""
-    kind = days.schema[key].dataType.simpleString()
+def _starts(rows: DataFrame, key: str, usual: float) -> DataFrame:
+    row = F.struct("t", "m", "first", "test", "before", "two")
+    nothing = F.from_json(F.lit('{"starts": [], "marks": [], "kind": ""}'), _KNOWN)
+    nothing = _set(nothing, last=F.lit(BEFORE_ALL), usual=F.lit(float(usual)), positive=F.lit(None).cast("int"), event=F.lit(0))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = label_user(pdf)
-        got.insert(0, key, pdf[key].iloc[0])
-        return got
+    def day(s: Column, d: Column) -> Column:
+        with_day = lambda step: lambda x: step(x, d)
+        for step in (_judge, _begin, _signs, _first_event, _second_period, _second_sign):
+            s = _let(s, with_day(step))
+        return _let(s, _learn).dropFields("length", "period", "declared", "sign", "second")
 
-    return dealt(days.select(key, "t", *DAYS), key).groupBy(key).applyInPandas(one, f"{key} {kind}, t int, label string")
+    known = rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(row)), nothing, day).alias("known"))
+    return known.select(key, F.explode(F.array_distinct("known.starts")).alias("t"))
+
+
+def periods(rows: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Adds to recorded days the last day of a period that would begin there: while bleeding goes on with gaps of a day at most; 5 days without records of any."""
+    of = Window.partitionBy(key).orderBy("t")
+    heavy = F.when(F.col("m") > 0.5, F.col("t"))
+    before = F.last(heavy, True).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"__new": (heavy.isNotNull() & (before.isNull() | (F.col("t") - before > 2))).cast("int"), "__some": F.max((F.col("m") > 0).cast("int")).over(of.rangeBetween(0, 4))})
+    rows = rows.withColumn("__run", F.sum("__new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__stop", F.max(heavy).over(Window.partitionBy(key, "__run")))
+    after = F.first(F.when(heavy.isNotNull(), F.struct("t", "__stop")), True).over(of.rowsBetween(0, Window.unboundedFollowing))
+    end = F.when(F.col("__some") == 0, F.col("t") + 4).when(after["t"] - F.col("t") <= 2, after["__stop"]).otherwise(F.col("t"))
+    return rows.withColumn("period_end", end).drop("__new", "__some", "__run", "__stop")
+
+
+def cycles(days: DataFrame, key: str = "seq_id") -> DataFrame:
+    """All cycles: key, number, begin, stop (the next start, missing for the last), period_end, the user's last recorded day, first positive test, length, kind.
+
+    A cycle with a positive test is a pregnancy. 210 to 273 days make a birth and fewer a loss; after more the end is unknown.
+    Until it has an end, one of under 210 days is ongoing. The kind of other cycles is missing.
+    """
+    rows = recorded(days, key)
+    starts = _starts(rows, key, USUAL).withColumn("__start", F.lit(True))
+    of = Window.partitionBy(key).orderBy("t")
+    marked = periods(rows, key).join(starts, [key, "t"], "left")
+    marked = marked.withColumn("number", F.count("__start").over(of.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last_day", F.max("t").over(Window.partitionBy(key)))
+    found = marked.filter("number > 0").groupBy(key, "number").agg(F.min("t").alias("begin"), F.min_by("period_end", "t").alias("period_end"), F.max("last_day").alias("last_day"), F.min(F.when(F.col("test") > 0, F.col("t"))).alias("test"))
+    found = found.withColumn("stop", F.lead("begin").over(Window.partitionBy(key).orderBy("number")))
+    found = found.withColumn("length", F.coalesce("stop", F.col("last_day") + 1) - F.col("begin"))
+    n = F.col("length")
+    kind = F.when(F.col("stop").isNull() & (n < 210), "ongoing").when(n.between(210, 273), "birth").when(n < 210, "loss").otherwise("undefined")
+    return found.withColumn("kind", F.when(F.col("test").isNotNull(), kind))
+
+
+def _intervals() -> Column:
+    """Intervals of one label each (low, high, label) of a cycle; later ones lie over earlier ones."""
+    c = F.col
+    put = lambda low, high, name, if_=True: F.when((F.lit(if_) if if_ is True else if_) & (low <= high), F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(name).alias("label")))
+    begin, end, bled = c("begin"), F.coalesce("stop", c("last_day") + 1), c("period_end")
+    pregnant, lost, undefined = c("kind").isNotNull(), c("kind") == "loss", c("kind") == "undefined"
+    conception = begin + 14
+    birth = F.when(undefined, begin + 252).when(c("kind") == "birth", end)
+    till = F.coalesce(birth, end) - 1
+    carried = pregnant & ~lost
+    third = lambda n, name, high: put(F.greatest(begin + 1 + 84 * n, conception + 3), high, name, carried)
+    nursing, usual = ~pregnant & (c("born") == True), ~pregnant & ~(c("born") == True) & c("stop").isNotNull()  # noqa: E712
+    long_pause = c("stop").isNull() | (c("stop") - begin > 56)
+    ovulation = c("stop") - LUTEAL - 2
+    luteal = usual & (ovulation > bled + 1)
+    return F.filter(
+        F.array(
+            put(conception, conception + 2, "postO", pregnant), put(conception - 1, conception - 1, "O", pregnant),
+            put(conception + 3, end - 1, "PL", lost), put(end, end + 4, "L", lost),
+            third(0, "PB1", F.least(begin + 84, till)), third(1, "PB2", F.least(begin + 168, till)), third(2, "PB3", till),
+            put(birth, birth + 3, "B", carried & birth.isNotNull()), put(birth + 4, end - 1, "BF", undefined & (c("length") > 322)), put(birth + 4, end - 1, "PP", undefined & (c("length") <= 322)),
+            put(begin + 4, end - 1, "BF", nursing & long_pause), put(begin + 4, end - 1, "PP", nursing & ~long_pause),
+            put(bled + 1, ovulation - OVULATION_WINDOW - 1, "lE", usual), put(F.greatest(bled + 1, ovulation - OVULATION_WINDOW), ovulation - 2, "hE", usual),
+            put(ovulation - 1, ovulation - 1, "preO", luteal), put(ovulation, ovulation, "O", luteal), put(ovulation + 1, ovulation + 2, "postO", luteal), put(ovulation + 3, c("stop") - 1, "Lut", luteal),
+            put(bled + 1, c("stop") - 1, "Ano", usual & ~(ovulation > bled + 1)), put(begin, bled, "M"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def rule_based_labels(days: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Labels of all recorded days: key, t, label (a state name of the cycle model, "" where the rules say nothing)."""
+    known = cycles(days, key)
+    before = F.lag("kind").over(Window.partitionBy(key).orderBy("number"))
+    put = known.withColumn("born", F.coalesce(before == "birth", F.lit(False))).select(key, "number", "last_day", F.posexplode(_intervals()).alias("place", "put"))
+    named = put.select(key, F.explode(F.sequence("put.low", F.least("put.high", "last_day"))).alias("t"), F.struct("number", "place", F.col("put.label").alias("label")).alias("named")).filter("t is not null")
+    named = named.groupBy(key, "t").agg(F.max("named").alias("named"))
+    recorded_days = days.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).select(key, F.col("t").cast("int").alias("t")).distinct()
+    return recorded_days.join(named, [key, "t"], "left").select(key, "t", F.coalesce("named.label", F.lit("")).alias("label"))

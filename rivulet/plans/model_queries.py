@@ -11,7 +11,7 @@ from ..hsmm.cycle_model import bleeding_model, cycle_model, dedicated
 from ..hsmm.model import Categorical
 from ..operators import decode, features, predict, rules, scan
 from .domain_queries import prepare_obs, raw_days
-from .panel import CYCLED, Registry, cycled
+from .panel import CYCLED, OBSERVED, Registry, cycled
 
 MODELS = Registry()
 add = MODELS.add
@@ -81,7 +81,61 @@ def joint_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "state string, variable string, parameter string, value double").withColumn("value", F.round("value", 6))
 
 
-@add()
+_PUTS = (  # label, first day, last day, when: later ones lie over earlier ones
+    ("postO", "b + 14", "b + 16", "kind IS NOT NULL"), ("O", "b + 13", "b + 13", "kind IS NOT NULL"), ("PL", "b + 17", "e - 1", "kind = 'loss'"), ("L", "e", "e + 4", "kind = 'loss'"),
+    ("PB1", "greatest(b + 1, b + 17)", "least(b + 84, till)", "kind <> 'loss'"), ("PB2", "greatest(b + 85, b + 17)", "least(b + 168, till)", "kind <> 'loss'"), ("PB3", "greatest(b + 169, b + 17)", "till", "kind <> 'loss'"),
+    ("B", "birth", "birth + 3", "birth IS NOT NULL"), ("BF", "birth + 4", "e - 1", "kind = 'undefined' AND length > 322"), ("PP", "birth + 4", "e - 1", "kind = 'undefined' AND length <= 322"),
+    ("BF", "b + 4", "e - 1", "kind IS NULL AND born AND (s IS NULL OR s - b > 56)"), ("PP", "b + 4", "e - 1", "kind IS NULL AND born AND s - b <= 56"),
+    ("lE", "pe + 1", "s - 20", "kind IS NULL AND NOT born"), ("hE", "greatest(pe + 1, s - 19)", "s - 16", "kind IS NULL AND NOT born"),
+    ("preO", "s - 15", "s - 15", "kind IS NULL AND NOT born AND s - 14 > pe + 1"), ("O", "s - 14", "s - 14", "kind IS NULL AND NOT born AND s - 14 > pe + 1"),
+    ("postO", "s - 13", "s - 12", "kind IS NULL AND NOT born AND s - 14 > pe + 1"), ("Lut", "s - 11", "s - 1", "kind IS NULL AND NOT born AND s - 14 > pe + 1"),
+    ("Ano", "pe + 1", "s - 1", "kind IS NULL AND NOT born AND s - 14 <= pe + 1"), ("M", "b", "pe", "true"),
+)
+
+_RULES = f"""WITH RECURSIVE {OBSERVED},
+    rec AS (SELECT seq_id, CAST(t AS INT) AS t, CASE WHEN bleeding_total >= 100 THEN 3 WHEN bleeding_total >= 80 THEN 2 WHEN bleeding_total >= 20 THEN 1 ELSE 0 END AS m, day1 AS first,
+        CASE preg WHEN 'pos' THEN 1 WHEN 'neg' THEN -1 ELSE 0 END AS test FROM observed WHERE n_events IS NOT NULL),
+    days AS (SELECT *, coalesce(sum(m) OVER (w RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS week, sum(m) OVER (w RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS two, row_number() OVER w AS i, max(t) OVER (PARTITION BY seq_id) AS last_day FROM rec WINDOW w AS (PARTITION BY seq_id ORDER BY t)),
+    known AS (
+        SELECT DISTINCT seq_id, CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS starts, CAST([] AS BOOL[]) AS marks, -29 AS last, CAST(29 AS DOUBLE) AS usual, CAST(NULL AS INT) AS positive, 0 AS event, '' AS kind FROM rec
+        UNION ALL
+        SELECT seq_id, i, starts, marks, last, CASE WHEN len(places) > 4 AND len(gaps) > 0 THEN list_aggregate(gaps, 'median') ELSE usual END, positive, event, kind FROM (
+        SELECT *, [four[j + 1] - four[j] FOR j IN range(1, 4) IF four[j] IS NOT NULL AND four[j + 1] IS NOT NULL] AS gaps FROM (
+        SELECT *, [starts[x] FOR x IN list_slice(places, -4, NULL)] AS four FROM (
+        SELECT *, [x FOR x IN range(1, len(marks) + 1) IF NOT marks[x]] AS places FROM (
+        SELECT * REPLACE (CASE WHEN ends THEN list_append(starts, event) ELSE starts END AS starts, CASE WHEN ends THEN list_append(marks, true) ELSE marks END AS marks, CASE WHEN ends THEN event ELSE last END AS last,
+            CASE WHEN NOT ends THEN positive END AS positive, CASE WHEN ends OR second AND test = 1 THEN '' ELSE kind END AS kind) FROM (
+        SELECT *, second AND kind = 'period' AND (first OR test = -1) AS ends FROM (
+        SELECT * REPLACE (CASE WHEN over AND apart THEN list_concat(starts, [event, t]) WHEN over THEN list_append(starts, t) ELSE starts END AS starts, CASE WHEN over AND apart THEN list_concat(marks, [true, false]) WHEN over THEN list_append(marks, true) ELSE marks END AS marks,
+            CASE WHEN over THEN t ELSE last END AS last, CASE WHEN NOT over THEN positive END AS positive) FROM (
+        SELECT *, second AND period AS over, t - event BETWEEN least(21, round_even(1.75 * usual, 0)) AND greatest(21, round_even(1.75 * usual, 0)) AS apart FROM (
+        SELECT * REPLACE (CASE WHEN late THEN list_append(starts, t) ELSE starts END AS starts, CASE WHEN late THEN list_append(marks, true) ELSE marks END AS marks, CASE WHEN sign <> '' THEN t ELSE event END AS event,
+            CASE WHEN late THEN '' WHEN sign <> '' THEN sign ELSE kind END AS kind, CASE WHEN late THEN t ELSE last END AS last, CASE WHEN NOT late THEN positive END AS positive) FROM (
+        SELECT *, sign <> '' AND coalesce(t - positive >= 2 * usual OR length >= 3 * usual, false) AS late FROM (
+        SELECT *, CASE WHEN positive IS NULL OR kind <> '' THEN '' WHEN first THEN 'first day' WHEN test = -1 THEN 'negative test' WHEN period THEN 'period' ELSE '' END AS sign, positive IS NOT NULL AND kind <> '' AND event <> t AS second FROM (
+        SELECT * REPLACE (CASE WHEN starts_cycle THEN list_append(starts, t) WHEN back THEN list_slice(starts, 1, len(starts) - 1) ELSE starts END AS starts, CASE WHEN starts_cycle THEN list_append(marks, false) ELSE marks END AS marks,
+            CASE WHEN starts_cycle THEN t WHEN back THEN coalesce(starts[len(starts) - 1], -29) ELSE last END AS last, CASE WHEN conceived THEN t ELSE positive END AS positive) FROM (
+        SELECT *, positive IS NULL AND test = 1 AS conceived, positive IS NULL AND test = 1 AND length < least(23, usual - 6) AND len(starts) > 0 AS back, positive IS NULL AND test <> 1 AND (period OR declared) AS starts_cycle FROM (
+        SELECT k.* REPLACE (d.i AS i), t, first, test, t - last AS length, m > 0 AND two > 1 AND week <= 1 AND t - last >= least(0.6 * usual, 12) AS period, first AND t - last >= 21 AND week <= 2 AS declared
+        FROM known k JOIN days d ON d.seq_id = k.seq_id AND d.i = k.i + 1)))))))))))))),
+    begun AS (SELECT DISTINCT seq_id, unnest(starts) AS t, true AS start FROM (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY i DESC) = 1)),
+    fresh AS (SELECT *, CASE WHEN m > 0.5 THEN t END AS h, CAST(m > 0.5 AND coalesce(t - max(CASE WHEN m > 0.5 THEN t END) OVER (PARTITION BY seq_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 2, true) AS INT) AS new,
+        max(CAST(m > 0 AS INT)) OVER (PARTITION BY seq_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS some FROM days),
+    bled AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY t) AS run FROM fresh),
+    stops AS (SELECT seq_id, run, max(h) AS stop FROM bled GROUP BY ALL),
+    after AS (SELECT b.*, min(h) OVER (PARTITION BY b.seq_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS h1 FROM bled b),
+    ended AS (SELECT a.seq_id, a.t, a.test, a.last_day, CASE WHEN a.some = 0 THEN a.t + 4 WHEN a.h1 - a.t <= 2 THEN s.stop ELSE a.t END AS pe FROM after a LEFT JOIN bled n ON n.seq_id = a.seq_id AND n.t = a.h1 LEFT JOIN stops s ON s.seq_id = n.seq_id AND s.run = n.run),
+    counted AS (SELECT e.*, count(start) OVER (PARTITION BY seq_id ORDER BY t) AS number FROM ended e LEFT JOIN begun USING (seq_id, t)),
+    spans AS (SELECT seq_id, number, min(t) AS b, arg_min(pe, t) AS pe, max(last_day) AS last_day, min(t) FILTER (test > 0) AS positive FROM counted WHERE number > 0 GROUP BY ALL),
+    followed AS (SELECT *, lead(b) OVER (PARTITION BY seq_id ORDER BY number) AS s, coalesce(s, last_day + 1) AS e, coalesce(s, last_day + 1) - b AS length FROM spans),
+    kinds AS (SELECT *, CASE WHEN positive IS NULL THEN NULL WHEN s IS NULL AND length < 210 THEN 'ongoing' WHEN length BETWEEN 210 AND 273 THEN 'birth' WHEN length < 210 THEN 'loss' ELSE 'undefined' END AS kind FROM followed),
+    born AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY seq_id ORDER BY number) = 'birth', false) AS born, CASE kind WHEN 'undefined' THEN b + 252 WHEN 'birth' THEN e END AS birth, coalesce(CASE kind WHEN 'undefined' THEN b + 252 WHEN 'birth' THEN e END, e) - 1 AS till FROM kinds),
+    puts AS ({" UNION ALL ".join(f"SELECT seq_id, number, {k} AS place, '{name}' AS label, {low} AS low, {high} AS high FROM born WHERE {when}" for k, (name, low, high, when) in enumerate(_PUTS))}),
+    named AS (SELECT r.seq_id, r.t, arg_max(label, number * 100 + place) AS label FROM rec r JOIN puts p ON p.seq_id = r.seq_id AND r.t BETWEEN low AND high GROUP BY ALL)
+    SELECT seq_id, t, coalesce(label, '') AS label FROM rec LEFT JOIN named USING (seq_id, t)"""
+
+
+@add(_RULES)
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
     days = raw_days(spark, sf).select(F.col("user_id").alias("seq_id"), F.col("rel_date").cast("int").alias("t"), F.ceil("bleeding").cast("int").alias("menstruation"), "first_day", "preg_test")
     return rules.rule_based_labels(days)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from rivulet.functions import columns as X
 from rivulet.hsmm.cycle_model import bleeding_model, cycle_model, dedicated
 from rivulet.hsmm.simulate import simulate
-from rivulet.operators import cycles, decode, evaluate, features, observe, predict, rules, sequence, tables, tracking, users
+from rivulet.operators import cycles, decode, evaluate, features, observe, predict, sequence, tables, tracking, users
 from rivulet.operators.rolling import frame, roll
 from rivulet.sources import io
 
+from . import plain_rules
+
 
 def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
@@ -144,12 +146,12 @@ def test_rule_labels():
     days["menstruation"] = [m.get(t, 0) for t in days["t"]]
     days["first_day"] = False
     days["preg_test"] = [1 if t == 90 else 0 for t in days["t"]]
-    starts = rules.cycle_starts(days)
+    starts = plain_rules.cycle_starts(days)
     assert starts["t"].tolist() == [1, 29, 57, 337]
-    assert rules.period_end(days, 1) == 4 and rules.period_end(days, 100) == 104
-    (row,) = rules.pregnancies(days, starts).itertuples()
+    assert plain_rules.period_end(days, 1) == 4 and plain_rules.period_end(days, 100) == 104
+    (row,) = plain_rules.pregnancies(days, starts).itertuples()
     assert (row.start, row.test, row.end, row.kind) == (57, 90, 337, "undefined")
-    label = rules.label_user(days).set_index("t")["label"]
+    label = plain_rules.label_user(days).set_index("t")["label"]
     assert label[1] == "M" and label[14] == "postO" or label[15] == "O" or label[13] == "O"
     assert label[28] == "Lut" and label[200] == "PB2" and label[309] == "B"
 
@@ -295,7 +297,7 @@ def starts_of(periods, tests, until=400, first=()):
     days["menstruation"] = [2 if any(p <= t < p + 3 for p in periods) else 0 for t in days["t"]]
     days["first_day"] = [t in first for t in days["t"]]
     days["preg_test"] = [tests.get(t, 0) for t in days["t"]]
-    return rules.cycle_starts(days)["t"].tolist()
+    return plain_rules.cycle_starts(days)["t"].tolist()
 
 
 def test_pregnancy_ends_by_hand():
