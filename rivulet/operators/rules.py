@@ -210,7 +210,7 @@ def rule_based_labels(days: DataFrame, key: str = "seq_id") -> DataFrame:
     known = cycles(days, key)
     before = F.lag("kind").over(Window.partitionBy(key).orderBy("number"))
     put = known.withColumn("born", F.coalesce(before == "birth", F.lit(False))).select(key, "number", "last_day", F.posexplode(_intervals()).alias("place", "put"))
-    named = put.select(key, F.explode(F.sequence("put.low", F.least("put.high", "last_day"))).alias("t"), F.struct("number", "place", F.col("put.label").alias("label")).alias("named")).filter("t is not null")
+    named = put.filter(F.col("put.low") <= F.col("last_day")).select(key, F.explode(F.sequence("put.low", F.least("put.high", "last_day"))).alias("t"), F.struct("number", "place", F.col("put.label").alias("label")).alias("named"))
     named = named.groupBy(key, "t").agg(F.max("named").alias("named"))
     recorded_days = days.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).select(key, F.col("t").cast("int").alias("t")).distinct()
     return recorded_days.join(named, [key, "t"], "left").select(key, "t", F.coalesce("named.label", F.lit("")).alias("label"))

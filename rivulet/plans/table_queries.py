@@ -289,3 +289,19 @@ def accuracy_by_columns(spark: SparkSession, sf: str) -> DataFrame:
 
     known = _pairs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
     return accuracy_by_groups(known, ["lang", "source"]).withColumn("weighted_accuracy", F.round("weighted_accuracy", 9))
+
+
+RANK_ERROR, RANKS = 0.01, [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@add(f"""WITH q AS (SELECT CAST(unnest({RANKS}) AS DOUBLE) AS p), g AS (SELECT l_returnflag, count(l_extendedprice) AS n FROM lineitem GROUP BY 1)
+    SELECT l_returnflag, p, n, true AS within FROM g CROSS JOIN q""")
+def sketched_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of prices from sketches by day of shipping, merged to the flag: how many values they saw, and whether each is within the stated error in rank of the exact one."""
+    from ..functions import sketches as S
+
+    li = table(spark, sf, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    daily = S.sketch_table(li, ["l_returnflag", "day"], ["l_extendedprice"], RANK_ERROR)
+    found = S.read_out(S.coarser(daily, ["l_returnflag"]), RANKS)
+    errors = S.rank_errors(li, found, ["l_returnflag"], "l_extendedprice")
+    return errors.join(found, ["l_returnflag", "p"]).select("l_returnflag", "p", "n", (F.col("error") <= RANK_ERROR).alias("within"))

@@ -19,13 +19,16 @@ def user(r, name, n):
         if t >= next_ + 6:
             next_ = t + r.choice([18, 22, 24, 26, 30, 34, 60, 215, 260, 300])
         bleeding = r.choice([0, 1, 2, 2, 3]) if next_ <= t < next_ + 5 else int(r.random() < 0.01)
-        rows.append((name, t, r.choice([bleeding] * 9 + [None]), r.choice([False] * 60 + [True, None]), r.choice([0] * 60 + [None, 1, -1])))
+        rows.append((name, t, r.choice([bleeding] * 9 + [None]), r.choice([False] * 60 + [True, None]), r.choice([0] * (60 if n > 60 else 6) + [None, 1, -1])))
     return rows
 
 
 def table(spark):
     r = random.Random(11)
-    rows = [x for k in range(25) for x in user(r, f"u{k}", r.choice([1, 40, 300, 900]))]
+    rows = [x for k in range(45) for x in user(r, f"u{k}", r.choice([1, 20, 30, 40, 60, 300, 900]))]
+    for k in range(120):  # short records with many signs, which end soon after a start
+        m, first, test = ([r.choice(x) for _ in range(30)] for x in ([0, 0, 0, 2], [False] * 5 + [True], [0, 0, 0, 1, -1]))
+        rows += [(f"s{k}", t + 1, m[t], first[t], test[t]) for t in range(r.randint(5, 30))]
     r.shuffle(rows)
     return rows, spark.createDataFrame(rows + [(None, 3, 2, True, 1), ("u1", None, 2, True, 1)], SCHEMA).repartition(3)
 
