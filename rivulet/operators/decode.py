@@ -143,27 +143,22 @@ def decode_stretch(days: pd.DataFrame, kind: str, model: Model, truth: pd.DataFr
     return pd.DataFrame({"t": np.repeat(days["t"].to_numpy(), J), "state": np.tile(np.arange(1, J + 1), len(days)), "prob": gamma.ravel(), "on_path": (path[:, None] == np.arange(1, J + 1)).ravel()})
 
 
-def stitch(parts: pd.DataFrame, menses: int = 1) -> tuple[pd.DataFrame, list[tuple[float, float]]]:
-    """Decoded stretches to one row a day, and the overlaps where one side has menses and the other has none.
+def stitch(parts: pd.DataFrame, menses: int = 1) -> tuple[pd.DataFrame, list[tuple[float, float, float]]]:
+    """Decoded stretches to one row a day, and the seams (number, first and last day) where a stretch knows no menses.
 
-    Where stretches overlap, probabilities are averaged and the best state is taken; the stretch's number is the mean of the two.
+    Where stretches overlap, probabilities are averaged and the best state is taken; the stretch's number is the mean of
+    those that meet. ``stitching`` has the same for whole panels.
     """
-    days = parts.groupby("t")["stretch_number"].nunique()
-    overlap = set(days.index[days > 1])
-    odd = []
-    both = parts[parts["t"].isin(overlap) & parts["on_path"]]
-    for t in sorted(overlap):
-        if not odd or t > odd[-1][1] + 1:
-            odd.append([t, t])
-        odd[-1][1] = t
-    fix = []
-    for low, high in odd:
-        seen = both[both["t"].between(low, high)].groupby("stretch_number")["state"].apply(lambda s: (s == menses).any())
-        if seen.nunique() > 1:
-            fix.append((low, high))
+    numbers = parts[parts["on_path"]].groupby("t")["stretch_number"].agg(["nunique", "mean"])
+    meet = numbers.loc[numbers["nunique"] > 1, "mean"]
+    both, fix = parts[parts["t"].isin(meet.index) & parts["on_path"]], []
+    for number, days in meet.groupby(meet):
+        here = both[both["t"].isin(days.index)]
+        if not (here["state"] == menses).groupby(here["stretch_number"]).any().all():
+            fix.append((float(number), days.index.min(), days.index.max()))
     mean = parts.groupby(["t", "state"], as_index=False).agg(prob=("prob", "mean"), on_path=("on_path", "max"), stretch_number=("stretch_number", "mean"), tracking_behavior=("tracking_behavior", lambda s: "-".join(dict.fromkeys(s))))
-    mean.loc[mean["t"].isin(overlap), "on_path"] = False
-    best = mean[mean["t"].isin(overlap)].sort_values(["t", "prob", "state"], ascending=[True, False, True]).drop_duplicates("t").index
+    mean.loc[mean["t"].isin(meet.index), "on_path"] = False
+    best = mean[mean["t"].isin(meet.index)].sort_values(["t", "prob", "state"], ascending=[True, False, True]).drop_duplicates("t").index
     mean.loc[best, "on_path"] = True
     return mean[mean["on_path"]].drop(columns="on_path").sort_values("t").reset_index(drop=True), fix
 
@@ -189,20 +184,22 @@ def decode_user(days: pd.DataFrame, model: Model, bleeding: Model, adaptive: boo
 
     parts = [run(s.start, s.end, s.tracking_behavior, float(s.stretch_number), truth) for s in spans.itertuples()]
     out, fix = stitch(pd.concat(parts, ignore_index=True), model.state("M"))
-    if fix:  # decode again from the cycle before an odd overlap to the start after it, anchored at real cycle starts
-        starts = out.loc[(out["state"] == 1) & (out["state"].shift() != 1), "t"].to_numpy()
-        redo: list[list[float]] = []
-        for low, high in fix:
+    if fix:  # decode again from the cycle before a broken seam to the start after it, anchored at sure cycle starts
+        menses = model.state("M")
+        starts = out.loc[(out["state"] == menses) & (out["state"].shift() != menses) & (out["prob"] > SURE), "t"].to_numpy()
+        spans, redo = [], []
+        for number, low, high in fix:
             before, after = starts[starts < low], starts[starts > high]
-            span = [before.max() if len(before) else days["t"].min(), min(after.min() + 5, days["t"].max()) if len(after) else days["t"].max()]
+            spans.append([before.max() if len(before) else days["t"].min(), min(after.min() + 5, days["t"].max()) if len(after) else days["t"].max(), number])
+        for span in sorted(spans):
             if redo and span[0] <= redo[-1][1]:
-                redo[-1][1] = max(redo[-1][1], span[1])
+                redo[-1][1:] = max(redo[-1][1], span[1]), min(redo[-1][2], span[2])
             else:
                 redo.append(span)
-        for low, high in redo:
-            sure = pd.DataFrame({"t": [t for t in starts if t in (low, high - 5)], "state": 1, "trust": 1.0})
+        for low, high, number in redo:
+            sure = pd.DataFrame({"t": [t for t in starts if t in (low, high - 5)], "state": menses, "trust": 1.0})
             inside = marked[marked["t"].between(low, high)]
-            fresh = run(low, high, behavior(inside, limits), float(out.loc[out["t"].between(low, high), "stretch_number"].mean()), sure)
+            fresh = run(low, high, behavior(inside, limits), number, sure)
             fresh = fresh[fresh["on_path"]].drop(columns="on_path")
             out = pd.concat([out[~out["t"].between(low, high)], fresh[out.columns]]).sort_values("t").reset_index(drop=True)
     return out

@@ -11,8 +11,8 @@ from ..hsmm.cycle_model import cycle_model, dedicated
 from ..hsmm.model import FLOOR
 from ..operators import cycles as C
 from ..operators import evaluate as E
-from ..operators import likelihood, observe, predict, tracking
-from ..operators.sequence import ordered, rising
+from ..operators import likelihood, observe, predict, stitching, tracking
+from ..operators.sequence import ordered, rising, windows_of
 from .panel import CYCLED, FOLD, MUCUS_DAYS, OBSERVED, TEMP_DAYS, Registry, cycled, observed, table
 
 DOMAIN = Registry()
@@ -30,15 +30,17 @@ def tracking_class(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("n_cycles", F.col("n_cycles").cast("long"))
 
 
-@add(f"""WITH {OBSERVED}, {_CLASS},
+_STRETCHES = f"""{_CLASS},
     firsts AS (SELECT seq_id, cycle, t, menses, coalesce(lag(menses) OVER (PARTITION BY seq_id, cycle ORDER BY t) <> menses, true) AS new FROM observed),
     runs AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY seq_id, cycle ORDER BY t) AS run FROM firsts),
     spans AS (SELECT seq_id, cycle, min(t) AS start, max(t) AS stop, CAST(sum(CAST(run = 1 AND menses AS INT)) AS BIGINT) AS period FROM runs GROUP BY seq_id, cycle),
     named AS (SELECT s.*, tracking_behavior, coalesce(tracking_behavior <> lag(tracking_behavior) OVER (PARTITION BY s.seq_id ORDER BY s.cycle), true) AS new FROM spans s JOIN classes c ON c.seq_id = s.seq_id AND c.cycle = s.cycle),
     numbered AS (SELECT *, CAST(sum(CAST(new AS INT)) OVER (PARTITION BY seq_id ORDER BY cycle) AS BIGINT) AS stretch_number FROM named),
     whole AS (SELECT seq_id, stretch_number, min(tracking_behavior) AS tracking_behavior, min(start) AS start, max(stop) AS stop, arg_min(period, cycle) AS period FROM numbered GROUP BY seq_id, stretch_number),
-    longer AS (SELECT seq_id, stretch_number, tracking_behavior, start, stop + coalesce(lead(period) OVER (PARTITION BY seq_id ORDER BY stretch_number), 0) AS "end" FROM whole)
-    SELECT *, "end" - start AS length FROM longer WHERE "end" > start""")
+    longer AS (SELECT seq_id, stretch_number, tracking_behavior, start, stop + coalesce(lead(period) OVER (PARTITION BY seq_id ORDER BY stretch_number), 0) AS "end" FROM whole)"""
+
+
+@add(f'WITH {OBSERVED}, {_STRETCHES} SELECT *, "end" - start AS length FROM longer WHERE "end" > start')
 def tracking_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return tracking.stretches(observed(spark, sf), MUCUS_DAYS, TEMP_DAYS)
 
@@ -284,3 +286,43 @@ def path_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 def path_likelihood_spread(spark: SparkSession, sf: str) -> DataFrame:
     """The same, spread over the days of each run."""
     return _path(spark, sf, True)
+
+
+#: Given decodings of the stretches: the day's state and two others, where odd days of odd stretches see another one first.
+_PARTS = f"""{_DECODED}, {_STRETCHES},
+    spans_of AS (SELECT * FROM longer WHERE "end" > start),
+    seen AS (SELECT d.seq_id, CAST(stretch_number AS DOUBLE) AS stretch_number, tracking_behavior, CAST(t AS INT) AS t, state AS first, prob, t % 2 = 1 AND stretch_number % 2 = 1 AS turned, CASE WHEN state = 3 THEN 2 ELSE 3 END AS second FROM decoded d JOIN spans_of s ON s.seq_id = d.seq_id AND t BETWEEN start AND "end"),
+    parts AS (SELECT seq_id, stretch_number, tracking_behavior, t, first AS state, CASE WHEN turned THEN 1 - prob ELSE prob END AS prob, NOT turned AS on_path FROM seen
+        UNION ALL SELECT seq_id, stretch_number, tracking_behavior, t, second, CASE WHEN turned THEN prob ELSE 1 - prob END, turned FROM seen),
+    by_state AS (SELECT seq_id, t, state, avg(prob) AS prob, bool_or(on_path) AS on_path, count(*) AS n, avg(stretch_number) AS stretch_number, array_to_string([x FOR x, i IN list(tracking_behavior ORDER BY stretch_number) IF i = 1 OR x <> list(tracking_behavior ORDER BY stretch_number)[i - 1]], '-') AS tracking_behavior FROM parts GROUP BY ALL),
+    met AS (SELECT *, max(n) OVER (PARTITION BY seq_id, t) > 1 AS seam, row_number() OVER (PARTITION BY seq_id, t ORDER BY prob DESC, state) AS place FROM by_state),
+    path AS (SELECT seq_id, t, state, prob, stretch_number, tracking_behavior FROM met WHERE CASE WHEN seam THEN place = 1 ELSE on_path END)"""
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    spans = tracking_stretches(spark, sf).select("seq_id", F.col("stretch_number").cast("double").alias("stretch_number"), "tracking_behavior", "start", "end")
+    rows = windows_of(_decoded(spark, sf), spans).withColumns({"turned": (F.col("t") % 2 == 1) & (F.col("stretch_number") % 2 == 1), "second": F.when(F.col("state") == 3, 2).otherwise(3)})
+    mine = F.struct("state", F.when(F.col("turned"), 1 - F.col("prob")).otherwise(F.col("prob")).alias("prob"), (~F.col("turned")).alias("on_path"))
+    other = F.struct(F.col("second").alias("state"), F.when(F.col("turned"), F.col("prob")).otherwise(1 - F.col("prob")).alias("prob"), F.col("turned").alias("on_path"))
+    return rows.select("seq_id", "stretch_number", "tracking_behavior", F.col("t").cast("int").alias("t"), F.explode(F.array(mine, other)).alias("of")).select("seq_id", "stretch_number", "tracking_behavior", "t", "of.*")
+
+
+@add(f"WITH {_PARTS} SELECT seq_id, t, state, round(prob, 9) AS prob, stretch_number, tracking_behavior FROM path")
+def stitched_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded stretches put together: one state a day, by mean probability where stretches overlap."""
+    return stitching.stitched(_parts(spark, sf)).withColumn("prob", F.round("prob", 9))
+
+
+@add(f"""WITH {_PARTS},
+    sides AS (SELECT seq_id, seam, stretch_number, bool_or(state = 1) AS known, min(t) AS low, max(t) AS high FROM (SELECT *, avg(stretch_number) OVER w AS seam, min(stretch_number) OVER w < max(stretch_number) OVER w AS meet FROM parts WHERE on_path WINDOW w AS (PARTITION BY seq_id, t)) WHERE meet GROUP BY ALL),
+    broken AS (SELECT seq_id, seam, min(low) AS low, max(high) AS high FROM sides GROUP BY ALL HAVING NOT bool_and(known)),
+    sure AS (SELECT seq_id, t FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY seq_id ORDER BY t) <> 1, true) AS new FROM path) WHERE state = 1 AND new AND prob > 0.75),
+    ends AS (SELECT seq_id, min(t) AS a, max(t) AS z FROM path GROUP BY seq_id),
+    wide AS (SELECT b.seq_id, seam, coalesce((SELECT max(t) FROM sure s WHERE s.seq_id = b.seq_id AND s.t < low), a) AS start, least(coalesce((SELECT min(t) FROM sure s WHERE s.seq_id = b.seq_id AND s.t > high) + 5, z), z) AS stop FROM broken b JOIN ends USING (seq_id)),
+    cuts AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY seq_id ORDER BY start, stop, seam ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM wide),
+    unions AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY seq_id ORDER BY start, stop, seam ROWS UNBOUNDED PRECEDING) AS u FROM cuts)
+    SELECT seq_id, min(start) AS start, max(stop) AS "end", min(seam) AS stretch_number FROM unions GROUP BY seq_id, u""")
+def stitch_repairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of days to decode again, around the seams where a stretch knows no menses."""
+    parts = _parts(spark, sf)
+    return stitching.repairs(stitching.stitched(parts), stitching.seams(parts))

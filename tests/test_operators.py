@@ -187,7 +187,7 @@ def test_stitch_averages_overlaps():
     df = pd.DataFrame(part(1, [1, 2], (0.4, 0.6)) + part(2, [2, 3], (0.9, 0.1)), columns=["t", "state", "prob", "on_path", "stretch_number", "tracking_behavior"])
     got, fix = decode.stitch(df)
     assert got["state"].tolist() == [2, 1, 1] and np.isclose(got["prob"].iloc[1], 0.65) and got["stretch_number"].tolist() == [1.0, 1.5, 2.0]
-    assert got["tracking_behavior"].iloc[1] == "B-BT" and fix == [(2, 2)]
+    assert got["tracking_behavior"].iloc[1] == "B-BT" and fix == [(1.5, 2, 2)]
 
 
 def test_panel_and_user_give_the_same(spark, simulated):
