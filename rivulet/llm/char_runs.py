@@ -96,25 +96,68 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def band_keys(lines: DataFrame, kinds: tuple[tuple[int, int, int], ...]) -> DataFrame:
-    """``lines`` (..., units, kinds) -> (..., keys): the bands of a line for each of its kinds, of (k, bands, rows)."""
-    names = [c for c in lines.columns if c not in ("units", "kinds")]
+def _some(units: pa.BinaryArray, k: int) -> np.ndarray:
+    """A number that the distinct runs of each line are not under: how many of 256 slots they take."""
+    data, offs = text_bytes(units)
+    offs = offs // 2
+    out = np.zeros((4, len(units)), U)
+    for lo in range(0, int(offs[-1]), CHUNK):
+        hi = min(lo + CHUNK, int(offs[-1]))
+        first, last = np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left")
+        start, end = np.maximum(offs[first:last], lo) - lo, np.minimum(offs[first + 1 : last + 1] - k + 1, hi) - lo
+        full = np.flatnonzero(end > start)
+        if not len(full):
+            continue
+        at, row = np.stack((start[full], end[full]), 1).ravel(), first + full
+        h = hashes(data, lo, hi, k)
+        bit, word, x = U(1) << (h & U(63)), (h >> U(6)) & U(3), np.zeros(hi - lo + 1, U)
+        for w in range(4):
+            x[:-1] = np.where(word == U(w), bit, U(0))
+            out[w, row] |= np.bitwise_or.reduceat(x, at)[::2]
+    return np.bitwise_count(out).sum(axis=0, dtype=np.int64)
+
+
+def fitting(units: pa.BinaryArray, lengths: tuple[tuple[int, int, int | None], ...]) -> np.ndarray:
+    """Which ``lengths`` (k, low, high) of runs fit each line (n x lengths): those of which it has as many distinct ones as a
+    line of ``low`` to ``high`` units in which none recurs. Slots tell that of most lines, the others are counted."""
+    n, out = np.diff(text_bytes(units)[1]) // 2, np.zeros((len(units), len(lengths)), bool)
+    for c, (k, low, high) in enumerate(lengths):
+        open_ = n >= max(low, k)  # a line has no more distinct runs than it has runs
+        sure = open_ & (low <= k) & (True if high is None else n <= high)
+        ask = np.flatnonzero(open_ & ~sure)
+        if len(ask):
+            asked = units.take(pa.array(ask))
+            least = _some(asked, k) + k - 1
+            yes = (least >= low) & (True if high is None else n[ask] <= high)
+            no = np.zeros(len(ask), bool) if high is None else least > high
+            for i in np.flatnonzero(~yes & ~no).tolist():
+                size = len(distinct(asked[i].as_py(), k)) + k - 1
+                yes[i] = low <= size and (high is None or size <= high)
+            sure[ask] = yes & ~no
+        out[:, c] = sure
+    return out
+
+
+def band_keys(lines: DataFrame, lengths: tuple[tuple[int, int, int | None, int, int], ...]) -> DataFrame:
+    """``lines`` (..., units) -> (..., kinds, keys): the lengths of runs that fit a line, of (k, low, high, bands, rows), and its bands for each."""
+    names = [c for c in lines.columns if c != "units"]
+    ks = np.array([x[0] for x in lengths], np.int32)
 
     def run(batches):
         for batch in batches:
             units, line, of = batch.column("units"), [], []
-            flat = batch.column("kinds").flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(batch)), np.diff(batch.column("kinds").offsets.to_numpy()))
-            for k, bands, rows in kinds:
-                mine = owner[flat == k]
+            fits = fitting(units, tuple(x[:3] for x in lengths))
+            kinds = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fits.sum(axis=1))).astype(np.int32)), pa.array(ks[np.nonzero(fits)[1]]))
+            for c, (k, _, _, bands, rows) in enumerate(lengths):
+                mine = np.flatnonzero(fits[:, c])
                 if len(mine):
                     line.append(np.repeat(mine, bands)), of.append(keys(units.take(pa.array(mine)), k, bands, rows).ravel())
             line, of = np.concatenate([np.zeros(0, np.int64), *line]), np.concatenate([np.zeros(0, U), *of])
             ends = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(batch))))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(of[np.argsort(line, kind="stable")].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [*names, "keys"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], kinds, lists], [*names, "kinds", "keys"])
 
-    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in names) + ", keys array<bigint>")
+    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in names) + ", kinds array<int>, keys array<bigint>")
 
 
 def sized(lines: DataFrame) -> DataFrame:

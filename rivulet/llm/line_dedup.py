@@ -1,13 +1,17 @@
 """Fuzzy duplicate lines across documents: DataFrame operations, with signatures and comparisons in Arrow batches.
 
 Every line of at least ``least`` characters (without spaces at its ends) is
-judged, blank ones never. Equal lines are folded first. Lines of under
-``FUZZY_CHARS`` characters go no further. A longer distinct line is the set of
-its runs of characters (UTF-16 units), of a length by ``LENGTHS``: with k in a
-line of n, one changed character leaves a similarity of (n - 2k + 1) / (n + 1)
-if no run occurs twice. The ranges overlap, so that lines of a similarity of
-0.8 have a range in common. Each run is hashed once and mixed anew for every
-register (see ``char_runs``), which keeps the least value. The registers are cut
+judged, blank ones never. Equal lines are folded first. A distinct line is the
+set of its runs of k characters (UTF-16 units): with k in a line of n, one
+changed character leaves a similarity of (n - 2k + 1) / (n + 1) if no run occurs
+twice. Which of ``LENGTHS`` a line is compared by depends on how many *distinct*
+runs it has, counted as the units of a line in which none recurs; so rulers,
+leaders and refrains of any length, whose sets are equal, are compared with each
+other. Each line has one length at least (but for lines of one unit), since it
+has the less distinct runs the shorter they are, and the ranges overlap by more
+than lines of a similarity of 0.8 can differ in size. Two lines are linked if
+they are alike by a length that both are compared by. Each run is hashed once
+and mixed anew for every register (see ``char_runs``), which keeps the least value. The registers are cut
 to bands: at a similarity of 0.8 some band agrees with probability
 1 - (1 - 0.8**rows)**bands, over 0.999 for each of ``LENGTHS``. Short runs are
 common to unlike lines, so they take more rows in a band. Lines that share a
@@ -31,15 +35,15 @@ from . import char_runs
 from .common import materialize, only
 from .components import buckets, close_enough, dealt_pairs, group_buckets
 
-LEAST_CHARS, FUZZY_CHARS, SIMILARITY = 20, 20, 0.8
-#: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) that has such runs, bands, and rows of a band.
+LEAST_CHARS, SIMILARITY = 20, 0.8
+#: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) without recurring runs that is compared by them, bands, and rows of a band.
 LENGTHS = ((2, 0, 40, 26, 6), (3, 29, 127, 26, 6), (10, 99, None, 10, 3))
 
 
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The lines that are judged: doc_id, line_no (from 0), line."""
     every = only(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return every.select("doc_id", "line_no", F.trim("raw").alias("line")).filter((F.char_length("line") >= least) & ((F.char_length("line") >= FUZZY_CHARS) | F.col("line").rlike(r"\S")))
+    return every.select("doc_id", "line_no", F.trim("raw").alias("line")).filter((F.char_length("line") >= least) & F.col("line").rlike(r"\S"))
 
 
 def _same() -> list[Column]:
@@ -47,13 +51,6 @@ def _same() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def _kinds(lengths: tuple) -> Column:
-    """The lengths of runs that ``line``, of the UTF-16 ``units``, is compared by: none, one or two of ``lengths``."""
-    units = F.length("units") / 2
-    fits = F.array_compact(F.array(*[F.when((units >= lo) & ((units <= hi) if hi else F.lit(True)), F.lit(k)) for k, lo, hi, _, _ in lengths]))
-    return F.when(F.char_length("line") >= FUZZY_CHARS, fits).otherwise(F.array().cast("array<int>"))
-
-
 def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this Jaccard similarity by runs of one length.
 
@@ -71,19 +68,17 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
 
     ``bands`` and ``rows``, where given, stand for those of all ``lengths``.
     """
-    kinds = tuple((k, bands or b, rows or r) for k, _, _, b, r in lengths)
+    lengths = tuple((k, low, high, bands or b, rows or r) for k, low, high, b, r in lengths)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     folded = lines_of(docs, least).groupBy(*_same()).agg(first, F.first("line").alias("line"), F.count("*").alias("n"))
     units = F.encode("line", "UTF-16BE").alias("units")
     folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", units)
-    # a line that is not compared has a row too if it is repeated
-    judged = folded.withColumn("kinds", _kinds(lengths)).filter((F.size("kinds") > 0) | (F.col("n") > 1)).drop("line")
-    lines = materialize(char_runs.band_keys(judged, kinds), "lines")
+    lines = materialize(char_runs.band_keys(folded.drop("line"), lengths), "lines")
     members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
     single = lines.drop("keys")
-    wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2")
+    wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "kinds")
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
-    chosen = found.select("node", "line", units).select("node", "units", F.explode(_kinds(lengths)).alias("k"))
+    chosen = found.select("node", units, F.explode("kinds").alias("k"))
     chosen = materialize(char_runs.sized(chosen), "chosen-lines")
 
     def sets(nodes: DataFrame) -> DataFrame:

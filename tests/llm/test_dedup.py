@@ -170,7 +170,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def line_truth(rows, least=20, n=10):
+def line_truth(rows, least=20):
     occurs = defaultdict(list)
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n") if i is not None else []):
@@ -178,8 +178,13 @@ def line_truth(rows, least=20, n=10):
                 occurs[line.strip(" ")].append((i, k))
     lines = sorted(occurs)
     units = [line.encode("utf-16-be") for line in lines]
-    sets = [{u[k : k + 2 * n] for k in range(0, len(u) - 2 * n + 1, 2)} for u in units]
-    links = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    sets = []
+    for u in units:
+        runs = {n: {u[k : k + 2 * n] for k in range(0, len(u) - 2 * n + 1, 2)} for n, *_ in line_dedup.LENGTHS}
+        sets.append({n: runs[n] for n, low, high, *_ in line_dedup.LENGTHS if runs[n] and low <= len(runs[n]) + n - 1 <= (high or 1e9)})
+        assert sets[-1] or len(u) < 4
+    alike = lambda x, y: any(10 * len(x[n] & y[n]) >= 8 * len(x[n] | y[n]) for n in x.keys() & y.keys())
+    links = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if alike(sets[a], sets[b])]
     groups = defaultdict(set)
     for k, g in union_find(range(len(lines)), links).items():
         groups[g] |= set(occurs[lines[k]])
@@ -218,10 +223,32 @@ def test_lines_small_groups_in_large_buckets(spark):
     assert {(r.doc_id, k): d for r in got for k, d in zip(r.removed_lines, r.keep_doc_ids, strict=True)} == {at: kept[0] for at, kept in want.items()}
 
 
-def test_short_lines_fold_when_equal(spark):
+def test_lines_in_which_runs_recur(spark):
+    rng = random.Random(16)
+    lines = ["-" * n for n in (2, 3, 25, 60, 200, 5000)] + ["la " * n + "la" for n in (8, 30, 90)] + [". " * n + "7" for n in (9, 40)]
+    lines += ["Page 3 of 10 ......", "Page 4 of 10 ......", "=", "*", "ab", "x" * 130 + "yz", "x" * 20 + "yz"] + ["".join(rng.choice("ab ") for _ in range(n)) for n in (30, 45, 100, 128, 140, 300)] + [prose(700, 300)]
+    rows = [(k, line) for k, line in enumerate(lines)] + [(100 + k, line) for k, line in enumerate(lines[-4:])]
+    got = {r.doc_id: r.keep_doc_ids[0] for r in line_dedup.line_dedup(table(spark, rows), least=1).collect() if r.removed_lines}
+    assert got == {at[0]: kept[0] for at, kept in line_truth(rows, 1).items()}
+    assert {got[k] for k in range(1, 6)} == {0} and {got[7], got[8]} == {6} and got[17] == 16 and not {12, 13, 14} & set(got)  # Page 3 and Page 4: 12 of 16 pairs
+
+
+def test_lengths_that_fit():
+    rng = random.Random(17)
+    lines = ["".join(rng.choice("abcdefgh "[:m]) for _ in range(n)) for m in (1, 2, 4, 9) for n in (1, 2, 9, 28, 41, 127, 128, 140, 200, 700)] + [prose(k, n) for k, n in enumerate((4, 8, 12, 16, 20, 24, 60))]
+    units = [t.encode("utf-16-be") for t in lines]
+    got = char_runs.fitting(pa.array(units), tuple(x[:3] for x in line_dedup.LENGTHS))
+    for u, fits in zip(units, got.tolist(), strict=True):
+        for (k, low, high, *_), fit in zip(line_dedup.LENGTHS, fits, strict=True):
+            n = len({u[i : i + 2 * k] for i in range(0, len(u) - 2 * k + 1, 2)})
+            assert fit == (n > 0 and low <= n + k - 1 <= (high or 1e9)), (u.decode("utf-16-be"), k)
+
+
+def test_short_lines_are_compared_too(spark):
     rows = [(1, "Read more\n\nown text"), (2, "\n Read more\nread more"), (3, "\t\nRead more"), (4, "\t\nx"), (5, "x")]
     got = {r.doc_id: (r.removed_lines, r.keep_doc_ids) for r in line_dedup.line_dedup(table(spark, rows), least=1).collect()}
-    assert got == {1: ([], []), 2: ([1], [1]), 3: ([1], [1]), 4: ([], []), 5: ([0], [4])}
+    # "read more" has 7 of 8 pairs of characters in common with "Read more"
+    assert got == {1: ([], []), 2: ([1, 2], [1, 1]), 3: ([1], [1]), 4: ([], []), 5: ([0], [4])}
     assert all(not r.removed_lines for r in line_dedup.line_dedup(table(spark, rows)).collect())
 
 

@@ -78,4 +78,4 @@ def test_repeated_rows_stay_once(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
