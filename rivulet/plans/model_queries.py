@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..hsmm.cycle_model import bleeding_model, cycle_model, dedicated
 from ..hsmm.model import Categorical
 from ..operators import decode, features, predict, rules, scan
-from .domain_queries import prepare_obs, raw_days
+from .domain_queries import _PREPARED, prepare_obs, raw_days
 from .panel import CYCLED, OBSERVED, Registry, cycled
 
 MODELS = Registry()
@@ -161,8 +161,41 @@ def predict_next_day(spark: SparkSession, sf: str) -> DataFrame:
     return predict.predict_observations(_stretches(spark, sf), model().subset(OVULATORY), TRAINING)
 
 
-@add()
+_BY, _FRAME = "PARTITION BY seq_id ORDER BY t", "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW"
+
+_FEATURES = f"""WITH {_PREPARED},
+    scored AS (SELECT *, coalesce(CASE bleeding WHEN 'none' THEN 0.0 WHEN 'spotting' THEN 0.25 WHEN 'light' THEN 0.5 WHEN 'medium' THEN 0.75 WHEN 'heavy' THEN 1.0 END, 0)::DOUBLE AS bleeding_score FROM prepared),
+    rolled AS (SELECT *, CASE WHEN count(*) OVER week = 7 THEN avg(temp) OVER week END AS m7, CASE WHEN count(*) OVER week = 7 THEN stddev_samp(temp) OVER week END AS s7,
+        CASE WHEN count(*) OVER week = 7 THEN avg(CAST(bleeding_score > 0 AS DOUBLE)) OVER week ELSE 0 END AS f_bleeding_last_week,
+        CASE WHEN count(*) OVER five = 5 THEN avg(bleeding_score) OVER five ELSE 0 END AS bleeding_density_5d,
+        bleeding_score >= CASE WHEN quantile_cont(CASE WHEN bleeding_score > 0 THEN bleeding_score END, 0.8) OVER (PARTITION BY seq_id) > 0.5 THEN 0.5 ELSE 0.25 END AS bled,
+        quantile_cont(temp, 0.2) OVER (PARTITION BY seq_id) AS low20, quantile_cont(temp, 0.8) OVER (PARTITION BY seq_id) AS high80, count(*) OVER days22 AS n22, list(temp) OVER days22 AS temps22,
+        t - last_value(CASE WHEN temp IS NOT NULL THEN t END IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since, coalesce(bleeding, mucus, LH, preg, CAST(temp AS VARCHAR)) IS NOT NULL AS tracking
+        FROM scored WINDOW week AS ({_BY} {_FRAME}), five AS ({_BY} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), days22 AS ({_BY} ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)),
+    lagged AS (SELECT *, m7 - lag(m7, 13) OVER w AS d13, asinh((m7 - coalesce(lag(m7, 6) OVER w, -0.25)) / greatest(coalesce(lag(s7, 6) OVER w, 0.2), 0.1)) AS change, NOT bled AND coalesce(lead(bled) OVER w, false) AS opens,
+        max(CASE WHEN temp IS NOT NULL THEN since END) OVER ({_BY} ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS widest FROM rolled WINDOW w AS ({_BY})),
+    opened AS (SELECT *, CAST(sum(CAST(opens AS INT)) OVER ({_BY}) AS BIGINT) AS interbleeding_id,
+        CAST(coalesce(n22 = 22 AND coalesce(widest, 99) <= 3 AND list_unique(temps22) >= 4 AND list_aggregate(list_filter(temps22, lambda x: x IS NOT NULL), 'quantile_cont', 0.25) >= low20 + 0.7 * (high80 - low20)
+            AND abs(list_aggregate(list_filter(temps22, lambda x: x IS NOT NULL), 'quantile_cont', 0.85) - list_aggregate(list_filter(temps22, lambda x: x IS NOT NULL), 'quantile_cont', 0.15)) <= 0.5 * (high80 - low20), false) AS INT) AS long_high_temp FROM lagged),
+    placed AS (SELECT *, row_number() OVER g AS place, count(*) OVER (PARTITION BY seq_id, interbleeding_id) - row_number() OVER g AS back FROM opened WINDOW g AS (PARTITION BY seq_id, interbleeding_id ORDER BY t)),
+    judged AS (SELECT *, bleeding_score <= 0.25 AND place > 5 AS used FROM placed),
+    summed AS (SELECT seq_id, interbleeding_id, count(*) AS n, avg(1 / (1 + exp(-10.0 * (-temp)))) FILTER (used AND back < 10) AS low, coalesce(avg(CAST(bleeding_score > 0 AS DOUBLE)) FILTER (used), 0) AS light, coalesce(sum(CAST(temp > 0.3 AS INT)) FILTER (used), 0) AS high_days, count(*) FILTER (used) AS n_used FROM judged GROUP BY ALL),
+    usual AS (SELECT *, abs(n - quantile_cont(CASE WHEN n BETWEEN 15 AND 100 THEN n END, 0.5) OVER (PARTITION BY seq_id)) / quantile_cont(CASE WHEN n BETWEEN 15 AND 100 THEN n END, 0.5) OVER (PARTITION BY seq_id) AS away FROM summed),
+    back AS (SELECT *, CAST(coalesce(away <= 0.5 AND away + coalesce(lead(away) OVER (PARTITION BY seq_id ORDER BY interbleeding_id), 0) <= 0.5, false) AS INT) AS m_return,
+        greatest(0, least(1, greatest(low, light) * CAST(n_used >= 3 AS INT) * CAST(high_days <= 10 AS INT))) AS susp_ano FROM usual),
+    joined AS (SELECT j.*, susp_ano, m_return, CAST(coalesce(preg = 'pos', false) OR long_high_temp = 1 AS INT) AS hit FROM judged j JOIN back b ON b.seq_id = j.seq_id AND b.interbleeding_id = j.interbleeding_id),
+    fired AS (SELECT *, hit = 1 AND sum(hit) OVER ({_BY} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 1 AS fire FROM joined),
+    numbered_hints AS (SELECT *, sum(CAST(fire AS INT)) OVER ({_BY}) AS hint FROM fired),
+    dayed AS (SELECT *, CASE WHEN hint > 0 THEN row_number() OVER h - 1 END AS day, bleeding_density_5d >= 0.5 AND NOT coalesce(lag(bleeding_density_5d >= 0.5) OVER h, false) AS risen FROM numbered_hints WINDOW h AS (PARTITION BY seq_id, hint ORDER BY t)),
+    doubted AS (SELECT *, max(CAST(coalesce((m_return = 1 OR LH = 'pos' AND day > 273) AND day > 0, false) AS INT)) OVER h AS ended, sum(CAST(coalesce(preg = 'neg', false) OR coalesce(risen AND day > 0, false) AS INT)) OVER h AS doubts FROM dayed WINDOW h AS (PARTITION BY seq_id, hint ORDER BY t ROWS UNBOUNDED PRECEDING))
+    SELECT seq_id, t, bleeding_score, CASE WHEN d13 IS NULL THEN 'missing' WHEN d13 >= 0.5 THEN 'increase' WHEN d13 <= -0.5 THEN 'decrease' ELSE 'no_change' END AS dtemp, round(coalesce(change, 0), 6) AS dtemp_continuous, round(f_bleeding_last_week, 6) AS f_bleeding_last_week,
+        round(bleeding_density_5d, 6) AS bleeding_density_5d, interbleeding_id, round(coalesce(susp_ano, 0), 6) AS susp_ano, long_high_temp, m_return,
+        CASE WHEN day IS NULL OR day >= 560 OR ended = 1 OR bleeding_score >= 0.5 AND day <= 14 THEN 0.0 WHEN day = 0 THEN 1.2 ELSE round(1 / pow(2.0, doubts), 6) END AS preg_hint, tracking FROM doubted"""
+
+
+@add(_FEATURES)
 def day_features(spark: SparkSession, sf: str) -> DataFrame:
     names = [n for n in features.FEATURES if n != "gap_70d"]
     got = features.augment(prepare_obs(spark, sf), names)
-    return got.select("seq_id", "t", *[F.col(f"`{n}`").alias(n.replace(".", "_")) for n in names])
+    rounded = lambda n: F.round(f"`{n}`", 6) if dict(got.dtypes)[n] == "double" else F.col(f"`{n}`")
+    return got.select("seq_id", "t", *[rounded(n).alias(n.replace(".", "_")) for n in names])
