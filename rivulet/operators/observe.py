@@ -66,6 +66,32 @@ def test_label(x: Column) -> Column:
     return F.when(x == 1, "pos").when(x == -1, "neg")
 
 
+#: Plausible temperatures in degrees Fahrenheit, and the score from which fluid is fertile.
+PLAUSIBLE, FERTILE = (95.0, 101.0), 0.5
+
+
+def numeric_observations(days: DataFrame, user: str = "user_id", t: str = "rel_date", plausible: tuple[float, float] = PLAUSIBLE, limit: float = TEMP_LIMIT) -> DataFrame:
+    """Formatted days as numbers, day by day as recorded: seq_id, t, LH, preg, mucus, temp, fmucus.
+
+    Tests are 1 and 0, missing where none was made. Fluid has the score of its kind, and 0 on days of heavy bleeding.
+    Temperatures that are questionable, oddly repeated or not plausible are missing, the others are relative to the user's
+    median within ``limit``, and missing on days of heavy bleeding. ``fmucus`` is 1 where fluid was fertile on this day, the
+    one before or the one after, and 0 on the first and last.
+    """
+    score = F.element_at(F.create_map(*[x for name, s, _ in FLUID_KINDS for x in (F.lit(name), F.lit(float(s)))]), F.col("mucus_type"))
+    heavy = F.coalesce(F.col("bleeding") == 3, F.lit(False))
+    sure = F.when(~F.coalesce("questionable_temp", F.lit(False)), F.col("temperature"))
+    rows = days.select(F.col(user).alias("seq_id"), F.col(t).cast("int").alias("t"), "LH", "preg_test", score.alias("score"), heavy.alias("heavy"), sure.alias("sure"))
+    rows = with_dominant(rows, "seq_id", "sure")
+    rows = rows.withColumn("sure", F.when(F.col("sure").between(*plausible) & ~F.coalesce(F.col("sure") == F.col("odd"), F.lit(False)), F.col("sure")))
+    temp = clamp(F.col("sure") - F.percentile("sure", 0.5).over(Window.partitionBy("seq_id")), -limit, limit)
+    result = lambda x: F.when(F.col(x) == 1, 1.0).when(F.col(x) == -1, 0.0)
+    rows = rows.withColumns({"temp": temp, "mucus": F.when(F.col("heavy"), 0.0).otherwise(F.col("score"))})
+    near = Window.partitionBy("seq_id").orderBy("t").rowsBetween(-1, 1)
+    fertile = F.when((F.count(F.lit(1)).over(near) == 3) & F.coalesce(F.max("mucus").over(near) >= FERTILE, F.lit(False)), 1).otherwise(0)
+    return rows.select("seq_id", "t", result("LH").alias("LH"), result("preg_test").alias("preg"), "mucus", F.when(~F.col("heavy"), F.col("temp")).alias("temp"), fertile.alias("fmucus"))
+
+
 def prepare_obs(days: DataFrame, user: str = "user_id", t: str = "rel_date", limit: float = TEMP_LIMIT, missing_level: bool = False) -> DataFrame:
     """Formatted days to dense observations: seq_id, t, bleeding, mucus, temp, LH, preg.
 

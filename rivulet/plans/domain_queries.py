@@ -326,3 +326,15 @@ def stitch_repairs(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of days to decode again, around the seams where a stretch knows no menses."""
     parts = _parts(spark, sf)
     return stitching.repairs(stitching.stitched(parts), stitching.seams(parts))
+
+
+@add(f"""WITH {OBSERVED}, n AS (SELECT seq_id, CAST(t AS INT) AS t, CASE LH WHEN 'pos' THEN 1.0 WHEN 'neg' THEN 0.0 END::DOUBLE AS LH, CASE preg WHEN 'pos' THEN 1.0 WHEN 'neg' THEN 0.0 END::DOUBLE AS preg, coalesce(bleeding_total >= 100, false) AS heavy,
+        CASE mucus WHEN 'creamy' THEN 0.2 WHEN 'sticky' THEN 0.0 WHEN 'fertile' THEN 0.5 WHEN 'very_fertile' THEN 1.0 WHEN 'none' THEN 0.0 END::DOUBLE AS score, CASE WHEN n_events <= 6 THEN temp END AS sure FROM observed WHERE n_events IS NOT NULL),
+    c AS (SELECT seq_id, sure, count(*) AS n FROM n WHERE sure IS NOT NULL GROUP BY ALL),
+    o AS (SELECT seq_id, sure AS odd FROM (SELECT *, row_number() OVER w AS p, lead(n) OVER w AS next FROM c WINDOW w AS (PARTITION BY seq_id ORDER BY n DESC, sure)) WHERE p = 1 AND (next IS NULL OR n > 5 * next)),
+    k AS (SELECT n.* REPLACE (CASE WHEN sure BETWEEN 10 AND 90 AND coalesce(sure <> odd, true) THEN sure END AS sure), CASE WHEN heavy THEN 0 ELSE score END AS mucus FROM n LEFT JOIN o USING (seq_id))
+    SELECT seq_id, t, LH, preg, mucus, CASE WHEN NOT heavy THEN round(greatest(-1.5, least(1.5, sure - quantile_cont(sure, 0.5) OVER (PARTITION BY seq_id))) + CASE WHEN sure IS NULL THEN NULL ELSE 0 END, 6) END AS temp,
+        CASE WHEN count(*) OVER w = 3 AND coalesce(max(mucus) OVER w >= 0.5, false) THEN 1 ELSE 0 END AS fmucus FROM k WINDOW w AS (PARTITION BY seq_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def numeric_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as numbers, with the panel's own bounds of what is plausible."""
+    return observe.numeric_observations(raw_days(spark, sf), plausible=(10.0, 90.0)).withColumn("temp", F.round("temp", 6))

@@ -387,3 +387,20 @@ def test_temperature_profile(spark):
     days = spark.createDataFrame([("u", start + dt.timedelta(k), 97.0 + (k > 20)) for k in range(100)], "user_id string, date date, temperature double")
     got = {r.cycle_day: (r.median, r.n) for r in observe.temperature_profile(cycles_, days).collect()}
     assert got[10] == (0.0, 1) and got[50] == (1.0, 1)
+
+
+def test_numeric_observations(spark):
+    schema = "user_id string, rel_date int, LH int, preg_test int, mucus_type string, bleeding double, temperature double, questionable_temp boolean"
+    days = spark.createDataFrame(
+        [
+            ("a", 1, 1, -1, "eggwhite_medium", 0.0, 97.0, None), ("a", 2, -1, 0, "sticky_lots", 0.0, 97.5, False), ("a", 3, 0, 1, "watery_lots", 3.0, 98.0, False),
+            ("a", 4, None, None, None, None, 120.0, False), ("a", 5, None, None, "creamy_little", 1.0, 99.9, True), ("a", 9, None, None, "unknown", 0.5, 99.9, False),
+            ("b", 1, None, None, None, 0.0, 97.1, False), ("b", 2, None, None, None, 0.0, 97.1, False),
+        ],
+        schema,
+    )
+    got = {(r.seq_id, r.t): tuple(r)[2:] for r in observe.numeric_observations(days).collect()}
+    assert got["a", 1] == (1.0, 0.0, 0.9, -0.75, 0) and got["a", 2] == (0.0, None, 0.0, -0.25, 1)
+    assert got["a", 3] == (None, 1.0, 0.0, None, 0) and got["a", 4] == (None, None, None, None, 0)
+    assert got["a", 5] == (None, None, 0.1, None, 0) and got["a", 9] == (None, None, None, 1.5, 0)
+    assert got["b", 1][3] is None and got["b", 2][3] is None
