@@ -43,6 +43,12 @@ DEDICATED_P = {"M": 0.01, "lE Lut Ano AB P L lEpL": 0.05, "hE preO O postO": 0.0
 DEDICATED_Q = {
     "LH": {"hE": 0.3, "preO O": 0.1}, "mucus": {"hE preO O postO": 0.1}, "temp": {"hE preO O postO Ano": 0.1, "Lut P": 0.3, "PL PB1": 0.75},
 }
+#: States, first and last day that they can last, shape of the sojourn and its parameters ("range": see SOJOURN_RANGES).
+SOJOURNS = (
+    ("M L", 2, 9, "range", "M"), ("lE lEpL", 1, 29, "range", "lE"), ("hE", 1, LONGEST, "range", "hE"), ("preO O", 1, 1, "flat"), ("postO", 2, 2, "flat"),
+    ("Lut", 7, 17, "range", "Lut"), ("Ano", 7, LONGEST, "range", "Ano"), ("AB", 8, 100, "flat"), ("P", 17, 17, "flat"), ("PL", 1, 154, "gamma", 1.5, 30),
+    ("PB1 PB2", 84, 84, "flat"), ("PB3", 6, 111, "skew normal", 84, 12, -2.5), ("B", 1, 31, "gamma", 1.25, 5), ("PP", 19, 56, "normal", 35, 10), ("BF", 57, LONGEST, "gamma", 2.5, 300),
+)
 # --- end of the fixed values ------------------------------------------------------------------------
 
 #: Gamma sojourns (mean, sd) in days. The records they were once fitted to are not public; these are from the ranges
@@ -71,24 +77,12 @@ def sojourns() -> np.ndarray:
         mean, sd = SOJOURN_RANGES[name]
         return gamma(LONGEST, (mean / sd) ** 2, sd * sd / mean)
 
-    def days(*at: int) -> np.ndarray:
-        return np.isin(x, at).astype(float)
-
-    put("M L", np.where((x > 1) & (x < 10), of("M"), 0))
-    put("lE lEpL", np.where(x < 30, of("lE"), 0))
-    put("hE", of("hE"))
-    put("preO O", days(1))
-    put("postO", days(2))
-    put("Lut", np.where((x >= 7) & (x < 18), of("Lut"), 0))
-    put("Ano", np.where(x > 6, of("Ano"), 0))
-    put("AB", ((x >= 8) & (x <= 100)).astype(float))
-    put("P", days(17))
-    put("PL", np.where(x < 155, gamma(LONGEST, 1.5, 30), 0))
-    put("PB1 PB2", days(84))
-    put("PB3", np.where((x > 5) & (x < 112), skew_normal(x, 84, 12, -2.5), 0))
-    put("B", np.where(x <= 31, gamma(LONGEST, 1.25, 5), 0))
-    put("PP", np.where((x >= 19) & (x <= 56), normal(x, 35, 10), 0))
-    put("BF", np.where(x >= 57, gamma(LONGEST, 2.5, 300), 0))
+    shapes = {
+        "range": of, "gamma": lambda shape, scale: gamma(LONGEST, shape, scale), "normal": lambda mean, sd: normal(x, mean, sd),
+        "skew normal": lambda place, scale, skew: skew_normal(x, place, scale, skew), "flat": lambda: np.ones(LONGEST),
+    }
+    for names, first, last, shape, *parameters in SOJOURNS:
+        put(names, np.where((x >= first) & (x <= last), shapes[shape](*parameters), 0))
     return d
 
 

@@ -11,7 +11,8 @@ from .tables import with_dominant
 
 BLEEDING = ("none", "spotting", "light", "medium", "heavy")
 MUCUS = ("none", "creamy", "fertile", "very_fertile", "sticky")
-# --- fixed values: kinds of fluid with their scores and levels, amounts, and codes of sex --------------
+# --- fixed values: kinds of fluid with their scores and levels, amounts, codes of sex, states in records of durations,
+# and plausible temperatures (degrees Fahrenheit) with the score from which fluid is fertile ------------
 FLUID_KINDS = [
     ("none", 0, "none"),
     ("sticky_little", 0, "sticky"),
@@ -31,6 +32,8 @@ AMOUNTS = ("little", "medium", "lots")
 FLUIDS = ("creamy", "sticky", "eggwhite", "watery")  # of several on one day, the last counts
 SEX = (None, "protected", "unprotected", "withdrawal", "insemination")
 SEX_SHORT = (None, "prot", "unprot", "WD", "insem")
+STATE_GROUPS = {"hM": "M", "lM": "M", "Rise": "Lut", "Ep": "Lut", "lP": "Lut", "hP": "Lut"}
+PLAUSIBLE, FERTILE = (95.0, 101.0), 0.5
 # --- end of the fixed values ---------------------------------------------------------------------------
 MUCUS_OF_KIND = {name: category for name, _, category in FLUID_KINDS}
 TEMP_LIMIT = 1.5
@@ -66,10 +69,6 @@ def test_label(x: Column) -> Column:
     return F.when(x == 1, "pos").when(x == -1, "neg")
 
 
-#: Plausible temperatures in degrees Fahrenheit, and the score from which fluid is fertile.
-PLAUSIBLE, FERTILE = (95.0, 101.0), 0.5
-
-
 def numeric_observations(days: DataFrame, user: str = "user_id", t: str = "rel_date", plausible: tuple[float, float] = PLAUSIBLE, limit: float = TEMP_LIMIT) -> DataFrame:
     """Formatted days as numbers, day by day as recorded: seq_id, t, LH, preg, mucus, temp, fmucus.
 
@@ -137,9 +136,6 @@ def tracking_density(days: DataFrame, user: str = "user_id", t: str = "rel_date"
     return most.withColumn("dense", F.col("most") >= least)
 
 
-#: Names of states in duration records -> states of the model.
-STATE_GROUPS = {"hM": "M", "lM": "M", "Rise": "Lut", "Ep": "Lut", "lP": "Lut", "hP": "Lut"}
-
 
 def state_durations(days: DataFrame) -> DataFrame:
     """Days by cycle and state, with states of one phase together; cycles with a luteal phase of exactly 2 days are left out."""
