@@ -36,7 +36,7 @@ from .textvec import LOWER, U, blocks, cut, hash_ranges, mix, strings
 LEAST, LONGEST, TOP, INSIDE = 100, 5, 2000, 100
 FILTER_BITS, HOT, SALTS = 1 << 26, 512, 64
 #: Bytes of text that one step handles, and rows of counts that a task holds before it sends them.
-STEP, HELD = 4 << 20, 1 << 20
+STEP, HELD = 2 << 20, 1 << 18
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
