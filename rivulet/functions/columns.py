@@ -36,6 +36,11 @@ def rescale(x: Column | str, low: Column, high: Column) -> Column:
     return F.coalesce(F.try_divide(col(x) - low, high - low), F.lit(0.0))
 
 
+def ratio(x: Column | str, y: Column | str) -> Column:
+    """x / y of doubles by the rules of floating-point numbers: where y is 0, infinite or not a number, and no error."""
+    return F.when(col(y) == 0, col(x) * F.lit(float("inf"))).otherwise(col(x) / col(y))
+
+
 def sigmoid(x: Column | str, steepness: float = 1.0, middle: float = 0.0) -> Column:
     return 1 / (1 + F.exp(-steepness * (col(x) - middle)))
 

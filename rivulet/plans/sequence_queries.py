@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ratio
 from ..operators.rolling import hold, isolated, range_roll, roll
 from ..operators.scan import scanned
 from ..operators.sequence import average_overlaps, ends, folded, gap_runs, locf, longest_runs, ordered, places, runs, top
@@ -176,12 +177,12 @@ _PROBS = """kinds AS (SELECT user_id AS seq_id, CAST(ts AS DATE) AS d, event_typ
 def _probs(spark: SparkSession, sf: str) -> DataFrame:
     kinds = table(spark, sf, "events").groupBy(F.col("user_id").alias("seq_id"), F.to_date("ts").alias("d"), F.col("event_type").alias("state")).agg(F.sum(exact("value")).cast("double").alias("weight"))
     total = F.sum(exact("weight")).over(Window.partitionBy("seq_id", "d")).cast("double")
-    return kinds.withColumn("prob", F.col("weight") / total)
+    return kinds.withColumn("total", total).withColumn("prob", ratio("weight", "total"))  # a day's values can all be 0
 
 
 @add(f"""WITH {_PROBS} SELECT seq_id, d, state, prob FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, d ORDER BY prob DESC, state) AS p FROM probs) WHERE p = 1""")
 def argmax_by_prob(spark: SparkSession, sf: str) -> DataFrame:
-    return top(_probs(spark, sf), ["seq_id", "d"], [F.desc("prob"), F.col("state")]).select("seq_id", "d", "state", "prob")
+    return top(_probs(spark, sf), ["seq_id", "d"], [F.desc("prob"), F.asc_nulls_last("state")]).select("seq_id", "d", "state", "prob")
 
 
 @add("""WITH o AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type, CAST(value AS DECIMAL(18,2)) AS v FROM events)

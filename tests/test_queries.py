@@ -39,3 +39,10 @@ def test_panel_needs_two_exchanges(spark, sf):
             assert len(re.findall(r"\bExchange (?:hash|range|single|Round)", plan)) == 2 and plan.count("FileScan") == 1 and "Join" not in plan, name
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_argmax_where_a_day_has_only_zeros(spark, tmp_path):
+    rows = [(1, "a", 0.0), (1, "b", 0.0), (2, "a", 5.0), (2, "b", -5.0), (3, None, 1.0), (3, "b", 1.0), (4, "a", None), (5, "a", 0.0), (5, "b", 2.0)]
+    events = spark.createDataFrame([(k, u, s, v) for k, (u, s, v) in enumerate(rows)], "event_id long, user_id long, event_type string, value double")
+    events.selectExpr("event_id", "timestamp'2024-01-01 10:00:00' as ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    assert differences(spark, str(tmp_path), entry.queries()["argmax_by_prob"], OWN["argmax_by_prob"]) is None
