@@ -104,7 +104,7 @@ def _emission(model: Model, start: Model, counts: Counts, weight: float) -> dict
         q[k] = np.clip((seen - have + weight * start.q[k]) / np.maximum(seen + weight, 1e-300), 0, 1)
         if isinstance(f, Categorical):
             shares = counts[f"values {k}"] + weight * prior.probs
-            total = shares.sum(axis=0)
+            total = shares.sum(axis=-2, keepdims=True)
             emission[k] = Categorical(f.values, np.where(total > 1e-12, shares / np.maximum(total, 1e-300), f.probs))
         else:
             n = have + weight

@@ -4,7 +4,8 @@ A sequence is first decoded by bleeding alone, which gives cycles and sure
 anchors. Cycles that are tracked alike form stretches; each stretch is decoded
 with a model adjusted to what is tracked in it, neighbouring stretches overlap
 by a period, and their results are stitched. Nothing needs another sequence, so
-a panel is dealt by sequence once and each is decoded by one grouped map.
+a panel is dealt by sequence once and decoded in batches of whole sequences
+(``decode_batch``), in which all stretches of one length go together.
 """
 
 from __future__ import annotations
@@ -13,12 +14,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..hsmm.batch import Stack, by_length, coded, emissions, fit_each, stackable
+from ..hsmm.batch import expected as expected_many
+from ..hsmm.batch import forward_backward as forward_backward_many
 from ..hsmm.fit import Counts, Fit, expected, fit, iterate, merged
-from ..hsmm.infer import anchored, decode, forward_backward, posteriors, viterbi
-from ..hsmm.model import Model, stored
+from ..hsmm.infer import anchored, decode, forward_backward, viterbi
+from ..hsmm.joint import JointModel
+from ..hsmm.model import Model, log, stored
+from . import decode_batch
+from .batched import at, column, lists, on_sequences, whole_sequences
 from .sequence import dealt
 
 CHANNELS = ["bleeding", "mucus", "temp", "LH", "preg"]
@@ -208,18 +216,32 @@ def decode_user(days: pd.DataFrame, model: Model, bleeding: Model, adaptive: boo
 DECODED = "seq_id {key}, t int, state int, prob double, stretch_number double, tracking_behavior string"
 
 
-def decode_panel(panel: DataFrame, model: Model, bleeding: Model, key: str = "seq_id", **how) -> DataFrame:
-    """All sequences of a dense panel (key, t, channels), one grouped map."""
+def decode_panel(panel: DataFrame, model: Model, bleeding: Model, key: str = "seq_id", adaptive: bool = True, fitted: bool = False, limits: Limits = Limits(), fixed_sojourns: bool = True) -> DataFrame:
+    """All sequences of a dense panel (key, t, channels), in batches (``decode_batch``); fitted models one sequence at a time."""
     channels = [c for c in CHANNELS if c in panel.columns]
     kind = panel.schema[key].dataType.simpleString()
     a, b = panel.sparkSession.sparkContext.broadcast(model.to_json()), panel.sparkSession.sparkContext.broadcast(bleeding.to_json())
+    days, schema = panel.select(key, F.col("t").cast("int").alias("t"), *channels), DECODED.format(key=kind)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = decode_user(pdf, stored(a.value), stored(b.value), **how)
+        got = decode_user(pdf, stored(a.value), stored(b.value), adaptive, fitted, limits, fixed_sojourns)
         got.insert(0, "seq_id", pdf[key].iloc[0])
         return got[["seq_id", "t", "state", "prob", "stretch_number", "tracking_behavior"]]
 
-    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, DECODED.format(key=kind))
+    def many(table: pa.Table, edges: np.ndarray):
+        given = stored(a.value)
+        if adaptive:
+            rows, *got = decode_batch.hierarchical(table, edges, given, stored(b.value), limits, channels, SURE, fixed_sojourns)
+        else:
+            own = given.without([k for k in given.emission if k not in channels])
+            rows = np.arange(len(table))
+            got = [*decode_batch.decoded(own, coded(own, {c: column(table, c) for c in channels}), edges), np.ones(len(table)), np.full(len(table), "", object)]
+        state, prob, number, behavior = got
+        yield pa.RecordBatch.from_arrays([at(column(table, key), rows), at(column(table, "t"), rows), pa.array(state.astype(np.int32)), pa.array(prob), pa.array(number), pa.array(behavior, pa.string())], ["seq_id", "t", "state", "prob", "stretch_number", "tracking_behavior"])
+
+    if fitted:
+        return dealt(days, key).groupBy(key).applyInPandas(one, schema)
+    return on_sequences(days, [key], many, schema)
 
 
 def posterior_panel(panel: DataFrame, model: Model, key: str = "seq_id") -> DataFrame:
@@ -228,25 +250,45 @@ def posterior_panel(panel: DataFrame, model: Model, key: str = "seq_id") -> Data
     text = panel.sparkSession.sparkContext.broadcast(model.to_json())
     kind = panel.schema[key].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = posteriors(stored(text.value), pdf.sort_values("t").drop_duplicates("t"))
-        got.insert(0, "seq_id", pdf[key].iloc[0])
-        return got
+    def many(table: pa.Table, edges: np.ndarray):
+        given = stored(text.value)
+        reports = coded(given, {c: column(table, c) for c in channels})
+        for _, rows in by_length(edges[:-1], edges[1:], given.J):
+            x = Stack.of(given, rows.shape[1])
+            gamma = forward_backward_many(x, emissions(x, {k: v[rows] for k, v in reports.items()}, rows.shape)).gamma
+            rows = rows.ravel()
+            yield pa.RecordBatch.from_arrays([at(column(table, key), rows), at(column(table, "t"), rows), lists(gamma.reshape(len(rows), -1))], ["seq_id", "t", "probs"])
+
+    got = on_sequences(panel.select(key, F.col("t").cast("int").alias("t"), *channels), [key], many, f"seq_id {kind}, t int, probs array<double>")
+    return got.select("seq_id", "t", F.posexplode("probs").alias("place", "prob")).select("seq_id", "t", (F.col("place") + 1).alias("state"), "prob")
 
-    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"seq_id {kind}, t int, state int, prob double")
 
+def fit_panel(panel: DataFrame, model: Model, key: str = "seq_id", models: bool = True, **how) -> DataFrame:
+    """A model for each sequence: seq_id, model (JSON, if ``models``), loglik by iteration, message.
 
-def fit_panel(panel: DataFrame, model: Model, key: str = "seq_id", **how) -> DataFrame:
-    """A model for each sequence: seq_id, model (JSON), loglik by iteration, message."""
+    Sequences of one length are fitted at once; models whose sojourns have a form, one at a time.
+    """
     channels = [c for c in model.emission if c in panel.columns]
     text = panel.sparkSession.sparkContext.broadcast(model.to_json())
     kind = panel.schema[key].dataType.simpleString()
+    days, schema = panel.select(key, "t", *channels), f"seq_id {kind}, {'model string, ' * models}loglik array<double>, message string"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         got = fit(stored(text.value), pdf.rename(columns={key: "seq_id"}), **how)
-        return pd.DataFrame({"seq_id": [pdf[key].iloc[0]], "model": [got.model.to_json()], "loglik": [got.loglik], "message": [got.message]})
+        return pd.DataFrame({"seq_id": [pdf[key].iloc[0]]} | ({"model": [got.model.to_json()]} if models else {}) | {"loglik": [got.loglik], "message": [got.message]})
 
-    return dealt(panel.select(key, "t", *channels), key).groupBy(key).applyInPandas(one, f"seq_id {kind}, model string, loglik array<double>, message string")
+    def many(table: pa.Table, edges: np.ndarray):
+        given = stored(text.value)
+        reports = coded(given, {c: column(table, c) for c in channels})
+        for _, rows in by_length(edges[:-1], edges[1:], given.J):
+            got, lls, messages = fit_each(given, {k: v[rows] for k, v in reports.items()}, rows.shape, **how)
+            own = {"model": pa.array([got.model(k, given).to_json() for k in range(len(rows))], pa.string())} if models else {}
+            columns = {"seq_id": at(column(table, key), rows[:, 0])} | own | {"loglik": pa.array(lls, pa.list_(pa.float64())), "message": pa.array(messages, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    if not stackable(model):
+        return dealt(days, key).groupBy(key).applyInPandas(one, schema)
+    return on_sequences(days, [key], many, schema, once=False)
 
 
 def simulate_panel(spark, model: Model, n: int, transitions: int = 100, seed: int = 0) -> DataFrame:
@@ -280,7 +322,10 @@ def fit_jointly(panel: DataFrame, model: Model, truth: DataFrame | None = None,
 
     def count(now: Model) -> Counts:
         sent = spark.sparkContext.broadcast(now)
-        rows = days.mapInPandas(lambda frames: _counts(frames, sent.value, trust), "name string, place int, value double")
+        if isinstance(now, JointModel):
+            rows = days.mapInPandas(lambda frames: _counts(frames, sent.value, trust), "name string, place int, value double")
+        else:
+            rows = days.mapInArrow(lambda batches: _sums(batches, sent.value, trust), "name string, place int, value double")
         sums = rows.groupBy("name", "place").agg(F.sum("value").alias("value")).toArrow().to_pydict()
         shapes = expected(now, pd.DataFrame({"t": [1], **{c: pd.Series([None], dtype=object) for c in channels}}))
         total = {k: np.zeros(v.size) for k, v in shapes.items()}
@@ -324,6 +369,27 @@ def _counts(frames, model: Model, trust: float):
         yield pd.DataFrame({"name": name, "place": at.astype(np.int32), "value": flat[at]})
 
 
+def _sums(batches, model: Model, trust: float):
+    """The counts of a task's sequences, by batches of one length; rows of a day are taken once."""
+    total: Counts = {}
+    labels = np.zeros((model.J + 1, model.J))
+    labels[1:] = log(np.full((model.J, model.J), (1 - trust) / model.J) + trust * np.eye(model.J))
+    for table, edges in whole_sequences(batches, ["seq_id"]):
+        reports = coded(model, {c: column(table, c) for c in model.emission if c in table.column_names})
+        truth = column(table, "__truth").fill_null(0).to_numpy(zero_copy_only=False).astype(int) if "__truth" in table.column_names else None
+        for _, rows in by_length(edges[:-1], edges[1:], model.J):
+            x = Stack.of(model, rows.shape[1])
+            got = {k: v.sum(axis=0) for k, v in expected_many(x, {k: v[rows] for k, v in reports.items()}, rows.shape, truth=None if truth is None else labels[truth[rows]]).items()}
+            head, rest = got.pop("head"), got.pop("rest")
+            later = model.sojourn[len(head) :]
+            longer = later * (rest / np.maximum(later.sum(axis=0), 1e-300))
+            total = merged(total, got | {"loglik": np.atleast_1d(got["loglik"]), "durations": np.vstack((head, longer))})
+    for name, value in total.items():
+        flat = value.ravel()
+        place = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(place), pa.string()), pa.array(place.astype(np.int32)), pa.array(flat[place])], ["name", "place", "value"])
+
+
 def four_decodings(panel: DataFrame, model: Model, key: str = "seq_id", jointly: bool = False, **how) -> DataFrame:
     """States by Viterbi and by posterior, of the given and of the fitted model, side by side for each day.
 

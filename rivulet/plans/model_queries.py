@@ -65,7 +65,7 @@ def hsmm_simulate(spark: SparkSession, sf: str) -> DataFrame:
 @add()
 def hsmm_fit_loglik(spark: SparkSession, sf: str) -> DataFrame:
     part = model().subset(OVULATORY)
-    return decode.fit_panel(prepare_obs(spark, sf), part, lock_transition=True, weight_emission=100).select("seq_id", "loglik", "message")
+    return decode.fit_panel(prepare_obs(spark, sf), part, models=False, lock_transition=True, weight_emission=100)
 
 
 @add()
