@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..hsmm.batch import Stack, by_length, coded, emissions, fit_each, stackable
+from ..hsmm.batch import viterbi as viterbi_many
 from ..hsmm.fit import fit
 from ..hsmm.infer import anchored, viterbi
-from ..hsmm.model import Model, stored
+from ..hsmm.model import FLOOR, Model, stored
+from .batched import at, column, on_sequences
 from .cycles import MENSES, OVULATION
 from .sequence import dealt, ordered, places, run_id, rising
 
@@ -110,12 +114,17 @@ def _anchored_path(model: Model, days: pd.DataFrame) -> np.ndarray:
 
 
 def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = SAMPLES, seed: int = 0) -> np.ndarray:
-    """Lengths of the current cycle, sampled from its records so far.
+    """Lengths of the current cycle, sampled from its records so far."""
+    return _sampled(model, _anchored_path(model, days), n, seed)
+
+
+def _sampled(model: Model, path: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Lengths of a cycle with this most likely path so far.
 
     From the day on which the state that was entered last begins, the sojourns of it and of all states after it in the
     order of the model are drawn, whatever part of the first has passed.
     """
-    rng, path = np.random.default_rng(seed), _anchored_path(model, days)
+    rng = np.random.default_rng(seed)
     states, entered = np.unique(path, return_index=True)
     at = int(entered.argmax())
     length = np.full(n, float(entered[at]))
@@ -124,8 +133,43 @@ def cycle_length_samples(model: Model, days: pd.DataFrame, n: int = SAMPLES, see
     return length
 
 
-def _by_stretch(stretches: DataFrame, model: Model, key: str, one, columns: str) -> DataFrame:
-    """``one`` (stretch's days, model) -> rows, for each stretch; a stretch's key and first cycle stand before them."""
+def _taught_batch(table: pa.Table, edges: np.ndarray, model: Model, training: int):
+    """``_taught`` of a batch: for stretches of which as many days are known, their models, and the rows where their known days begin, the last cycle begins, and it ends; and a function for most likely paths so far of the last cycles."""
+    nth, t = (column(table, c).to_numpy() for c in ("nth", "t"))
+    reports = coded(model, {c: column(table, c) for c in model.emission if c in table.column_names})
+    lows, ends = edges[:-1], edges[1:]
+    target = np.array([lo + int(np.searchsorted(nth[lo:hi], training + 1)) for lo, hi in zip(lows, ends)])
+    known = np.array([hi if at == hi else lo + int(np.searchsorted(t[lo:hi], t[at] + PERIOD_DAYS)) for lo, at, hi in zip(lows, target, ends)])
+    sure = np.full(model.J, FLOOR)
+    sure[MENSES - 1] = 0
+
+    def paths(x: Stack, starts: np.ndarray, n: int | None, anchor: bool = True) -> np.ndarray:
+        """Of the first n days, or of all that are known."""
+        rows = starts[:, None] + np.arange(n or known[np.searchsorted(lows, starts[0])] - starts[0])
+        n = rows.shape[1]
+        x = x.reach(n, model)
+        logb = emissions(x, {k: v[rows] for k, v in reports.items()}, rows.shape)
+        if anchor:
+            logb[:, 0] = np.maximum(logb[:, 0] + sure, FLOOR)
+        return viterbi_many(x, logb)
+
+    for which, rows in by_length(lows, known, model.J):
+        own, _, _ = fit_each(model, {k: v[rows] for k, v in reports.items()}, rows.shape, weight_emission=10)
+        yield own, lows[which], target[which], ends[which], paths
+
+
+def _days_so_far(own: Stack, target: np.ndarray, ends: np.ndarray, paths, less: int = 0):
+    """Days of last cycles, from 1, with the number of the stretch and the path up to ``less`` days before."""
+    for day in range(1, int((ends - target).max(initial=0)) + 1):
+        which = np.flatnonzero(ends - target >= day)
+        found = paths(own.take(which), target[which], day - less) if day > less else np.zeros((len(which), 0), int)
+        for k, path in zip(which.tolist(), found):
+            yield day, k, path
+
+
+def _by_stretch(stretches: DataFrame, model: Model, key: str, one, many, columns: str) -> DataFrame:
+    """Rows for each stretch, its key and first cycle before them: ``many`` (table, edges, model) gives them for a batch of
+    stretches, ``one`` (days, model) for a single one, if the model can only be fitted to one at a time."""
     channels = [c for c in model.emission if c in stretches.columns]
     text, kind = stretches.sparkSession.sparkContext.broadcast(model.to_json()), stretches.schema[key].dataType.simpleString()
 
@@ -136,7 +180,16 @@ def _by_stretch(stretches: DataFrame, model: Model, key: str, one, columns: str)
         return got
 
     days = stretches.select(key, F.col("first_cycle").cast("long").alias("first_cycle"), "nth", F.col("t").cast("int").alias("t"), *channels)
-    return dealt(days, key).groupBy(key, "first_cycle").applyInPandas(run, f"{key} {kind}, first_cycle long, {columns}")
+    schema = f"{key} {kind}, first_cycle long, {columns}"
+    if not stackable(model):
+        return dealt(days, key).groupBy(key, "first_cycle").applyInPandas(run, schema)
+
+    def batch(table: pa.Table, edges: np.ndarray):
+        for stretch, rest in many(table, edges, stored(text.value)):
+            own = {c: at(column(table, c), stretch) for c in (key, "first_cycle")} | rest
+            yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
+
+    return on_sequences(days, [key, "first_cycle"], batch, schema)
 
 
 def predict_lengths(stretches: DataFrame, model: Model, training: int = TRAINING, key: str = "seq_id", n: int = SAMPLES) -> DataFrame:
@@ -154,26 +207,46 @@ def predict_lengths(stretches: DataFrame, model: Model, training: int = TRAINING
             rows.append((day, float(x.mean()), float(x.std(ddof=1)), len(target), float(x.mean()) - len(target)))
         return pd.DataFrame(rows, columns=["cycleday", "predicted", "predicted_sd", "cycle_length", "difference"])
 
-    return _by_stretch(stretches, model, key, one, "cycleday int, predicted double, predicted_sd double, cycle_length int, difference double")
+    def many(table: pa.Table, edges: np.ndarray, given: Model):
+        for own, low, target, ends, paths in _taught_batch(table, edges, given, training):
+            models, rows = [own.model(k, given) for k in range(len(low))], []
+            for day, k, path in _days_so_far(own, target, ends, paths):
+                x, length = _sampled(models[k], path, n, day), int(ends[k] - target[k])
+                rows.append((low[k], day, float(x.mean()), float(x.std(ddof=1)), length, float(x.mean()) - length))
+            stretch, *values = zip(*rows) if rows else [()] * 6
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64())
+            yield np.array(stretch, int), {name: pa.array(v, kind) for name, v, kind in zip(("cycleday", "predicted", "predicted_sd", "cycle_length", "difference"), values, kinds)}
+
+    return _by_stretch(stretches, model, key, one, many, "cycleday int, predicted double, predicted_sd double, cycle_length int, difference double")
 
 
 def phase_days(path: np.ndarray, training: int = TRAINING) -> pd.DataFrame:
     """``place`` in the path, phase, phase_day of the days of the first cycles, on the axis of the mean phase (see ``aligned``)."""
-    first = (path == MENSES) & (np.append(0, path[:-1]) != MENSES)
-    df = pd.DataFrame({"place": np.arange(len(path)), "cycle": first.cumsum(), "ovulations": (path == OVULATION).cumsum(), "ovulation": path == OVULATION})
-    at = lambda by: (df.groupby(by).cumcount(), df.groupby(by)["place"].transform("size"))
-    (day, length), (since, span) = at("cycle"), at("ovulations")
-    luteal = (df["cycle"] == df["ovulations"]) & (since > 0)
-    df["phase"] = np.where(luteal, "luteal", "follicular")
+    place, luteal, day = _phases(path, training)
+    return pd.DataFrame({"place": place, "phase": np.where(luteal, "luteal", "follicular"), "phase_day": day})
+
+
+def _phases(path: np.ndarray, training: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place, ovulation = np.arange(len(path)), path == OVULATION
+    cycle, ovulations = ((path == MENSES) & (np.append(0, path[:-1]) != MENSES)).cumsum(), ovulation.cumsum()
+
+    def at(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.bincount(by)
+        return place - (np.cumsum(size) - size)[by], size[by]
+
+    (day, length), (since, span) = at(cycle), at(ovulations)
+    luteal = (cycle == ovulations) & (since > 0)
     by_start = np.where(luteal, day - length, day + 1)
-    by_ovulation = np.where(luteal | df["ovulation"], since, since - span)
-    df = df.assign(by_start=by_start, by_ovulation=by_ovulation)[df["cycle"].between(1, training).to_numpy()]
-    mean = df.groupby(["cycle", "phase"]).size().groupby("phase").mean().round()
-    n = df["phase"].map(mean)
-    follicular = np.where(df["by_ovulation"] >= -3, n + df["by_ovulation"], np.where(df["by_start"] <= n - 4, df["by_start"], np.nan))
-    luteal = np.where(df["by_ovulation"] <= 5, df["by_ovulation"], np.where(df["by_start"] >= 5 - n, n + df["by_start"] + 1, np.nan))
-    df["phase_day"] = np.where(df["phase"] == "luteal", luteal, follicular)
-    return df.loc[df["phase_day"].notna(), ["place", "phase", "phase_day"]]
+    by_ovulation = np.where(luteal | ovulation, since, since - span)
+    inside, n = (cycle >= 1) & (cycle <= training), np.zeros(len(path))
+    for phase in (luteal, ~luteal):
+        sizes = np.bincount(cycle[inside & phase])
+        n[phase] = np.round(sizes[sizes > 0].mean()) if sizes.any() else np.nan
+    in_follicular = np.where(by_ovulation >= -3, n + by_ovulation, np.where(by_start <= n - 4, by_start, np.nan))
+    in_luteal = np.where(by_ovulation <= 5, by_ovulation, np.where(by_start >= 5 - n, n + by_start + 1, np.nan))
+    phase_day = np.where(luteal, in_luteal, in_follicular)
+    known = inside & ~np.isnan(phase_day)
+    return place[known], luteal[known], phase_day[known]
 
 
 def predict_observations(stretches: DataFrame, model: Model, training: int = TRAINING, key: str = "seq_id") -> DataFrame:
@@ -197,5 +270,21 @@ def predict_observations(stretches: DataFrame, model: Model, training: int = TRA
         got = pd.concat(out)
         return got.assign(phase_day=got["phase_day"].astype(int))[["t", "cycleday", "phase", "phase_day", *channels]]
 
+    def many(table: pa.Table, edges: np.ndarray, given: Model):
+        t = column(table, "t").to_numpy()
+        for own, low, target, ends, paths in _taught_batch(table, edges, given, training):
+            tables, rows = [_phases(path, training) for path in paths(own, low, None, False)], []
+            for day, k, path in _days_so_far(own, target, ends, paths, 1):
+                after = bool((path == OVULATION).any())
+                place, luteal, phase_day = tables[k]
+                of = np.flatnonzero(luteal == after)
+                if len(of):
+                    goal = int((path > OVULATION).sum()) + 1 if after else day
+                    of = of[phase_day[of] == min(goal, phase_day[of].max())]
+                rows += [(low[k], low[k] + place[j], target[k] + day - 1, day, after, int(phase_day[j])) for j in of]
+            stretch, source, now, day, after, phase_day = np.array(rows, int).reshape(-1, 6).T
+            phase = pa.array(np.where(after == 1, "luteal", "follicular").tolist(), pa.string())
+            yield stretch, {"t": pa.array(t[now]), "cycleday": pa.array(day.astype(np.int32)), "phase": phase, "phase_day": pa.array(phase_day.astype(np.int32))} | {c: at(column(table, c), source) for c in channels}
+
     kinds = ", ".join(f"{c} {stretches.schema[c].dataType.simpleString()}" for c in channels)
-    return _by_stretch(stretches, model, key, one, f"t int, cycleday int, phase string, phase_day int, {kinds}")
+    return _by_stretch(stretches, model, key, one, many, f"t int, cycleday int, phase string, phase_day int, {kinds}")

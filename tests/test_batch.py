@@ -78,6 +78,6 @@ def test_panels_are_decoded_as_each_sequence(spark):
 def test_no_query_runs_python_by_sequence(spark, sf):
     import __spark_entry__ as entry
 
-    for name in ("hsmm_decode", "hierarchical_decode", "hsmm_posteriors", "hsmm_fit_loglik"):
+    for name in ("hsmm_decode", "hierarchical_decode", "hsmm_posteriors", "hsmm_fit_loglik", "predict_cycle_length", "predict_next_day"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "FlatMapGroups" not in plan, name
