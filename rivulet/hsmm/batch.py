@@ -14,12 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .fit import Counts, _emission
-from .infer import add
 from .joint import JointModel
 from .model import FLOOR, Categorical, Model, Normal, log
 
 #: Sequences x days x states that are computed at once: numbers of this order stay in a core's cache.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 17
 Reports = dict[str, np.ndarray]  # by variable: places among its values (-1: none of them), or numbers (nan: none)
 
 
@@ -172,51 +171,71 @@ class Posterior:
     rest: np.ndarray | None
 
 
+LEAST = -700.0  # a part of exp(-700) of the largest changes no sum; smaller ones take long
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Turns logs into their exponentials, by the largest along the first axis, which it returns."""
+    top = x.max(axis=0)
+    x -= top
+    np.maximum(x, LEAST, out=x)
+    np.exp(x, out=x)
+    return top
+
+
+def _added(x: np.ndarray) -> np.ndarray:
+    top = _spread(x)
+    return top + np.log(x.sum(axis=0))
+
+
 def forward_backward(model: Stack, logb: np.ndarray, counts: bool = False, moves: bool = False) -> Posterior:
+    """``infer.forward_backward``. Sequences are the last axis in here, so that sums over the others run along whole rows of them."""
+    last_axis = lambda v: np.ascontiguousarray(np.moveaxis(v, 0, -1))
     x = Lattice(model, logb)
-    shape = (x.B, x.T, x.J)
-    begin, end = np.empty(shape), np.empty(shape)
+    init, step, d, alive, sums = (last_axis(v) for v in (x.init, x.step, x.d, x.alive, x.sums))
+    shape = (x.T, x.J, x.B)
+    begin, end, since = np.empty(shape), np.empty(shape), np.empty(shape)
     for t in range(x.T):
-        begin[:, t] = add(end[:, t - 1, :, None] + x.step, 1) if t else x.init
-        end[:, t] = add(x.ending(begin, t), 1)
-    loglik = add(end[:, -1], 1)
-    all_of = loglik[:, None]
-    after, within = np.zeros(shape), np.empty(shape)
-    durations, cut = np.zeros((2, x.B, x.M, x.J)) if counts else (None, None)
+        begin[t] = _added(end[t - 1][:, None] + step) if t else init
+        np.subtract(begin[t], sums[t], out=since[t])  # what does not depend on a segment's end
+        n = min(t + 1, x.M)
+        end[t] = _added(since[t - n + 1 : t + 1][::-1] + (alive if t == x.T - 1 else d)[:n]) + sums[t + 1]
+    loglik = _added(end[-1].copy())
+    after, within, until = np.zeros(shape), np.empty(shape), np.empty(shape)
+    durations, cut = np.zeros((2, x.M, x.J, x.B)) if counts else (None, None)
     for t in range(x.T - 1, -1, -1):
         n = min(x.T - t, x.M)
         reaches = t + n == x.T
-        last = x.d[:, :n]
+        np.add(sums[t + 1], after[t], out=until[t])  # what does not depend on a segment's start
+        weight = until[t : t + n] + d[:n]
         if reaches:
-            last = np.concatenate((last[:, :-1], x.alive[:, n - 1 : n]), axis=1)
-        segments = last + x.sums[:, t + 1 : t + n + 1] - x.sums[:, t, None] + after[:, t : t + n]
-        top = segments.max(axis=1)
-        weight = np.exp(segments - top[:, None])
-        within[:, t] = top + np.log(weight.sum(axis=1))
+            np.add(until[t + n - 1], alive[n - 1], out=weight[-1])
+        top = _spread(weight) - sums[t]
+        within[t] = top + np.log(weight.sum(axis=0))
         if counts:
-            weight *= np.exp(begin[:, t] + top - all_of)[:, None]
+            weight *= np.exp(begin[t] + top - loglik)
             if reaches:
-                cut[:, n - 1] = weight[:, -1]
-                weight = weight[:, :-1]
-            durations[:, : weight.shape[1]] += weight
+                cut[n - 1] = weight[-1]
+                weight = weight[:-1]
+            durations[: len(weight)] += weight
         if t:
-            after[:, t - 1] = add(x.step + within[:, t, None], 2)
-    starts = np.exp(begin + within - all_of[:, None])
-    stops = np.exp(end + after - all_of[:, None])
-    gamma = starts.copy()
-    gamma[:, 1:] -= stops[:, :-1]
-    gamma = np.clip(np.cumsum(gamma, axis=1), 0, None)
-    gamma /= gamma.sum(axis=2, keepdims=True)
-    rest = step = None
+            after[t - 1] = _added(np.swapaxes(step, 0, 1) + within[t][:, None])
+    starts, stops = np.exp(begin + within - loglik), np.exp(end + after - loglik)
+    starts[1:] -= stops[:-1]
+    gamma = np.clip(np.cumsum(starts, axis=0), 0, None)
+    gamma /= gamma.sum(axis=1, keepdims=True)
+    first_axis = lambda v: np.ascontiguousarray(np.moveaxis(v, -1, 0))
+    rest = moved = None
     if counts:  # a cut-off sojourn lasts as long as others that get this far
-        shares = np.cumsum(cut / np.maximum(x.tails, 1e-300), axis=1)
-        durations += model.head * shares
+        shares = np.cumsum(first_axis(cut) / np.maximum(x.tails, 1e-300) * (x.tails > 0), axis=1)
+        durations = first_axis(durations) * (model.head > 0) + model.head * shares
         rest = model.rest * shares[:, -1]
     if moves:
-        step = np.zeros((x.B, x.J, x.J))
+        moved = np.zeros((x.J, x.J, x.B))
         for t in range(x.T - 1):
-            step += np.exp(end[:, t, :, None] + x.step + within[:, t + 1, None] - all_of[:, None])
-    return Posterior(gamma, loglik, step, durations, rest)
+            moved += np.exp(end[t][:, None] + step + within[t + 1] - loglik)
+        moved = first_axis(moved)
+    return Posterior(first_axis(gamma), first_axis(loglik), moved, durations, rest)
 
 
 def expected(x: Stack, reports: Reports, shape: tuple[int, int], moves: bool = True, truth: np.ndarray | None = None) -> Counts:

@@ -320,12 +320,14 @@ def fit_jointly(panel: DataFrame, model: Model, truth: DataFrame | None = None,
         days = days.join(truth.select(F.col(key).alias("seq_id"), "t", F.col("state").alias("__truth")), ["seq_id", "t"], "left")
     days = dealt(days, "seq_id").sortWithinPartitions("seq_id", "t").persist()
 
+    moves = not how.get("lock_transition", False)
+
     def count(now: Model) -> Counts:
         sent = spark.sparkContext.broadcast(now)
         if isinstance(now, JointModel):
             rows = days.mapInPandas(lambda frames: _counts(frames, sent.value, trust), "name string, place int, value double")
         else:
-            rows = days.mapInArrow(lambda batches: _sums(batches, sent.value, trust), "name string, place int, value double")
+            rows = days.mapInArrow(lambda batches: _sums(batches, sent.value, trust, moves), "name string, place int, value double")
         sums = rows.groupBy("name", "place").agg(F.sum("value").alias("value")).toArrow().to_pydict()
         shapes = expected(now, pd.DataFrame({"t": [1], **{c: pd.Series([None], dtype=object) for c in channels}}))
         total = {k: np.zeros(v.size) for k, v in shapes.items()}
@@ -369,7 +371,7 @@ def _counts(frames, model: Model, trust: float):
         yield pd.DataFrame({"name": name, "place": at.astype(np.int32), "value": flat[at]})
 
 
-def _sums(batches, model: Model, trust: float):
+def _sums(batches, model: Model, trust: float, moves: bool):
     """The counts of a task's sequences, by batches of one length; rows of a day are taken once."""
     total: Counts = {}
     labels = np.zeros((model.J + 1, model.J))
@@ -379,7 +381,7 @@ def _sums(batches, model: Model, trust: float):
         truth = column(table, "__truth").fill_null(0).to_numpy(zero_copy_only=False).astype(int) if "__truth" in table.column_names else None
         for _, rows in by_length(edges[:-1], edges[1:], model.J):
             x = Stack.of(model, rows.shape[1])
-            got = {k: v.sum(axis=0) for k, v in expected_many(x, {k: v[rows] for k, v in reports.items()}, rows.shape, truth=None if truth is None else labels[truth[rows]]).items()}
+            got = {k: v.sum(axis=0) for k, v in expected_many(x, {k: v[rows] for k, v in reports.items()}, rows.shape, moves, None if truth is None else labels[truth[rows]]).items()}
             head, rest = got.pop("head"), got.pop("rest")
             later = model.sojourn[len(head) :]
             longer = later * (rest / np.maximum(later.sum(axis=0), 1e-300))

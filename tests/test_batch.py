@@ -81,3 +81,23 @@ def test_no_query_runs_python_by_sequence(spark, sf):
     for name in ("hsmm_decode", "hierarchical_decode", "hsmm_posteriors", "hsmm_fit_loglik", "predict_cycle_length", "predict_next_day"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "FlatMapGroups" not in plan, name
+
+
+def test_a_round_of_the_joint_fit_takes_sequences_of_one_length_at_once(monkeypatch):
+    from rivulet.operators import decode
+
+    model = dedicated(cycle_model()).subset(OVULATORY)
+    days = [d.assign(seq_id=k) for k, d in enumerate([*sequences(20, 9), *sequences(20, 12)])]
+    flat, calls, every = pd.concat(days), [], decode.expected_many
+    monkeypatch.setattr(decode, "expected_many", lambda x, reports, shape, *rest: calls.append(shape) or every(x, reports, shape, *rest))
+    columns = {"seq_id": pa.array(flat["seq_id"]), "t": pa.array(flat["t"].astype("int32"))} | {k: pa.array(flat[k], from_pandas=True) for k in model.emission}
+    sums = {}
+    for b in decode._sums(pa.table(columns).to_batches(max_chunksize=7), model, 1.0, True):
+        for name, place, value in zip(*(c.to_pylist() for c in b.columns)):
+            sums.setdefault(name, {})[place] = value
+    assert calls == [(20, 9), (20, 12)]
+    want = {}
+    for d in days:
+        want = decode.merged(want, decode.expected(model, d))
+    for name, value in want.items():
+        assert np.allclose([sums.get(name, {}).get(k, 0.0) for k in range(value.size)], value.ravel(), atol=1e-8), name
