@@ -11,7 +11,7 @@ Three things keep the exchange small and even, and none changes a count:
   occurrences has no word or pair with fewer, so suffixes end before such a one. Map tasks know the frequent ones by
   filters of ``FILTER_BITS`` bits, which are of one size whatever the input and may let through a rare one, but never stop
   a frequent one.
-* Equal suffixes of a task are sent once, with their number, as far as some ``HELD`` of them are held.
+* Tasks make a row for each suffix, at most one a word, and Spark's aggregate adds up equal ones before and after the exchange.
 * Suffixes of a word that makes up more than one in ``HOT`` of all words are dealt over ``SALTS`` tasks by their whole text;
   their prefixes are counted in parts, which are then added up.
 
@@ -36,7 +36,7 @@ from .textvec import LOWER, U, blocks, cut, hash_ranges, mix, strings
 LEAST, LONGEST, TOP, INSIDE = 100, 5, 2000, 100
 FILTER_BITS, HOT, SALTS = 1 << 26, 512, 64
 #: Bytes of text that one step handles, and rows of counts that a task holds before it sends them.
-STEP, HELD = 2 << 20, 1 << 18
+STEP, HELD = 1 << 19, 1 << 18
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -166,7 +166,10 @@ def frequent_words(words: DataFrame) -> np.ndarray:
 def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int) -> np.ndarray:
     """The filter of the slots of pairs with ``least`` occurrences of words that stand together in a piece."""
     counts = only(docs, "lang", "text").mapInArrow(lambda bs: _summed(_count_pairs(bs, words), ["slot"]), "slot long, n long")
-    return _filter(counts.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("slot"))
+    slots = materialize(counts.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("slot"), "pair-slots")
+    cells = _filter(slots)
+    drop(slots)
+    return cells
 
 
 def hot_words(words: DataFrame) -> np.ndarray:
@@ -245,13 +248,13 @@ def _suffixes(batches, frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray)
         kind = c.lang[begins] * 2 + np.isin(c.hash[begins], hot)
         for k in np.unique(kind).tolist():
             mine = begins[kind == k]
-            found = pc.value_counts(strings(spaced, at[mine], at[mine + size[mine]]))
-            suffix, n = found.field(0).cast(pa.string()), found.field(1)
-            salt = np.full(len(n), -1, np.int32)
+            suffix = strings(spaced, at[mine], at[mine + size[mine]]).cast(pa.string())
+            salt = np.full(len(mine), -1, np.int32)
             if k % 2:
                 raw, ends = text_bytes(suffix)
                 salt = (hash_ranges(raw, ends[:-1], ends[1:]) % U(SALTS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([c.langs[k // 2].as_py()] * len(n), pa.string()), pa.array(salt), suffix, n], ["lang", "salt", "suffix", "n"])
+            lang = pa.repeat(pa.scalar(c.langs[k // 2].as_py(), pa.string()), len(mine))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(salt), suffix, pa.array(np.ones(len(mine), np.int64))], ["lang", "salt", "suffix", "n"])
 
 
 def common_bytes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -334,7 +337,8 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """Phrases of two words and more that occur ``least`` times: lang, phrase, n."""
     frequent, hot = frequent_words(words), hot_words(words)
     pairs = frequent_pairs(docs, frequent, least)
-    found = only(docs, "lang", "text").mapInArrow(lambda bs: _summed(_suffixes(bs, frequent, pairs, hot), ["lang", "salt", "suffix"]), "lang string, salt int, suffix string, n long")
+    each = only(docs, "lang", "text").mapInArrow(lambda bs: _suffixes(bs, frequent, pairs, hot), "lang string, salt int, suffix string, n long")
+    found = each.groupBy("lang", "salt", "suffix").agg(F.sum("n").alias("n"))
     dealt = found.repartition("lang", F.substring_index("suffix", " ", 1), "salt").sortWithinPartitions("lang", "salt", F.desc("suffix"))
     return dealt.mapInArrow(_count_prefixes(least), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 

@@ -114,3 +114,15 @@ def test_stack_goes_on_over_batches():
         batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema) for i in range(0, len(rows), size)]
         out = [x for b in P._count_prefixes(1)([*batches, batches[0].slice(0, 0)]) for x in b.to_pylist()]
         assert len(out) == len(want) and {(x["lang"], x["phrase"]): x["n"] for x in out} == want
+
+
+def test_a_suffix_is_a_row_for_each_occurrence():
+    """So the rows that tasks make grow with the words, not with the distinct suffixes of a task times the tasks."""
+    import numpy as np
+
+    every = np.full(P.FILTER_BITS // 64, -1, np.int64)
+    for copies in (1, 5):
+        batch = pa.RecordBatch.from_pydict({"lang": ["en", None] * copies, "text": ["a b c. a b", "a b c"] * copies})
+        rows = [x for b in P._suffixes([batch], every, every, np.zeros(0, np.uint64)) for x in b.to_pylist()]
+        assert len(rows) == 5 * copies and {x["n"] for x in rows} == {1}
+        assert Counter((x["lang"], x["suffix"]) for x in rows) == {("en", "a b c "): copies, ("en", "b c "): copies, ("en", "a b "): copies, ("und", "a b c "): copies, ("und", "b c "): copies}
