@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,76 @@ def prefix_pairs(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     return joined(early.filter("rest"), places).unionByName(joined(early, places.filter("rest"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 32) -> DataFrame:
+#: Nodes of a large bucket that are compared with each other, or with as many others, at once.
+BLOCK = 4096
+_CELL = ["key", "kind", "i", "j"]
+
+
+def _close(cell: pa.Table, words: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs of a cell's nodes that ``close_enough`` lets through, of two components and with one ``rest``."""
+    n = cell["n"].to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, component, rest, block = n[order], cell["component"].to_numpy()[order], cell["rest"].to_numpy()[order], cell["block"].to_numpy()[order]
+    sketch = [cell[w].to_numpy()[order].view(np.uint64) for w in words]
+    across, found = cell["i"][0].as_py() != cell["j"][0].as_py(), []
+    upto = np.searchsorted(n, n / similarity + 1e-6, "right")  # beyond it sets are too large
+    for lo in range(0, len(n), 256):
+        hi = min(lo + 256, len(n))
+        end = int(upto[hi - 1])
+        one, other = slice(lo, hi), slice(lo, end)
+        differing = np.zeros((hi - lo, end - lo), np.uint16)
+        for w in sketch:
+            differing += np.bitwise_count(w[one, None] ^ w[None, other])
+        fine = differing * (1 + similarity) <= (1 - similarity) * (n[one, None] + n[None, other]) + 1e-9
+        fine &= n[one, None] >= similarity * n[None, other] - 1e-9
+        fine &= (component[one, None] != component[None, other]) & (rest[one, None] | rest[None, other])
+        if across:
+            fine &= block[one, None] != block[None, other]
+        x, y = np.nonzero(np.triu(fine, 1))
+        found.append(np.stack((order[x + lo], order[y + lo])))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def close_pairs(members: DataFrame, sketches: DataFrame, similarity: float, most: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) in a bucket of two components, one of them ``rest``, whose sketches do not tell them apart.
+
+    ``members`` is (key, size, node, component, rest), and ``sketches`` (node, kind, n, further words). A bucket of more than
+    ``most`` nodes is cut to blocks, which meet two at a time, so no task holds more than two of them. Only pairs that are close
+    are rows; the comparison of two sketches is a few operations on words.
+    """
+    words = [c for c in sketches.columns if c not in ("node", "kind", "n")]
+    each = members.join(sketches, "node").withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
+    each = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    cells = cells.select(*_CELL, "node", "component", "rest", "block", "n", *words).repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+    def pairs(cell: pa.Table):
+        if len(cell) > 1:
+            x, y = _close(cell, words, similarity)
+            a, b = cell["node"].to_numpy()[x], cell["node"].to_numpy()[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held = None  # the last cell so far, which may go on
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table]).combine_chunks()
+            new = np.zeros(max(len(table) - 1, 0), bool)
+            for c in _CELL:
+                values = table[c].to_numpy()
+                new |= values[1:] != values[:-1]
+            ends = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for lo, hi in zip(ends, ends[1:]):  # noqa: B905
+                yield from pairs(table.slice(lo, hi - lo))
+            held = table.slice(ends[-1])
+        if held is not None:
+            yield from pairs(held)
+
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None, similarity: float, whole: int = 32, sketches: DataFrame | None = None) -> DataFrame:
     """``members`` (node, key, size) -> (id, component), over links between nodes that share a key.
 
     ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
@@ -106,7 +177,8 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     with all others of the bucket if it has at most ``whole`` nodes. In larger ones, where all pairs would grow with the
     square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
     out only pairs that are no links. ``sets`` gives (node, kind, value) and sketches for a table of nodes, and ``similarity`` is
-    the Jaccard similarity of a link.
+    the Jaccard similarity of a link. Where ``sketches`` (node, kind, n, words) are given, ``close_pairs`` takes the place of
+    ``prefix_pairs``: it compares what shares a bucket, by sketches, and deals no elements.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
@@ -158,7 +230,10 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     others = small.select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
     rest = small.filter("component <> largest").select("key", "node", "component")
     pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other"))
-    if found["size"] > whole:
+    if found["size"] > whole and sketches is not None:
+        mine = large.select("key", "size", "node", "component", (F.col("component") != F.col("largest")).alias("rest"))
+        pairs = pairs.unionByName(close_pairs(mine, sketches, similarity))
+    elif found["size"] > whole:
         nodes = large.groupBy("node", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("rest"))
         pairs = pairs.unionByName(prefix_pairs(nodes, sets, similarity))
     spend(pairs.distinct())

@@ -80,11 +80,8 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
     chosen = found.select("node", units, F.explode("kinds").alias("k"))
     chosen = materialize(char_runs.sized(chosen), "chosen-lines")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        return char_runs.sets(chosen.join(nodes.select("node"), "node", "left_semi"))
-
-    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), sets, similarity).withColumnRenamed("id", "node")
+    sketches = chosen.select("node", F.col("k").alias("kind"), "n", *char_runs.WORDS)
+    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), None, similarity, sketches=sketches).withColumnRenamed("id", "node")
     placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     grouped = materialize(placed.join(groups, "node").select("h1", "h2", "first", "component"), "grouped-lines")
     kept = materialize(grouped.groupBy("component").agg(F.min("first").alias("keep")), "kept-lines")

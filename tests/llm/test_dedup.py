@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rivulet.llm import char_runs, exact_dedup, line_dedup, near_dedup
-from rivulet.llm.components import close_enough, components
+from rivulet.llm.components import close_enough, close_pairs, components
 
 from .cases import awkward, prose, table, union_find, words
 
@@ -324,3 +324,24 @@ def test_sketches_rule_out_no_link(spark):
     assert all(r["may"] for r in got if r["links"])
     assert 0 < sum(r["links"] for r in got) < len(got) and any(not r["may"] for r in got)
     assert char_runs.parities(np.zeros(0, np.uint64)).tolist() == [0, 0, 0, 0]
+
+
+def test_large_buckets_are_compared_in_blocks(spark):
+    """All close pairs of two components and no others, however a bucket is cut; elements are not dealt."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: int(rng.integers(30, 60))], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)))) for _ in range(90)]
+    words = [char_runs.parities(x) for x in sets]
+    sketches = spark.createDataFrame([(k, 3, len(x), *[int(w) for w in words[k]]) for k, x in enumerate(sets)], "node long, kind int, n long, " + ", ".join(f"{w} long" for w in char_runs.WORDS))
+    parts = [k % 7 for k in range(90)]
+    members = spark.createDataFrame([(key, size, k, parts[k], parts[k] != 0) for key, size in ((1, 90), (2, 40)) for k in range(size)], "key long, size long, node long, component long, rest boolean")
+
+    def close(x, y):
+        n = len(sets[x]) + len(sets[y])
+        return min(len(sets[x]), len(sets[y])) >= 0.8 * max(len(sets[x]), len(sets[y])) - 1e-9 and 1.8 * sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(map(int, words[x]), map(int, words[y]), strict=True)) <= 0.2 * n + 1e-9
+
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if parts[a] != parts[b] and close(a, b)}
+    assert 0 < len(want) < 3000
+    for most in (4096, 16):
+        got = [(r.a, r.b) for r in close_pairs(members, sketches, 0.8, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
