@@ -175,20 +175,6 @@ def sized(lines: DataFrame) -> DataFrame:
     return lines.select("node", "units", "k").mapInArrow(run, "node bigint, k int, n bigint, units binary, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
-def sets(lines: DataFrame) -> DataFrame:
-    """``lines`` (node, k, units, ``WORDS``) -> (node, kind, value, ``WORDS``): the distinct runs."""
-
-    def run(batches):
-        for batch in batches:
-            for i, (node, k, units) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "k", "units")], strict=True)):
-                value = pa.array(distinct(units, k).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
-                words = [batch.column(w).slice(i, 1) for w in WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([k], pa.int32()), lists, *words], ["node", "kind", "value", *WORDS])
-
-    return lines.select("node", "k", "units", *WORDS).mapInArrow(run, "node bigint, kind int, value array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
-
-
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, k, va, vb) whose lines have at least this Jaccard similarity by their runs of ``k`` units."""
 
