@@ -83,8 +83,9 @@ def distinct(units: bytes, k: int) -> np.ndarray:
     return _once(out)
 
 
-#: Names of the 64-bit words of a sketch.
+#: Names of the 64-bit words of a sketch, and of one with as many slots as tell lines of a thousand runs apart.
 WORDS = ("w0", "w1", "w2", "w3")
+WIDE = tuple(f"w{i}" for i in range(8))
 
 
 def parities(values: np.ndarray) -> np.ndarray:
@@ -96,6 +97,40 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+#: Lines whose sets are sketched at once.
+TOGETHER = 256
+
+
+def sets(units: pa.BinaryArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the number of its distinct runs and the sketch of their set (n x ``WIDE``), many lines at a time.
+
+    A run counts by 48 bits of its hash, above which stands the number of its line, so that one sort finds what recurs.
+    """
+    data, offs = text_bytes(units)
+    offs, slots = offs // 2, 64 * len(WIDE)
+    many, sketch = np.zeros(len(units), np.int64), np.zeros((len(units), len(WIDE)), np.int64)
+    lo = 0
+    while lo < len(units):
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + 2 * CHUNK, "right")) - 1), lo + TOGETHER, len(units))
+        runs = np.maximum(np.diff(offs[lo : hi + 1]) - k + 1, 0)
+        if offs[hi] - offs[lo] > 2 * CHUNK:  # a single long line
+            once = distinct(units[lo].as_py(), k) >> U(16)
+            once = once[np.append(True, once[1:] != once[:-1])]
+        elif not runs.any():
+            lo = hi
+            continue
+        else:
+            line = np.repeat(np.arange(hi - lo), runs)
+            at = np.arange(len(line)) + (offs[lo:hi] - offs[lo] - np.cumsum(runs) + runs)[line]
+            once = _once(hashes(data, int(offs[lo]), int(offs[hi]), k)[at] >> U(16) | line.astype(U) << U(48))
+        line = (once >> U(48)).astype(np.intp)
+        many[lo:hi] = np.bincount(line, minlength=hi - lo)
+        odd = np.bincount(line * slots + (once & U(slots - 1)).astype(np.intp), minlength=(hi - lo) * slots) & 1
+        sketch[lo:hi] = np.packbits(odd.astype(np.uint8).reshape(hi - lo, slots), axis=1).view(np.int64)
+        lo = hi
+    return many, sketch
+
+
 def _some(units: pa.BinaryArray, k: int) -> np.ndarray:
     """A number that the distinct runs of each line are not under: how many of 256 slots they take."""
     data, offs = text_bytes(units)
@@ -139,40 +174,33 @@ def fitting(units: pa.BinaryArray, lengths: tuple[tuple[int, int, int | None], .
 
 
 def band_keys(lines: DataFrame, lengths: tuple[tuple[int, int, int | None, int, int], ...]) -> DataFrame:
-    """``lines`` (..., units) -> (..., kinds, keys): the lengths of runs that fit a line, of (k, low, high, bands, rows), and its bands for each."""
+    """``lines`` (..., units) -> (..., sets, keys): for the lengths of runs that fit a line, of (k, low, high, bands, rows), its bands
+    and its sets (kind, n, ``WIDE``), each with the number of distinct runs and their sketch."""
     names = [c for c in lines.columns if c != "units"]
-    ks = np.array([x[0] for x in lengths], np.int32)
 
     def run(batches):
         for batch in batches:
-            units, line, of = batch.column("units"), [], []
+            units, line, of, place, kind, many, words = batch.column("units"), [], [], [], [], [], []
             fits = fitting(units, tuple(x[:3] for x in lengths))
-            kinds = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fits.sum(axis=1))).astype(np.int32)), pa.array(ks[np.nonzero(fits)[1]]))
             for c, (k, _, _, bands, rows) in enumerate(lengths):
                 mine = np.flatnonzero(fits[:, c])
                 if len(mine):
-                    line.append(np.repeat(mine, bands)), of.append(keys(units.take(pa.array(mine)), k, bands, rows).ravel())
+                    fitted = units.take(pa.array(mine))
+                    line.append(np.repeat(mine, bands)), of.append(keys(fitted, k, bands, rows).ravel())
+                    n, sketch = sets(fitted, k)
+                    place.append(mine), kind.append(np.full(len(mine), k, np.int32)), many.append(n), words.append(sketch)
+            place, kind, many = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, place), (np.int32, kind), (np.int64, many)))
+            words, order = np.concatenate([np.zeros((0, len(WIDE)), np.int64), *words]), np.argsort(place, kind="stable")
+            fields = [pa.array(kind[order]), pa.array(many[order]), *[pa.array(np.ascontiguousarray(w[order])) for w in words.T]]
+            own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fits.sum(axis=1))).astype(np.int32)), pa.StructArray.from_arrays(fields, ["kind", "n", *WIDE]))
             line, of = np.concatenate([np.zeros(0, np.int64), *line]), np.concatenate([np.zeros(0, U), *of])
             ends = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(batch))))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(of[np.argsort(line, kind="stable")].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], kinds, lists], [*names, "kinds", "keys"])
-
-    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in names) + ", kinds array<int>, keys array<bigint>")
-
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], own, lists], [*names, "sets", "keys"])
 
-def sized(lines: DataFrame) -> DataFrame:
-    """``lines`` (node, units, k) -> (node, k, n, units, ``WORDS``), with the number of distinct runs and their sketch."""
-
-    def run(batches):
-        for batch in batches:
-            n, sketch = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(WORDS)), np.int64)
-            for i, (u, k) in enumerate(zip(batch.column("units").to_pylist(), batch.column("k").to_pylist(), strict=True)):
-                runs = distinct(u, k)
-                n[i], sketch[i] = len(runs), parities(runs)
-            words = [pa.array(np.ascontiguousarray(w)) for w in sketch.T]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("k"), pa.array(n), batch.column("units"), *words], ["node", "k", "n", "units", *WORDS])
-
-    return lines.select("node", "units", "k").mapInArrow(run, "node bigint, k int, n bigint, units binary, " + ", ".join(f"{w} bigint" for w in WORDS))
+    each = "kind int, n bigint, " + ", ".join(f"{w} bigint" for w in WIDE)
+    schema = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in names)
+    return lines.mapInArrow(run, f"{schema}, sets array<struct<{each}>>, keys array<bigint>")
 
 
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:

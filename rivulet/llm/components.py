@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, measured
@@ -50,6 +50,11 @@ def buckets(dealt: DataFrame) -> DataFrame:
     return dealt.join(sizes.filter("size > 1"), "key")
 
 
+def counted(dealt: DataFrame) -> DataFrame:
+    """As ``buckets``, with one exchange and one sort of the rows where that takes two of each."""
+    return dealt.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
+
+
 #: An element of more sets than this counts as common and comes late in the order of ``prefix_pairs``; any order is right.
 COMMON = 16
 
@@ -63,6 +68,23 @@ def close_enough(x: list[Column], y: list[Column], nx: Column, ny: Column, simil
     return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9) & (differing * (1 + similarity) <= (1 - similarity) * (nx + ny) + 1e-9)
 
 
+def _near(x: str, y: str, sketches: DataFrame, similarity: float) -> Column:
+    """Whether rows of two aliases with the columns of ``sketches`` are of one kind and pass ``close_enough``."""
+    words = [c for c in sketches.columns if c not in ("node", "kind", "n")]
+    near = close_enough([F.col(f"{x}.{w}") for w in words], [F.col(f"{y}.{w}") for w in words], F.col(f"{x}.n"), F.col(f"{y}.n"), similarity)
+    return (F.col(f"{x}.kind") == F.col(f"{y}.kind")) & near
+
+
+def accompanied(members: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``members`` (node, key, ...) that have another node in their bucket from which sketches (node, kind, n, words) do not tell them apart.
+
+    What is left out has no link in that bucket. A member is one row at most, however many others are close to it.
+    """
+    each = members.select("node", "key").join(sketches, "node")
+    close = each.alias("x").join(each.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.node <> y.node") & _near("x", "y", sketches, similarity), "left_semi")
+    return close.select("node", "key").distinct()
+
+
 def prefix_pairs(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, component, rest) in two components, one of them ``rest``; none of this Jaccard similarity is left out.
 
@@ -178,7 +200,8 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     square of what has one passage in common, they are verified with all nodes that ``prefix_pairs`` finds, which leaves
     out only pairs that are no links. ``sets`` gives (node, kind, value) and sketches for a table of nodes, and ``similarity`` is
     the Jaccard similarity of a link. Where ``sketches`` (node, kind, n, words) are given, ``close_pairs`` takes the place of
-    ``prefix_pairs``: it compares what shares a bucket, by sketches, and deals no elements.
+    ``prefix_pairs``: it compares what shares a bucket, by sketches, and deals no elements; and in smaller buckets only pairs that sketches
+    do not tell apart are rows.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
@@ -229,7 +252,11 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     small, large = split.filter(F.col("size") <= whole), split.filter(F.col("size") > whole)
     others = small.select("key", F.col("node").alias("other"), F.col("component").alias("lead"))
     rest = small.filter("component <> largest").select("key", "node", "component")
-    pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other"))
+    if sketches is None:
+        pairs = rest.join(others, "key").filter("component <> lead").select(*pair("node", "other"))
+    else:
+        x, y = rest.join(sketches, "node").alias("x"), small.select("key", "node", "component").join(sketches, "node").alias("y")
+        pairs = x.join(y, F.expr("x.key = y.key and x.component <> y.component") & _near("x", "y", sketches, similarity)).select(*pair("x.node", "y.node"))
     if found["size"] > whole and sketches is not None:
         mine = large.select("key", "size", "node", "component", (F.col("component") != F.col("largest")).alias("rest"))
         pairs = pairs.unionByName(close_pairs(mine, sketches, similarity))

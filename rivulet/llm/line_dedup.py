@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import char_runs
-from .common import materialize, only
-from .components import buckets, close_enough, dealt_pairs, group_buckets
+from .common import drop, materialize, only
+from .components import accompanied, close_enough, counted, dealt_pairs, group_buckets
 
 LEAST_CHARS, SIMILARITY = 20, 0.8
 #: Characters in a run, the UTF-16 units of the shortest and the longest line (none: any) without recurring runs that is compared by them, bands, and rows of a band.
@@ -51,16 +51,18 @@ def _same() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def verify(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this Jaccard similarity by runs of one length.
 
-    ``lines`` is (node, k, n, units, ``char_runs.WORDS``): a row for each length k of runs that a line is compared by, with its
-    number of distinct runs and their sketch. Only pairs that their sketches do not tell apart have their lines fetched.
+    ``sketches`` is (node, kind, n, ``char_runs.WIDE``): a row for each length of runs that a line is compared by, with its
+    number of distinct runs and their sketch; ``texts`` is (node, units). Only pairs that their sketches do not tell apart have
+    their lines fetched.
     """
-    of = lambda end: lines.select(F.col("node").alias(end), "k", F.col("n").alias(f"n{end}"), *[F.col(w).alias(f"{end}{w}") for w in char_runs.WORDS])
-    may = close_enough([F.col(f"a{w}") for w in char_runs.WORDS], [F.col(f"b{w}") for w in char_runs.WORDS], F.col("na"), F.col("nb"), similarity)
+    words = char_runs.WIDE
+    of = lambda end: sketches.select(F.col("node").alias(end), F.col("kind").alias("k"), F.col("n").alias(f"n{end}"), *[F.col(w).alias(f"{end}{w}") for w in words])
+    may = close_enough([F.col(f"a{w}") for w in words], [F.col(f"b{w}") for w in words], F.col("na"), F.col("nb"), similarity)
     near = materialize(pairs.join(of("a"), "a").join(of("b"), ["b", "k"]).filter(may).select("a", "b", "k"), "near-lines")
-    return char_runs.alike(dealt_pairs(near, lines.select("node", F.col("units").alias("value")).dropDuplicates(["node"])), similarity)
+    return char_runs.alike(dealt_pairs(near, texts.select("node", F.col("units").alias("value"))), similarity)
 
 
 def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENGTHS, bands: int | None = None, rows: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
@@ -74,14 +76,18 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     units = F.encode("line", "UTF-16BE").alias("units")
     folded = folded.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "line", units)
     lines = materialize(char_runs.band_keys(folded.drop("line"), lengths), "lines")
-    members = materialize(buckets(lines.select("node", F.explode("keys").alias("key"))), "line-members")
-    single = lines.drop("keys")
-    wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "kinds")
-    found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted, ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
-    chosen = found.select("node", units, F.explode("kinds").alias("k"))
-    chosen = materialize(char_runs.sized(chosen), "chosen-lines")
-    sketches = chosen.select("node", F.col("k").alias("kind"), "n", *char_runs.WORDS)
-    groups = group_buckets(members, lambda pairs: verify(pairs, chosen, similarity), None, similarity, sketches=sketches).withColumnRenamed("id", "node")
+    shared = materialize(counted(lines.select("node", F.explode("keys").alias("key"))).select("node", "key"), "shared-keys")
+    single = materialize(lines.drop("keys"), "single-lines")  # the keys, most of the bytes, go
+    drop(lines)
+    sketches = single.select("node", F.inline("sets"))
+    members = materialize(counted(accompanied(shared, sketches, similarity)), "line-members")
+    drop(shared)
+    wanted = single.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "line_no", "h1", "h2", "sets")
+    wanted = materialize(wanted, "wanted-lines")
+    sketches = wanted.select("node", F.inline("sets"))
+    found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted.drop("sets"), ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
+    texts = materialize(found.select("node", units), "wanted-texts")
+    groups = group_buckets(members, lambda pairs: verify(pairs, sketches, texts, similarity), None, similarity, sketches=sketches).withColumnRenamed("id", "node")
     placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     grouped = materialize(placed.join(groups, "node").select("h1", "h2", "first", "component"), "grouped-lines")
     kept = materialize(grouped.groupBy("component").agg(F.min("first").alias("keep")), "kept-lines")

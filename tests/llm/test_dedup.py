@@ -223,6 +223,35 @@ def test_lines_small_groups_in_large_buckets(spark):
     assert {(r.doc_id, k): d for r in got for k, d in zip(r.removed_lines, r.keep_doc_ids, strict=True)} == {at: kept[0] for at, kept in want.items()}
 
 
+def test_unlike_lines_in_a_bucket_are_no_pairs(spark, monkeypatch):
+    """Lines with a passage in common share buckets; only those that sketches do not tell apart from another are paired."""
+    passage, seen, real = prose(330, 60), [], line_dedup.verify
+    rows = [(k, f"{passage} {prose(7400 + k, 50)}") for k in range(30)]
+    rows += [(100 + k, text + "!") for k, text in rows[:2]]
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verify", counting)
+    got = line_dedup.line_dedup(table(spark, rows, 4), bands=8, rows=1).collect()
+    assert {r.doc_id: r.keep_doc_ids for r in got if r.removed_lines} == {100: [0], 101: [1]}
+    assert sum(seen) <= 6  # all pairs of a bucket are some 500
+
+
+def test_sets_of_many_lines_at_once():
+    rng = random.Random(18)
+    lines = ["".join(rng.choice("abcd \u00e9\U0001f600") for _ in range(rng.choice((0, 1, 2, 9, 20, 300, 40000, 90000)))) for _ in range(400)]
+    units = pa.array([t.encode("utf-16-be") for t in lines])
+    for some in (units, units.slice(3, 200)):
+        for k in (2, 3, 10):
+            many, sketch = char_runs.sets(some, k)
+            for i, u in enumerate(some.to_pylist()):
+                runs = char_runs.distinct(u, k)
+                odd = np.bincount((runs >> np.uint64(16)).astype(np.intp) & 511, minlength=512) & 1
+                assert many[i] == len(runs) and (np.packbits(odd.astype(np.uint8)).view(np.int64) == sketch[i]).all()
+
+
 def test_lines_in_which_runs_recur(spark):
     rng = random.Random(16)
     lines = ["-" * n for n in (2, 3, 25, 60, 200, 5000)] + ["la " * n + "la" for n in (8, 30, 90)] + [". " * n + "7" for n in (9, 40)]
