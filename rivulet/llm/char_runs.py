@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import text_bytes
@@ -58,15 +59,20 @@ def registers(units: pa.BinaryArray, k: int, m: int) -> np.ndarray:
     return out.T.astype(U)
 
 
-def keys(units: pa.BinaryArray, k: int, bands: int, rows: int) -> np.ndarray:
-    """One hash for each band of each line (n x bands)."""
-    parts = registers(units, k, bands * rows).reshape(len(units), bands, rows)
+def banded(parts: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band of the registers of each line (n x bands)."""
+    parts = parts.reshape(len(parts), bands, rows)
     total = mix(np.zeros(parts.shape[:2], U) + np.arange(1, bands + 1, dtype=U) * U(0xE7037ED1A0B428DB) + U(k))
     for r in range(rows):
         total = mix(total + parts[:, :, r]) + U(r + 1)
     return total
 
 
+def keys(units: pa.BinaryArray, k: int, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band of each line (n x bands)."""
+    return banded(registers(units, k, bands * rows), k, bands, rows)
+
+
 def _once(values: np.ndarray) -> np.ndarray:
     values.sort()
     new = np.ones(len(values), bool)
@@ -99,16 +105,27 @@ def parities(values: np.ndarray) -> np.ndarray:
 
 #: Lines whose sets are sketched at once.
 TOGETHER = 256
+#: Lines with so many distinct runs for each register have their registers from one hash of each run, others from one for each register.
+FILLED = 3
 
 
 def sets(units: pa.BinaryArray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line the number of its distinct runs and the sketch of their set (n x ``WIDE``), many lines at a time.
+    """For each line the number of its distinct runs and the sketch of their set (n x ``WIDE``), many lines at a time."""
+    return _sets(units, k, 0, True)[:2]
+
+
+def _sets(units: pa.BinaryArray, k: int, m: int, sketched: bool, words: int = len(WIDE)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``sets``, and ``m`` registers of each line (n x m): the range of the hashes is cut to so many bins, and the least
+    hash in each is the one register it fills (an empty bin has the largest value). As for other min-hashes, a register of two
+    sets is equal with the probability of their similarity, or greater where it is empty in both.
 
-    A run counts by 48 bits of its hash, above which stands the number of its line, so that one sort finds what recurs.
+    A run counts by 48 bits of its hash, above which stands the number of its line, so that one sort finds what recurs, and
+    the first of each bin.
     """
     data, offs = text_bytes(units)
-    offs, slots = offs // 2, 64 * len(WIDE)
-    many, sketch = np.zeros(len(units), np.int64), np.zeros((len(units), len(WIDE)), np.int64)
+    offs, slots = offs // 2, 64 * words
+    many, sketch = np.zeros(len(units), np.int64), np.zeros((len(units), words), np.int64)
+    least = np.full((len(units), m), U(0xFFFFFFFFFFFF))
     lo = 0
     while lo < len(units):
         hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + 2 * CHUNK, "right")) - 1), lo + TOGETHER, len(units))
@@ -125,51 +142,36 @@ def sets(units: pa.BinaryArray, k: int) -> tuple[np.ndarray, np.ndarray]:
             once = _once(hashes(data, int(offs[lo]), int(offs[hi]), k)[at] >> U(16) | line.astype(U) << U(48))
         line = (once >> U(48)).astype(np.intp)
         many[lo:hi] = np.bincount(line, minlength=hi - lo)
+        if m:
+            once &= U(0xFFFFFFFFFFFF)
+            place = line * m + ((once >> U(16)) * U(m) >> U(32)).astype(np.intp)
+            first = np.append(True, place[1:] != place[:-1])
+            least[lo:hi].reshape(-1)[place[first]] = once[first]
+        if not sketched:
+            lo = hi
+            continue
         odd = np.bincount(line * slots + (once & U(slots - 1)).astype(np.intp), minlength=(hi - lo) * slots) & 1
         sketch[lo:hi] = np.packbits(odd.astype(np.uint8).reshape(hi - lo, slots), axis=1).view(np.int64)
         lo = hi
-    return many, sketch
-
-
-def _some(units: pa.BinaryArray, k: int) -> np.ndarray:
-    """A number that the distinct runs of each line are not under: how many of 256 slots they take."""
-    data, offs = text_bytes(units)
-    offs = offs // 2
-    out = np.zeros((4, len(units)), U)
-    for lo in range(0, int(offs[-1]), CHUNK):
-        hi = min(lo + CHUNK, int(offs[-1]))
-        first, last = np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left")
-        start, end = np.maximum(offs[first:last], lo) - lo, np.minimum(offs[first + 1 : last + 1] - k + 1, hi) - lo
-        full = np.flatnonzero(end > start)
-        if not len(full):
-            continue
-        at, row = np.stack((start[full], end[full]), 1).ravel(), first + full
-        h = hashes(data, lo, hi, k)
-        bit, word, x = U(1) << (h & U(63)), (h >> U(6)) & U(3), np.zeros(hi - lo + 1, U)
-        for w in range(4):
-            x[:-1] = np.where(word == U(w), bit, U(0))
-            out[w, row] |= np.bitwise_or.reduceat(x, at)[::2]
-    return np.bitwise_count(out).sum(axis=0, dtype=np.int64)
+    return many, sketch, least
 
 
 def fitting(units: pa.BinaryArray, lengths: tuple[tuple[int, int, int | None], ...]) -> np.ndarray:
     """Which ``lengths`` (k, low, high) of runs fit each line (n x lengths): those of which it has as many distinct ones as a
-    line of ``low`` to ``high`` units in which none recurs. Slots tell that of most lines, the others are counted."""
+    line of ``low`` to ``high`` units in which none recurs. The heads of lines tell that of most, the others are counted whole."""
     n, out = np.diff(text_bytes(units)[1]) // 2, np.zeros((len(units), len(lengths)), bool)
     for c, (k, low, high) in enumerate(lengths):
-        open_ = n >= max(low, k)  # a line has no more distinct runs than it has runs
-        sure = open_ & (low <= k) & (True if high is None else n <= high)
-        ask = np.flatnonzero(open_ & ~sure)
+        fits = n >= max(low, k)  # a line has no more distinct runs than it has runs
+        ask = np.flatnonzero(fits & ~((low <= k) & (n <= (np.inf if high is None else high))))
         if len(ask):
             asked = units.take(pa.array(ask))
-            least = _some(asked, k) + k - 1
-            yes = (least >= low) & (True if high is None else n[ask] <= high)
-            no = np.zeros(len(ask), bool) if high is None else least > high
-            for i in np.flatnonzero(~yes & ~no).tolist():
-                size = len(distinct(asked[i].as_py(), k)) + k - 1
-                yes[i] = low <= size and (high is None or size <= high)
-            sure[ask] = yes & ~no
-        out[:, c] = sure
+            head = int(1.3 * (high or low)) + 16
+            size = _sets(pc.binary_slice(asked, 0, 2 * head), k, 0, False)[0] + k - 1
+            more = np.flatnonzero((n[ask] > head) & (size <= (low - 1 if high is None else high)))  # the rest of the line can change the answer
+            if len(more):
+                size[more] = _sets(asked.take(pa.array(more)), k, 0, False)[0] + k - 1
+            fits[ask] = (size >= low) & (True if high is None else size <= high)
+        out[:, c] = fits
     return out
 
 
@@ -182,12 +184,14 @@ def band_keys(lines: DataFrame, lengths: tuple[tuple[int, int, int | None, int,
         for batch in batches:
             units, line, of, place, kind, many, words = batch.column("units"), [], [], [], [], [], []
             fits = fitting(units, tuple(x[:3] for x in lengths))
-            for c, (k, _, _, bands, rows) in enumerate(lengths):
+            for c, (k, low, _, bands, rows) in enumerate(lengths):
                 mine = np.flatnonzero(fits[:, c])
                 if len(mine):
                     fitted = units.take(pa.array(mine))
-                    line.append(np.repeat(mine, bands)), of.append(keys(fitted, k, bands, rows).ravel())
-                    n, sketch = sets(fitted, k)
+                    full = low - k + 1 >= FILLED * bands * rows
+                    n, sketch, least = _sets(fitted, k, bands * rows if full else 0, True)
+                    own = banded(least, k, bands, rows) if full else keys(fitted, k, bands, rows)
+                    line.append(np.repeat(mine, bands)), of.append(own.ravel())
                     place.append(mine), kind.append(np.full(len(mine), k, np.int32)), many.append(n), words.append(sketch)
             place, kind, many = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, place), (np.int32, kind), (np.int64, many)))
             words, order = np.concatenate([np.zeros((0, len(WIDE)), np.int64), *words]), np.argsort(place, kind="stable")
@@ -203,6 +207,24 @@ def band_keys(lines: DataFrame, lengths: tuple[tuple[int, int, int | None, int,
     return lines.mapInArrow(run, f"{schema}, sets array<struct<{each}>>, keys array<bigint>")
 
 
+#: 64-bit words of the sketches that tell large sets apart.
+WIDEST = 64
+
+
+def wide_sketches(lines: DataFrame) -> DataFrame:
+    """``lines`` (node, kind, units) -> (node, kind, wide): sketches of ``WIDEST`` words of the sets of runs of ``kind`` units, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            kind, wide = batch.column("kind").to_numpy(), np.zeros((len(batch), WIDEST), np.int64)
+            for k in np.unique(kind).tolist():
+                mine = np.flatnonzero(kind == k)
+                wide[mine] = _sets(batch.column("units").take(pa.array(mine)), k, 0, True, WIDEST)[1]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("kind"), pa.array([row.tobytes() for row in wide], pa.binary())], ["node", "kind", "wide"])
+
+    return lines.select("node", "kind", "units").mapInArrow(run, "node bigint, kind int, wide binary")
+
+
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, k, va, vb) whose lines have at least this Jaccard similarity by their runs of ``k`` units."""
 

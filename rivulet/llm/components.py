@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, measured
+from .common import drop, materialize, measured, text_bytes
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -126,42 +126,50 @@ _CELL = ["key", "kind", "i", "j"]
 
 
 def _close(cell: pa.Table, words: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of pairs of a cell's nodes that ``close_enough`` lets through, of two components and with one ``rest``."""
+    """Rows of pairs of a cell's nodes that ``close_enough`` lets through, by wide sketches too, of two components and with one ``rest``."""
     n = cell["n"].to_numpy()
     order = np.argsort(n, kind="stable")
-    n, component, rest, block = n[order], cell["component"].to_numpy()[order], cell["rest"].to_numpy()[order], cell["block"].to_numpy()[order]
+    n, component, rest, block = n[order], *[cell[c].to_numpy()[order] for c in ("component", "rest", "block")]
     sketch = [cell[w].to_numpy()[order].view(np.uint64) for w in words]
-    across, found = cell["i"][0].as_py() != cell["j"][0].as_py(), []
-    upto = np.searchsorted(n, n / similarity + 1e-6, "right")  # beyond it sets are too large
-    for lo in range(0, len(n), 256):
-        hi = min(lo + 256, len(n))
-        end = int(upto[hi - 1])
-        one, other = slice(lo, hi), slice(lo, end)
-        differing = np.zeros((hi - lo, end - lo), np.uint16)
+    across, found = cell["i"][0].as_py() != cell["j"][0].as_py(), [np.zeros((2, 0), np.intp)]
+    since, upto = np.searchsorted(n, n * similarity - 1e-6), np.searchsorted(n, n / similarity + 1e-6, "right")  # beyond them sets are too small or large
+    ours = np.flatnonzero(rest)
+    for at in range(0, len(ours), 256):
+        one = ours[at : at + 256]
+        other = np.arange(since[one[0]], upto[one[-1]])
+        differing = np.zeros((len(one), len(other)), np.uint16)
         for w in sketch:
             differing += np.bitwise_count(w[one, None] ^ w[None, other])
         fine = differing * (1 + similarity) <= (1 - similarity) * (n[one, None] + n[None, other]) + 1e-9
-        fine &= n[one, None] >= similarity * n[None, other] - 1e-9
-        fine &= (component[one, None] != component[None, other]) & (rest[one, None] | rest[None, other])
+        fine &= np.minimum(n[one, None], n[None, other]) >= similarity * np.maximum(n[one, None], n[None, other]) - 1e-9
+        fine &= (component[one, None] != component[None, other]) & (~rest[None, other] | (one[:, None] < other[None, :]))
         if across:
             fine &= block[one, None] != block[None, other]
-        x, y = np.nonzero(np.triu(fine, 1))
-        found.append(np.stack((order[x + lo], order[y + lo])))
-    return tuple(np.concatenate(found, axis=1))
-
-
-def close_pairs(members: DataFrame, sketches: DataFrame, similarity: float, most: int = BLOCK) -> DataFrame:
+        x, y = np.nonzero(fine)
+        found.append(np.stack((one[x], other[y])))
+    x, y = np.concatenate(found, axis=1)
+    if "wide" in cell.column_names and len(x):
+        wide = text_bytes(cell["wide"].combine_chunks())[0].view(np.uint64).reshape(len(n), -1)[order]
+        differing = np.concatenate([np.bitwise_count(wide[x[at : at + BLOCK]] ^ wide[y[at : at + BLOCK]]).sum(axis=1, dtype=np.int64) for at in range(0, len(x), BLOCK)])
+        fine = differing * (1 + similarity) <= (1 - similarity) * (n[x] + n[y]) + 1e-9
+        x, y = x[fine], y[fine]
+    return order[x], order[y]
+
+
+def close_pairs(members: DataFrame, sketches: DataFrame, similarity: float, most: int = BLOCK, wide: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) in a bucket of two components, one of them ``rest``, whose sketches do not tell them apart.
 
     ``members`` is (key, size, node, component, rest), and ``sketches`` (node, kind, n, further words). A bucket of more than
     ``most`` nodes is cut to blocks, which meet two at a time, so no task holds more than two of them. Only pairs that are close
-    are rows; the comparison of two sketches is a few operations on words.
+    are rows; the comparison of two sketches is a few operations on words. In large sets many differences fall into slots that are
+    taken already; ``wide`` (node, kind, wide), where given, has sketches of more slots as bytes, by which such pairs are compared too.
     """
     words = [c for c in sketches.columns if c not in ("node", "kind", "n")]
-    each = members.join(sketches, "node").withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
+    known = sketches if wide is None else sketches.join(wide, ["node", "kind"])
+    each = members.join(known, "node").withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
     each = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    cells = cells.select(*_CELL, "node", "component", "rest", "block", "n", *words).repartition(*_CELL).sortWithinPartitions(*_CELL)
+    cells = cells.select(*_CELL, "node", "component", "rest", "block", "n", *words, *([] if wide is None else ["wide"])).repartition(*_CELL).sortWithinPartitions(*_CELL)
 
     def pairs(cell: pa.Table):
         if len(cell) > 1:
@@ -189,7 +197,7 @@ def close_pairs(members: DataFrame, sketches: DataFrame, similarity: float, most
     return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None, similarity: float, whole: int = 32, sketches: DataFrame | None = None) -> DataFrame:
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None, similarity: float, whole: int = 32, sketches: DataFrame | None = None, wide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``members`` (node, key, size) -> (id, component), over links between nodes that share a key.
 
     ``verify`` keeps those of the pairs (a, b) that are links. A bucket is not expanded to its pairs: its most central
@@ -201,7 +209,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     out only pairs that are no links. ``sets`` gives (node, kind, value) and sketches for a table of nodes, and ``similarity`` is
     the Jaccard similarity of a link. Where ``sketches`` (node, kind, n, words) are given, ``close_pairs`` takes the place of
     ``prefix_pairs``: it compares what shares a bucket, by sketches, and deals no elements; and in smaller buckets only pairs that sketches
-    do not tell apart are rows.
+    do not tell apart are rows. ``wide`` gives the wide sketches for ``close_pairs`` of a table of nodes.
 
     So any two nodes that share a bucket end up in one group, have been verified, or are no link by their prefixes.
     """
@@ -259,7 +267,8 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         pairs = x.join(y, F.expr("x.key = y.key and x.component <> y.component") & _near("x", "y", sketches, similarity)).select(*pair("x.node", "y.node"))
     if found["size"] > whole and sketches is not None:
         mine = large.select("key", "size", "node", "component", (F.col("component") != F.col("largest")).alias("rest"))
-        pairs = pairs.unionByName(close_pairs(mine, sketches, similarity))
+        finer = None if wide is None else materialize(wide(mine.select("node").distinct()), "wide")
+        pairs = pairs.unionByName(close_pairs(mine, sketches, similarity, wide=finer))
     elif found["size"] > whole:
         nodes = large.groupBy("node", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("rest"))
         pairs = pairs.unionByName(prefix_pairs(nodes, sets, similarity))

@@ -87,7 +87,8 @@ def line_groups(docs: DataFrame, least: int = LEAST_CHARS, lengths: tuple = LENG
     sketches = wanted.select("node", F.inline("sets"))
     found = lines_of(docs, least).select("doc_id", "line_no", *_same(), "line").join(wanted.drop("sets"), ["doc_id", "line_no", "h1", "h2"]).dropDuplicates(["doc_id", "line_no", "h1", "h2"])
     texts = materialize(found.select("node", units), "wanted-texts")
-    groups = group_buckets(members, lambda pairs: verify(pairs, sketches, texts, similarity), None, similarity, sketches=sketches).withColumnRenamed("id", "node")
+    wide = lambda nodes: char_runs.wide_sketches(texts.join(nodes, "node").join(sketches.select("node", "kind"), "node"))
+    groups = group_buckets(members, lambda pairs: verify(pairs, sketches, texts, similarity), None, similarity, sketches=sketches, wide=wide).withColumnRenamed("id", "node")
     placed = single.select("node", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     grouped = materialize(placed.join(groups, "node").select("h1", "h2", "first", "component"), "grouped-lines")
     kept = materialize(grouped.groupBy("component").agg(F.min("first").alias("keep")), "kept-lines")

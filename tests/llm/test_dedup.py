@@ -374,3 +374,43 @@ def test_large_buckets_are_compared_in_blocks(spark):
     for most in (4096, 16):
         got = [(r.a, r.b) for r in close_pairs(members, sketches, 0.8, most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_registers_from_one_hash_of_each_run():
+    rng, some = random.Random(19), "abcdefghijklmnopqrstuvwxyz é"
+    lines = ["".join(rng.choice(some) for _ in range(rng.choice((99, 300, 40000)))) for _ in range(300)]
+    others = [line[: len(line) // 2] + "#" + line[len(line) // 2 + 1 :] for line in lines]
+    sides = [pa.array([t.encode("utf-16-be") for t in side]) for side in (lines, others)]
+    many, sketch, least = char_runs._sets(sides[0], 10, 30, True)
+    for i, u in enumerate(sides[0].to_pylist()):
+        runs = char_runs.distinct(u, 10) >> np.uint64(16)
+        bins = (runs >> np.uint64(16)) * np.uint64(30) >> np.uint64(32)
+        assert least[i].tolist() == [int(min(runs[bins == b], default=0xFFFFFFFFFFFF)) for b in range(30)]
+    assert (many == char_runs.sets(sides[0], 10)[0]).all() and (sketch == char_runs.sets(sides[0], 10)[1]).all()
+    both = [{t[k : k + 10] for k in range(len(t) - 9)} for t in lines], [{t[k : k + 10] for k in range(len(t) - 9)} for t in others]
+    want = sum(len(x & y) / len(x | y) for x, y in zip(*both, strict=True)) / 300
+    assert abs((least == char_runs._sets(sides[1], 10, 30, False)[2]).mean() - want) < 0.02
+
+
+def test_wide_sketches_tell_large_sets_apart(spark):
+    """Lines just under the similarity are no pairs, though the slots of narrow sketches are too few to show that."""
+    rng, some = random.Random(20), "abcdefghijklmnopqrstuvwxyz "
+    base = [rng.choice(some) for _ in range(1200)]
+
+    def changed(n):
+        line = list(base)
+        for at in range(15, 15 + 25 * n, 25):
+            line[at] = chr(0x4E00 + rng.randrange(20000))
+        return "".join(line)
+
+    lines = [*[changed(17) for _ in range(40)], "".join(base), changed(4)]  # 40 that have some 0.74 in common, and a link
+    units = [t.encode("utf-16-be") for t in lines]
+    many, words = char_runs.sets(pa.array(units), 10)
+    sketches = spark.createDataFrame([(k, 10, int(n), *map(int, w)) for k, (n, w) in enumerate(zip(many, words, strict=True))], "node long, kind int, n long, " + ", ".join(f"{w} long" for w in char_runs.WIDE))
+    members = spark.createDataFrame([(1, 42, k, k, k > 0) for k in range(42)], "key long, size long, node long, component long, rest boolean")
+    wide = char_runs.wide_sketches(spark.createDataFrame([(k, 10, u) for k, u in enumerate(units)], "node long, kind int, units binary"))
+    sets = [set(char_runs.distinct(u, 10).tolist()) for u in units]
+    links = {(a, b) for a in range(42) for b in range(a + 1, 42) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    narrow, got = [{(r.a, r.b) for r in close_pairs(members, sketches, 0.8, most, wide=w).collect()} for most, w in ((4096, None), (16, wide))]
+    assert links <= got <= narrow and (40, 41) in links
+    assert len(got) <= len(links) + 20 < 400 < len(narrow)
